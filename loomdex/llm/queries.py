@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontam import decontaminate
+from .simhash import simhash_groups
 from .substring import dedup_substrings
 
 
@@ -12,14 +14,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: fingerprint and the smallest doc_id that links of two bits or fewer reach."""
+    groups = simhash_groups(_table(spark, sf_dir, "documents"))
+    return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: words, removed words and a digest of what is kept."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: words, words hit by benchmark phrases, and the items hit."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def queries():
-    return {"op9_substring_dedup": op9_substring_dedup}
+    return {
+        "op6_simhash": op6_simhash,
+        "op9_substring_dedup": op9_substring_dedup,
+        "op10_decontamination": op10_decontamination,
+    }
 
 
 def oracle_sql():

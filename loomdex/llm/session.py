@@ -1,0 +1,15 @@
+"""What every operator here needs of the session."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The frame written to the shared checkpoint folder and read again; a folder of this machine only where none is set."""
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomdex-checkpoint-"))
+    return frame.checkpoint()
