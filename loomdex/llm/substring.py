@@ -181,28 +181,25 @@ def _factor(blocks: int, window: int):
     return factors
 
 
-def _kept(window: int):
-    def rows(batches):
-        for batch in batches:
-            texts, spans = batch.column("__text").to_pylist(), batch.column("__spans").to_pylist()
-            kept, n_words, n_removed = [], [], []
-            for text, cells in zip(texts, spans, strict=True):
-                words = (text or "").encode().split()
-                n_words.append(len(words))
-                if cells:
-                    hit = np.zeros(len(words) + 1, np.int64)
-                    pairs = np.frombuffer(b"".join(cells), np.uint32).reshape(-1, 2).astype(np.int64)
-                    np.add.at(hit, pairs[:, 0], 1)
-                    np.add.at(hit, pairs.sum(axis=1), -1)
-                    stays = np.cumsum(hit[:-1]) == 0
-                    words = [w for w, s in zip(words, stays.tolist(), strict=True) if s]
-                kept.append(b" ".join(words).decode())
-                n_removed.append(n_words[-1] - len(words))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("__row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["__row", "n_words", "n_removed", "kept_text"]
-            )
-
-    return rows
+def _kept(batches):
+    for batch in batches:
+        texts, spans = batch.column("__text").to_pylist(), batch.column("__spans").to_pylist()
+        kept, n_words, n_removed = [], [], []
+        for text, cells in zip(texts, spans, strict=True):
+            words = (text or "").encode().split()
+            n_words.append(len(words))
+            if cells:
+                hit = np.zeros(len(words) + 1, np.int64)
+                pairs = np.frombuffer(b"".join(cells), np.uint32).reshape(-1, 2).astype(np.int64)
+                np.add.at(hit, pairs[:, 0], 1)
+                np.add.at(hit, pairs.sum(axis=1), -1)
+                stays = np.cumsum(hit[:-1]) == 0
+                words = [w for w, s in zip(words, stays.tolist(), strict=True) if s]
+            kept.append(b" ".join(words).decode())
+            n_removed.append(n_words[-1] - len(words))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("__row"), batch.column("__text"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["__row", "__text", "n_words", "n_removed", "kept_text"]
+        )
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -218,19 +215,19 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("__id"),
         F.col(text_col).alias("__text"),
         F.xxhash64(F.col(text_col)).alias("__key"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in new]).alias("__row"),
+        F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in docs.columns if c not in (*new, text_col)]).alias("__row"),
     )
     size = rows.select(F.sum(F.octet_length("__text"))).first()[0] or 0
     blocks = max(8, -(-size // BLOCK_BYTES))
-    texts = rows.select("__id", "__key", "__text")
 
-    anchors = texts.mapInArrow(_anchor_rows(blocks, window, gram), f"{BUCKET_SCHEMA}, hashes binary, positions binary")
+    anchors = rows.select("__id", "__key", "__text").mapInArrow(_anchor_rows(blocks, window, gram), f"{BUCKET_SCHEMA}, hashes binary, positions binary")
     shared = anchors.groupBy("bucket").applyInArrow(_shared_anchors(blocks), "id long, key long, positions binary")
     shared = shared.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list("positions").alias("__positions"))
-    phrases = rows.join(shared, ["__id", "__key"]).select("__id", "__key", "__text", "__positions").mapInArrow(_phrase_rows(blocks, window, gram), f"{BUCKET_SCHEMA}, starts binary, sizes binary, words binary")
+    # both joins read the same columns, so Spark deals the texts once for the two
+    phrases = rows.join(shared, ["__id", "__key"]).mapInArrow(_phrase_rows(blocks, window, gram), f"{BUCKET_SCHEMA}, starts binary, sizes binary, words binary")
     spans = phrases.groupBy("bucket").applyInArrow(_factor(blocks, window), "id long, key long, spans binary")
     spans = spans.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list("spans").alias("__spans"))
     out = rows.join(spans, ["__id", "__key"], "left").select("__row", "__text", "__spans")
     row_type = rows.schema["__row"].dataType.simpleString()
-    out = out.mapInArrow(_kept(window), f"__row {row_type}, n_words long, n_removed long, kept_text string")
-    return out.select("__row.*", *new)
+    out = out.mapInArrow(_kept, f"__row {row_type}, __text string, n_words long, n_removed long, kept_text string")
+    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in docs.columns if c not in new], *new)
