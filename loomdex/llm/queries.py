@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import corpus_pipeline
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ann import nearest
+from .chat_format import format_conversations, read_back
 from .decontam import decontaminate
+from .html_template import extract_text
+from .langid import identify, train
+from .lm_score import score
+from .mixing import mix_sources
 from .simhash import simhash_groups
 from .substring import dedup_substrings
+from .url_filter import filter_urls, host_of, path_of
+
+#: Hosts whose pages make up the list of the URL filter's query.
+SPAM_HOSTS = r"(^|\.)(spam-farm|cheap-pills)\."
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,13 +44,90 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: the language from text, markup, address and host; models are trained on labelled documents."""
+    model = train(_table(spark, sf_dir, "documents"))
+    url = F.col("url")
+    suffix = F.regexp_extract(host_of(url), r"\.([a-z]{2})$", 1)
+    folder = F.regexp_extract(path_of(url), r"^/([a-z]{2})/", 1)
+    pages = _table(spark, sf_dir, "pages")
+    markup = F.lower(F.regexp_extract("html", r"""(?is)^[^<]*(?:<![^>]*>\s*)?<html[^>]*\blang\s*=\s*["']?([a-z]{2})""", 1))
+    judged = identify(pages, model, "html", host=host_of(url), markup_lang=markup, address_lang=F.when(suffix != "", suffix).otherwise(folder), markup=True)
+    return judged.select("page_id", "url", "language", F.round("confidence", 6).alias("confidence"), "text_language")
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: the main text."""
+    pages = extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: the rule that its URL falls under and the verdict; pages of known spam hosts are the listed URLs."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(host_of(F.col("url")).rlike(SPAM_HOSTS)).select("url")
+    return filter_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: mean losses under the target and background models, and their difference."""
+    scored = score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select(F.col("id").alias("doc_id"), "n_tokens", *[F.round(c, 9).alias(c) for c in ("target_loss", "background_loss", "score")])
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation, read back from its formatted form: turns and masked text as digests."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit("</s>[INST] ok [/INST]"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = rows.union(own).withColumn("n", F.row_number().over(order).cast("long"))
+    messages = rows.select(F.col("conv_id").alias("conv"), F.col("n").alias("msg"), F.when(F.col("n") > 1, F.col("n") - 1).alias("parent"), F.length("text").cast("double").alias("score"), "role", "text")
+    back = read_back(format_conversations(messages))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        F.col("conv").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its size, its source's size and target, and the words that the mix takes."""
+    mixed = mix_sources(_table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "position")
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every twentieth vector the 20 nearest found."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
+    """All queries of the subpackage by name."""
     return {
+        "op1_language_id": op1_language_id,
+        "op2_html_extraction": op2_html_extraction,
+        "op3_url_filter": op3_url_filter,
+        "op4_lm_score": op4_lm_score,
+        "op5_chat_format": op5_chat_format,
         "op6_simhash": op6_simhash,
+        "op7_mixing": op7_mixing,
+        "op8_nearest": op8_nearest,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_decontamination": op10_decontamination,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql():
+    """DuckDB SQL of those queries that SQL expresses at reasonable cost."""
     return {}
