@@ -57,7 +57,8 @@ def best_branches(messages: DataFrame) -> DataFrame:
     leaves = rooted.join(parents, same & (F.col("msg") == F.col("m")), "left_anti")
     path = leaves.groupBy("conv").agg(F.min(F.struct((-F.col("total")).alias("total"), "msg")).alias("best")).select("conv", F.col("best.msg").alias("msg"))
     for level in reversed(levels):
-        path = path.union(path.join(level, same & (F.col("msg") == F.col("m"))).select("conv", F.col("jump").alias("msg")))
+        # written each time: the next step reads it twice
+        path = cut(path.union(path.join(level, same & (F.col("msg") == F.col("m"))).select("conv", F.col("jump").alias("msg"))))
     place = rooted.select(F.col("conv").alias("c"), F.col("msg").alias("m"), "depth")
     return path.join(place, same & (F.col("msg") == F.col("m"))).select("conv", "msg", "depth")
 

@@ -32,6 +32,8 @@ EVIDENCE = 200
 STRENGTH = 20.0
 UNKNOWN_PRIOR = 1e-4
 MARKUP_TRUST, ADDRESS_TRUST = 0.8, 0.6
+#: Priors of at most this many hosts are broadcast (about 100 bytes each); more are joined by host.
+BROADCAST_HOSTS = 20_000
 
 # ASCII other than letters is one separator
 _SOUND = LOWER.copy()
@@ -89,7 +91,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return [*names, UNKNOWN], np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
-def _likelihood_rows(broadcast, markup: bool):
+def _likelihood_rows(broadcast, markup: bool, keep: list[str]):
     def rows(batches):
         model = broadcast.value.astype(np.float32)
         for batch in batches:
@@ -106,7 +108,7 @@ def _likelihood_rows(broadcast, markup: bool):
                 at_rows.append(out)
             out = np.concatenate(at_rows) if at_rows else np.zeros((0, len(model)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, len(model)), pa.int32()), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "__text"), lists], [*(c for c in batch.schema.names if c != "__text"), "text_evidence"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], [*keep, "text_evidence"])
 
     return rows
 
@@ -132,42 +134,50 @@ def _declared_evidence(code, languages: list[str], trust: float):
     return F.when(F.array_contains(names, code), told).otherwise(F.array_repeat(F.lit(0.0), n))
 
 
-def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", host=None, markup_lang=None, address_lang=None, markup: bool = False) -> DataFrame:
+def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", host=None, markup_lang=None, address_lang=None, markup: bool = False, keep_text: bool = False) -> DataFrame:
     """Rows with language, confidence and text_language (from the text alone).
 
     `host`, `markup_lang` and `address_lang` are columns, null or None where there is no
     such evidence; with `markup` the text is html. Empty and null texts are judged by
-    the other evidence. The text column is dropped; input columns of the three names
-    are replaced. Repeated rows each count in their host's prior.
+    the other evidence. The text column is dropped unless `keep_text`; input columns
+    of the three names are replaced. Repeated rows each count in their host's prior.
+
+    Texts are read twice, for the priors and for the posteriors, and never shuffled
+    unless there are more than `BROADCAST_HOSTS` hosts.
     """
     languages, logs = model
     n = len(languages)
     new = ("language", "confidence", "text_language")
     rest = [c for c in rows.columns if c not in (*new, text_col)]
     null = F.lit(None).cast("string")
-    columns = [F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in rest]).alias("__row"), *[F.coalesce(x if x is not None else null, F.lit("")).alias(name) for x, name in ((host, "host"), (markup_lang, "markup"), (address_lang, "address"))]]
-    known = rows.select(*columns, F.col(f"`{text_col}`").alias("__text"))
-    shape = f"__row {known.schema['__row'].dataType.simpleString()}, host string, markup string, address string, text_evidence array<double>"
-    judged = cut(known.mapInArrow(_likelihood_rows(rows.sparkSession.sparkContext.broadcast(logs), markup), shape))
-    judged = judged.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1))
+    evidence = [F.coalesce(x if x is not None else null, F.lit("")).alias(name) for x, name in ((host, "host"), (markup_lang, "markup"), (address_lang, "address"))]
+    known = rows.select(F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in rest]).alias("__row"), *evidence, F.col(f"`{text_col}`").alias("__text"))
+    types = {"__row": known.schema["__row"].dataType.simpleString(), "__text": "string", "host": "string", "markup": "string", "address": "string"}
+    weights = rows.sparkSession.sparkContext.broadcast(logs)
+
+    def judged(keep: list[str]) -> DataFrame:
+        shape = ", ".join([*(f"{c} {types[c]}" for c in keep), "text_evidence array<double>"])
+        return known.select(*dict.fromkeys([*keep, "__text"])).mapInArrow(_likelihood_rows(weights, markup, keep), shape)
 
-    prior = F.array(*[F.lit(float(np.log(UNKNOWN_PRIOR if x == UNKNOWN else (1 - UNKNOWN_PRIOR) / max(1, n - 1)))) for x in languages])
+    flat = [UNKNOWN_PRIOR if x == UNKNOWN else (1 - UNKNOWN_PRIOR) / max(1, n - 1) for x in languages]
+    prior = F.array(*[F.lit(float(np.log(x))) for x in flat])
     soft = _normalised(_plus(F.col("text_evidence"), prior))
-    counts = judged.select("host", "domain", soft.alias("p"))
-    sums = [F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(n)]
-    by_host = cut(counts.groupBy("host", "domain").agg(*sums))
+    counts = judged(["host"]).select("host", soft.alias("p"))
+    by_host = counts.groupBy("host").agg(*[F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(n)])
+    by_host = cut(by_host.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)))
     totals = lambda name: [F.sum(f"s{i}").alias(f"{name}{i}") for i in range(n)]
-    by_domain = by_host.groupBy("domain").agg(*totals("d"))
-    overall = by_host.agg(*totals("a"))
+    by_domain, overall = by_host.groupBy("domain").agg(*totals("d")), by_host.agg(*totals("a"))
     lean = lambda own, above: [(F.col(f"{own}{i}") + STRENGTH * above[i]) / (sum(F.col(f"{own}{j}") for j in range(n)) + STRENGTH) for i in range(n)]
-    everywhere = lean("a", [F.lit((UNKNOWN_PRIOR if x == UNKNOWN else (1 - UNKNOWN_PRIOR) / max(1, n - 1))) for x in languages])
     hosts = by_host.join(by_domain, "domain").crossJoin(F.broadcast(overall))
-    host_prior = lean("s", lean("d", everywhere))
+    host_prior = lean("s", lean("d", lean("a", [F.lit(x) for x in flat])))
     hosts = hosts.select(F.col("host").alias("h"), F.array(*[F.log(F.greatest(x, F.lit(1e-12))) for x in host_prior]).alias("host_prior"))
+    if by_host.count() <= BROADCAST_HOSTS:
+        hosts = F.broadcast(hosts)
 
-    fused = judged.join(hosts, F.col("host") == F.col("h"))
+    fused = judged(["__row", *["__text"] * keep_text, "host", "markup", "address"]).join(hosts, F.col("host") == F.col("h"))
     p = _normalised(_plus(F.col("text_evidence"), F.col("host_prior"), _declared_evidence(F.col("markup"), languages, MARKUP_TRUST), _declared_evidence(F.col("address"), languages, ADDRESS_TRUST)))
-    fused = fused.select("__row", p.alias("p"), soft.alias("soft"))
+    fused = fused.withColumns({"p": p, "soft": soft})
     names = F.array(*[F.lit(x) for x in languages])
     best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
-    return fused.select(*[F.col(f"__row.`{c}`") for c in rest], best(F.col("p")).alias("language"), F.array_max("p").alias("confidence"), best(F.col("soft")).alias("text_language"))
+    out = [F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in rows.columns if c in rest or (keep_text and c == text_col)]
+    return fused.select(*out, best(F.col("p")).alias("language"), F.array_max("p").alias("confidence"), best(F.col("soft")).alias("text_language"))
