@@ -113,13 +113,6 @@ def account_upsert(spark, sf_dir):
     return X.newest_by_key(old, new.union(stale), ["c_custkey"], "version")
 
 
-@query()
-def bench_corpus(spark, sf_dir):
-    """A synthetic corpus with as many chunks as there are documents."""
-    n = table(spark, sf_dir, "documents").count()
-    return X.bench_corpus(spark, n).select("id", "document", "heading", "body", F.size("vector").alias("dim"), "asks")
-
-
 # ---- blocks ----
 
 _PARAGRAPHS = f"""SELECT id, o, t AS text FROM (SELECT doc_id AS id, generate_subscripts(l, 1) AS o, {S.collapse('unnest(l)')} AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE t <> ''"""
@@ -189,3 +182,39 @@ def heading_lines(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     level = B.heading_level(F.col("line"), F.lead("line").over(Window.partitionBy("id").orderBy("at")))
     return lines.select("id", F.col("at").cast("long").alias("line_no"), level.alias("level")).where("level is not null")
+
+
+# ---- Markdown, code and tables, made of the tables' rows ----
+
+
+@query(
+    f"""SELECT doc_id AS id, 0::BIGINT AS pos, 'heading' AS kind, 1 AS level, 'Document ' || doc_id AS text FROM documents
+    UNION ALL SELECT doc_id, 1, 'row', NULL, '| source | ' || source || ' |' FROM documents UNION ALL SELECT doc_id, 2, 'pre', NULL, '# lang' || chr(10) || lang FROM documents"""
+)
+def blocks_markdown(spark, sf_dir):
+    text = F.concat(F.lit("# Document "), "doc_id", F.lit("\n\n| source | "), "source", F.lit(" |\n|---|---|\n```\n# lang\n"), "lang", F.lit("\n```\n"))
+    return B.markdown_blocks(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id", "text")
+
+
+@query(
+    """WITH d AS (SELECT doc_id AS id, 'def f' || doc_id || '():' AS title, chr(10) || '    return ' || n_chars AS body FROM documents)
+    SELECT id, 0::BIGINT AS pos, 'pre' AS kind, NULL::INT AS level, 'x = 1' AS text FROM d UNION ALL SELECT id, 1, 'heading', 2, title FROM d UNION ALL SELECT id, 2, 'pre', NULL, title || body FROM d"""
+)
+def blocks_code(spark, sf_dir):
+    text = F.concat(F.lit("x = 1\n\ndef f"), "doc_id", F.lit("():\n    return "), "n_chars", F.lit("\n\n"))
+    return B.code_blocks(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id", "text")
+
+
+@query("SELECT c_custkey AS id, 'name,balance' AS header, c_name AS name, round(c_acctbal, 2) AS balance FROM customer")
+def markdown_table(spark, sf_dir):
+    money = F.concat(F.lit("$"), F.format_number("c_acctbal", 2))
+    text = F.concat(F.lit("Accounts\n| name | balance |\n|:---|---:|\n| "), "c_name", F.lit(" | "), F.replace(money, F.lit("$-"), F.lit("-$")), F.lit(" |\n"))
+    found = B.markdown_tables(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text")
+    return found.select("id", F.array_join("header", ",").alias("header"), F.col("rows")[0][0]["text"].alias("name"), F.col("rows")[0][1]["number"].alias("balance"))
+
+
+@query("SELECT p_partkey AS id, n AS section, CASE n WHEN 1 THEN p_name ELSE 'Facts' END AS heading, n::INT AS level, CASE n WHEN 1 THEN p_type ELSE '' END AS paragraphs, CASE n WHEN 1 THEN '' ELSE 'size ' || p_size || ',brand ' || p_brand END AS bullets FROM part, (SELECT unnest([1, 2])::BIGINT AS n)")
+def markdown_sections(spark, sf_dir):
+    text = F.concat(F.lit("# "), "p_name", F.lit("\n"), "p_type", F.lit("\n## Facts\n- size "), "p_size", F.lit("\n- brand "), "p_brand", F.lit("\n"))
+    found = B.markdown_sections(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
+    return found.select("id", F.col("section").cast("long").alias("section"), "heading", "level", F.array_join("paragraphs", ",").alias("paragraphs"), F.array_join("bullets", ",").alias("bullets"))

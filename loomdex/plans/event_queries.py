@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from loomdex.operators import mail as M
@@ -182,3 +184,14 @@ def audit_rates(spark, sf_dir):
 def audit_rates_sliding(spark, sf_dir):
     rows = decided(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("at"), "tier")
     return _plain(J.rates(rows, "12 hours", "6 hours"), "start").select("start", "tier", "n")
+
+
+@query(f"SELECT {_text('time_bucket(INTERVAL 1 DAY, ts)')} AS start, event_type AS tier, count(*) AS n FROM events GROUP BY ALL")
+def stream_rates(spark, sf_dir):
+    """The events as a stream, counted by day and type until all have arrived."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    name = f"stream_rates_{uuid4().hex}"
+    rows = J.rates(stream.select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("tier")), "1 day", late="1 hour")
+    rows.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return _plain(spark.table(name), "start").select("start", "tier", "n")
