@@ -6,6 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import oracles
 from .ann import nearest
 from .chat_format import format_conversations, read_back
 from .decontam import decontaminate
@@ -130,4 +131,4 @@ def queries():
 
 def oracle_sql():
     """DuckDB SQL of those queries that SQL expresses at reasonable cost."""
-    return {}
+    return dict(oracles.SQL)
