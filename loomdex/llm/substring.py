@@ -38,7 +38,8 @@ GRAM = 4
 #: Bytes of text for which there is one reference block.
 BLOCK_BYTES = 4 << 20
 
-_LOW = np.uint64((1 << 24) - 1)
+# the low half of a packed hash is a position
+_LOW = np.uint64((1 << 32) - 1)
 
 
 def _windows(words, hashes: np.ndarray, window: int, gram: int):
