@@ -256,37 +256,46 @@ def test_near_dedup_of_an_empty_table(spark):
 
 
 def test_lm_scores_equal_brute_force(spark, corpus):
-    rows, frame, _ = corpus
-    rows = list(dict.fromkeys((d, t) for d, t, _ in rows))
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    rows, _, _ = corpus
+    rows = [(d, t) for d, t, _ in rows]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     labels = [(d, int(d % 3 == 0), 0) for d, _ in rows] + [(10**6, 1, 0), (None, 1, 0)]
     good = {d for d, q, _ in labels if q}
-    texts = {d: [w for w in WORD.findall(lower(t))] for d, t in rows}
-    counts = Counter(w for t in texts.values() for w in t)
-    known = {w for w, n in counts.items() if n >= lm_score.MIN_COUNT}
-    sequence = {d: ["<s>", *(w if w in known else "<unk>" for w in t), "</s>"] for d, t in texts.items()}
-    size = 2**16 - 1
+    texts = [(d, WORD.findall(lower(t))) for d, t in rows]
+    counts = Counter(w for _, t in texts for w in t)
+    known = {w for w, n in counts.items() if n >= lm_score.MIN_WORD}
+    sequence = [(d, ["<s>", *(w if w in known else "<unk>" for w in t), "</s>"]) for d, t in texts]
+    pairs = Counter(p for _, s in sequence for p in zip(s, s[1:]))
+    kept = {p for p, n in pairs.items() if n >= lm_score.MIN_PAIR}
 
     def model(docs):
-        one = Counter(w for d in docs for w in sequence[d])
-        two = Counter(p for d in docs for p in zip(sequence[d], sequence[d][1:]))
-        total = sum(n for w, n in one.items() if w != "<s>")
-
-        def loss(u, w):
-            alone = (one[w] + 1) / (total + size)
-            after = two[u, w] / one[u] if one[u] else alone
-            return -math.log(lm_score.BIGRAM_WEIGHT * after + (1 - lm_score.BIGRAM_WEIGHT) * alone)
-
-        return loss
-
-    target, background = model([d for d in sequence if d in good]), model(sequence)
-    got = {r.id: r for r in score(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
-    assert set(got) == set(sequence)
-    for d, s in sequence.items():
-        pairs = list(zip(s, s[1:]))
-        t, b = (sum(m(*p) for p in pairs) / len(pairs) for m in (target, background))
-        assert got[d].n_tokens == len(pairs)
-        assert math.isclose(got[d].target_loss, t, rel_tol=1e-9) and math.isclose(got[d].background_loss, b, rel_tol=1e-9) and math.isclose(got[d].score, t - b, abs_tol=1e-9)
+        one = Counter(w for s in docs for w in s)
+        two = Counter(p for s in docs for p in zip(s, s[1:]) if p in kept)
+        mass = Counter()
+        for (u, _), n in two.items():
+            mass[u] += n / one[u]
+        total = sum(n for w, n in one.items() if w != "<s>") + 2**16 - 1
+        weight = lm_score.PAIR_WEIGHT
+        return lambda u, w: -math.log(weight * (two[u, w] / one[u] if one[u] else 0) + (1 - weight * mass[u]) * (one[w] + 1) / total)
+
+    target, background = model([s for d, s in sequence if d in good]), model([s for _, s in sequence])
+    expected = []
+    for d, s in sequence:
+        own = list(zip(s, s[1:]))
+        expected.append((d, len(own), *(sum(m(*p) for p in own) / len(own) for m in (target, background))))
+    got = [(r.id, r.n_tokens, r.target_loss, r.background_loss) for r in score(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()]
+    assert len(got) == len(expected)
+    for g, e in zip(sorted(got), sorted(expected)):
+        assert g[:2] == e[:2] and math.isclose(g[2], e[2], rel_tol=1e-9) and math.isclose(g[3], e[3], rel_tol=1e-9)
+
+
+def test_lm_model_keeps_whole_classes_of_the_most_frequent(spark):
+    rows = [(i, i + 1, 0, False) for i in range(100)] + [(0, 50, 0, True)]
+    frame = spark.createDataFrame(rows, "key long, n long, target long, rare boolean")
+    for most in (0, 3, 40, 1000):
+        got = lm_score._most_frequent(frame, most)
+        assert len(got) <= most and set(got["n"]) == set(range(101 - len(got), 101))
+        assert most - len(got) <= 8 or len(got) == 100
 
 
 def test_lm_scores_prefer_what_is_like_the_target(spark):
