@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; bounds the temporaries of a task (about 60 bytes each).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(0x5EED)
 _LETTER = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
