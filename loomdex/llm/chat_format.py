@@ -51,8 +51,10 @@ def best_branches(messages: DataFrame) -> DataFrame:
     while state.where("jump is not null").limit(1).count() and (1 << len(levels)) <= largest:
         levels.append(state.where("jump is not null").select(F.col("conv").alias("c"), F.col("msg").alias("m"), "jump"))
         above = state.select(F.col("conv").alias("c"), F.col("msg").alias("m"), F.col("jump").alias("far"), F.col("total").alias("more"), F.col("depth").alias("deeper"))
-        state = state.join(above, same & (F.col("jump") == F.col("m")), "left")
-        state = cut(state.select("conv", "msg", F.col("far").alias("jump"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth")))
+        # messages that have reached their root wait; only the others are joined
+        on = state.where("jump is not null").join(above, same & (F.col("jump") == F.col("m")))
+        on = on.select("conv", "msg", F.col("far").alias("jump"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("deeper")).alias("depth"))
+        state = cut(state.where("jump is null").union(on))
     rooted = state.where("jump is null")
     leaves = rooted.join(parents, same & (F.col("msg") == F.col("m")), "left_anti")
     path = leaves.groupBy("conv").agg(F.min(F.struct((-F.col("total")).alias("total"), "msg")).alias("best")).select("conv", F.col("best.msg").alias("msg"))
