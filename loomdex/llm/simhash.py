@@ -168,8 +168,11 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 24, 4
 #: Shingle sets of similarity 0.8 differ in 9.7 of 64 bits on average, with a deviation of 2.9.
 DEDUP_RADIUS = 22
-#: In larger buckets each document is compared with all others, and its nearest ones are verified.
-ALL_PAIRS, NEAREST = 32, 8
+#: In buckets of more than ALL_PAIRS documents, all close pairs are found, but only NEAREST partners of each document
+#: are verified by whole texts: verifying all grows with the square of the bucket (see the README).
+ALL_PAIRS, NEAREST = 32, 4
+#: Ids of this many documents are broadcast to the scan of the texts; more are joined by shuffle.
+BROADCAST_IDS = 200_000
 
 _SEEDS = mix(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _FACTORS, _ADDENDS = _SEEDS[::2] | np.uint64(1), _SEEDS[1::2]
@@ -225,25 +228,22 @@ def _sketch_rows(shingle: int):
 
 
 def _candidates(table: pa.Table) -> pa.Table:
-    nodes, prints = table["node"].to_numpy(), table["print"].to_numpy().view(np.uint64)
-    keys = table["key"].to_numpy()
-    out = []
-    for order, left, right, distance in close_pairs(prints, keys, DEDUP_RADIUS):
-        if not len(left):
-            continue
-        key = keys[order[left]]
-        sizes = np.searchsorted(keys[order], key, side="right") - np.searchsorted(keys[order], key)
-        small = sizes <= ALL_PAIRS
-        out.append(np.stack([nodes[order[left[small]]], nodes[order[right[small]]]]))
-        left, right, distance = left[~small], right[~small], distance[~small]
-        for a, b in ((left, right), (right, left)):
-            by = np.lexsort((b, distance, a))
-            heads = run_starts(a[by])
-            nth = np.arange(len(by)) - np.repeat(heads, np.diff(np.append(heads, len(by))))
-            first = by[nth < NEAREST]
-            out.append(np.stack([nodes[order[a[first]]], nodes[order[b[first]]]]))
-    pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-    pairs = np.unique(np.sort(pairs, axis=0), axis=1)
+    """Pairs (a, b) to verify: all close ones of small buckets, of large ones each document's nearest earlier partners."""
+    order = np.lexsort((table["node"].to_numpy(), table["key"].to_numpy()))
+    nodes, prints, keys = (table[c].to_numpy()[order] for c in ("node", "print", "key"))
+    heads = run_starts(keys)
+    sizes = np.diff(np.append(heads, len(keys)))
+    size = np.repeat(sizes, sizes)
+    out = [np.zeros((2, 0), np.int64)]
+    for again, left, right, distance in close_pairs(prints.view(np.uint64), keys, DEDUP_RADIUS):
+        left, right = again[left], again[right]
+        by = np.lexsort((left, distance, right))
+        left, right = left[by], right[by]
+        first = run_starts(right)
+        rank = np.arange(len(right)) - np.repeat(first, np.diff(np.append(first, len(right))))
+        now = (size[right] <= ALL_PAIRS) | (rank < NEAREST)
+        out.append(np.stack([nodes[left[now]], nodes[right[now]]]))
+    pairs = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1)
     return pa.table({"a": pairs[0], "b": pairs[1]})
 
 
@@ -274,6 +274,15 @@ def _similar(similarity: float):
     return rows
 
 
+def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of texts whose whole shingle sets are similar enough."""
+    ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    ends = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
+    sets = texts.join(ends, "id").mapInArrow(_set_rows(shingle), "id long, shingles binary").dropDuplicates(["id"])
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
+    return both.select("a", "b", "left", "right").mapInArrow(_similar(similarity), "a long, b long")
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = DEDUP_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, component) of every row with an id, by equal words or shingle sets of at least `similarity` (Jaccard).
 
@@ -289,10 +298,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = classes.where("not empty").select("node", "print", F.posexplode("bands")).select("node", "print", F.xxhash64("pos", "col").alias("key"))
     blocks = max(1, -(-BANDS * classes.count() // BLOCK_ROWS))
     pairs = cut(rows.groupBy(F.pmod("key", F.lit(blocks))).applyInArrow(_candidates, "a long, b long").distinct())
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = texts.join(ends, "id").mapInArrow(_set_rows(shingle), "id long, shingles binary").dropDuplicates(["id"])
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
-    linked = components(both.select("a", "b", "left", "right").mapInArrow(_similar(similarity), "a long, b long"))
+    linked = components(_verified(texts, pairs, shingle, similarity))
     named = classes.join(linked, "node", "left").select("c0", "c1", "empty", F.coalesce("component", "node").alias("component"))
     return sketches.select("id", "c0", "c1", "empty").join(named, ["c0", "c1", "empty"]).select("id", "component")
 
