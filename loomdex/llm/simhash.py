@@ -168,9 +168,10 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 24, 4
 #: Shingle sets of similarity 0.8 differ in 9.7 of 64 bits on average, with a deviation of 2.9.
 DEDUP_RADIUS = 22
-#: In buckets of more than ALL_PAIRS documents, all close pairs are found, but only NEAREST partners of each document
-#: are verified by whole texts: verifying all grows with the square of the bucket (see the README).
-ALL_PAIRS, NEAREST = 32, 4
+#: A bucket of more documents or shingles is dealt into blocks, and each pair of blocks is compared in one task.
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 500_000
+#: Documents and shingles that a comparing task holds on average.
+TASK_DOCS, TASK_SHINGLES = 256, 200_000
 #: Ids of this many documents are broadcast to the scan of the texts; more are joined by shuffle.
 BROADCAST_IDS = 200_000
 
@@ -204,6 +205,7 @@ def _sketch_rows(shingle: int):
                 heads = run_starts(own)
                 filled = own[heads]
                 prints, bands, content = np.zeros(n, np.uint64), np.zeros((n, BANDS), np.uint64), np.zeros((n, 2), np.uint64)
+                counts = np.bincount(own, minlength=n)
                 if len(h):
                     sizes = np.diff(np.append(heads, len(h)))
                     bit = np.stack([np.add.reduceat(((h >> np.uint64(b)) & np.uint64(1)).astype(np.int64), heads) * 2 > sizes for b in range(64)], axis=1)
@@ -221,32 +223,12 @@ def _sketch_rows(shingle: int):
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS), pa.int32()), flat)
                 empty = pa.array((words.counts == 0))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, n), pa.array(content[:, 0].view(np.int64)), pa.array(content[:, 1].view(np.int64)), pa.array(prints.view(np.int64)), lists, empty], ["id", "c0", "c1", "print", "bands", "empty"]
+                    [ids.slice(at, n), pa.array(content[:, 0].view(np.int64)), pa.array(content[:, 1].view(np.int64)), pa.array(prints.view(np.int64)), pa.array(counts), lists, empty], ["id", "c0", "c1", "print", "size", "bands", "empty"]
                 )
 
     return rows
 
 
-def _candidates(table: pa.Table) -> pa.Table:
-    """Pairs (a, b) to verify: all close ones of small buckets, of large ones each document's nearest earlier partners."""
-    order = np.lexsort((table["node"].to_numpy(), table["key"].to_numpy()))
-    nodes, prints, keys = (table[c].to_numpy()[order] for c in ("node", "print", "key"))
-    heads = run_starts(keys)
-    sizes = np.diff(np.append(heads, len(keys)))
-    size = np.repeat(sizes, sizes)
-    out = [np.zeros((2, 0), np.int64)]
-    for again, left, right, distance in close_pairs(prints.view(np.uint64), keys, DEDUP_RADIUS):
-        left, right = again[left], again[right]
-        by = np.lexsort((left, distance, right))
-        left, right = left[by], right[by]
-        first = run_starts(right)
-        rank = np.arange(len(right)) - np.repeat(first, np.diff(np.append(first, len(right))))
-        now = (size[right] <= ALL_PAIRS) | (rank < NEAREST)
-        out.append(np.stack([nodes[left[now]], nodes[right[now]]]))
-    pairs = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1)
-    return pa.table({"a": pairs[0], "b": pairs[1]})
-
-
 def _set_rows(shingle: int):
     def rows(batches):
         for batch in batches:
@@ -261,44 +243,100 @@ def _set_rows(shingle: int):
     return rows
 
 
-def _similar(similarity: float):
-    def rows(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _linked(sets: list[np.ndarray], prints: np.ndarray, similarity: float) -> np.ndarray:
+    """The first set that similar pairs link each set to, by breadth-first search.
+
+    A set is compared with all those that no search has reached, at once: no pairs
+    are listed, and sets of one group are not compared again.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    cuts = np.append(0, np.cumsum(size))
+    label, new, mark = np.arange(len(sets)), np.ones(len(sets), bool), np.zeros(len(values), bool)
+    rest, inside, starts = label.copy(), place, cuts[:-1]
+    for first in range(len(sets)):
+        if not new[first]:
+            continue
+        new[first] = False
+        queue = [first]
+        while queue:
+            i = queue.pop()
+            keep = new[rest]
+            if 2 * keep.sum() <= len(rest):
+                inside, rest = inside[np.repeat(keep, size[rest])], rest[keep]
+                starts = np.append(0, np.cumsum(size[rest]))[:-1]
+            if not len(rest):
+                return label
+            own = place[cuts[i] : cuts[i + 1]]
+            mark[own] = True
+            common = np.add.reduceat(mark[inside], starts, dtype=np.int64)
+            mark[own] = False
+            similar = common >= similarity * (size[rest] + len(own) - common) - 1e-9
+            found = rest[similar & new[rest]]
+            label[found] = first
+            new[found] = False
+            queue.extend(found.tolist())
+    return label
+
+
+def _linked_rows(similarity: float):
+    def stars(table: pa.Table) -> pa.Table:
+        nodes, keys, i, j = (table[c].to_numpy() for c in ("node", "key", "i", "j"))
+        prints, sets = table["print"].to_numpy().view(np.uint64), table["shingles"].combine_chunks()
+        order = np.lexsort((nodes, j, i, keys))
+        heads = run_starts(keys[order], i[order], j[order])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for rows in np.split(order, heads[1:]):
+            label = _linked([np.frombuffer(sets[int(r)].as_buffer(), np.uint64) for r in rows], prints[rows], similarity)
+            other = np.flatnonzero(label != np.arange(len(rows)))
+            a.append(nodes[rows[other]])
+            b.append(nodes[rows[label[other]]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return stars
 
-    return rows
 
+def _comparisons(rows: DataFrame) -> DataFrame:
+    """(node, print, size, key, i, j): who meets in which comparison, of rows (node, print, size, key); all that share a key meet.
 
-def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of texts whose whole shingle sets are similar enough."""
-    ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    Keys of the same documents are one. The documents of a large key are dealt into
+    blocks by hash, and each meets every other block.
+    """
+    members = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit("members"))).alias("y")).where("n > 1")
+    blocks = F.ceil(F.least(F.greatest(F.col("n") / BLOCK_DOCS, F.col("total") / BLOCK_SHINGLES), F.col("n") / 2))
+    buckets = cut(members.groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.min("total").alias("total")).select("key", blocks.alias("blocks")))
+    buckets = F.broadcast(buckets) if buckets.count() <= BROADCAST_IDS else buckets
+    met = rows.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: (x != F.col("block")) | (F.col("blocks") == 1))
+    met = met.select("node", "print", "size", "key", "block", F.explode(others).alias("other"))
+    return cut(met.select("node", "print", "size", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+
+
+def _links(texts: DataFrame, met: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Stars (a, b) of the groups that similar pairs of whole shingle sets make in each comparison."""
+    ends = cut(met.select(F.col("node").alias("id")).distinct())
     ends = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
-    sets = texts.join(ends, "id").mapInArrow(_set_rows(shingle), "id long, shingles binary").dropDuplicates(["id"])
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(_similar(similarity), "a long, b long")
+    sets = texts.join(ends, "id").mapInArrow(_set_rows(shingle), "id long, shingles binary").dropDuplicates(["id"]).withColumnRenamed("id", "node")
+    n, size = met.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(1, -(-n // TASK_DOCS), -(-size // TASK_SHINGLES))
+    task = F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks))
+    return met.drop("size").join(sets, "node").groupBy(task).applyInArrow(_linked_rows(similarity), "a long, b long")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = DEDUP_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, component) of every row with an id, by equal words or shingle sets of at least `similarity` (Jaccard).
 
     64-bit fingerprints at radius 2 miss most pairs of similarity 0.8, so candidates
-    come from bands of minimal shingle hashes; fingerprints, through their pivot
-    tables, discard unlike pairs inside a band, and whole shingle sets are compared.
+    come from bands of minimal shingle hashes; whole shingle sets of all documents of
+    a band are compared, in blocks, without a limit to their number.
     Texts without words are copies of each other.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    shape = "id long, c0 long, c1 long, print long, bands array<long>, empty boolean"
+    shape = "id long, c0 long, c1 long, print long, size long, bands array<long>, empty boolean"
     sketches = cut(texts.mapInArrow(_sketch_rows(shingle), shape))
-    classes = cut(sketches.groupBy("c0", "c1", "empty").agg(F.min(F.struct("id", "print", "bands")).alias("s")).select("c0", "c1", "empty", F.col("s.id").alias("node"), "s.print", "s.bands"))
-    rows = classes.where("not empty").select("node", "print", F.posexplode("bands")).select("node", "print", F.xxhash64("pos", "col").alias("key"))
-    blocks = max(1, -(-BANDS * classes.count() // BLOCK_ROWS))
-    pairs = cut(rows.groupBy(F.pmod("key", F.lit(blocks))).applyInArrow(_candidates, "a long, b long").distinct())
-    linked = components(_verified(texts, pairs, shingle, similarity))
+    classes = cut(sketches.groupBy("c0", "c1", "empty").agg(F.min(F.struct("id", "print", "size", "bands")).alias("s")).select("c0", "c1", "empty", F.col("s.id").alias("node"), "s.print", "s.size", "s.bands"))
+    rows = classes.where("not empty").select("node", "print", "size", F.posexplode("bands")).select("node", "print", "size", F.xxhash64("pos", "col").alias("key"))
+    linked = components(_links(texts, _comparisons(rows), shingle, similarity))
     named = classes.join(linked, "node", "left").select("c0", "c1", "empty", F.coalesce("component", "node").alias("component"))
     return sketches.select("id", "c0", "c1", "empty").join(named, ["c0", "c1", "empty"]).select("id", "component")
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
-from loomdex.llm import lm_score, tokens
+from loomdex.llm import lm_score, simhash, tokens
 from loomdex.llm.decontam import decontaminate
 from loomdex.llm.fm_index import FMIndex
 from loomdex.llm.graph import components
@@ -251,6 +251,20 @@ def test_near_duplicates_in_a_large_group(spark):
     assert got == {i: sets.find(i) for i in range(150)}
 
 
+def test_near_copies_among_many_texts_of_one_template(spark, monkeypatch):
+    # a repeated passage draws fingerprints of unlike texts to those of the copies, away from those of the copied
+    base = [f"b{i}" for i in range(150)]
+    again = base[50:60] * 8
+    rows = [(i, " ".join(base + [f"d{i}x{k}" for k in range(22)] + again * (i < 360)), "") for i in range(400)]
+    rows += [(1000 + i, " ".join([*rows[360 + i][1].split(), *again]).replace(f"b{3 * i} ", "e "), "") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, x string")
+    sets = jaccard_sets(rows)
+    assert sum(sets.find(r[0]) != r[0] for r in rows) >= 30
+    for docs in (simhash.BLOCK_DOCS, 30):
+        monkeypatch.setattr(simhash, "BLOCK_DOCS", docs)
+        assert {r.id: r.component for r in near_duplicate_groups(frame).collect()} == {r[0]: sets.find(r[0]) for r in rows}
+
+
 def test_near_dedup_of_an_empty_table(spark):
     assert near_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
