@@ -265,6 +265,18 @@ def test_near_copies_among_many_texts_of_one_template(spark, monkeypatch):
         assert {r.id: r.component for r in near_duplicate_groups(frame).collect()} == {r[0]: sets.find(r[0]) for r in rows}
 
 
+def test_near_copies_that_differ_in_how_often_a_line_repeats(spark):
+    rows = []
+    for i in range(40):
+        words = [f"t{i}x{k}" for k in range(60)]
+        rows += [(2 * i, " ".join(words), ""), (2 * i + 1, " ".join(words + words[20:30] * 40), "")]
+    rows += [(100, "a b c d e f g h", ""), (101, "a b c d e f g h i", "")]
+    sets = jaccard_sets(rows)
+    assert all(sets.find(2 * i + 1) == 2 * i for i in range(40)) and sets.find(101) == 100
+    got = {r.id: r.component for r in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string, x string")).collect()}
+    assert got == {r[0]: sets.find(r[0]) for r in rows}
+
+
 def test_near_dedup_of_an_empty_table(spark):
     assert near_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
