@@ -132,6 +132,26 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
     return blocks, tags
 
 
+def visible_text(page: str) -> str:
+    """A page's text without tags, comments, scripts and styles; a < that opens no tag is text."""
+    parts: list[str] = []
+    at, end, last = 0, len(page), page.rfind(">")
+    while at < end:
+        m = _TAG.search(page, at) if at <= last else _OPEN_COMMENT.search(page, at)
+        if m is None:
+            parts.append(page[at:])
+            break
+        parts.append(page[at : m.start()])
+        at = m.end()
+        name = (m[2] or m[5] or "").lower()
+        if name not in _INLINE:
+            parts.append(" ")
+        if name in ("script", "style") and not (m[1] or m[4]):
+            ending = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            at = ending.end() if ending else end
+    return entities.unescape("".join(parts))
+
+
 def _token(path: str, text: str = "") -> int:
     return xxhash.xxh64_intdigest(f"{path}\x00{text}".encode("utf-8", "surrogatepass")) - 2**63
 

@@ -8,30 +8,33 @@ summed by host and by domain, and each level leans on the one above by `STRENGTH
 pseudo-rows. Beside the trained languages stands "und", a uniform model, for text
 in none of them.
 
-Trigram models are fitted on a bounded sample of labelled rows (`SAMPLE`, the first
-by hash of the id), counted by Spark; a model has `FEATURES` hashed trigrams whatever
-the data.
+Trigram models are fitted on a bounded sample of each language's labelled rows
+(`SAMPLE`, the first by hash of the id), counted by Spark; a model has `FEATURES` hashed
+trigrams a language whatever the data. Of markup, only text outside tags, comments,
+scripts and styles is evidence.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .html_template import visible_text
 from .session import cut
 from .tokens import LOWER, text_slices
 
 SAMPLE = 4000
 FEATURES = 1 << 14
-LANGUAGES = 64
 UNKNOWN = "und"
 #: Trigrams that count as independent observations at most: longer texts don't drown the rest.
 EVIDENCE = 200
 STRENGTH = 20.0
 UNKNOWN_PRIOR = 1e-4
 MARKUP_TRUST, ADDRESS_TRUST = 0.8, 0.6
+#: Sampled rows that are broadcast at most.
+BROADCAST_IDS = 200_000
 #: Priors of at most this many hosts are broadcast (about 100 bytes each); more are joined by host.
 BROADCAST_HOSTS = 20_000
 
@@ -40,8 +43,8 @@ _SOUND = LOWER.copy()
 _SOUND[[b for b in range(128) if not 97 <= LOWER[b] <= 122]] = 32
 
 
-def _trigrams(data: np.ndarray, offsets: np.ndarray, markup: bool):
-    """Hashed trigrams of a slice, with their texts; none inside tags, across texts or of separators alone."""
+def _trigrams(data: np.ndarray, offsets: np.ndarray):
+    """Hashed trigrams of a slice, with their texts; none across texts or of separators alone."""
     if len(data) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sound = _SOUND[data].astype(np.uint32)
@@ -51,11 +54,6 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray, markup: bool):
     ok &= (sound[1:-1] != 32) | (sound[2:] != 32)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     ok &= text[:-2] == text[2:]
-    if markup:
-        depth = np.cumsum((data == 60).astype(np.int32) - (data == 62).astype(np.int32))
-        start = np.append(0, depth)[offsets[:-1]]
-        inside = (depth - np.repeat(start, np.diff(offsets)) > 0) | (data == 62)
-        ok &= ~(inside[:-2] | inside[1:-1] | inside[2:])
     return h[ok].astype(np.int64), text[:-2][ok]
 
 
@@ -67,7 +65,7 @@ def _count_rows(languages: list[str]):
         for batch in batches:
             label = np.array([place.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
             for at, n, data, offsets in text_slices(batch.column("text")):
-                h, text = _trigrams(data, offsets, markup=False)
+                h, text = _trigrams(data, offsets)
                 own = label[at : at + n][text]
                 total += np.bincount(own[own >= 0] * FEATURES + h[own >= 0], minlength=len(total))
         some = np.flatnonzero(total)
@@ -77,16 +75,21 @@ def _count_rows(languages: list[str]):
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and log-probabilities (a row a language, the last for "und") from at most `sample` labelled rows."""
+    """Languages and log-probabilities (a row a language, the last for "und") from at most `sample` labelled rows of each."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    chosen = rows.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("h")).orderBy("h", "id").limit(sample)
-    picked = rows.join(F.broadcast(chosen.select(F.col("id").alias("__chosen")).distinct()), F.col(id_col) == F.col("__chosen")).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    names = sorted(r["lang"] for r in picked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    keyed = rows.select(F.col(id_col).alias("__chosen"), F.col(lang_col).alias("__lang"), F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 1).alias("h"))
+    # only hashes below a bound, which twice the sample is expected to have, are ranked: no language is one task
+    sizes = keyed.groupBy("__lang").agg(F.approx_count_distinct("h").alias("n"))
+    low = keyed.join(F.broadcast(sizes), "__lang").where(F.col("h") <= F.lit(2.0**63) * (2 * sample + 100) / F.col("n")).dropDuplicates(["__lang", "__chosen"])
+    place = F.row_number().over(Window.partitionBy("__lang").orderBy("h", "__chosen"))
+    chosen = cut(low.withColumn("place", place).where(F.col("place") <= sample).select("__chosen", "__lang"))
+    names = sorted(r[0] for r in chosen.select("__lang").distinct().collect())
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
+    picked = rows.join(chosen, (F.col(id_col) == F.col("__chosen")) & (F.col(lang_col) == F.col("__lang"))).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = np.zeros((len(names) + 1, FEATURES))
     if names:
-        summed = picked.mapInArrow(_count_rows(names), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
-        for r in summed:
-            counts[r["feature"] // FEATURES, r["feature"] % FEATURES] = r["n"]
+        summed = picked.mapInArrow(_count_rows(names), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+        counts.ravel()[summed["feature"].to_numpy()] = summed["n"].to_numpy()
     counts += 0.5
     return [*names, UNKNOWN], np.log(counts / counts.sum(axis=1, keepdims=True))
 
@@ -96,8 +99,11 @@ def _likelihood_rows(broadcast, markup: bool, keep: list[str]):
         model = broadcast.value.astype(np.float32)
         for batch in batches:
             at_rows = []
-            for _, n, data, offsets in text_slices(batch.column("__text")):
-                h, text = _trigrams(data, offsets, markup)
+            texts = batch.column("__text")
+            if markup:
+                texts = pa.array([visible_text(x or "") for x in texts.to_pylist()], pa.string())
+            for _, n, data, offsets in text_slices(texts):
+                h, text = _trigrams(data, offsets)
                 out = np.zeros((n, len(model)))
                 if len(h):
                     heads = np.searchsorted(text, np.arange(n))
@@ -164,10 +170,11 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     soft = _normalised(_plus(F.col("text_evidence"), prior))
     counts = judged(["host"]).select("host", soft.alias("p"))
     by_host = counts.groupBy("host").agg(*[F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(n)])
+    by_host = by_host.withColumn("s_all", sum(F.col(f"s{i}") for i in range(n)))
     by_host = cut(by_host.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)))
-    totals = lambda name: [F.sum(f"s{i}").alias(f"{name}{i}") for i in range(n)]
+    totals = lambda name: [F.sum(f"s{i}").alias(f"{name}{i}") for i in [*range(n), "_all"]]
     by_domain, overall = by_host.groupBy("domain").agg(*totals("d")), by_host.agg(*totals("a"))
-    lean = lambda own, above: [(F.col(f"{own}{i}") + STRENGTH * above[i]) / (sum(F.col(f"{own}{j}") for j in range(n)) + STRENGTH) for i in range(n)]
+    lean = lambda own, above: [(F.col(f"{own}{i}") + STRENGTH * above[i]) / (F.col(f"{own}_all") + STRENGTH) for i in range(n)]
     hosts = by_host.join(by_domain, "domain").crossJoin(F.broadcast(overall))
     host_prior = lean("s", lean("d", lean("a", [F.lit(x) for x in flat])))
     hosts = hosts.select(F.col("host").alias("h"), F.array(*[F.log(F.greatest(x, F.lit(1e-12))) for x in host_prior]).alias("host_prior"))

@@ -9,7 +9,7 @@ import pytest
 from loomdex.llm import ann
 from loomdex.llm.ann import nearest
 from loomdex.llm.chat_format import best_branches, format_conversations, read_back
-from loomdex.llm.html_template import blocks_of, extract_text
+from loomdex.llm.html_template import blocks_of, extract_text, visible_text
 from loomdex.llm.langid import UNKNOWN, identify, train
 from loomdex.llm.mixing import mix_sources
 from loomdex.llm.queries import queries
@@ -323,3 +323,22 @@ def test_pipeline_keeps_odd_rows_without_crashing(spark, tiny):
     for frame in (docs.limit(30).union(odd), docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, frame, tiny).collect()
+
+
+def test_unbalanced_signs_of_markup_hide_no_text_and_show_no_tags():
+    page = '<p>one</p><script>for (i=0;i<n;i++) x => y</script><!-- a < b --><style>p > a {}</style><b title="x">two</b> 1 < 2 => <i class="q">three</i> &amp; four'
+    assert visible_text(page).split() == ["one", "two", "1", "<", "2", "=>", "three", "&", "four"]
+
+
+def test_text_after_an_unbalanced_sign_is_evidence(spark):
+    words = {"aa": "lorem ipsum dolor sit amet ", "bb": "zwölf boxkämpfer jagen viktor quer "}
+    docs = spark.createDataFrame([(i, words[x] * 9, x) for i, x in enumerate(["aa", "bb"] * 20)], "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(1, "<script>for (i=0;i<n;i++)</script><p>" + words["aa"] * 9), (2, "<p>1 < 2 " + words["bb"] * 9)], "id long, text string")
+    got = identify(pages, train(docs), "text", markup=True).collect()
+    assert {r.id: r.text_language for r in got} == {1: "aa", 2: "bb"} and all(r.confidence > 0.9 for r in got)
+
+
+def test_rare_languages_are_trained_beside_hot_ones(spark):
+    rows = [(i, "some hot words of the large language", "hot") for i in range(3000)] + [(5000 + i, f"rare{i} yyy zzz", f"r{i:02}") for i in range(80)]
+    names, logs = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=20)
+    assert names == ["hot", *(f"r{i:02}" for i in range(80)), UNKNOWN] and len(logs) == 82
