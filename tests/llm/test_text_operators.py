@@ -281,47 +281,53 @@ def test_near_dedup_of_an_empty_table(spark):
     assert near_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_lm_scores_equal_brute_force(spark, corpus):
+@pytest.mark.parametrize("slice_bytes", [lm_score.SLICE_BYTES, 3000])
+def test_lm_scores_equal_brute_force(spark, corpus, monkeypatch, slice_bytes):
+    monkeypatch.setattr(lm_score, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(lm_score, "BUCKET_BYTES", slice_bytes)
     rows, _, _ = corpus
     rows = [(d, t) for d, t, _ in rows]
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    frame = spark.createDataFrame(rows + [(None, "w1 w1 w2")], "doc_id long, text string").repartition(3)
     labels = [(d, int(d % 3 == 0), 0) for d, _ in rows] + [(10**6, 1, 0), (None, 1, 0)]
     good = {d for d, q, _ in labels if q}
-    texts = [(d, WORD.findall(lower(t))) for d, t in rows]
-    counts = Counter(w for _, t in texts for w in t)
-    known = {w for w, n in counts.items() if n >= lm_score.MIN_WORD}
-    sequence = [(d, ["<s>", *(w if w in known else "<unk>" for w in t), "</s>"]) for d, t in texts]
-    pairs = Counter(p for _, s in sequence for p in zip(s, s[1:]))
-    kept = {p for p, n in pairs.items() if n >= lm_score.MIN_PAIR}
+    sequence = [(d, ["<s>", *WORD.findall(lower(t)), "</s>"]) for d, t in rows]
+    vocabulary = {w for _, s in sequence for w in s[1:]}
 
     def model(docs):
         one = Counter(w for s in docs for w in s)
-        two = Counter(p for s in docs for p in zip(s, s[1:]) if p in kept)
-        mass = Counter()
-        for (u, _), n in two.items():
-            mass[u] += n / one[u]
-        total = sum(n for w, n in one.items() if w != "<s>") + 2**16 - 1
-        weight = lm_score.PAIR_WEIGHT
-        return lambda u, w: -math.log(weight * (two[u, w] / one[u] if one[u] else 0) + (1 - weight * mass[u]) * (one[w] + 1) / total)
+        two = Counter(p for s in docs for p in zip(s, s[1:]))
+        total = sum(n for w, n in one.items() if w != "<s>") + len(vocabulary)
+        prior = lm_score.PRIOR
+        return lambda u, w: -math.log((two[u, w] + prior * (one[w] + 1) / total) / (one[u] + prior))
 
     target, background = model([s for d, s in sequence if d in good]), model([s for _, s in sequence])
     expected = []
     for d, s in sequence:
         own = list(zip(s, s[1:]))
         expected.append((d, len(own), *(sum(m(*p) for p in own) / len(own) for m in (target, background))))
-    got = [(r.id, r.n_tokens, r.target_loss, r.background_loss) for r in score(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()]
+    scored = score(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = [(r.id, r.n_tokens, r.target_loss, r.background_loss) for r in scored.collect()]
     assert len(got) == len(expected)
     for g, e in zip(sorted(got), sorted(expected)):
         assert g[:2] == e[:2] and math.isclose(g[2], e[2], rel_tol=1e-9) and math.isclose(g[3], e[3], rel_tol=1e-9)
 
 
-def test_lm_model_keeps_whole_classes_of_the_most_frequent(spark):
-    rows = [(i, i + 1, 0, False) for i in range(100)] + [(0, 50, 0, True)]
-    frame = spark.createDataFrame(rows, "key long, n long, target long, rare boolean")
-    for most in (0, 3, 40, 1000):
-        got = lm_score._most_frequent(frame, most)
-        assert len(got) <= most and set(got["n"]) == set(range(101 - len(got), 101))
-        assert most - len(got) <= 8 or len(got) == 100
+def test_lm_scores_of_slices_with_equal_content(spark, monkeypatch):
+    # two files of the same rows are two slices of one name
+    rows = [(i, f"a b c w{i}") for i in range(6)]
+    twice = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = sorted(tuple(r) for r in score(twice.union(twice), labels).collect())
+    again = sorted(tuple(r) for r in score(spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(5), labels).collect())
+    assert len(got) == 12 and np.allclose(np.array(got), np.array(again), rtol=1e-12)
+
+
+def test_lm_scores_know_texts_that_occur_twice(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(50))) for i in range(40)]
+    rows += [(100 + i, rows[i][1]) for i in range(10)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20, 30)], "doc_id long, quality int, toxic int")
+    got = {r.id: r.score for r in score(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert min(got[i] for i in range(10)) > max(got[i] for i in range(10, 40))
 
 
 def test_lm_scores_prefer_what_is_like_the_target(spark):
