@@ -1,18 +1,28 @@
 """Main text of web pages by template deduction from equivalence classes of tokens.
 
-A page is a sequence of tokens: tags by their path, and text blocks. Over the
-pages of a host, a token's occurrence vector says how often it stands in each page;
-tokens with equal vectors form a class. Vectors are compared by two sums of page
-hashes weighted by occurrences, so classes are grouped aggregates and no vector is
-gathered. A class is valid if it occurs in every page of a host that shows
-`MIN_PAGES` different pages and holds tags around its texts (`MIN_TOKENS` tokens):
-those classes, nested by their tag paths, are the host's template.
-
-What is left are the template's slots. Slots inside menus, headers, footers,
-sidebars, notices, adverts, forms and comments, known by tag, role or class words,
-are dropped. If a page has an article or main element, its slots are the text and
-everything there stays, even what all pages share; otherwise all slots are, and the
-template's own texts are not content.
+A page is a sequence of tokens: tags by their path from the root (names, classes, ids
+and roles, without digits), and text blocks by their path and text. Over the pages of
+a host, a token's occurrence vector says how often it stands in each page; tokens
+with equal vectors form a class. Vectors are compared by two sums of page hashes
+weighted by occurrences, so classes are grouped aggregates and no vector is
+gathered. A class is valid if it stands in `SUPPORT` of the host's pages, of which
+`MIN_PAGES` differ, and has `MIN_TOKENS` tokens (an element is two tags). Several
+layouts of a host are several classes. Valid classes nest: an element's path says in
+which elements of other classes it stands, on every page, before and after what it
+holds. The nested classes are the host's template; what their elements hold are its
+slots. Hosts of too few pages are one site together.
+
+What fills a slot on all pages decides what it is (`template_roles`):
+
+* the main slot is an article or main element that holds at least half of the plain
+  text of the pages it stands in; where a page has it, nothing outside is text;
+* a slot whose text is the same on all pages, or is mostly links, is furniture, if it
+  holds less than half of the plain text;
+* a slot of at least half of the plain text is content, whatever it is called.
+
+Only what the template leaves open (slots inside the main one, small slots of varying
+plain text, elements that few pages have) goes by names: menus, headers, footers,
+sidebars, notices, adverts, forms and comments are known by tag, role or class words.
 """
 
 from __future__ import annotations
@@ -21,30 +31,37 @@ import html as entities
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import cut
+from .url_filter import host_of
 
 MIN_PAGES = 8
 MIN_TOKENS = 3
-#: A tag's path names its innermost elements up to this depth.
-PATH_DEPTH = 32
-#: A template of at most this many rows is broadcast; a longer one is joined by host.
-BROADCAST_ROWS = 20_000
+SUPPORT = 0.1
+#: The share of plain text that makes a slot the main one, and of links that makes it a list of links.
+MOST = 0.5
+#: Templates of at most this many sites and tokens are broadcast; more are joined by host.
+BROADCAST_ROWS, BROADCAST_TOKENS = 20_000, 500_000
+#: Sites whose templates a task holds unpacked.
+KEPT_SITES = 1000
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
 _OPEN_COMMENT = re.compile(r"<!--.*\Z()()()()()()", re.S)
 _ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"[0-9]+")
 # Element names by their part in a page.
 _RAW = frozenset("script style noscript template svg textarea iframe title head select math object audio video canvas".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 _SKIP_TAGS = frozenset("nav footer aside form button dialog menu".split())
 _MAIN_TAGS = frozenset("article main".split())
+_TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption".split())
 _PLAIN_TAGS = frozenset("html body article main".split())
 # Class, id and role words of page furniture.
 _SKIP_WORDS = frozenset(
@@ -55,40 +72,87 @@ _SKIP_WORDS = frozenset(
 _CLOSES = {"li": "li", "tr": "tr", "td": "td", "th": "th", "dt": "dt", "dd": "dd", "option": "option"}
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
-    """Text blocks (path, text, inside page furniture, inside the article) in page order, and the paths of all tags."""
-    blocks, tags = [], []
-    stack: list[tuple[str, int, int]] = []
+class Page:
+    """A parsed page: its elements in order (token, parent, mark) and its text blocks (element, text, characters inside links).
+
+    Element 0 is the page itself. A mark tells what an element's name says: -1
+    furniture, 1 article, 0 nothing.
+    """
+
+    def __init__(self):
+        self.tokens: list[int] = [0]
+        self.parents: list[int] = [-1]
+        self.marks: list[int] = [0]
+        self.blocks: list[tuple[int, str, int]] = []
+
+
+def _token(parent: int, name: str) -> int:
+    return xxhash.xxh64_intdigest(f"{parent}\x00{name}".encode("utf-8", "surrogatepass")) - 2**63
+
+
+def _text_token(parent: int, text: str) -> int:
+    return _token(parent, "\x00" + text)
+
+
+def _signature(name: str, attributes: str) -> tuple[str, frozenset[str]]:
+    """An element's name with its classes, ids and roles, digits left out, and their words; only whole names of a paragraph or the like."""
+    if not attributes:
+        return name, frozenset()
+    told = [_DIGITS.sub("", "".join(a).lower()) for a in _ATTRIBUTE.findall(attributes)]
+    words = (w for x in told for w in (x.split() if name in _TEXT_TAGS else _WORD.findall(x)))
+    return " ".join([name, *told]), frozenset(words)
+
+
+def parse(page: str) -> Page:
+    """Elements and text blocks of a page; broken markup is closed where a browser would, or at the end."""
+    out = Page()
+    stack: list[tuple[str, int]] = []
     opened: Counter[str] = Counter()
     unended: set[str] = set()
     parts: list[str] = []
-    at, skip, main = 0, 0, 0
-    path = lambda *more: "/".join([*(s[0] for s in stack[-PATH_DEPTH:]), *more])
+    at, inside, links, linked = 0, 0, 0, 0
+    articles = 0
 
     def flush():
+        nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                blocks.append((path(), text, skip > 0, main > 0))
+                out.blocks.append((inside, text, min(linked, len(text))))
             parts.clear()
+        linked = 0
 
     def close(name):
-        nonlocal skip, main
+        nonlocal inside, links, articles
         while opened[name]:
-            top, skip, main = stack.pop()
+            top, inside = stack.pop()
             opened[top] -= 1
+            links -= top == "a"
+            articles -= top in _MAIN_TAGS
             if top == name:
                 return
 
+    def take(text):
+        nonlocal linked
+        parts.append(text)
+        if links > 0:
+            linked += len(text)
+
+    def element(name, mark=0, signature=None):
+        out.tokens.append(_token(out.tokens[inside], signature or name))
+        out.parents.append(inside)
+        out.marks.append(mark)
+        return len(out.tokens) - 1
+
     end, last = len(page), page.rfind(">")
     while at < end:
         # without a > to come there is no tag but an open comment
         m = _TAG.search(page, at) if at <= last else _OPEN_COMMENT.search(page, at)
         if m is None:
-            parts.append(page[at:])
+            take(page[at:])
             break
         if m.start() > at:
-            parts.append(page[at : m.start()])
+            take(page[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
         if name is None:
@@ -97,7 +161,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
         if name not in _INLINE:
             flush()
         if closing:
-            if name in _INLINE and skip and opened[name]:
+            if name in _INLINE and opened[name] and inside != stack[-1][1]:
                 flush()
             close(name)
             continue
@@ -109,27 +173,33 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
                 at = end
             else:
                 unended.add(name)
-            tags.append(path(name))
+            element(name)
             continue
         if name in _CLOSES and any(s[0] == name for s in stack[-2:]):
             close(name)
         if name not in _INLINE and name != "br":
             close("p")
-        tags.append(path(name))
         if name in _VOID:
+            if name not in _INLINE:
+                element(name)
             continue
-        furniture = name in _SKIP_TAGS or (name == "header" and not main)
-        if attributes and not furniture and name not in _PLAIN_TAGS:
-            words = {w for a in _ATTRIBUTE.findall(attributes) for w in _WORD.findall("".join(a).lower())}
-            furniture = not words.isdisjoint(_SKIP_WORDS) or ("header" in words and not main)
-        if furniture and name in _INLINE:
-            flush()
-        stack.append((name, skip, main))
+        signature, words = _signature(name, attributes)
+        furniture = name in _SKIP_TAGS or (name == "header" and not articles)
+        if not furniture and words and name not in _PLAIN_TAGS:
+            furniture = not words.isdisjoint(_SKIP_WORDS) or ("header" in words and not articles)
+        own = inside
+        # inline elements are no elements of the template, unless their names set them apart
+        if name not in _INLINE or furniture:
+            if name in _INLINE:
+                flush()
+            own = element(name, -1 if furniture else int(name in _MAIN_TAGS), signature)
+        stack.append((name, inside))
         opened[name] += 1
-        skip += furniture
-        main += name in _MAIN_TAGS
+        inside = own
+        links += name == "a"
+        articles += name in _MAIN_TAGS
     flush()
-    return blocks, tags
+    return out
 
 
 def visible_text(page: str) -> str:
@@ -152,66 +222,150 @@ def visible_text(page: str) -> str:
     return entities.unescape("".join(parts))
 
 
-def _token(path: str, text: str = "") -> int:
-    return xxhash.xxh64_intdigest(f"{path}\x00{text}".encode("utf-8", "surrogatepass")) - 2**63
+# ---- the template ----
+
+_MASK = (1 << 64) - 1
+
+
+def _page_tokens(page: Page) -> dict[tuple[int, bool], list[int]]:
+    """By token and whether it is a text: occurrences, characters outside and inside links, sum of text hashes, best mark."""
+    found: dict[tuple[int, bool], list[int]] = {}
+    of = [found.setdefault((t, False), [0, 0, 0, 0, -1]) for t in page.tokens]
+    for own, mark in zip(of, page.marks, strict=True):
+        own[0] += 1
+        own[4] = max(own[4], mark)
+    for at, text, linked in page.blocks:
+        token = _text_token(page.tokens[at], text)
+        found.setdefault((token, True), [0, len(text) - linked, linked, 0, 0])[0] += 1
+        above = at
+        while above >= 0:
+            own = of[above]
+            own[1] += len(text) - linked
+            own[2] += linked
+            own[3] = own[3] + token & _MASK
+            above = page.parents[above]
+    return found
+
+
+_TOKEN_COLUMNS = "host string, page long, token long, is_text boolean, n long, plain long, linked long, texts long, mark int, whole long"
 
 
 def _token_rows(batches):
     for batch in batches:
-        hosts, out = batch.column("host").to_pylist(), ([], [], [], [], [])
-        for host, page in zip(hosts, batch.column("html").to_pylist(), strict=True):
-            blocks, tags = blocks_of(page or "")
-            counts: dict[tuple[int, bool], int] = {}
-            for path in tags:
-                counts[_token(path), False] = counts.get((_token(path), False), 0) + 1
-            for path, text, furniture, _ in blocks:
-                if not furniture:
-                    counts[_token(path, text), True] = counts.get((_token(path, text), True), 0) + 1
-            key = xxhash.xxh64_intdigest((page or "").encode("utf-8", "surrogatepass"))
-            n = len(counts)
-            for column, values in zip(out, ([host] * n, [t for t, _ in counts], [x for _, x in counts], list(counts.values()), [key - 2**63] * n), strict=True):
-                column.extend(values)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64())], ["host", "token", "is_text", "n", "page"])
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, texts): hashes of the texts in each host's template, of pages (host, html)."""
-    tokens = pages.mapInArrow(_token_rows, "host string, token long, is_text boolean, n long, page long")
+        out: list[list] = [[] for _ in range(10)]
+        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            if not html:
+                continue
+            page = xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass")) - 2**63
+            found = _page_tokens(parse(html))
+            whole = found[0, False][1]
+            for (token, is_text), (n, plain, linked, texts, mark) in found.items():
+                for column, value in zip(out, (host, page, token, is_text, n, plain, linked, texts - 2**63, mark, whole), strict=True):
+                    column.append(value)
+        types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64), t) if pa.types.is_int64(t) else pa.array(c, t) for c, t in zip(out, types, strict=True)], [c.split()[0] for c in _TOKEN_COLUMNS.split(", ")])
+
+
+def _sites(pages: DataFrame) -> DataFrame:
+    """(host): the hosts that show enough different pages to be a site of their own."""
+    shown = pages.where(F.octet_length("html") > 0).groupBy("host").agg(F.bit_or(_residue(F.xxhash64("html"))).alias("differ"))
+    return cut(shown.where(F.bit_count("differ") >= MIN_PAGES).select(F.col("host").alias("site")))
+
+
+def _residue(page):
+    """One of 64 bits: pages are told apart by residues of their hash, so a count of different ones is a sum of fixed size, never above the truth."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(page, 8), F.lit(64)).cast("int"))
+
+
+def template_tokens(pages: DataFrame) -> DataFrame:
+    """(site, token, is_text, size, share, linked, same, mark) of the tokens of valid classes, of pages (host, html).
+
+    `site` is the host, or null for the hosts of too few pages; `size` counts the
+    tokens of the class; `share` is the token's part of the plain text of the pages
+    that it stands in, `linked` the part of its own text that is inside links, `same`
+    whether it holds the same text on all of them though the site's pages differ. A
+    text is a token of the template if at least half of the site's pages have it.
+    """
+    sites = _sites(pages)
+    sites = F.broadcast(sites) if sites.count() <= BROADCAST_ROWS else sites
+    tokens = pages.mapInArrow(_token_rows, _TOKEN_COLUMNS).join(sites, F.col("host") == F.col("site"), "left")
     low, high = F.pmod("page", F.lit(1 << 31)), F.pmod(F.shiftrightunsigned("page", 32), F.lit(1 << 31))
-    vectors = tokens.groupBy("host", "token", "is_text").agg(F.count("*").alias("pages"), F.approx_count_distinct("page").alias("different"), F.sum("n").alias("n"), F.sum(low * F.col("n")).alias("v0"), F.sum(high * F.col("n")).alias("v1"))
-    # every page of a host has the token of its most common tag, or the host has no template
-    whole = pages.groupBy("host").agg(F.count("*").alias("all_pages"))
-    vectors = vectors.where(F.col("different") >= MIN_PAGES).join(whole, "host").where("pages = all_pages")
-    classes = vectors.groupBy("host", "n", "v0", "v1").agg(F.count("*").alias("size"), F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("texts"))
-    return classes.where((F.col("size") >= MIN_TOKENS) & (F.size("texts") > 0)).groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("texts"))
+    sums = [F.sum(c).alias(c) for c in ("n", "plain", "linked", "whole")]
+    sums += [F.count("*").alias("pages"), F.sum(low * F.col("n")).alias("v0"), F.sum(high * F.col("n")).alias("v1"), F.min("texts").alias("low"), F.max("texts").alias("high"), F.bit_or(_residue(F.col("page"))).alias("differ"), F.max("mark").alias("mark")]
+    vectors = cut(tokens.groupBy("site", "token", "is_text").agg(*sums).where(F.bit_count("differ") >= MIN_PAGES))
+    whole = vectors.where((F.col("token") == 0) & ~F.col("is_text")).select(F.col("site").alias("s"), F.col("pages").alias("all_pages"), (F.col("low") != F.col("high")).alias("vary"))
+    vectors = vectors.join(whole, F.col("site").eqNullSafe(F.col("s")))
+    vectors = vectors.where(F.col("pages") >= F.when(F.col("is_text"), MOST).otherwise(SUPPORT) * F.col("all_pages"))
+    tags = F.when(F.col("is_text"), 1).otherwise(2)
+    classes = vectors.groupBy("site", "pages", "n", "v0", "v1").agg(F.sum(tags).alias("size"), F.collect_list(F.struct("token", "is_text", "plain", "linked", "whole", "low", "high", "mark", "vary")).alias("members"))
+    valid = classes.where(F.col("size") >= MIN_TOKENS).select("site", "size", F.explode("members").alias("m")).select("site", "size", "m.*")
+    part = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    text = F.col("plain") + F.col("linked")
+    same = F.col("vary") & (F.col("is_text") | ((F.col("low") == F.col("high")) & (text > 0)))
+    return valid.select("site", "token", "is_text", "size", part(F.col("plain"), F.col("whole")).alias("share"), part(F.col("linked"), text).alias("linked"), same.alias("same"), "mark")
 
 
-def _text_rows(batches):
-    for batch in batches:
-        texts = []
-        for page, template in zip(batch.column("__html").to_pylist(), batch.column("__texts").to_pylist(), strict=True):
-            blocks, _ = blocks_of(page or "")
-            constant = set(template or ())
-            shown = [(path, text, main) for path, text, furniture, main in blocks if not furniture]
-            article = any(main for _, _, main in shown)
-            slots = [text for path, text, main in shown if main or not (article or _token(path, text) in constant)]
-            texts.append(" ".join(slots))
-        yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(texts, pa.string())], ["__row", "text"])
+ROLES = ("main", "minor", "content", "furniture")
+
+
+def template_roles(tokens: DataFrame) -> DataFrame:
+    """(site, main, minor, content, furniture): the tokens of each site whose part the template decides; minor are articles that are not main."""
+    article, most = F.col("mark") == 1, ~F.col("is_text") & (F.col("share") >= MOST)
+    furniture = ~most & (F.col("same") | (F.col("linked") > MOST))
+    rules = (article & most, article & ~most, most, furniture)
+    return tokens.groupBy("site").agg(*[F.collect_list(F.when(rule, F.col("token"))).alias(name) for name, rule in zip(ROLES, rules, strict=True)])
+
+
+def main_blocks(page: Page, main: set[int], minor: set[int], content: set[int], furniture: set[int]) -> list[str]:
+    """The texts of a page's main slots, by its site's template; what the template does not know has the part that its name says."""
+    slots = main
+    if not any(t in main for t in page.tokens):
+        slots = {t for t, m in zip(page.tokens, page.marks, strict=True) if m == 1 and t not in minor}
+    # 0 outside the main slot, 1 inside, -1 dropped
+    state = [0]
+    for token, parent, mark in zip(page.tokens[1:], page.parents[1:], page.marks[1:], strict=True):
+        part = state[parent]
+        if token in slots and (part >= 0 or token in main):
+            part = 1
+        elif part >= 0 and ((mark < 0 and token not in content) or (part == 0 and token in furniture)):
+            part = -1
+        state.append(part)
+    if 1 in state:
+        return [text for at, text, _ in page.blocks if state[at] == 1]
+    return [text for at, text, _ in page.blocks if state[at] == 0 and _text_token(page.tokens[at], text) not in furniture]
+
+
+def _text_rows(common: tuple):
+    def rows(batches):
+        known = {None: [set(x) for x in common]}
+        for batch in batches:
+            texts = []
+            for page, site, *sets in zip(*(batch.column(c).to_pylist() for c in ("__html", "site", *ROLES)), strict=True):
+                if site not in known:
+                    known = {k: known[k] for k in [None, *known][: KEPT_SITES + 1]} if len(known) > 2 * KEPT_SITES else known
+                    known[site] = [set(x) for x in sets]
+                texts.append(" ".join(main_blocks(parse(page or ""), *known[site])))
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(texts, pa.string())], ["__row", "text"])
+
+    return rows
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """Every column of `pages` but the html, then text: the main text of the page, empty if there is none.
 
-    Null html has no text. Pages without a host form one site. Repeated pages count
-    as one when a template is judged. An input column `text` is replaced.
+    Null and empty html has no text. Pages without a host form one site. Repeated
+    pages weigh as often as they stand, but count once where `MIN_PAGES` different
+    ones are asked for. An input column `text` is replaced. An empty table gives an
+    empty one.
     """
-    from .url_filter import host_of
-
     rest = [c for c in pages.columns if c not in (html_col, "text")]
-    rows = pages.select(F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in rest]).alias("__row"), F.col(f"`{html_col}`").alias("__html"), host_of(F.col(f"`{url_col}`")).alias("__host"))
-    found = cut(templates(rows.select(F.col("__host").alias("host"), F.col("__html").alias("html")))).select(F.col("host").alias("__host"), F.col("texts").alias("__texts"))
-    if found.count() <= BROADCAST_ROWS and (found.select(F.sum(F.size("__texts"))).first()[0] or 0) <= BROADCAST_ROWS:
-        found = F.broadcast(found)
-    out = rows.join(found, "__host", "left").select("__row", "__html", "__texts")
-    out = out.mapInArrow(_text_rows, f"__row {rows.schema['__row'].dataType.simpleString()}, text string")
+    rows = pages.select(F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in rest]).alias("__row"), F.col(f"`{html_col}`").alias("__html"), F.coalesce(host_of(F.col(f"`{url_col}`")), F.lit("")).alias("__host"))
+    found = cut(template_roles(template_tokens(rows.select(F.col("__host").alias("host"), F.col("__html").alias("html")))))
+    # every token of it stands in SUPPORT of the pages: the small hosts' template has at most 1 / SUPPORT of the tokens of a page
+    common = found.where("site is null").select(*ROLES).first() or ([],) * len(ROLES)
+    own = found.where("site is not null")
+    n, tokens = own.agg(F.count("*"), F.coalesce(F.sum(sum(F.size(c) for c in ROLES)), F.lit(0))).first()
+    own = F.broadcast(own) if n <= BROADCAST_ROWS and tokens <= BROADCAST_TOKENS else own
+    out = rows.join(own, F.col("__host") == F.col("site"), "left").select("__row", "__html", "site", *ROLES)
+    out = out.mapInArrow(_text_rows(tuple(common)), f"__row {rows.schema['__row'].dataType.simpleString()}, text string")
     return out.select(*[F.col(f"__row.`{c}`") for c in rest], "text")

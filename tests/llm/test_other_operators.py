@@ -6,10 +6,10 @@ import re
 
 import numpy as np
 import pytest
-from loomdex.llm import ann
+from loomdex.llm import ann, html_template
 from loomdex.llm.ann import nearest
 from loomdex.llm.chat_format import best_branches, format_conversations, read_back
-from loomdex.llm.html_template import blocks_of, extract_text, visible_text
+from loomdex.llm.html_template import ROLES, extract_text, main_blocks, parse, template_roles, template_tokens, visible_text
 from loomdex.llm.langid import UNKNOWN, identify, train
 from loomdex.llm.mixing import mix_sources
 from loomdex.llm.queries import queries
@@ -100,9 +100,112 @@ def test_template_texts_are_not_content(spark):
     assert got[3] == "story number 3" and got[55] == "same text" and got[90] == got[91] == ""
 
 
+def sites():
+    """Small sites: two layouts on one host, unnamed furniture, articles that are teasers, copies, a host of too few pages."""
+    rng = np.random.default_rng(4)
+    draw = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 500, n))
+    links = lambda n: "".join(f'<li><a href="/{k}">{draw(2)}</a></li>' for k in range(n))
+    rows = []
+    for i in range(14):
+        body = f'<div class="x1"><ul>{links(5)}</ul></div><div class="x2"><h2>{draw(4)}</h2><p>{draw(30)}</p></div><div class="x3"><p>All rights reserved by nobody</p></div>'
+        rows.append(("plain.org", f"<html><body>{body}</body></html>", ["x2"]))
+    for i in range(12):
+        rows.append(("two.org", f"<html><body><nav>{links(3)}</nav><article><h1>{draw(3)}</h1><div class='search'><p>{draw(60)}</p></div><p class='related-work'>{draw(5)}</p></article><div class='z'>{draw(9)}</div></body></html>", None))
+        rows.append(("two.org", f"<html><body><nav>{links(3)}</nav><div class='q'><h1>{draw(40)}</h1></div><div class='teasers'><article>{draw(2)}</article></div></body></html>", None))
+    rows += [("copies.org", "<html><body><article><p>the same</p></article></body></html>", None)] * 10
+    rows += [(f"few{k % 5}.org", f"<html><body><div class='menu'>{draw(3)}</div><div class='k'>Made by k</div><p>{draw(20)}</p></body></html>", None) for k in range(20)]
+    rows += [("few1.org", None, None), ("few1.org", "", None)]
+    return [(i, f"http://{host}/{i}", html) for i, (host, html, _) in enumerate(rows)]
+
+
+def brute_roles(pages):
+    """Tokens by role, from whole occurrence vectors."""
+    stats = {}
+    for i, html in enumerate(pages):
+        page = parse(html)
+        texts = {}
+        for at, text, linked in page.blocks:
+            stats.setdefault((html_template._text_token(page.tokens[at], text), True), {}).setdefault(i, [0, len(text) - linked, linked, "", 0])[0] += 1
+            while at >= 0:
+                texts.setdefault(page.tokens[at], []).append((text, linked))
+                at = page.parents[at]
+        for token in set(page.tokens):
+            own = texts.get(token, [])
+            marks = [m for t, m in zip(page.tokens, page.marks) if t == token]
+            stats.setdefault((token, False), {})[i] = [len(marks), sum(len(t) - n for t, n in own), sum(n for _, n in own), sorted(t for t, _ in own), max(marks)]
+    whole = {i: s[1] for i, s in stats[0, False].items()}
+    vary = len({tuple(s[3]) for s in stats[0, False].values()}) > 1
+    classes = {}
+    for key, own in stats.items():
+        if len({pages[i] for i in own}) >= html_template.MIN_PAGES and len(own) >= (0.5 if key[1] else html_template.SUPPORT) * len(pages):
+            classes.setdefault(tuple(sorted((i, s[0]) for i, s in own.items())), []).append(key)
+    roles = {name: set() for name in ROLES}
+    for members in classes.values():
+        if sum(1 if is_text else 2 for _, is_text in members) < html_template.MIN_TOKENS:
+            continue
+        for token, is_text in members:
+            own = stats[token, is_text]
+            plain, linked = (sum(s[k] for s in own.values()) for k in (1, 2))
+            most = not is_text and plain >= 0.5 * sum(whole[i] for i in own) and plain > 0
+            same = vary and (is_text or (len({tuple(s[3]) for s in own.values()}) == 1 and plain + linked > 0))
+            article = max(s[4] for s in own.values()) == 1
+            for name, holds in zip(ROLES, (article and most, article and not most, most, not most and (same or linked > plain))):
+                if holds:
+                    roles[name].add(token)
+    return roles
+
+
+def test_templates_equal_brute_force(spark, monkeypatch):
+    # different pages are told apart by residues, which small sites may share
+    monkeypatch.setattr(html_template, "MIN_PAGES", 6)
+    rows = sites()
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = template_roles(template_tokens(frame.select(F.regexp_extract("url", "//([^/]*)", 1).alias("host"), "html"))).collect()
+    got = {r.site: {name: set(r[name]) for name in ROLES} for r in found}
+    by_site = {}
+    for _, url, html in rows:
+        host = url.split("/")[2]
+        if html:
+            by_site.setdefault(host if host in ("plain.org", "two.org") else None, []).append(html)
+    assert got == {site: brute_roles(pages) for site, pages in by_site.items()}
+    texts = {r.page_id: r.text for r in extract_text(frame).collect()}
+    for i, url, html in rows:
+        host = url.split("/")[2]
+        assert texts[i] == " ".join(main_blocks(parse(html or ""), *got[host if host in got else None].values()))
+
+
+def test_the_template_decides_what_is_text(spark):
+    rows = sites()
+    texts = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    none = lambda html: " ".join(main_blocks(parse(html or ""), set(), set(), set(), set()))
+    for i, url, html in rows[:14]:
+        # a list of links and a constant text without telling names
+        assert texts[i] == re.sub("<[^>]*>", " ", html.split('"x2">')[1].split("</div>")[0]).strip().replace("   ", " ").replace("  ", " ") and texts[i] != none(html)
+    for i, url, html in rows[14:38]:
+        words = set(re.findall(r"w\d+", html.split("</nav>")[1]))
+        if "teasers" in html:
+            # a small article is no main slot
+            assert set(texts[i].split()) == words and texts[i] != none(html)
+        else:
+            # a slot of most of the text is content, whatever it is called; what is outside the main slot is not
+            assert len(texts[i].split()) == 68 and texts[i] != none(html)
+    assert {texts[i] for i, url, _ in rows if "copies" in url} == {"the same"}
+    assert all(len(texts[i].split()) == 20 for i, url, html in rows if "few" in url and html)
+
+
+def test_repeated_pages_and_empty_tables(spark):
+    rows = sites()
+    frame = spark.createDataFrame(rows + rows, "page_id long, url string, html string")
+    got = [(r.page_id, r.text) for r in extract_text(frame).collect()]
+    assert len(got) == 2 * len(rows) and len(set(got)) == len(rows)
+    empty = extract_text(frame.limit(0))
+    assert empty.columns == ["page_id", "url", "text"] and empty.collect() == []
+
+
 def test_very_long_and_hostile_pages():
     for html in ("<" * 50_000, '<a "' * 20_000, "<div>" * 5_000 + "x", "<p class='" + "a" * 200_000, "&" * 100_000, "<head>" * 20_000, "</b>" * 50_000, "<!-" * 50_000 + ">"):
-        blocks_of(html)
+        parse(html)
+    assert main_blocks(parse("<div>" * 300 + "deep" + "<nav>menu</nav>"), set(), set(), set(), set()) == ["deep"]
 
 
 # ---- urls ----
