@@ -1,15 +1,22 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by the order of its `PREFIX` nearest pivots. Vectors are
-dealt into shards by hash; a shard posts its vectors in inverted files, one a
-pivot, with the pivot's place in the vector's order. A query walks the files of its
-own nearest pivots and adds up how alike the places are, which ranks the shard's
-vectors by footrule distance (places beyond the prefix count as `PREFIX`). The
-nearest `FRACTION` of a shard is reranked by exact inner products.
-
-Shards hold about `SHARD_ROWS` vectors and query blocks `BLOCK_ROWS` queries, at any
-size of the table; a task sees one of each. Pivots are a bounded sample; every
-vector is indexed.
+A vector is represented by the order of its `PREFIX` nearest of `PIVOTS` pivots. Some
+pivots, about one for `FILE_ROWS` vectors, own inverted files: a vector is posted in
+the files of its `POSTED` nearest owners. A query is sent to the files of its nearest
+owners only. There the footrule distance between orders (places in steps of `STEP`,
+places beyond the prefix are the last) ranks the file, and the nearest `FRACTION` of
+it is reranked by exact inner products.
+
+How many files a query asks is fitted: for `FIT_QUERIES` sampled queries the true
+neighbours are found in one pass over the table, and the number is the smallest that
+reaches `RECALL` of them. It follows from how the data cluster: vectors in groups take a
+few files, vectors without any structure a large share. A query that finds fewer than
+k rows asks all files.
+
+Files are dealt into blocks of about `BLOCK_ROWS`, so a crowded file is several tasks.
+Of equal vectors only the k + 1 of the smallest ids can be among anyone's nearest, so
+the others are no candidates, and equal queries are searched once. Pivots and fitting
+queries are bounded samples; every vector is indexed.
 """
 
 from __future__ import annotations
@@ -19,13 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .session import cut
+
 K = 20
-PIVOTS, PIVOT_SAMPLE = 64, 512
-PREFIX = 32
-FRACTION = 0.35
-SHARD_ROWS, BLOCK_ROWS = 8192, 2048
-#: Queries whose footrule table is in memory at once.
-CHUNK = 128
+PIVOTS, PREFIX, STEP = 256, 64, 16
+FILE_ROWS, FILES = 256, 16_384
+POSTED = 2
+FRACTION = 0.25
+BLOCK_ROWS = 4096
+FIT_QUERIES, RECALL = 128, 0.95
+#: Pairs of a query and a vector whose footrule distances are in memory at once.
+CHUNK_PAIRS = 1 << 20
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -35,80 +46,168 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(finite).where(F.exists("vector", lambda x: x != 0))
 
 
-def _pivots(rows: DataFrame) -> np.ndarray:
-    """Distinct rows of a sample of fixed size, by hash of the id."""
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).collect()
-    distinct = list({tuple(r["vector"]): None for r in sample})[:PIVOTS]
-    unit = np.array(distinct)
-    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
+def _sample(rows: DataFrame, n: int) -> np.ndarray:
+    """Distinct vectors of the first n rows by hash of the id."""
+    taken = rows.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(n).collect()
+    return np.array(list({tuple(r["vector"]): None for r in taken}))
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+
+
+def _order(matrix: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest pivots of each vector, nearest first."""
+    return np.argsort(-(matrix @ pivots.T), axis=1, kind="stable")[:, :n]
+
+
+def _codes(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Bits whose Hamming distance is the footrule distance between orders, in steps: bit t of a pivot says that its place is before step t."""
+    near = _order(matrix, pivots, PREFIX)
+    place = np.full((len(matrix), len(pivots)), PREFIX, np.int16)
+    np.put_along_axis(place, near, np.arange(near.shape[1], dtype=np.int16)[None, :], axis=1)
+    bits = place[:, :, None] < np.arange(STEP, PREFIX + 1, STEP, dtype=np.int16)
+    packed = np.packbits(bits.reshape(len(matrix), -1), axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+
+
+def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def _places(matrix: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """Place of every pivot in each vector's order, `prefix` for those beyond it."""
-    near = np.argsort(-(matrix @ pivots.T), axis=1, kind="stable")[:, :prefix]
-    out = np.full((len(matrix), len(pivots)), prefix, np.int16)
-    np.put_along_axis(out, near, np.arange(near.shape[1], dtype=np.int16)[None, :], axis=1)
-    return out
+def _post_rows(owners: np.ndarray, n: int):
+    """A row (file, id, vector) for each of a vector's n nearest owners."""
 
+    def rows(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            near = _order(_matrix(batch.column("vector")), owners, n)
+            for at in range(0, len(batch), 1024):
+                part = near[at : at + 1024]
+                row = pa.array(np.repeat(np.arange(at, at + len(part)), part.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), batch.column("id").take(row), batch.column("vector").take(row)], ["file", "id", "vector"])
 
-def _matrix(table: pa.Table, size: int) -> np.ndarray:
-    return table["vector"].combine_chunks().flatten().to_numpy().reshape(-1, size)
+    return rows
 
 
-def _search(pivots: np.ndarray, k: int, prefix: int, fraction: float):
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    return np.lexsort((ids, -scores))[:k]
+
+
+def _search(pivots: np.ndarray, k: int):
+    """Each query's nearest of a block of a file."""
+
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if left.num_rows and right.num_rows:
-            # by id, so that equal ranks favour the smaller
+            # by id, so that equal distances favour the smaller
             left = left.sort_by("id")
-            ids, matrix = left["id"].to_numpy(), _matrix(left, pivots.shape[1])
-            queries, query_matrix = right["id"].to_numpy(), _matrix(right, pivots.shape[1])
-            places = _places(matrix, pivots, prefix)
-            files = [np.flatnonzero(places[:, p] < prefix) for p in range(len(pivots))]
-            posted = [places[f, p] for p, f in enumerate(files)]
-            base = (prefix - places).sum(axis=1, dtype=np.int32)
-            n_near = min(len(ids), max(20 * k, int(np.ceil(fraction * len(ids)))))
-            for at in range(0, len(queries), CHUNK):
-                own = _places(query_matrix[at : at + CHUNK], pivots, prefix)
-                # footrule, but for the query's constant: what the vector's places add, less what shared pivots save
-                saved = np.zeros((len(own), len(ids)), np.int32)
-                for p, (file, place) in enumerate(zip(files, posted, strict=True)):
-                    for q in np.flatnonzero(own[:, p] < prefix).tolist():
-                        saved[q, file] += 2 * (prefix - np.maximum(place, own[q, p]))
-                rank = (base[None, :] - saved).astype(np.int64) * len(ids) + np.arange(len(ids))
-                for q in range(len(own)):
-                    near = np.argpartition(rank[q], n_near - 1)[:n_near] if n_near < len(ids) else np.arange(len(ids))
-                    near = near[ids[near] != queries[at + q]]
-                    score = (matrix[near] * query_matrix[at + q]).sum(axis=1)
-                    best = np.lexsort((ids[near], -score))[:k]
-                    out["query_id"].append(np.full(len(best), queries[at + q]))
-                    out["vec_id"].append(ids[near[best]])
-                    out["score"].append(score[best])
-        cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        return pa.table({"query_id": cat(out["query_id"], np.int64), "vec_id": cat(out["vec_id"], np.int64), "score": cat(out["score"], np.float64)})
+            ids, matrix, codes = left["id"].to_numpy(), _matrix(left["vector"]), _codes(_matrix(left["vector"]), pivots)
+            queries, asked = right["id"].to_numpy(), _matrix(right["vector"])
+            n = min(len(ids), max(4 * k, int(np.ceil(FRACTION * len(ids)))))
+            step = max(1, CHUNK_PAIRS // len(ids))
+            for at in range(0, len(queries), step):
+                own = _codes(asked[at : at + step], pivots)
+                distance = np.zeros((len(own), len(ids)), np.int64)
+                for word in range(codes.shape[1]):
+                    distance += np.bitwise_count(own[:, word, None] ^ codes[None, :, word])
+                distance = distance * len(ids) + np.arange(len(ids))
+                near = np.argpartition(distance, n - 1, axis=1)[:, :n]
+                for q, row in enumerate(near):
+                    scores = (matrix[row] * asked[at + q]).sum(axis=1)
+                    best = _best(ids[row], scores, k)
+                    found.append((np.full(len(best), queries[at + q]), ids[row[best]], scores[best]))
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     return search
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, prefix: int = PREFIX, fraction: float = FRACTION) -> DataFrame:
+def _true_rows(asked: np.ndarray, k: int):
+    """The k nearest of a batch for each fitting query: (query, score, vector)."""
+
+    def rows(batches):
+        for batch in batches:
+            if len(batch):
+                matrix = _matrix(batch.column("vector"))
+                scores = asked @ matrix.T
+                n = min(k, len(matrix))
+                near = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(asked)), n)), pa.array(np.take_along_axis(scores, near, 1).ravel()), batch.column("vector").take(pa.array(near.ravel()))], ["query", "score", "vector"])
+
+    return rows
+
+
+def _files_to_ask(rows: DataFrame, asked: DataFrame, owners: np.ndarray, k: int) -> int:
+    """The smallest number of a query's nearest owners among which RECALL of the true neighbours are posted."""
+    queries = _sample(asked, FIT_QUERIES)
+    if not len(queries):
+        return 1
+    order = Window.partitionBy("query").orderBy(F.desc("score"))
+    # the nearest row is the query itself, or equal to it, and in the same files
+    true = rows.mapInArrow(_true_rows(queries, k + 1), "query long, score double, vector array<double>").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).where("n > 1").toArrow()
+    if not true.num_rows:
+        return 1
+    place = np.argsort(_order(queries, owners, len(owners)), axis=1)
+    posted = _order(_matrix(true["vector"]), owners, POSTED)
+    needed = np.sort(place[true["query"].to_numpy()[:, None], posted].min(axis=1)) + 1
+    return int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))) - 1)])
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the `k` rows of `vectors` found nearest by inner product.
 
     Rows of the query's own id are left out; ties go to the smaller id; fewer rows
     than `k` are all returned. Rows without an id and null, zero, empty or non-finite
-    vectors take no part, nor do vectors of another length than most.
+    vectors take no part, nor do vectors of another length than most. Of rows that
+    repeat an id with the same vector one takes part; with other vectors, each does.
     """
     rows = usable(vectors, id_col, vector_col)
-    asked = usable(queries, id_col, vector_col).dropDuplicates(["id"])
     counts = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if counts is None:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    length, total = counts
-    rows, asked = (x.where(F.size("vector") == length) for x in (rows, asked))
-    shards, blocks = max(1, -(-total // SHARD_ROWS)), max(1, -(-asked.count() // BLOCK_ROWS))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    left = rows.select("id", "vector", deal(shards, "shard").alias("shard"), every(blocks).alias("block"))
-    right = asked.select("id", "vector", every(shards).alias("shard"), deal(blocks, "block").alias("block"))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_search(_pivots(rows), k, prefix, fraction), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    keys = [F.xxhash64("vector"), F.xxhash64("vector", F.lit("second"))]
+    rows, asked = (x.where(F.size("vector") == counts["n"]).withColumns(dict(zip(("h", "h2"), keys, strict=True))) for x in (rows, usable(queries, id_col, vector_col)))
+    # ranks by group with a limit: each task sends k + 1 rows of an equal vector at most
+    among = F.dense_rank().over(Window.partitionBy("h", "h2").orderBy("id"))
+    rows = cut(rows.withColumn("among", among).where(F.col("among") <= k + 1).dropDuplicates(["id", "h", "h2"]).select("id", "vector"))
+    asked = cut(asked.dropDuplicates(["id"]))
+    first = F.row_number().over(Window.partitionBy("h", "h2").orderBy("id"))
+    once = cut(asked.withColumn("among", first).where(F.col("among") == 1).select("id", "h", "h2", "vector"))
+    total = rows.count()
+    n_files = int(min(FILES, max(1, total // FILE_ROWS)))
+    sample = _unit(_sample(rows, 2 * max(PIVOTS, n_files)))
+    pivots, owners = sample[:PIVOTS], sample[:n_files]
+    ask = _files_to_ask(rows, once, owners, k)
+
+    posted = rows.mapInArrow(_post_rows(owners, POSTED), "file long, id long, vector array<double>")
+    sizes = posted.groupBy("file").count().select(F.col("file").alias("f"), F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
+    sizes = F.broadcast(cut(sizes))  # a row a file, at most FILES
+    posted = posted.join(sizes, F.col("file") == F.col("f")).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int"))
+
+    def search(asked: DataFrame, files: int) -> DataFrame:
+        sent = asked.select("id", "vector").mapInArrow(_post_rows(owners, files), "file long, id long, vector array<double>").join(sizes, F.col("file") == F.col("f"))
+        sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        # queries of a file are dealt too, so that neither side of a task grows with the table
+        parts = sent.groupBy("file").count().select(F.col("file").alias("g"), F.ceil(F.col("count") / F.lit(BLOCK_ROWS)).cast("int").alias("parts"))
+        parts = F.broadcast(cut(parts))
+        sent = sent.join(parts, F.col("file") == F.col("g")).withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int"))
+        held = posted.join(parts, F.col("file") == F.col("g")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        key = ["file", "block", "part"]
+        found = held.select(*key, "id", "vector").groupBy(key).cogroup(sent.select(*key, "id", "vector").groupBy(key)).applyInArrow(_search(pivots, k + 1), "query_id long, vec_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k + 1).select("query_id", "vec_id", "score")
+
+    found = cut(search(once, ask))
+    if ask < len(owners):
+        short = found.groupBy(F.col("query_id").alias("id")).count().where(F.col("count") >= min(k + 1, total)).select("id")
+        short = cut(once.join(short, "id", "left_anti"))
+        if short.count():
+            found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").union(search(short, len(owners)))
+    # every query takes what its vector found, without itself
+    same = once.select("h", "h2", F.col("id").alias("query_id"))
+    of = asked.select(F.col("id").alias("asked_id"), "h", "h2").join(same, ["h", "h2"]).select("asked_id", "query_id")
+    out = of.join(found, "query_id").where("asked_id <> vec_id").withColumnRenamed("query_id", "searched")
+    rank = F.row_number().over(Window.partitionBy("asked_id").orderBy(F.desc("score"), "vec_id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("asked_id").alias("query_id"), "rank", "vec_id", "score")

@@ -373,33 +373,55 @@ def brute_nearest(rows, k):
     return out
 
 
-def test_recall(spark):
-    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+def recall_of(spark, folder):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
     expected = brute_nearest(rows, 20)
     got = {}
-    for r in queries()["op8_nearest"](spark, "/root/testdata/sf0.1").orderBy("query_id", "rank").collect():
+    for r in queries()["op8_nearest"](spark, folder).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert set(got) == set(expected)
-    recall = np.mean([len({v for v, _ in got[q]} & {v for v, _ in expected[q]}) / 20 for q in expected])
-    assert recall >= 0.9, recall
     for q, found in got.items():
         assert found == sorted(found, key=lambda x: (-x[1], x[0])) and len(found) == 20 and q not in {v for v, _ in found}
+    return np.mean([len({v for v, _ in got[q]} & {v for v, _ in expected[q]}) / 20 for q in expected])
+
+
+def test_recall(spark):
+    assert recall_of(spark, "/root/testdata/sf0.1") >= 0.9
+
+
+def test_recall_over_many_files_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "FILE_ROWS", 40)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
+    recall = recall_of(spark, "/root/testdata/sf0.1")
+    assert recall >= 0.9, recall
 
 
-def test_few_odd_and_equal_vectors(spark, monkeypatch):
-    monkeypatch.setattr(ann, "SHARD_ROWS", 7)
+def test_few_odd_and_equal_vectors(spark):
     rng = np.random.default_rng(1)
-    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(15)] + [(20 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(30)]
-    odd = [(100, None), (101, [0.0] * 4), (102, [1.0, None, 1.0, 1.0]), (103, [float("nan")] * 4), (104, [float("inf"), 0.0, 0.0, 0.0]), (120, []), (None, [1.0] * 4), (105, [1.0, 2.0])]
-    frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(15)] + [(20 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(90)]
+    odd = [(200, None), (201, [0.0] * 4), (202, [1.0, None, 1.0, 1.0]), (203, [float("nan")] * 4), (204, [float("inf"), 0.0, 0.0, 0.0]), (220, []), (None, [1.0] * 4), (205, [1.0, 2.0])]
+    # repeated rows are one candidate; a clashing column changes nothing
+    frame = spark.createDataFrame([(*r, 1) for r in rows + odd + rows[:3]], "vec_id long, embedding array<float>, rank int")
     rows = [(i, np.array(v, np.float32)) for i, v in rows]
     got = {}
     for r in nearest(frame, frame.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == {q: [v for v, _ in found] for q, found in brute_nearest(rows, 20).items()}
+    few = frame.where("vec_id < 4")
+    assert nearest(few, few.where("vec_id = 0")).count() == 3
     assert nearest(frame.limit(0), frame.limit(0)).collect() == []
 
 
+def test_equal_vectors_by_the_thousand(spark, monkeypatch):
+    monkeypatch.setattr(ann, "FILE_ROWS", 10)
+    rows = [(i, [1.0, 0.5, 0.25]) for i in range(3000)] + [(5000 + i, [float(i), 1.0, -1.0]) for i in range(1, 61)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(frame, frame.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == {i for i, _ in rows if i % 100 == 0} and all(len(v) == 20 for v in got.values())
+
+
 # ---- pipeline ----
 
 
