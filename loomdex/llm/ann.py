@@ -10,8 +10,10 @@ it is reranked by exact inner products.
 How many files a query asks is fitted: for `FIT_QUERIES` sampled queries the true
 neighbours are found in one pass over the table, and the number is the smallest that
 reaches `RECALL` of them. It follows from how the data cluster: vectors in groups take a
-few files, vectors without any structure a large share. A query that finds fewer than
-k rows asks all files.
+few files, vectors without any structure a large share. Files are asked in rounds, the
+nearest first, each round `WIDER` times as many: the score of the k-th row found so far
+goes with a query, and a file answers only with rows that reach it. A query that finds
+fewer than k rows asks all files.
 
 Files are dealt into blocks of about `BLOCK_ROWS`, so a crowded file is several tasks.
 Of equal vectors only the k + 1 of the smallest ids can be among anyone's nearest, so
@@ -34,6 +36,7 @@ FILE_ROWS, FILES = 256, 16_384
 POSTED = 2
 FRACTION = 0.25
 BLOCK_ROWS = 4096
+WIDER = 8
 FIT_QUERIES, RECALL = 128, 0.95
 #: Pairs of a query and a vector whose footrule distances are in memory at once.
 CHUNK_PAIRS = 1 << 20
@@ -76,18 +79,18 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def _post_rows(owners: np.ndarray, n: int):
-    """A row (file, id, vector) for each of a vector's n nearest owners."""
+def _post_rows(owners: np.ndarray, start: int, stop: int):
+    """The rows of a batch once for each of a vector's nearest owners from `start` to `stop`, with the owner as `file`."""
 
     def rows(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            near = _order(_matrix(batch.column("vector")), owners, n)
+            near = _order(_matrix(batch.column("vector")), owners, stop)[:, start:]
             for at in range(0, len(batch), 1024):
                 part = near[at : at + 1024]
                 row = pa.array(np.repeat(np.arange(at, at + len(part)), part.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), batch.column("id").take(row), batch.column("vector").take(row)], ["file", "id", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), *(c.take(row) for c in batch.columns)], ["file", *batch.schema.names])
 
     return rows
 
@@ -97,7 +100,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _search(pivots: np.ndarray, k: int):
-    """Each query's nearest of a block of a file."""
+    """Each query's nearest of a block of a file, as far as they reach its floor."""
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -105,7 +108,7 @@ def _search(pivots: np.ndarray, k: int):
             # by id, so that equal distances favour the smaller
             left = left.sort_by("id")
             ids, matrix, codes = left["id"].to_numpy(), _matrix(left["vector"]), _codes(_matrix(left["vector"]), pivots)
-            queries, asked = right["id"].to_numpy(), _matrix(right["vector"])
+            queries, asked, floor = right["id"].to_numpy(), _matrix(right["vector"]), right["floor"].to_numpy()
             n = min(len(ids), max(4 * k, int(np.ceil(FRACTION * len(ids)))))
             step = max(1, CHUNK_PAIRS // len(ids))
             for at in range(0, len(queries), step):
@@ -117,6 +120,7 @@ def _search(pivots: np.ndarray, k: int):
                 near = np.argpartition(distance, n - 1, axis=1)[:, :n]
                 for q, row in enumerate(near):
                     scores = (matrix[row] * asked[at + q]).sum(axis=1)
+                    row, scores = row[scores >= floor[at + q]], scores[scores >= floor[at + q]]
                     best = _best(ids[row], scores, k)
                     found.append((np.full(len(best), queries[at + q]), ids[row[best]], scores[best]))
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
@@ -181,30 +185,38 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     pivots, owners = sample[:PIVOTS], sample[:n_files]
     ask = _files_to_ask(rows, once, owners, k)
 
-    posted = rows.mapInArrow(_post_rows(owners, POSTED), "file long, id long, vector array<double>")
+    posted = rows.mapInArrow(_post_rows(owners, 0, POSTED), "file long, id long, vector array<double>")
     sizes = posted.groupBy("file").count().select(F.col("file").alias("f"), F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
     sizes = F.broadcast(cut(sizes))  # a row a file, at most FILES
     posted = posted.join(sizes, F.col("file") == F.col("f")).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int"))
+    key = ["file", "block", "part"]
 
-    def search(asked: DataFrame, files: int) -> DataFrame:
-        sent = asked.select("id", "vector").mapInArrow(_post_rows(owners, files), "file long, id long, vector array<double>").join(sizes, F.col("file") == F.col("f"))
-        sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    def search(asked: DataFrame, start: int, stop: int) -> DataFrame:
+        """What rows (id, vector, floor) find in their nearest files from `start` to `stop`."""
+        sent = asked.select("id", "vector", "floor").mapInArrow(_post_rows(owners, start, stop), "file long, id long, vector array<double>, floor double").join(sizes, F.col("file") == F.col("f"))
         # queries of a file are dealt too, so that neither side of a task grows with the table
         parts = sent.groupBy("file").count().select(F.col("file").alias("g"), F.ceil(F.col("count") / F.lit(BLOCK_ROWS)).cast("int").alias("parts"))
         parts = F.broadcast(cut(parts))
+        sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         sent = sent.join(parts, F.col("file") == F.col("g")).withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int"))
         held = posted.join(parts, F.col("file") == F.col("g")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        key = ["file", "block", "part"]
-        found = held.select(*key, "id", "vector").groupBy(key).cogroup(sent.select(*key, "id", "vector").groupBy(key)).applyInArrow(_search(pivots, k + 1), "query_id long, vec_id long, score double")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k + 1).select("query_id", "vec_id", "score")
-
-    found = cut(search(once, ask))
+        return held.select(*key, "id", "vector").groupBy(key).cogroup(sent.select(*key, "id", "vector", "floor").groupBy(key)).applyInArrow(_search(pivots, k + 1), "query_id long, vec_id long, score double")
+
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best_of = lambda found: cut(found.distinct().withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n"))
+    none = F.lit(float("-inf"))
+    found, start = best_of(search(once.withColumn("floor", none), 0, 1)), 1
+    while start < ask:
+        stop = min(ask, WIDER * start)
+        # the score to reach is that of the last row of a full list
+        full = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") > k).select(F.col("query_id").alias("id"), "least")
+        found = best_of(found.union(search(once.join(full, "id", "left").withColumn("floor", F.coalesce("least", none)), start, stop)))
+        start = stop
     if ask < len(owners):
-        short = found.groupBy(F.col("query_id").alias("id")).count().where(F.col("count") >= min(k + 1, total)).select("id")
-        short = cut(once.join(short, "id", "left_anti"))
+        full = found.groupBy(F.col("query_id").alias("id")).count().where(F.col("count") >= min(k + 1, total)).select("id")
+        short = cut(once.join(full, "id", "left_anti"))
         if short.count():
-            found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").union(search(short, len(owners)))
+            found = best_of(found.union(search(short.withColumn("floor", none), ask, len(owners))))
     # every query takes what its vector found, without itself
     same = once.select("h", "h2", F.col("id").alias("query_id"))
     of = asked.select(F.col("id").alias("asked_id"), "h", "h2").join(same, ["h", "h2"]).select("asked_id", "query_id")

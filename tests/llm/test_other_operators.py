@@ -392,6 +392,7 @@ def test_recall(spark):
 def test_recall_over_many_files_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "FILE_ROWS", 40)
     monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(ann, "WIDER", 3)
     recall = recall_of(spark, "/root/testdata/sf0.1")
     assert recall >= 0.9, recall
 
