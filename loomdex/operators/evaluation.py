@@ -6,12 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.functions.text import tokenize
-from loomdex.operators.retrieval import postings
+from loomdex.operators.index import Index, postings
+from loomdex.operators.retrieval import BROADCAST_WORDS
+from loomdex.shared import cut
 
 METRICS = ["recall", "rr", "precision"]
+#: Strategies that one evaluation compares at most; every question meets each of them.
+BROADCAST_STRATEGIES = 10_000
+#: Deltas that are broadcast to the draws of a bootstrap at most; more are joined by shuffle.
+BROADCAST_DELTAS = 1_000_000
 
 
-def resolve_anchors(anchors: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resolve_anchors(anchors: DataFrame, docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, id): documents that contain all anchors (query_id, anchor) of a question.
 
     An anchor's inner words stand whole in any text that contains it, so the rarest of
@@ -22,11 +28,12 @@ def resolve_anchors(anchors: DataFrame, docs: DataFrame, id_col: str = "doc_id",
     words = tokenize(F.col("anchor"))
     inner = anchors.withColumn("inner", F.when(F.size(words) > 2, F.slice(words, 2, F.size(words) - 2)))
     tokens = inner.select("query_id", "anchor", F.explode("inner").alias("token")).distinct()
-    index = postings(docs, id_col, text_col, tokens).select("token", "id")
     rarest = Window.partitionBy("query_id", "anchor").orderBy("df", "token")
-    chosen = tokens.join(index.groupBy("token").agg(F.count("*").alias("df")), "token", "left").withColumn("n", F.row_number().over(rarest)).where("n = 1")
+    # a word that no document has (null, first in order) rules its anchor out
+    chosen = cut(tokens.join(index.words.select("token", "df"), "token", "left").withColumn("n", F.row_number().over(rarest)).where("n = 1").select("query_id", "anchor", "token"))
+    holding = postings(index, chosen, BROADCAST_WORDS).select("token", "id")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    candidates = chosen.join(index, "token").select("query_id", "anchor", "id")
+    candidates = chosen.join(holding, "token").select("query_id", "anchor", "id")
     found = candidates.join(texts, "id").where(F.col("text").contains(F.col("anchor"))).select("query_id", "anchor", "id")
     short = inner.where("inner is null").select("query_id", "anchor")
     found = found.union(texts.join(short, F.col("text").contains(F.col("anchor"))).select("query_id", "anchor", "id"))
@@ -46,11 +53,14 @@ def score_questions(retrieved: DataFrame, relevant: DataFrame, ks: list[int], ke
     share of the hits returned; questions without hits score 0. All ks in one pass.
     """
     keys = list(keys)
+    named = retrieved.select(*keys).distinct()
+    if keys and named.count() > BROADCAST_STRATEGIES:
+        raise ValueError(f"more than {BROADCAST_STRATEGIES} strategies")
     hits = retrieved.join(relevant.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
     hits = hits.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("rank") < F.col("k"))
     place = F.min(F.when(F.col("hit") == 1, F.col("rank")))
     scored = hits.groupBy(*keys, "k", "query_id").agg(place.alias("place"), F.count("hit").alias("hits"), F.count("*").alias("returned"))
-    asked = relevant.select("query_id").distinct().crossJoin(F.broadcast(retrieved.select(*keys).distinct())) if keys else relevant.select("query_id").distinct()
+    asked = relevant.select("query_id").distinct().crossJoin(F.broadcast(named)) if keys else relevant.select("query_id").distinct()
     asked = asked.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
     rows = asked.join(scored, [*keys, "k", "query_id"], "left")
     return rows.select(
@@ -88,17 +98,29 @@ def sign_test(wins: Column, losses: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), n)))
 
 
+def _numbered(rows: DataFrame, order: str) -> DataFrame:
+    """Rows with `i`, their place in order from 0: ranges of the order are numbered apart and moved up by what stands before them."""
+    ranges = cut(rows.repartitionByRange(order).withColumn("range", F.spark_partition_id()))
+    sizes = ranges.groupBy("range").agg(F.count("*").alias("n"))
+    # a row a shuffle partition
+    before = sizes.select(F.col("range").alias("r"), (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1
+    return ranges.withColumn("place", place).join(F.broadcast(before), F.col("range") == F.col("r")).withColumn("i", (F.col("place") + F.col("before")).cast("long")).drop("range", "r", "before", "place")
+
+
 def bootstrap_ci(deltas: DataFrame, reps: int = 10_000) -> DataFrame:
     """(low, high): percentile interval of the mean of resampled deltas (query_id, delta); draws are md5 of `rep:i`, so reruns agree."""
     spark = deltas.sparkSession
-    numbered = deltas.select("delta", (F.row_number().over(Window.orderBy("query_id")) - 1).cast("long").alias("i"))
-    size = numbered.agg(F.count("*").alias("n"))
-    draws = spark.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(size)).select("rep", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("draw"))
-    index = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "draw")), 1, 8), 16, 10).cast("long") % F.col("n")
-    means = draws.withColumn("i", index).join(F.broadcast(numbered), "i").groupBy("rep").agg(F.round(F.avg("delta"), 9).alias("mean"))
-    ordered = means.withColumn("place", F.row_number().over(Window.orderBy("mean")) - 1)
+    numbered = cut(_numbered(deltas.select("query_id", "delta"), "query_id").select("i", "delta"))
+    n = numbered.count()
+    draws = spark.range(reps).withColumnRenamed("id", "rep").select("rep", F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("draw"))
+    index = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "draw")), 1, 8), 16, 10).cast("long") % max(n, 1)
+    numbered = F.broadcast(numbered) if n <= BROADCAST_DELTAS else numbered
+    means = draws.withColumn("i", index).join(numbered, "i").groupBy("rep").agg(F.round(F.avg("delta"), 9).alias("mean"))
+    # one value a repetition
+    ordered = means.agg(F.sort_array(F.collect_list("mean")).alias("means"))
     low, high = int(reps * 0.025), min(int(reps * 0.975), reps - 1)
-    return ordered.agg(F.max(F.when(F.col("place") == low, F.col("mean"))).alias("low"), F.max(F.when(F.col("place") == high, F.col("mean"))).alias("high"))
+    return ordered.select(F.get("means", F.lit(low)).alias("low"), F.get("means", F.lit(high)).alias("high"))
 
 
 def wilson(successes: Column, total: Column, z: float = 1.96) -> tuple[Column, Column]:

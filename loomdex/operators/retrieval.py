@@ -2,54 +2,101 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.functions import text as T
+from loomdex.operators.index import Index
+from loomdex.operators.vectors import QUERY_BLOCK, best_cells, top_k
+from loomdex.shared import cut
 
 K1, B = 1.5, 0.75
 CANDIDATES = 40
-#: A query vocabulary of at most this many words is broadcast to the scan of the corpus.
+#: A query vocabulary of at most this many words is broadcast to the table of words.
 BROADCAST_WORDS = 200_000
-
-
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: DataFrame | None = None) -> DataFrame:
-    """(token, id, tf, len). With a vocabulary, other words drop out before anything is shuffled."""
-    tokens = T.tokenize(F.col(text_col))
-    words = docs.select(F.col(id_col).alias("id"), tokens.alias("tokens")).select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("token"))
-    if vocabulary is not None:
-        vocabulary = vocabulary.select("token").distinct()
-        words = words.join(F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_WORDS else vocabulary, "token", "left_semi")
-    return words.groupBy("token", "id", "len").agg(F.count("*").alias("tf"))
-
-
-def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", terms: Column | None = None, k1: float = K1, b: float = B) -> DataFrame:
+#: Products of a query's word and a document that a task holds at once, and cells of its table of scores.
+CHUNK_PRODUCTS, CHUNK_CELLS = 1 << 20, 1 << 22
+
+
+def _scored_rows(block, k: int, mean: float, k1: float, b: float):
+    """The k best queries' documents of each batch: a table of queries by documents, filled word by word."""
+
+    def rows(batches):
+        names, words, idf, starts, of, times = block.value
+        for batch in batches:
+            # by id, so that equal scores favour the smaller
+            batch = batch.take(pc.sort_indices(batch.column("id")))
+            sizes = batch.column("words").value_lengths().to_numpy()
+            word = pc.index_in(batch.column("words").flatten(), value_set=words)
+            known = word.is_valid().to_numpy(zero_copy_only=False)
+            word, doc = word.drop_null().to_numpy(), np.repeat(np.arange(len(batch)), sizes)[known]
+            tf, n = batch.column("times").flatten().to_numpy()[known], batch.column("n").to_numpy()[doc]
+            share = idf[word] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean))
+            fan = starts[word + 1] - starts[word]
+            # whole documents at a time
+            load = np.append(0, np.cumsum(np.bincount(doc, fan, len(batch))))
+            at = 0
+            while at < len(batch):
+                to = int(np.searchsorted(load, load[at] + CHUNK_PRODUCTS, side="right")) - 1
+                to = min(max(at + 1, to), at + max(1, CHUNK_CELLS // len(names)), len(batch))
+                x, y = np.searchsorted(doc, (at, to))
+                f = fan[x:y]
+                place = np.repeat(starts[word[x:y]] - np.append(0, np.cumsum(f)[:-1]), f) + np.arange(f.sum())
+                cell = of[place] * (to - at) + np.repeat(doc[x:y] - at, f)
+                scores = np.bincount(cell, times[place] * np.repeat(share[x:y], f), len(names) * (to - at))
+                yield best_cells(names, batch.column("id").slice(at, to - at), np.round(scores.reshape(len(names), -1), 9), k)
+                at = to
+
+    return rows
+
+
+def bm25_top_k(queries: DataFrame, index: Index, k: int, terms: Column | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, score, rank) of queries (query_id, text): the best `k` by BM25, ties by smaller id.
 
     Query words count as often as they stand. `terms` replaces the words of a query.
+    Queries come in blocks of bounded size, each broadcast to one pass over the index;
+    a task keeps k rows a query, so only those are shuffled.
     """
     terms = T.tokenize(F.col("text")) if terms is None else terms
     asked = queries.select("query_id", F.explode(terms).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    lengths = docs.select(F.count("*").alias("n"), F.avg(F.size(T.tokenize(F.col(text_col)))).alias("mean"))
-    index = postings(docs, id_col, text_col, asked)
-    df = index.groupBy("token").agg(F.count("*").alias("df"))
-    scored = index.join(asked.join(df, "token"), "token").crossJoin(F.broadcast(lengths))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest("mean", F.lit(1.0))))
-    summed = scored.groupBy("query_id", "id").agg(F.round(F.sum(F.col("times") * idf * share), 9).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")) - 1
-    return summed.where("score > 0").withColumn("rank", rank.cast("long")).where(F.col("rank") < k)
-
-
-def any_term_top_k(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, **names) -> DataFrame:
+    vocabulary = asked.select("token").distinct()
+    known = index.words.join(F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_WORDS else vocabulary, "token", "left_semi").select("token", "df")
+    asked = asked.join(known, "token")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    found = None
+    for number in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toArrow()
+        if not rows.num_rows:
+            continue
+        words, names = rows["token"].combine_chunks().dictionary_encode(), rows["query_id"].combine_chunks().dictionary_encode()
+        word = words.indices.to_numpy()
+        order = np.argsort(word, kind="stable")
+        starts = np.searchsorted(word[order], np.arange(len(words.dictionary) + 1))
+        df = rows["df"].to_numpy()[order][starts[:-1]]
+        idf = np.log((index.size - df + 0.5) / (df + 0.5) + 1)
+        block = queries.sparkSession.sparkContext.broadcast((names.dictionary.to_numpy(zero_copy_only=False), words.dictionary, idf, starts, names.indices.to_numpy()[order].astype(np.int64), rows["times"].to_numpy()[order]))
+        source = index.documents.select("id", "n", "words", "times")
+        kinds = [x.schema[c].dataType.simpleString() for x, c in ((queries, "query_id"), (source, "id"))]
+        part = source.mapInArrow(_scored_rows(block, k, max(index.mean, 1.0), k1, b), f"query_id {kinds[0]}, id {kinds[1]}, score double")
+        found = part if found is None else found.union(part)
+    if found is None:
+        found = queries.select("query_id").limit(0).crossJoin(index.documents.select("id").limit(0)).withColumn("score", F.lit(0.0))
+    return top_k(found, "query_id", "score", "id", k)
+
+
+def any_term_top_k(queries: DataFrame, index: Index, k: int = CANDIDATES) -> DataFrame:
     """BM25 over the terms that a cleaned query keeps; a query without terms has no rows."""
     terms = F.flatten(F.transform(T.query_terms(F.col("text")), lambda t: T.tokenize(t)))
-    return bm25_top_k(queries, docs, k, terms=terms, **names)
+    return bm25_top_k(queries, index, k, terms=terms)
 
 
 def _ranked(rows: DataFrame, k: int, *order) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1
-    return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") < k)
+    """The first k rows of each query in this order, ranks from 0."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    return rows.withColumn("rank", place).where(F.col("rank") <= k).withColumn("rank", (F.col("rank") - 1).cast("long"))
 
 
 def rrf_fuse(lists: dict[str, tuple[DataFrame, float]], limit: int, k: int = 60) -> DataFrame:
@@ -99,13 +146,18 @@ def load_hits(ranked: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> Dat
 
 
 def with_tops(hits: DataFrame, dense: DataFrame, lexical: DataFrame) -> DataFrame:
-    """Hits with each query's best lexical and dense scores, 0 if there is none."""
+    """Hits with each query's best lexical and dense scores, 0 if there is none.
+
+    The lists are read again here: give them written, or as plain scans.
+    """
     best = lambda rows, name: rows.where("rank = 0").select("query_id", F.col("score").alias(name))
     joined = hits.join(best(lexical, "top_bm25"), "query_id", "left").join(best(dense, "top_cosine"), "query_id", "left")
     return joined.fillna(0.0, ["top_bm25", "top_cosine"])
 
 
 def hybrid_search(dense: DataFrame, lexical: DataFrame, docs: DataFrame, limit: int = 8, reserved: int = 1, id_col: str = "doc_id") -> DataFrame:
+    """Hits of both lists in dense-first order with their documents and each query's best scores; the lists (k rows a query) are written once."""
+    dense, lexical = cut(dense), cut(lexical)
     return with_tops(load_hits(dense_first(dense, lexical, limit, reserved), docs, id_col), dense, lexical)
 
 

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdex.functions.text import tokenize
+from loomdex.operators.index import count_words
 
 #: Queries that one pass over the corpus holds in memory.
 QUERY_BLOCK = 2048
@@ -50,16 +51,10 @@ def validate(rows: DataFrame, vector: str, dim: int) -> DataFrame:
 def hash_embed(rows: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
     """(id, vector): unit vectors of hashed words, 1 in one slot and 0.5 in another for each word.
 
-    Slots come from md5, which both Spark and a checking engine have; a row without words has no vector.
+    Slots come from md5, which both Spark and a checking engine have; a row without
+    words has no vector. Row-local: nothing is shuffled.
     """
-    words = rows.select(F.col(id_col).alias("id"), F.explode(tokenize(F.col(text_col))).alias("token"))
-    counts = words.groupBy("id", "token").count()
-    slot = lambda at: F.conv(F.substring(F.md5("token"), at, 8), 16, 10).cast("long") % dim
-    slots = counts.select("id", F.explode(F.array(F.struct(slot(1).alias("slot"), (F.col("count") * 1.0).alias("w")), F.struct(slot(9).alias("slot"), (F.col("count") * 0.5).alias("w")))).alias("s"))
-    summed = slots.groupBy("id", "s.slot").agg(F.sum("s.w").alias("w"))
-    dense = summed.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m"))
-    vector = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-    return dense.select("id", l2_normalize(vector).alias("vector"))
+    return count_words(rows, id_col, text_col, dim=dim).select("id", "vector").where("vector is not null")
 
 
 def pool(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -117,8 +112,9 @@ def embed_batches(rows: DataFrame, id_col: str, text_col: str, model: Callable[[
 
 def top_k(rows: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:
     """The best `k` positive scores of each group with 0-based ranks; ties go to the smaller `tie`."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), F.asc(tie))) - 1
-    return rows.where(F.col(score) > 0).withColumn("rank", rank.cast("long")).where(F.col("rank") < k)
+    # the filter is on row_number itself, so that each task drops what cannot be among the first k before the shuffle
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), F.asc(tie)))
+    return rows.where(F.col(score) > 0).withColumn("rank", place).where(F.col("rank") <= k).withColumn("rank", (F.col("rank") - 1).cast("long"))
 
 
 def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -144,18 +140,27 @@ def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top_k(found.withColumn("score", F.round("score", 9)), "query_id", "score", "id", k)
 
 
+def best_cells(names: np.ndarray, ids: pa.Array, scores: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k largest positive scores of each query (row) with the ids of their columns, which are in order: equal scores favour the first."""
+    keep = scores > 0
+    if scores.shape[1] > k:
+        keep &= scores >= np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+    query, column = np.nonzero(keep)
+    value = scores[query, column]
+    order = np.lexsort((column, -value, query))
+    query, column, value = query[order], column[order], value[order]
+    first = np.searchsorted(query, np.arange(len(names)))
+    near = np.arange(len(query)) - first[query] < k
+    return pa.RecordBatch.from_arrays([pa.array(names[query[near]]), ids.take(pa.array(column[near])), pa.array(value[near])], ["query_id", "id", "score"])
+
+
 def _best(block, dim: int, k: int):
     def rows(batches):
         names, matrix = block.value
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            batch = batch.take(pc.sort_indices(batch.column("id")))
             vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            for at in range(0, len(ids), CORPUS_BLOCK):
-                own = ids[at : at + CORPUS_BLOCK]
-                scores = np.round(matrix @ vectors[at : at + CORPUS_BLOCK].T, 9)
-                order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-                best = np.take_along_axis(scores, order, axis=1)
-                keep = best > 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, keep.sum(axis=1))), pa.array(own[order][keep]), pa.array(best[keep])], ["query_id", "id", "score"])
+            for at in range(0, len(batch), CORPUS_BLOCK):
+                yield best_cells(names, batch.column("id").slice(at, CORPUS_BLOCK), np.round(matrix @ vectors[at : at + CORPUS_BLOCK].T, 9), k)
 
     return rows

@@ -8,21 +8,12 @@ from pyspark.sql import functions as F
 from loomdex.functions import text as T
 from loomdex.operators import chunking as C
 from loomdex.plans import sql as S
+from loomdex.plans.register import register
 from loomdex.sources import blocks as B
 from loomdex.sources import files as X
 from loomdex.sources.tables import table
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(function):
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            SQL[function.__name__] = sql
-        return function
-
-    return register
+QUERIES, SQL, query = register()
 
 
 # ---- sources and sinks ----

@@ -9,20 +9,11 @@ from pyspark.sql import functions as F
 from loomdex.operators import mail as M
 from loomdex.operators import policy as P
 from loomdex.plans import sql as S
+from loomdex.plans.register import register
 from loomdex.sources.tables import table
 from loomdex.streaming import jobs as J
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(function):
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            SQL[function.__name__] = sql
-        return function
-
-    return register
+QUERIES, SQL, query = register()
 
 
 # ---- mail: documents are bodies; subjects and senders are made from the id ----

@@ -7,25 +7,18 @@ from pyspark.sql import functions as F
 from loomdex.operators import evaluation as E
 from loomdex.operators import retrieval as R
 from loomdex.operators import tables as A
+from loomdex.operators.index import build_index
 from loomdex.plans import retrieval_queries as Q
 from loomdex.plans import sql as S
+from loomdex.plans.register import register
 from loomdex.sources import blocks as B
+from loomdex.shared import cut
 from loomdex.sources.tables import table
 
-QUERIES, SQL = {}, {}
+QUERIES, SQL, query = register()
 KS = [4, 8]
 
 
-def query(sql: str | None = None):
-    def register(function):
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            SQL[function.__name__] = sql
-        return function
-
-    return register
-
-
 # ---- evaluation: an item's text is its anchor ----
 
 _RELEVANT = "relevant AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -33,7 +26,7 @@ _RELEVANT = "relevant AS (SELECT item_id AS query_id, doc_id AS id FROM benchmar
 
 def relevant(spark, sf_dir):
     anchors = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("anchor"))
-    return E.resolve_anchors(anchors, table(spark, sf_dir, "documents"))
+    return E.resolve_anchors(anchors, table(spark, sf_dir, "documents"), Q.index(spark, sf_dir))
 
 
 @query(f"WITH {_RELEVANT} SELECT query_id, id FROM relevant")
@@ -54,7 +47,7 @@ _OUTCOMES = f"{Q._LISTS}, {Q._dense_first_sql(8, 1)}, {_RELEVANT}, {_outcome_sql
 
 
 def outcomes(spark, sf_dir):
-    lists = {"bm25": Q.lexical(spark, sf_dir), "dense": Q.dense(spark, sf_dir)}
+    lists = {"bm25": cut(Q.lexical(spark, sf_dir)), "dense": cut(Q.dense(spark, sf_dir))}
     lists["dense_first"] = R.dense_first(lists["dense"], lists["bm25"], 8, 1)
     runs = None
     for name, rows in lists.items():
@@ -145,12 +138,12 @@ def ablation(spark, sf_dir):
     blocks = B.html_blocks(table(spark, sf_dir, "pages"), "page_id", "html")
     heading = blocks.where("kind = 'heading'").groupBy("id").agg(F.min_by("text", "pos").alias("heading"))
     body = blocks.where("kind <> 'heading'").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "\n").alias("body"))
-    pages = body.join(heading, "id").select(F.col("id").alias("doc_id"), "heading", "body")
+    pages = cut(body.join(heading, "id").select(F.col("id").alias("doc_id"), "heading", "body"))
     asked = pages.select(F.col("doc_id").alias("query_id"), F.col("heading").alias("text"))
     truth = pages.select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("id"))
     runs = None
     for name, text in (("with trail", F.concat_ws("\n", "heading", "body")), ("without trail", F.col("body"))):
-        own = R.bm25_top_k(asked, pages.select("doc_id", text.alias("text")), 8).select(F.lit(name).alias("strategy"), "query_id", "id", "rank")
+        own = R.bm25_top_k(asked, build_index(pages.select("doc_id", text.alias("text"))), 8).select(F.lit(name).alias("strategy"), "query_id", "id", "rank")
         runs = own if runs is None else runs.union(own)
     rows = E.score_questions(runs, truth, [8], ("strategy",)).groupBy("strategy").agg(*[F.avg(m).alias(m) for m in E.METRICS])
     return _rounded(rows, "strategy")
@@ -167,13 +160,13 @@ def library_stats(spark, sf_dir):
 
 
 @query(
-    f"""WITH s AS (SELECT DISTINCT conv_id FROM conversations UNION ALL SELECT -7), m AS (SELECT conv_id, count(*) AS n, arg_max(text, turn) AS t FROM conversations WHERE conv_id % 9 <> 1 GROUP BY conv_id)
+    f"""WITH s AS (SELECT DISTINCT conv_id FROM conversations UNION ALL SELECT -7), m AS (SELECT conv_id, count(*) AS n, arg_max(text, turn) AS t FROM conversations GROUP BY conv_id)
     SELECT conv_id, coalesce(n, 0) AS messages, {S.snippet('t', 80)} AS last FROM s LEFT JOIN m USING (conv_id)"""
 )
 def session_summaries(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     sessions = rows.select("conv_id").distinct().union(spark.range(1).select(F.lit(-7).cast("long").alias("conv_id")))
-    return A.session_summaries(sessions, rows.where("conv_id % 9 <> 1"), "conv_id", "turn", "text")
+    return A.session_summaries(sessions, rows, "conv_id", "turn", "text")
 
 
 @query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3")

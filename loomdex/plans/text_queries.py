@@ -6,19 +6,10 @@ from pyspark.sql import functions as F
 
 from loomdex.functions import text as T
 from loomdex.plans import sql as S
+from loomdex.plans.register import register
 from loomdex.sources.tables import table
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(function):
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            SQL[function.__name__] = sql
-        return function
-
-    return register
+QUERIES, SQL, query = register()
 
 
 @query(f"SELECT doc_id, len(t)::BIGINT AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {S.tokens('text')} AS t FROM documents)")

@@ -1,5 +1,7 @@
 """Sources, blocks, chunks, vectors and sinks on hand-made inputs."""
 
+import re
+
 import numpy as np
 import pytest
 from loomdex.operators import chunking as C
@@ -7,6 +9,7 @@ from loomdex.operators import evaluation as E
 from loomdex.operators import policy as P
 from loomdex.operators import retrieval as R
 from loomdex.operators import vectors as V
+from loomdex.operators.index import build_index, count_words, word_totals
 from loomdex.sources import blocks as B
 from loomdex.sources import files as X
 from pyspark.sql import functions as F
@@ -172,10 +175,69 @@ def test_dense_first_against_the_sequential_rule(spark):
             assert got.get(q, []) == out[:limit]
 
 
+def test_bm25_against_the_formula(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(words[j] for j in rng.integers(0, 30, int(rng.integers(0, 25)))) for _ in range(60)] + [None, "w1 w1", "w1 w1"]
+    asked = ["w1 w2 w2 zzz", "W3, w3", "nothing", "", None, "w5 w6 w7 w8 w9"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    index = build_index(frame)
+    split = lambda t: [w for w in re.split("[^a-z0-9]+", (t or "").lower()) if w]
+    own = [split(t) for t in texts]
+    mean = sum(map(len, own)) / len(own)
+    assert index.size == len(own) and abs(index.mean - mean) < 1e-12
+    expected = {}
+    for q, text in enumerate(asked):
+        scores = []
+        for d, t in enumerate(own):
+            total = 0.0
+            for w in split(text):
+                df = sum(w in x for x in own)
+                total += np.log((len(own) - df + 0.5) / (df + 0.5) + 1) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean))
+            if total > 0:
+                scores.append((-round(total, 9), d))
+        expected[q] = [(d, rank) for rank, (_, d) in enumerate(sorted(scores)[:7])]
+    for products, block in ((1 << 20, 2048), (5, 2)):
+        monkeypatch.setattr(R, "CHUNK_PRODUCTS", products)
+        monkeypatch.setattr(R, "QUERY_BLOCK", block)
+        got = {q: [] for q in expected}
+        for r in R.bm25_top_k(queries, index, 7).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.id, r["rank"]))
+        assert got == expected
+    assert R.bm25_top_k(queries.limit(0), index, 7).collect() == []
+    assert R.bm25_top_k(queries, build_index(frame.limit(0)), 7).collect() == []
+
+
+def test_counted_words(spark):
+    frame = spark.createDataFrame([(1, "a b a"), (2, None), (3, "."), (3, "b")], "doc_id long, text string")
+    rows = count_words(frame)
+    assert sorted((r.id, r.n, dict(zip(r.words, r.times)), r.vector is None) for r in rows.collect()) == [(1, 3, {"a": 2, "b": 1}, False), (2, 0, {}, True), (3, 0, {}, True), (3, 1, {"b": 1}, False)]
+    assert sorted(map(tuple, word_totals(rows).collect())) == [("a", 1, 2), ("b", 2, 2)]
+
+
+def test_top_k_is_limited_before_the_shuffle(spark):
+    frame = spark.createDataFrame([(1, i, float(i % 5)) for i in range(50)], "g long, id long, score double")
+    found = V.top_k(frame, "g", "score", "id", 3)
+    assert [(r.id, r["rank"]) for r in found.orderBy("rank").collect()] == [(4, 0), (9, 1), (14, 2)]
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_are_numbered_across_ranges(spark):
+    rows = spark.createDataFrame([(i * 7 % 101,) for i in range(101)], "x long").repartition(5)
+    assert sorted(map(tuple, E._numbered(rows, "x").select("x", "i").collect())) == [(i, i) for i in range(101)]
+
+
+def test_hits_of_documents_that_are_gone(spark):
+    ranked = spark.createDataFrame([(1, 10, 0), (1, 11, 1), (1, 12, 2)], "query_id long, id long, rank long")
+    kept = spark.createDataFrame([(10, "a"), (12, "c")], "doc_id long, name string")
+    assert [(r.id, r["rank"]) for r in R.load_hits(ranked, kept).orderBy("rank").collect()] == [(10, 0), (12, 1)]
+
+
 def test_anchors(spark):
     anchors = spark.createDataFrame([(1, "alpha beta gamma"), (1, "tail"), (2, "ta"), (3, "not there at all")], "query_id long, anchor string")
     texts = spark.createDataFrame([(10, "xalpha beta gammay tail"), (11, "alpha beta gamma"), (12, "data")], "doc_id long, text string")
-    found = E.resolve_anchors(anchors, texts)
+    found = E.resolve_anchors(anchors, texts, build_index(texts))
     assert sorted(map(tuple, found.collect())) == [(1, 10), (2, 10), (2, 11), (2, 12)]
     assert [r.query_id for r in E.unresolved(anchors, found).collect()] == [3]
 
