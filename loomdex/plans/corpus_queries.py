@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from loomdex.operators import chunking as C
 from loomdex.plans import sql as S
 from loomdex.plans.register import register
 from loomdex.sources import blocks as B
+from loomdex.shared import shared_folder
 from loomdex.sources import files as X
 from loomdex.sources.tables import table
 
@@ -18,46 +21,85 @@ QUERIES, SQL, query = register()
 
 # ---- sources and sinks ----
 
-_EXT = "lower(regexp_extract(path, '[^/]\\.([^./]+)$', 1))"
-_FORMAT = f"CASE {' '.join(f'WHEN {_EXT} IN ({chr(44).join(S.quoted(e) for e in v)}) THEN {S.quoted(k)}' for k, v in X.FORMATS.items())} END"
+@query("SELECT source, 'Text' AS format, sum(strlen(text) + 1)::BIGINT AS bytes FROM documents GROUP BY source")
+def corpus_scan(spark, sf_dir):
+    """The documents as text files, a folder a source, and what a scan of the folders finds."""
+    folder = f"{shared_folder(spark)}/corpus-scan-{uuid4().hex}"
+    table(spark, sf_dir, "documents").select("source", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("source").text(folder)
+    files = X.scan(spark, folder).where("format is not null")
+    return files.groupBy(F.regexp_extract("path", "/source=([^/]*)/", 1).alias("source"), "format").agg(F.sum("bytes").alias("bytes"))
 
 
-@query()
-def corpus_scan(spark, sf_dir):
-    """The files of the tables themselves; Parquet is no format of the corpus."""
-    files = X.scan(spark, sf_dir)
-    return files.select(F.regexp_extract("path", r"([^/]+/?[^/]*)$", 1).alias("file"), "bytes", "format")
+@query(
+    """SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN 'mail/' || doc_id ELSE '<' || doc_id || '@x.org>' END AS message_id, CASE doc_id % 4 WHEN 3 THEN '(No Subject)' ELSE 'About ' || source END AS subject,
+    CASE doc_id % 4 WHEN 3 THEN 'Unknown Sender' WHEN 2 THEN 'plain@x.org' ELSE 'Source ' || source END AS sender_name, md5(CASE doc_id % 4 WHEN 1 THEN '<p>' || text || '</p>' ELSE text END) AS body_md5 FROM documents"""
+)
+def mail_scan(spark, sf_dir):
+    """Documents as mail files: plain, html alone, html before plain, and without headers."""
+    i, s, text = F.col("doc_id"), F.col("source"), F.col("text")
+    head = F.concat(F.lit("Message-ID: <"), i, F.lit("@x.org>\nSubject: About "), s, F.lit("\nMIME-Version: 1.0\n"))
+    sender = F.concat(F.lit('From: "Source '), s, F.lit('" <a@x.org>\n'))
+    kind = lambda sub: F.lit(f"Content-Type: text/{sub}; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n")
+    both = F.concat(F.lit("Content-Type: multipart/alternative; boundary=border\n\n--border\n"), kind("html"), F.lit("<b>html</b>\n--border\n"), kind("plain"), text, F.lit("\n--border--\n"))
+    mail = (
+        F.when(i % 4 == 0, F.concat(head, sender, kind("plain"), text))
+        .when(i % 4 == 1, F.concat(head, sender, kind("html"), F.lit("<p>"), text, F.lit("</p>")))
+        .when(i % 4 == 2, F.concat(head, F.lit("From: plain@x.org\n"), both))
+        .otherwise(F.concat(kind("plain"), text))
+    )
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("mail/"), i).alias("path"), F.encode(mail, "UTF-8").alias("content"))
+    rows = X.mail_rows(files)
+    return rows.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "message_id", "subject", "sender_name", F.md5("body").alias("body_md5"))
+
+
+@query("SELECT doc_id AS id, doc_id // 20 AS document, doc_id % 37 = 0 AS asks, 64 AS dim, 10 AS words FROM documents")
+def bench_corpus(spark, sf_dir):
+    """The synthetic corpus of a chunk for each document: what of it follows from the id alone."""
+    made = X.bench_corpus(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")))
+    return made.select("id", "document", "asks", F.size("vector").alias("dim"), (F.size(F.split("body", " ")) - 2).alias("words"))
 
 
-_LISTING = """SELECT CASE doc_id % 6 WHEN 0 THEN 'library/' || source || '/' || doc_id || '.md' WHEN 1 THEN 'library/.hidden' || doc_id WHEN 2 THEN 'library/node_modules/' || doc_id || '.js'
-    WHEN 3 THEN 'a/b/c/d/e/f/g/h/i/' || doc_id || '.txt' WHEN 4 THEN source || '/' || doc_id || '.exe' ELSE source || '/' || doc_id || '.PDF' END AS path,
-    CASE WHEN doc_id % 35 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 0 WHEN doc_id % 13 = 0 THEN 70000000 ELSE n_chars END AS bytes, doc_id % 17 = 0 AS is_symlink FROM documents"""
+_LISTING = """SELECT CASE doc_id % 12 WHEN 0 THEN 'library/' || source || '/' || doc_id || '.md' WHEN 1 THEN 'library/.hidden' || doc_id WHEN 2 THEN 'library/node_modules/' || doc_id || '.js'
+    WHEN 3 THEN 'a/b/c/d/e/f/g/h/' || source || '/x/' || doc_id || '.txt' WHEN 4 THEN source || '/' || doc_id || '.exe' WHEN 5 THEN 'library/.secret/' || doc_id || '.md' WHEN 6 THEN source || '/.idea/' || doc_id || '.json'
+    WHEN 7 THEN 'a/b/c/d/e/f/g/' || doc_id || '/last.rs' WHEN 8 THEN 'links/' || source || '/' || doc_id || '.md' WHEN 9 THEN 'a/b/c/d/e/f/g/h/.git/' || doc_id || '.py' WHEN 10 THEN 'build' || doc_id || '/no_ending'
+    ELSE source || '/' || doc_id || '.PDF' END AS path,
+    CASE WHEN doc_id % 35 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 0 WHEN doc_id % 13 = 0 THEN 70000000 ELSE n_chars END AS bytes, doc_id % 17 = 0 AS is_symlink FROM documents
+    UNION ALL SELECT 'links/src1', 10, true UNION ALL SELECT '.dropped', 10, true"""
 
 
 def _listing(spark, sf_dir):
-    i, s = F.col("doc_id"), F.col("source")
-    path = (
-        F.when(i % 6 == 0, F.concat(F.lit("library/"), s, F.lit("/"), i, F.lit(".md")))
-        .when(i % 6 == 1, F.concat(F.lit("library/.hidden"), i))
-        .when(i % 6 == 2, F.concat(F.lit("library/node_modules/"), i, F.lit(".js")))
-        .when(i % 6 == 3, F.concat(F.lit("a/b/c/d/e/f/g/h/i/"), i, F.lit(".txt")))
-        .when(i % 6 == 4, F.concat(s, F.lit("/"), i, F.lit(".exe")))
-        .otherwise(F.concat(s, F.lit("/"), i, F.lit(".PDF")))
-    )
+    i, s, text = F.col("doc_id"), F.col("source"), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    forms = [
+        text("library/", s, "/", i, ".md"), text("library/.hidden", i), text("library/node_modules/", i, ".js"), text("a/b/c/d/e/f/g/h/", s, "/x/", i, ".txt"), text(s, "/", i, ".exe"), text("library/.secret/", i, ".md"),
+        text(s, "/.idea/", i, ".json"), text("a/b/c/d/e/f/g/", i, "/last.rs"), text("links/", s, "/", i, ".md"), text("a/b/c/d/e/f/g/h/.git/", i, ".py"), text("build", i, "/no_ending"), text(s, "/", i, ".PDF"),
+    ]
+    path = F.element_at(F.array(*forms), (i % 12 + 1).cast("int"))
     size = F.when(i % 35 == 0, None).when(i % 11 == 0, 0).when(i % 13 == 0, 70_000_000).otherwise(F.col("n_chars"))
-    return table(spark, sf_dir, "documents").select(path.alias("path"), size.alias("bytes"), (i % 17 == 0).alias("is_symlink"))
+    own = table(spark, sf_dir, "documents").select(path.alias("path"), size.alias("bytes"), (i % 17 == 0).alias("is_symlink"))
+    return own.union(spark.createDataFrame([("links/src1", 10, True), (".dropped", 10, True)], own.schema))
+
+
+# the rules in other words than those of the job
+_HEAD = "regexp_extract(path, '^(?:[^/]+/){0,8}', 0)"
+_DEEP = "regexp_extract(path, '^((?:[^/]+/){8}[^/]+)/', 1)"
+_READ = r"(?i)[^/]\.(pdf|docx|xls[xm]|[ct]sv|md|markdown|html?|txt|log|rst|rs|py|jsx?|tsx?|go|java|[ch](pp)?|cs|rb|php|swift|kt|sh|sql|toml|ya?ml|json)$"
 
 
 @query(
-    f"""WITH l AS ({_LISTING}), p AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM l), f AS (SELECT *, parts[1:len(parts) - 1] AS folders, parts[len(parts)] AS name, {_EXT} AS ext FROM p),
-    r AS (SELECT path, CASE WHEN is_symlink THEN 'symbolic link' WHEN bytes IS NULL THEN 'missing' WHEN len(folders) > 8 THEN 'too deep' WHEN ext NOT IN ({', '.join(S.quoted(e) for e in X.EXTENSIONS)}) THEN 'file type' WHEN bytes = 0 THEN 'empty' WHEN bytes > {X.MAX_BYTES} THEN 'too large' END AS reason
-    FROM f WHERE NOT list_has_any(folders, {S.values(X.NOISE_FOLDERS)}) AND NOT starts_with(name, '.')) SELECT path, CASE WHEN reason IS NULL THEN 'accept' ELSE 'reject' END AS verdict, reason FROM r ORDER BY path LIMIT 200"""
+    rf"""WITH l AS (SELECT DISTINCT * FROM ({_LISTING})), seen AS (SELECT * FROM l a WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.is_symlink AND starts_with(a.path, b.path || '/'))),
+    walked AS (SELECT *, {_DEEP} AS deep FROM seen WHERE NOT regexp_matches({_HEAD}, '(^|/)(\.[^/]*|node_modules|target|__pycache__|venv|dist|build|vendor)/')),
+    r AS (SELECT CASE WHEN deep <> '' THEN deep ELSE path END AS path, CASE WHEN deep <> '' THEN 'too deep' WHEN is_symlink THEN 'symbolic link' WHEN bytes IS NULL THEN 'missing' WHEN regexp_matches(path, '(^|/)\.[^/]*$') THEN 'hidden'
+    WHEN NOT regexp_matches(path, '{_READ}') THEN 'file type' WHEN bytes = 0 THEN 'empty' WHEN bytes > 64 * 1024 * 1024 THEN 'too large' END AS reason FROM walked)
+    SELECT path, CASE WHEN reason IS NULL THEN 'accept' ELSE 'reject' END AS verdict, reason FROM (SELECT DISTINCT * FROM r) WHERE reason IS DISTINCT FROM 'hidden' ORDER BY path LIMIT 200"""
 )
 def intake_assess(spark, sf_dir):
     return X.assess(_listing(spark, sf_dir))
 
 
-@query(f"SELECT path, {_FORMAT} AS format FROM ({_LISTING})")
+@query(
+    rf"""WITH f(format, pattern) AS (VALUES ('PDF', 'pdf'), ('Word document', 'docx'), ('Spreadsheet', 'xls[xm]'), ('CSV', '[ct]sv'), ('Markdown', 'md|markdown'), ('HTML', 'html?'), ('Text', 'txt|log|rst'), ('Source code', 'rs|py|jsx?|tsx?|go|java|[ch](pp)?|cs|rb|php|swift|kt|sh|sql|toml|ya?ml|json'))
+    SELECT path, format FROM ({_LISTING}) l LEFT JOIN f ON regexp_matches(path, '(?i)[^/]\.(' || pattern || ')$')"""
+)
 def file_formats(spark, sf_dir):
     return _listing(spark, sf_dir).select("path", X.format_of(F.col("path")).alias("format"))
 
@@ -114,7 +156,8 @@ def blocks_text(spark, sf_dir):
     return B.text_blocks(table(spark, sf_dir, "documents"), "doc_id", "text", "\n").select("id", "pos", "kind", "text")
 
 
-def _html_sql() -> str:
+def html_sql() -> str:
+    """(id, pos, kind, level, text) of the blocks of pages."""
     html = S.gsub("html", B.SKIPPED)
     html = f"regexp_replace({html}, '(?i)<h([1-6])\\b[^>]*>', chr(30) || '\\1' || chr(31), 'g')"
     html = S.gsub(S.gsub(S.gsub(html, B.BREAKS, B.MARK), r"(?i)</?t[dh]\b[^>]*>", " "), "<[^>]*>")
@@ -123,13 +166,13 @@ def _html_sql() -> str:
     (SELECT id, o, nullif(regexp_extract(part, '^([1-6])' || chr(31), 1), '')::INT AS level, {text} AS text FROM (SELECT page_id AS id, generate_subscripts(p, 1) AS o, unnest(p) AS part FROM (SELECT page_id, string_split({html}, chr(30)) AS p FROM pages))) WHERE text <> ''"""
 
 
-@query(_html_sql())
+@query(html_sql())
 def blocks_html(spark, sf_dir):
     return B.html_blocks(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
 @query(
-    f"""WITH b AS ({_html_sql()}), r AS (SELECT *, CASE WHEN pos % 4 = 3 THEN 'heading' ELSE kind END AS k, CASE WHEN pos % 4 = 3 THEN 1 + pos % 3 ELSE level END AS l FROM b),
+    f"""WITH b AS ({html_sql()}), r AS (SELECT *, CASE WHEN pos % 4 = 3 THEN 'heading' ELSE kind END AS k, CASE WHEN pos % 4 = 3 THEN 1 + pos % 3 ELSE level END AS l FROM b),
     h AS (SELECT b.id, b.pos, b.text, h.pos AS hp, h.l, h.text AS ht FROM r b JOIN r h ON h.id = b.id AND h.pos < b.pos AND h.k = 'heading' WHERE b.k <> 'heading'),
     o AS (SELECT *, max(hp) OVER (PARTITION BY id, pos, l) AS newest FROM h), t AS (SELECT a.id, a.pos, a.l, a.ht FROM o a WHERE a.hp = a.newest AND NOT EXISTS (SELECT 1 FROM o x WHERE x.id = a.id AND x.pos = a.pos AND x.l < a.l AND x.hp > a.hp))
     SELECT r.id, r.pos, coalesce(string_agg(t.ht, ' › ' ORDER BY t.l), '') AS trail FROM r LEFT JOIN t USING (id, pos) WHERE r.k <> 'heading' GROUP BY ALL"""
@@ -154,6 +197,27 @@ def chunk_pack(spark, sf_dir):
     return C.chunk_texts(B.text_blocks(table(spark, sf_dir, "documents"), "doc_id", "text", "\n"))
 
 
+@query(
+    rf"""SELECT doc_id AS id, true AS sizes_fit, true AS numbered, true AS content, true AS no_runts, len(list_distinct({S.tokens('text')}))::BIGINT AS words
+    FROM documents WHERE length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) >= 8"""
+)
+def chunk_rules(spark, sf_dir):
+    """What packing promises for each document: sizes, numbers without gaps, content, no small chunk beside one that could take it, and all of the document's words."""
+    sizes = C.Sizes()
+    chunks = C.chunk_texts(B.text_blocks(table(spark, sf_dir, "documents"), "doc_id", "text", "\n"), sizes)
+    before = Window.partitionBy("id").orderBy("index")
+    size, last = F.octet_length("body"), F.lag(F.octet_length("body")).over(before)
+    chunks = chunks.withColumn("runt", (F.least(size, last) < sizes.least) & (size + last + 3 <= sizes.most))
+    told = chunks.groupBy("id").agg(
+        (F.max(F.octet_length("text")) <= sizes.most).alias("sizes_fit"), ((F.max("index") + 1 == F.count("*")) & (F.count_distinct("index") == F.count("*"))).alias("numbered"),
+        F.bool_and(T.has_content(F.col("body"))).alias("content"), (~F.coalesce(F.bool_or("runt"), F.lit(False))).alias("no_runts"),
+    )
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token"))
+    found = chunks.select("id", F.explode(F.array_distinct(T.tokenize(F.col("body")))).alias("token"))
+    words = own.join(found, ["id", "token"], "left_semi").groupBy("id").agg(F.count("*").alias("words"))
+    return told.join(words, "id")
+
+
 @query()
 def chunk_pages(spark, sf_dir):
     return C.chunk_texts(B.html_blocks(table(spark, sf_dir, "pages"), "page_id", "html"))

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from loomdex.operators import mail as M
 from loomdex.operators import policy as P
 from loomdex.plans import sql as S
+from loomdex.plans import corpus_queries as C
 from loomdex.plans.register import register
+from loomdex.shared import shared_folder
+from loomdex.sources import blocks as B
+from loomdex.sources.files import append_log, mail_rows
 from loomdex.sources.tables import table
 from loomdex.streaming import jobs as J
 
@@ -182,7 +186,39 @@ def stream_rates(spark, sf_dir):
     """The events as a stream, counted by day and type until all have arrived."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"stream_rates_{uuid4().hex}"
     rows = J.rates(stream.select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("tier")), "1 day", late="1 hour")
-    rows.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return _plain(spark.table(name), "start").select("start", "tier", "n")
+    return _plain(J.drained(rows, f"{shared_folder(spark)}/stream-rates-{uuid4().hex}", "complete"), "start").select("start", "tier", "n")
+
+
+@query(f"SELECT tier, decision, count(*) AS n FROM ({_DECIDED}) GROUP BY ALL")
+def audit_append(spark, sf_dir):
+    """Decisions added to an append-only log in two writes, then counted in it."""
+    log, rows = f"{shared_folder(spark)}/audit-{uuid4().hex}", decided(spark, sf_dir)
+    for part in (rows.where("trusted"), rows.where("not trusted")):
+        append_log(part.select("event_id", "tier", "decision"), log)
+    return spark.read.parquet(log).groupBy("tier", "decision").agg(F.count("*").alias("n"))
+
+
+@query(C.SQL["blocks_text"])
+def stream_ingest(spark, sf_dir):
+    """The documents arrive as files, are cut into blocks and stored once each: what the batch query gives."""
+    folder = f"{shared_folder(spark)}/ingest-{uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs.repartition(4).write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    prepare = lambda rows: B.text_blocks(rows, "doc_id", "text", "\n").select("id", "pos", "kind", "text")
+    J.ingest(arriving, lambda rows: prepare(rows), f"{folder}/out", f"{folder}/state", "doc_id").awaitTermination()
+    return J.latest(spark.read.parquet(f"{folder}/out"), "id").select("id", "pos", "kind", "text")
+
+
+@query(f"SELECT doc_id, category, pattern FROM ({_TRIAGED})")
+def stream_mail(spark, sf_dir):
+    """The mails arrive as files, each twice, are parsed, and triaged once each."""
+    folder = f"{shared_folder(spark)}/mail-{uuid4().hex}"
+    head = F.concat(F.lit("Message-ID: "), "doc_id", F.lit("\nFrom: "), "sender", F.lit("\nSubject: "), "subject", F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), "body")
+    files = mails(spark, sf_dir).select(F.concat(F.lit("mail/"), "doc_id").alias("path"), F.encode(head, "UTF-8").alias("content"))
+    for _ in range(2):
+        files.write.mode("append").parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(files.schema).parquet(f"{folder}/in")
+    triage = lambda rows: rows.select(F.col("message_id").cast("long").alias("doc_id"), M.triage(F.col("subject"), F.col("body"), F.col("sender")).alias("t")).select("doc_id", "t.category", "t.pattern")
+    return J.drained(J.mail_stream(arriving, mail_rows, triage), f"{folder}/out", "append")

@@ -43,8 +43,8 @@ def dense(spark, sf_dir, k=R.CANDIDATES):
     return V.dense_top_k(index(spark, sf_dir).vectors, asked, k)
 
 
-def _bm25_sql(name: str, asked: str, k: int) -> str:
-    return f"""{name} AS (WITH w AS (SELECT doc_id AS id, {S.tokens('text')} AS t FROM documents), s AS (SELECT count(*) AS n, greatest(avg(len(t)), 1.0) AS mean FROM w),
+def _bm25_sql(name: str, asked: str, k: int, source: str = "SELECT doc_id AS id, text FROM documents") -> str:
+    return f"""{name} AS (WITH w AS (SELECT id, {S.tokens('text')} AS t FROM ({source})), s AS (SELECT count(*) AS n, greatest(avg(len(t)), 1.0) AS mean FROM w),
     p AS (SELECT token, id, n_len, count(*) AS tf FROM (SELECT id, len(t) AS n_len, unnest(t) AS token FROM w) GROUP BY ALL),
     f AS (SELECT token, count(*) AS df FROM p GROUP BY token),
     a AS (SELECT query_id, token, count(*) AS times FROM ({asked}) GROUP BY ALL),
@@ -125,15 +125,12 @@ def hash_embed(spark, sf_dir):
     return rows.select("id", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(top, 6).alias("top"), F.array_position("vector", top).cast("long").alias("slot"))
 
 
-@query()
+@query(f"WITH {_embed_sql('e', 'SELECT doc_id AS id, text FROM documents')} SELECT id, true AS embedded, round(list_sum(v), 6) AS total, round(list_max(v), 6) AS top FROM e")
 def embed_batches(spark, sf_dir):
-    import numpy as np
-
-    def letters(texts):
-        return np.array([[t.count(c) + 1.0 for c in "etaoinsh"] for t in texts])
-
-    rows = V.embed_batches(table(spark, sf_dir, "documents"), "doc_id", "text", letters, 8)
-    return rows.select("id", "embedded", F.round(F.array_max("vector"), 6).alias("top"))
+    """The hashed embedding as the user's model, on whole texts; texts without words have zero vectors and drop out."""
+    rows = V.embed_batches(table(spark, sf_dir, "documents"), "doc_id", "text", X.hash_vectors, 64, budget=1 << 30)
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
+    return rows.where(F.array_max("vector") > 0).select("id", "embedded", F.round(total, 6).alias("total"), F.round(F.array_max("vector"), 6).alias("top"))
 
 
 @query(

@@ -8,6 +8,7 @@ from loomdex.operators import evaluation as E
 from loomdex.operators import retrieval as R
 from loomdex.operators import tables as A
 from loomdex.operators.index import build_index
+from loomdex.plans import corpus_queries as C
 from loomdex.plans import retrieval_queries as Q
 from loomdex.plans import sql as S
 from loomdex.plans.register import register
@@ -132,7 +133,15 @@ def wilson_interval(spark, sf_dir):
     return rows.select("lang", "good", "n", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@query()
+_PAGES = f"""pb AS ({C.html_sql()}), ph AS (SELECT id, arg_min(text, pos) AS heading FROM pb WHERE kind = 'heading' GROUP BY id), pt AS (SELECT id, string_agg(text, chr(10) ORDER BY pos) AS body FROM pb WHERE kind <> 'heading' GROUP BY id),
+    pg AS (SELECT id, heading, body FROM ph JOIN pt USING (id))"""
+_ASKED = f"SELECT id AS query_id, unnest({S.tokens('heading')}) AS token FROM pg"
+
+
+@query(
+    f"""WITH {_PAGES}, {Q._bm25_sql('trail', _ASKED, 8, "SELECT id, heading || chr(10) || body AS text FROM pg")}, {Q._bm25_sql('plain', _ASKED, 8, "SELECT id, body AS text FROM pg")}, relevant AS (SELECT id AS query_id, id FROM pg),
+    {_outcome_sql('o', "SELECT 'with trail' AS strategy, query_id, id, rank FROM trail UNION ALL SELECT 'without trail', query_id, id, rank FROM plain", [8])} SELECT strategy, {', '.join(f'round(avg({m}), 6) AS {m}' for m in E.METRICS)} FROM o GROUP BY strategy"""
+)
 def ablation(spark, sf_dir):
     """Pages as documents with and without their heading, asked for by the heading's words."""
     blocks = B.html_blocks(table(spark, sf_dir, "pages"), "page_id", "html")

@@ -23,7 +23,16 @@ def query_terms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.any_term_query(F.col("text")).alias("terms"))
 
 
-@query()
+# pieces end at every . ! ? before white space; a piece that ends in an abbreviation or an initial goes on
+_SHORT = rf"(^|\s)[^\p{{L}}\p{{N}}\s.]{{0,3}}((?i:{'|'.join(a.replace('.', chr(92) + '.') for a in T.ABBREVIATIONS)})|\p{{Lu}})\.[\"'')]?$"
+_PIECES = r"""SELECT doc_id, generate_subscripts(x, 1) AS o, unnest(x) AS piece FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?]["'')]?)(\s|\z)', '\1' || chr(30) || '\2', 'g'), chr(30)) AS x FROM documents)"""
+
+
+@query(
+    f"""WITH p AS ({_PIECES}), m AS (SELECT *, coalesce(regexp_matches(lag(piece) OVER (PARTITION BY doc_id ORDER BY o), '{_SHORT}'), false) AS goes_on FROM p),
+    n AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY o) AS s FROM m), t AS (SELECT doc_id, s, {S.strip("string_agg(piece, '' ORDER BY o)")} AS sentence FROM n GROUP BY doc_id, s)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS pos, sentence FROM t WHERE sentence <> ''"""
+)
 def split_sentences(spark, sf_dir):
     sentences = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
     return sentences.select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")

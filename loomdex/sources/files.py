@@ -17,13 +17,13 @@ FORMATS = {
 }
 EXTENSIONS = [e for extensions in FORMATS.values() for e in extensions]
 # Folders that intake passes over.
-NOISE_FOLDERS = ["node_modules", "target", ".git", ".svn", "__pycache__", ".venv", "venv", "dist", "build", ".next", ".cache", "vendor"]
+NOISE_FOLDERS = ["node_modules", "target", ".git", ".svn", "__pycache__", ".venv", "venv", "dist", "build", ".next", ".cache", "vendor", ".idea", ".vscode"]
 MAX_BYTES, MAX_FILES, MAX_DEPTH = 64 << 20, 200, 8
 
 
 def extension(path: Column) -> Column:
-    """Lower-cased ending of the file name, empty if it has none."""
-    return F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))
+    """Ending of the file name with A-Z lower-cased, empty if it has none."""
+    return T.ascii_lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))
 
 
 def format_of(path: Column) -> Column:
@@ -38,24 +38,34 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def assess(listing: DataFrame, limit: int = MAX_FILES) -> DataFrame:
-    """(path, verdict, reason) of a listing (path, bytes, is_symlink), the first `limit` paths that are accepted or rejected, in order.
+    """(path, verdict, reason) of a listing (path, bytes, is_symlink) of files, the first `limit` entries that are accepted or rejected, in order.
 
-    Skipped without mention: hidden files and what lies in noise folders. Null bytes: the file is gone.
+    Paths begin with what was dropped. Each is walked from there: a folder below
+    `MAX_DEPTH` others is itself one rejected entry, a folder of noise, or any whose
+    name begins with a dot, is passed over without mention, and what lies below a
+    symbolic link is not seen. Then the file: a link or a file that is gone (null
+    bytes) is rejected even if hidden; other hidden files are passed over.
     """
+    listing = listing.dropDuplicates(["path"])
+    # every folder that a path goes through, as a path
+    through = listing.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/")) - 1), lambda n: F.call_function("substring_index", F.col("path"), F.lit("/"), n))).alias("folder")).where("folder <> path")
+    linked = through.join(listing.where("is_symlink").select(F.col("path").alias("folder")), "folder", "left_semi").select("path").distinct()
     parts = F.filter(F.split("path", "/"), lambda p: p != "")
-    folders = F.slice(parts, 1, F.greatest(F.lit(0), F.size(parts) - 1))
-    noise = F.arrays_overlap(folders, T.lit_array(NOISE_FOLDERS))
-    name = F.element_at(parts, -1)
+    folders, name = F.slice(parts, 1, F.greatest(F.lit(0), F.size(parts) - 1)), F.element_at(parts, -1)
+    noise = F.exists(F.slice(folders, 1, MAX_DEPTH), lambda f: f.startswith(".") | f.isin(NOISE_FOLDERS))
+    deep = F.size(folders) > MAX_DEPTH
     reason = (
-        F.when(F.col("is_symlink"), "symbolic link")
+        F.when(deep, "too deep")
+        .when(F.col("is_symlink"), "symbolic link")
         .when(F.col("bytes").isNull(), "missing")
-        .when(F.size(folders) > MAX_DEPTH, "too deep")
         .when(~F.coalesce(extension(F.col("path")).isin(EXTENSIONS), F.lit(False)), "file type")
         .when(F.col("bytes") == 0, "empty")
         .when(F.col("bytes") > MAX_BYTES, "too large")
     )
-    rows = listing.dropDuplicates(["path"]).where(~noise & ~name.startswith(".")).withColumn("reason", reason)
-    kept = rows.orderBy("path").limit(limit)
+    hidden = ~deep & ~F.col("is_symlink") & F.col("bytes").isNotNull() & name.startswith(".")
+    rows = listing.join(linked, "path", "left_anti").where(~noise & ~hidden).withColumn("reason", reason)
+    entry = F.when(deep, F.regexp_extract("path", rf"^(/*(?:[^/]+/+){{{MAX_DEPTH}}}[^/]+)/", 1)).otherwise(F.col("path"))
+    kept = rows.select(entry.alias("path"), "reason").distinct().orderBy("path").limit(limit)
     return kept.select("path", F.when(F.col("reason").isNull(), "accept").otherwise("reject").alias("verdict"), "reason")
 
 
@@ -144,10 +154,10 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def bench_corpus(spark: SparkSession, chunks: int, dim: int = 64, topics: int = 50) -> DataFrame:
-    """A corpus of a given size, the same each time: 20 chunks a document, a topic vector with a fifth of noise, a sentence and six words."""
+def bench_corpus(ids: DataFrame, dim: int = 64, topics: int = 50) -> DataFrame:
+    """A corpus of a chunk for each row (id), the same each time: 20 chunks a document, a topic vector with a fifth of noise, a sentence and six words."""
     draw = lambda *parts: (F.pmod(F.xxhash64(*parts), F.lit(1_000_003)) / 1_000_003.0) - 0.5
-    rows = spark.range(chunks).select("id", (F.col("id") / 20).cast("long").alias("document"), F.pmod(F.xxhash64("id"), F.lit(topics)).alias("topic"))
+    rows = ids.select("id", (F.col("id") / 20).cast("long").alias("document"), F.pmod(F.xxhash64("id"), F.lit(topics)).alias("topic"))
     vector = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: 0.8 * draw(F.col("topic"), i) + 0.2 * draw(F.col("id"), i, F.lit("noise")))
     words = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(5000))))
     body = F.concat(F.lit("Notes on topic "), "topic", F.lit(" continue here. "), F.array_join(words, " "))

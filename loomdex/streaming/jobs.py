@@ -100,3 +100,15 @@ def mail_stream(files: DataFrame, parse: Callable[[DataFrame], DataFrame], triag
     """Arriving mail files (path, content, modificationTime), parsed and triaged once for each message id."""
     seen = parse(files).withColumn("arrived", F.current_timestamp()).withWatermark("arrived", "1 hour")
     return triage(seen.dropDuplicatesWithinWatermark(["message_id"]))
+
+
+def drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """What a stream has given when all that is there has arrived; its rows and state are in the folder, not on the driver."""
+    out = f"{folder}/rows"
+
+    def write(batch: DataFrame, number: int) -> None:
+        # each batch has its own folder, and a batch that runs again overwrites it; a complete result replaces all before it
+        batch.write.mode("overwrite").parquet(f"{out}/last" if mode == "complete" else f"{out}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/last" if mode == "complete" else out).select(*stream.columns)

@@ -258,5 +258,18 @@ def test_paths(spark):
 
 
 def test_bench_corpus_is_the_same_each_time(spark):
-    a, b = X.bench_corpus(spark, 100), X.bench_corpus(spark, 100).repartition(3)
+    a, b = X.bench_corpus(spark.range(100)), X.bench_corpus(spark.range(100)).repartition(3)
     assert a.count() == 100 and sorted(a.drop("vector").collect()) == sorted(b.drop("vector").collect()) and a.where("asks").count() == 3
+
+
+def test_intake(spark):
+    rows = [
+        ("d/innocent.pdf", 10, True), ("d/.gitignore", 5, False), ("d/.gone", None, False), ("d/.linked", 5, True), ("d/gone.pdf", None, False), ("d/a.md", 5, False), ("d/a.md", 5, False), ("d/image.png", 5, False),
+        ("d/link", 0, True), ("d/link/secret.md", 5, False), ("d/.secret/a.md", 5, False), ("d/.idea/a.md", 5, False), ("d/.vscode/b/a.md", 5, False), ("d/vendor/a.md", 5, False), ("d/empty.txt", 0, False), ("d/large.txt", (64 << 20) + 1, False),
+        ("1/2/3/4/5/6/7/8/a.md", 5, False), ("1/2/3/4/5/6/7/8/9/a.md", 5, False), ("1/2/3/4/5/6/7/8/9/10/b.md", 5, False), ("1/2/3/4/5/6/7/8/.git/b.md", 5, False), (".x/2/3/4/5/6/7/8/9/a.md", 5, False), ("top.RS", 1, False),
+    ]
+    got = {r.path: r.reason for r in X.assess(spark.createDataFrame(rows, "path string, bytes long, is_symlink boolean")).collect()}
+    assert got == {
+        "d/innocent.pdf": "symbolic link", "d/.gone": "missing", "d/.linked": "symbolic link", "d/gone.pdf": "missing", "d/a.md": None, "d/image.png": "file type", "d/link": "symbolic link", "d/empty.txt": "empty", "d/large.txt": "too large",
+        "1/2/3/4/5/6/7/8/a.md": None, "1/2/3/4/5/6/7/8/9": "too deep", "1/2/3/4/5/6/7/8/.git": "too deep", "top.RS": None,
+    }
