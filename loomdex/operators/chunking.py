@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,25 +140,35 @@ def _without_runts(chunks: list[dict], sizes: Sizes) -> list[dict]:
     return out
 
 
+def _packed_rows(sizes: Sizes):
+    def rows(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], [], [], []]
+            for name, units in zip(batch.column("id").to_pylist(), batch.column("units").to_pylist(), strict=True):
+                for i, c in enumerate(pack_document([u | {"trail": u["trail"] or ""} for u in units], sizes)):
+                    text = f"{c['trail']}\n{c['body']}" if c["trail"] else c["body"]
+                    for column, value in zip(out, (name, i, c["trail"], c["page"], c["body"], text), strict=True):
+                        column.append(value)
+            kinds = [batch.schema.field("id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["id", "index", "trail", "page", "body", "text"])
+
+    return rows
+
+
 def pack(blocks: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """(id, index, trail, page, body, text) of body blocks (id, pos, trail, page, text): greedy packing, one document at a time.
 
-    Packing is a fold over a document, so a document is one Arrow group; documents
-    are packed in parallel. Sentences are cut before, in the JVM.
+    Packing is a fold over a document, so a document's blocks are one row, dealt by
+    id as the windows of trails and pages have left them; documents are packed in
+    parallel, an Arrow batch at a time. Sentences are cut before, in the JVM, and
+    only of blocks that no chunk can take whole.
     """
-
-    def packed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        units = [{"text": t, "trail": r or "", "page": None if pd.isna(p) else int(p), "sentences": list(s)} for t, r, p, s in zip(group["text"], group["trail"], group["page"], group["sentences"], strict=True)]
-        chunks = pack_document(units, sizes)
-        rows = [(key[0], i, c["trail"], c["page"], c["body"], f"{c['trail']}\n{c['body']}" if c["trail"] else c["body"]) for i, c in enumerate(chunks)]
-        return pd.DataFrame(rows, columns=["id", "index", "trail", "page", "body", "text"]).astype({"page": "Int64"})
-
-    # only blocks that are too large are cut into sentences
-    large = F.when(F.octet_length("text") > sizes.least, split_sentences(F.col("text"))).otherwise(F.array("text"))
+    room = F.greatest(F.lit(sizes.least), sizes.most - F.octet_length(F.coalesce("trail", F.lit(""))) - 1)
+    sentences = F.when(F.octet_length("text") > F.least(F.lit(sizes.most), room), split_sentences(F.col("text")))
+    rows = blocks.select("id", F.struct("pos", "trail", F.col("page").cast("long").alias("page"), "text", sentences.alias("sentences")).alias("unit"))
+    whole = rows.groupBy("id").agg(F.sort_array(F.collect_list("unit")).alias("units"))
     kind = blocks.schema["id"].dataType.simpleString()
-    rows = blocks.select("id", "pos", "trail", F.col("page").cast("long").alias("page"), "text", large.alias("sentences"))
-    return rows.groupBy("id").applyInPandas(packed, f"id {kind}, index long, trail string, page long, body string, text string")
+    return whole.mapInArrow(_packed_rows(sizes), f"id {kind}, index long, trail string, page long, body string, text string")
 
 
 def chunk_texts(blocks: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:

@@ -198,11 +198,11 @@ def chunk_pack(spark, sf_dir):
 
 
 @query(
-    rf"""SELECT doc_id AS id, true AS sizes_fit, true AS numbered, true AS content, true AS no_runts, len(list_distinct({S.tokens('text')}))::BIGINT AS words
+    rf"""SELECT doc_id AS id, true AS sizes_fit, true AS numbered, true AS content, true AS no_runts, len(list_distinct(list_filter({S.tokens('text')}, lambda t: length(t) >= 8)))::BIGINT AS words
     FROM documents WHERE length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) >= 8"""
 )
 def chunk_rules(spark, sf_dir):
-    """What packing promises for each document: sizes, numbers without gaps, content, no small chunk beside one that could take it, and all of the document's words."""
+    """What packing promises for each document: sizes, numbers without gaps, content, no small chunk beside one that could take it, and all of the document's words of eight letters (only pieces of fewer are dropped)."""
     sizes = C.Sizes()
     chunks = C.chunk_texts(B.text_blocks(table(spark, sf_dir, "documents"), "doc_id", "text", "\n"), sizes)
     before = Window.partitionBy("id").orderBy("index")
@@ -212,10 +212,10 @@ def chunk_rules(spark, sf_dir):
         (F.max(F.octet_length("text")) <= sizes.most).alias("sizes_fit"), ((F.max("index") + 1 == F.count("*")) & (F.count_distinct("index") == F.count("*"))).alias("numbered"),
         F.bool_and(T.has_content(F.col("body"))).alias("content"), (~F.coalesce(F.bool_or("runt"), F.lit(False))).alias("no_runts"),
     )
-    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token"))
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token")).where("length(token) >= 8")
     found = chunks.select("id", F.explode(F.array_distinct(T.tokenize(F.col("body")))).alias("token"))
     words = own.join(found, ["id", "token"], "left_semi").groupBy("id").agg(F.count("*").alias("words"))
-    return told.join(words, "id")
+    return told.join(words, "id", "left").fillna(0, ["words"])
 
 
 @query()
