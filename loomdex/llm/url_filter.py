@@ -1,9 +1,10 @@
 """URL filter: rules by host and path, then a blocked Bloom filter before an exact join with the listed URLs.
 
-The filter has `BLOCKS` blocks of eight 64-bit words; a URL sets one bit in every
-word of one block. Its size is fixed (4 MiB), so it may be broadcast however long
-the list is: a longer list only lets more false positives through, and the hash
-join behind it removes them all.
+A block of the filter is eight 64-bit words, and a URL sets one bit in every word of
+one block. There is a block for `KEYS` listed URLs, but never more than `BLOCKS`
+(32 MiB), so the filter may be broadcast however long the list is: a list beyond
+that only lets more false positives through, and the hash join behind it removes
+them all.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.shared import cut
+
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-BLOCKS = 1 << 16
+BLOCKS, KEYS = 1 << 19, 12
 WORDS = 8
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -53,13 +56,13 @@ def _masks(key: Column) -> list[Column]:
     return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(bits, 6 * w).bitwiseAND(F.lit(63)).cast("int")) for w in range(WORDS)]
 
 
-def _block(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BLOCKS))
+def _block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks))
 
 
-def bloom_filter(keys: DataFrame) -> DataFrame:
-    """(block, w0..w7) of the keys (column key): at most BLOCKS rows."""
-    rows = keys.select(_block(F.col("key")).alias("block"), *[m.alias(f"w{i}") for i, m in enumerate(_masks(F.col("key")))])
+def bloom_filter(keys: DataFrame, blocks: int) -> DataFrame:
+    """(block, w0..w7) of the keys (column key): at most `blocks` rows."""
+    rows = keys.select(_block(F.col("key"), blocks).alias("block"), *[m.alias(f"w{i}") for i, m in enumerate(_masks(F.col("key")))])
     return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
 
 
@@ -76,9 +79,10 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", liste
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("__row", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "__key")
     keys = listed.select(canonical(F.col(f"`{listed_col}`")).alias("key")).where("key is not null").distinct()
-
-    bloom = F.broadcast(bloom_filter(keys))
-    probed = rows.withColumn("block", _block(F.col("__key"))).join(bloom, "block", "left")
+    keys = cut(keys)
+    blocks = min(BLOCKS, max(1, -(-keys.count() // KEYS)))
+    bloom = F.broadcast(bloom_filter(keys, blocks))
+    probed = rows.withColumn("block", _block(F.col("__key"), blocks)).join(bloom, "block", "left")
     hit = F.col("w0").isNotNull() & F.col("__key").isNotNull()
     for i, mask in enumerate(_masks(F.col("__key"))):
         hit = hit & (F.col(f"w{i}").bitwiseAND(mask) == mask)
