@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import cut
+from loomdex.shared import cut
 
 #: Fixed values of the template: what stands for characters that begin control strings.
 REFERENCES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"), ("|", "&#124;"))
@@ -69,9 +69,12 @@ def format_conversations(messages: DataFrame) -> DataFrame:
     """(conv, formatted, loss) of messages (conv, msg, parent, score, role, text): one row a conversation.
 
     `loss` lists the spans [start, stop) of formatted, in code points, that hold the
-    texts of role "assistant". Null texts and roles are empty; `msg` is unique
-    inside a conversation.
+    texts of role "assistant". Null texts and roles are empty. Of rows that repeat a
+    message of a conversation one counts: that of the smallest parent (none before
+    all), role, text and score.
     """
+    once = Window.partitionBy("conv", "msg").orderBy("parent", "role", "text", "score")
+    messages = messages.select("conv", "msg", "parent", "score", "role", "text").withColumn("n", F.row_number().over(once)).where("n = 1").drop("n")
     branch = best_branches(messages).select(F.col("conv").alias("c"), F.col("msg").alias("m"), "depth")
     turns = messages.join(branch, F.col("conv").eqNullSafe(F.col("c")) & (F.col("msg") == F.col("m")))
     head = F.concat(F.lit("<|"), escape(F.coalesce("role", F.lit("")), role=True), F.lit("|>\n"))
