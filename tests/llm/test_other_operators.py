@@ -11,7 +11,7 @@ from loomdex.llm.ann import nearest
 from loomdex.llm.chat_format import best_branches, format_conversations, read_back
 from loomdex.llm.html_template import ROLES, extract_text, main_blocks, parse, template_roles, template_tokens, visible_text
 from loomdex.llm.langid import UNKNOWN, identify, train
-from loomdex.llm.mixing import mix_sources
+from loomdex.llm.mixing import mix_sources, training_order
 from loomdex.llm.queries import queries
 from loomdex.llm.url_filter import RULES, bloom_filter, canonical, filter_urls
 from pyspark.sql import functions as F
@@ -239,8 +239,8 @@ def test_rules_and_lists(spark):
 
 def test_filter_has_no_false_negatives_and_a_fixed_size(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
-    bloom = bloom_filter(keys)
-    assert bloom.count() <= 1 << 16
+    bloom = bloom_filter(keys, 300)
+    assert bloom.count() <= 300
     urls = spark.range(3000).select(F.concat(F.lit("http://k"), "id").alias("url"))
     assert filter_urls(urls, urls).where("verdict <> 'block'").count() == 0
     assert urls.select(canonical(F.col("url")).alias("c")).where("c is null").count() == 0
@@ -286,6 +286,10 @@ def test_round_trip(spark):
     assert [(t.role, t.text) for t in got[1].turns] == [(r[4] or "", r[5] or "") for r in rows[:-1]]
     assert got[1].loss_text == "".join(r[5] or "" for r in rows[:-1] if r[4] == "assistant")
     assert (len(got[2].turns), got[2].loss_text) == (1, "")
+    # repeated messages, and columns that clash with those of the result
+    again = spark.createDataFrame([(*r, "x", 1) for r in rows * 2 + [(1, 0, 5, None, "zz", "later")]], MESSAGES + ", formatted string, depth int")
+    assert sorted(map(str, read_back(format_conversations(again)).collect())) == sorted(map(str, got.values()))
+    assert format_conversations(again.limit(0)).collect() == []
     assert format_conversations(spark.createDataFrame([], MESSAGES)).collect() == []
 
 
@@ -326,7 +330,7 @@ def test_mix_meets_targets(spark):
     rows = []
     for s, n in {"a": 400, "b": 3, "é": 50, "Z": 120, None: 30, "c": 2, "d": 0}.items():
         rows += [(len(rows) + i, " ".join(["w"] * int(rng.integers(0, 60))), s) for i in range(n)]
-    rows += [(9000, None, "a"), (9001, "", "e"), (9002, " ".join(["w"] * 20_000), "a"), rows[5], rows[5]]
+    rows += [(None, "w w", "b"), (None, None, None), (9000, None, "a"), (9001, "", "e"), (9002, " ".join(["w"] * 20_000), "a"), rows[5], rows[5]]
     frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, size int, bucket int").repartition(5)
     sizes = {}
     for _, t, s in rows:
@@ -339,14 +343,27 @@ def test_mix_meets_targets(spark):
         assert r.source_size == sizes[r.source] and math.isclose(r.target, target[r.source], rel_tol=1e-9, abs_tol=1e-9)
         assert 0 <= r.taken <= 3 * r.size and (r.position is None) == (r.taken == 0)
         taken[r.source] = taken.get(r.source, 0) + r.taken
+        # a take for each pass, later passes later
+        assert sum(t.words for t in r.takes) == r.taken and len(r.takes) <= 3 and [t.position for t in r.takes] == sorted(t.position for t in r.takes)
+        assert r.position == (r.takes[0].position if r.takes else None) and all(0 <= t.position <= 1 and 0 < t.words <= r.size for t in r.takes)
     assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
     places = [r.position for r in got if r.position is not None]
     assert places == sorted(places) and 0 <= places[0] and places[-1] <= 1
+    order = training_order(mix_sources(frame)).collect()
+    assert [t.position for t in order] == sorted(t.position for t in order) and sum(t.words for t in order) == sum(taken.values())
     again = mix_sources(frame.repartition(2)).collect()
-    key = lambda r: (r.id, r.size, r.taken, r.position or -1)
+    key = lambda r: (r.id or -1, r.size, r.taken, r.position or -1)
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def test_later_passes_come_later(spark):
+    rows = [(i, "w " * 10, "s") for i in range(50)] + [(100 + i, "w " * 10, "t") for i in range(2000)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 1), slopes=(0.0, 0.0)).where("source = 's'").collect()
+    assert all(len(r.takes) == 3 for r in got)
+    firsts, lasts = [r.takes[0].position for r in got], [r.takes[2].position for r in got]
+    assert max(firsts) < 1 / 3 < 2 / 3 < min(lasts) and max(lasts) > 0.98
+
+
 def test_schedules_shift_sources(spark):
     rows = [(i, "w " * 50, "abc"[i % 3]) for i in range(3000)]
     got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 1, 1), slopes=(0.9, 0.0, -0.9)).collect()
@@ -354,6 +371,14 @@ def test_schedules_shift_sources(spark):
     assert mean["a"] > mean["b"] + 0.1 > mean["c"] + 0.2
 
 
+def test_as_many_sources_as_documents(spark):
+    # every document is a host of its own
+    rows = [(i, " ".join(["w"] * (1 + i % 7)), f"host{i:04d}.org") for i in range(500)]
+    target = brute_targets({s: len(t.split()) for _, t, s in rows})
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(math.isclose(r.target, target[r.source], rel_tol=1e-9) for r in got) and len(got) == 500
+
+
 def test_mix_of_an_empty_table(spark):
     assert mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
 
