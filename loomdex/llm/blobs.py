@@ -9,7 +9,10 @@ import pyarrow as pa
 def binary_cells(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     """One binary cell for each run of `values` between neighbouring `cuts`."""
     values = np.ascontiguousarray(values)
-    offsets = (np.asarray(cuts, np.int64) * values.dtype.itemsize).astype(np.int32)
+    offsets = np.asarray(cuts, np.int64) * values.dtype.itemsize
+    if len(offsets) and offsets[-1] > np.iinfo(np.int32).max:
+        raise OverflowError("more than 2 GiB in the cells of one batch")
+    offsets = offsets.astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 

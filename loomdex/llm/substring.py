@@ -18,9 +18,10 @@ work is linear in the corpus.
 3. Factors are merged into each document's duplicate spans, and the words
    outside are kept.
 
-Hot passages: within a slice of input, an anchor is sent for two documents and a
-phrase for the earliest; what that already settles is echoed through evenly
-dealt rows, so no block gets a row for each copy.
+Hot passages: a slice of input sends an anchor for two documents and a phrase for the
+earliest, and a task remembers what it has sent lately; what that already settles is
+echoed through evenly dealt rows, so no block gets a row for each copy, nor for each
+slice that holds one.
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import BUCKET_SCHEMA, binary_cells, by_bucket, by_document, documents_of, joined, run_starts
-from .tokens import owners, rolling, split_words, text_slices
+from .tokens import mix, owners, rolling, split_words, text_slices
 
 WINDOW = 13
 GRAM = 4
 #: Bytes of text for which there is one reference block.
 BLOCK_BYTES = 4 << 20
+#: Anchors or phrases that a task remembers.
+RECENT = 1 << 20
 
 # the low half of a packed hash is a position
 _LOW = np.uint64((1 << 32) - 1)
@@ -66,8 +69,26 @@ def _slices(batch: pa.RecordBatch):
         yield slice(at, at + n), ids[at : at + n], keys[at : at + n], words
 
 
+class _Recent:
+    """Keys that a task has sent, with an id and a mark, in a table of fixed size: what it tells is true, but it forgets."""
+
+    def __init__(self):
+        self.keys, self.ids, self.marks = np.zeros(RECENT, np.uint64), np.zeros(RECENT, np.int64), np.zeros(RECENT, bool)
+
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each key is known, its id and its mark."""
+        slot = keys & np.uint64(RECENT - 1)
+        return (self.keys[slot] == keys) & (keys != 0), self.ids[slot], self.marks[slot]
+
+    def put(self, keys: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> None:
+        # of keys that share a slot one stays whole
+        slot, first = np.unique(keys & np.uint64(RECENT - 1), return_index=True)
+        self.keys[slot], self.ids[slot], self.marks[slot] = keys[first], ids[first], marks[first]
+
+
 def _anchor_rows(blocks: int, window: int, gram: int):
     def rows(batches):
+        sent = _Recent()
         for batch in batches:
             for _, ids, keys, words in _slices(batch):
                 start, anchor, grams = _windows(words, words.hashes(), window, gram)
@@ -86,6 +107,13 @@ def _anchor_rows(blocks: int, window: int, gram: int):
                 nth -= np.maximum.accumulate(np.where(new_hash, nth, 0))
                 known = np.zeros(len(h), bool)
                 known[order] = nth >= 2
+                # two documents have been sent of an anchor that is marked, so it is known to be shared
+                have, other, two = sent.look(h)
+                known |= have & two
+                heads = order[new_hash]
+                several = np.maximum.reduceat(nth, np.flatnonzero(new_hash)) > 0
+                different = have[heads] & (other[heads] != ids[doc[heads]])
+                sent.put(h[heads], np.where(have[heads], other[heads], ids[doc[heads]]), several | different | (have & two)[heads])
                 bucket = (h >> np.uint64(32)) % np.uint64(blocks)
                 bucket = np.where(known, blocks + (doc + anchor) % blocks, bucket.astype(np.int64))
                 yield by_bucket(bucket, ids[doc], keys[doc], hashes=h.astype(np.uint32), positions=(anchor - words.first[doc]).astype(np.uint32))
@@ -112,6 +140,7 @@ def _shared_anchors(blocks: int):
 
 def _phrase_rows(blocks: int, window: int, gram: int):
     def rows(batches):
+        sent_before = _Recent()
         for batch in batches:
             positions = batch.column("__positions")
             for where, ids, keys, words in _slices(batch):
@@ -137,6 +166,13 @@ def _phrase_rows(blocks: int, window: int, gram: int):
                 earliest = np.repeat(ids[doc[order]][groups], np.diff(np.append(groups, len(order))))
                 known = np.zeros(len(order), bool)
                 known[order] = ids[doc[order]] > earliest
+                # a phrase that a smaller document of the task has sent repeats it
+                name = mix(mix(same[0] + mix(same[1])) + same[2])
+                have, least, _ = sent_before.look(name)
+                known |= have & (least < ids[doc])
+                heads_of = order[groups]
+                least = np.where(have[heads_of], np.minimum(least[heads_of], ids[doc[heads_of]]), ids[doc[heads_of]])
+                sent_before.put(name[heads_of], least, np.ones(len(heads_of), bool))
                 bucket = ((grams[anchor[heads]] >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
                 bucket = np.where(known, blocks + (doc + first) % blocks, bucket)
                 length = last - first + window
