@@ -96,6 +96,29 @@ def test_substrings_equal_brute_force(corpus):
     assert sum(r[2] for r in got) > 100
 
 
+def test_substrings_of_passages_in_every_slice(spark):
+    # texts of half a slice in one task: what it remembers of other slices settles most of the copies
+    rng = np.random.default_rng(12)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 90_000, n)]
+    passage, other = words(60), words(25)
+    rows = []
+    for i in rng.permutation(24).tolist():
+        text = words(10) + passage[: 60 - i % 7] + words(60_000 if i % 2 else 20)
+        rows.append((i, " ".join(text + other * (i % 3 == 0)), ""))
+    rows += [rows[4], (None, rows[7][1], ""), (None, None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_removed string").coalesce(1)
+    got = sorted((-(2**63) if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in dedup_substrings(frame).collect())
+    assert got == brute_substrings([(-(2**63) if d is None else d, t, x) for d, t, x in rows])
+
+
+def test_substrings_of_a_very_long_text(spark):
+    rng = np.random.default_rng(13)
+    long = [f"w{i}" for i in rng.integers(0, 50_000, 400_000)]
+    rows = [(1, " ".join(long[200_000:200_100]), ""), (2, " ".join(long), ""), (3, " ".join(long[:150_000]), "")]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string, x string")).collect())
+    assert got == [(1, 100, 0), (2, 400_000, 100), (3, 150_000, 150_000)]
+
+
 def test_substrings_of_repeats_inside_a_document_stay(spark):
     text = " ".join(["again"] * 40)
     rows = [(5, text, ""), (7, text, ""), (7, text + " more", "")]
