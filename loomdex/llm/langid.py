@@ -76,8 +76,8 @@ def _count_rows(languages: list[str]):
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and log-probabilities (a row a language, the last for "und") from at most `sample` labelled rows of each."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    """Languages and log-probabilities (a row a language, the last for "und") from at most `sample` labelled rows of each; rows without id, text or label teach nothing."""
+    rows = labelled.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     keyed = rows.select(F.col(id_col).alias("__chosen"), F.col(lang_col).alias("__lang"), F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 1).alias("h"))
     # only hashes below a bound, which twice the sample is expected to have, are ranked: no language is one task
     sizes = keyed.groupBy("__lang").agg(F.approx_count_distinct("h").alias("n"))

@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pytest
-from loomdex.llm import ann, html_template
+from loomdex.llm import ann, html_template, langid
 from loomdex.llm.ann import nearest
 from loomdex.llm.chat_format import best_branches, format_conversations, read_back
 from loomdex.llm.html_template import ROLES, extract_text, main_blocks, parse, template_roles, template_tokens, visible_text
@@ -39,6 +39,73 @@ def test_evidence_is_fused(spark):
     assert all(0 < got[i].confidence <= 1 for i in got) and set(got) == {1, 2, 3, 4}
 
 
+def brute_languages(rows, model):
+    """(language, confidence, text language) of rows (id, text, host, markup, address) by plain sums over one text at a time."""
+    names, logs = model
+    n = len(names)
+    logs = logs.astype(np.float32).astype(float)
+    flat = np.array([langid.UNKNOWN_PRIOR if x == UNKNOWN else (1 - langid.UNKNOWN_PRIOR) / max(1, n - 1) for x in names])
+    likelihoods, soft = [], []
+    for _, text, *_ in rows:
+        sound = re.sub("[^a-z\u0080-\U0010ffff]", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")).encode()
+        total, count = np.zeros(n), 0
+        for i in range(len(sound) - 2):
+            a, b, c = sound[i : i + 3]
+            if (a != 32 or b != 32) and (b != 32 or c != 32):
+                h = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32
+                h = (h ^ (h >> 15)) * 0x2C1B3C6D % 2**32
+                total += logs[:, h >> (32 - 14)]
+                count += 1
+        total *= min(1, langid.EVIDENCE / count) if count else 1
+        p = total + np.log(flat)
+        p = np.exp(p - p.max())
+        likelihoods.append(total)
+        soft.append(p / p.sum())
+    domain = lambda h: m[0] if (m := re.search(r"[^.]+\.[^.]+$", h)) else ""
+    hosts = [r[2] or "" for r in rows]
+    lean = lambda own, above: (own + langid.STRENGTH * above) / (own.sum() + langid.STRENGTH)
+    out = []
+    for (_, _, _, markup, address), like, s, host in zip(rows, likelihoods, soft, hosts):
+        everything = lean(sum(soft), flat)
+        in_domain = lean(sum(x for x, h in zip(soft, hosts) if domain(h) == domain(host)), everything)
+        p = like + np.log(lean(sum(x for x, h in zip(soft, hosts) if h == host), in_domain))
+        for code, trust in ((markup, langid.MARKUP_TRUST), (address, langid.ADDRESS_TRUST)):
+            if code in names:
+                p = p + np.log([trust if x == code else (1 - trust) / max(1, n - 1) for x in names])
+        p = np.exp(p - p.max())
+        p /= p.sum()
+        out.append((names[int(p.argmax())], p.max(), names[int(s.argmax())]))
+    return out
+
+
+def test_posteriors_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = train(docs, sample=200)
+    rng = np.random.default_rng(3)
+    texts = [r.text[: int(rng.integers(1, 300))] for r in docs.orderBy("doc_id").limit(70).collect()]
+    texts += [None, "", "  ", "7 . 8", "ab", "Ünïcode ÉÉ", texts[0], " ".join(texts) * 40]
+    hosts = ["a.x.org", "b.x.org", "x.org", "y.com", "", None, "deep.er.z.net"]
+    codes = ["de", "fr", None, "", "xx", "es"]
+    rows = [(i, t, hosts[i % 7], codes[int(rng.integers(6))], codes[int(rng.integers(6))]) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (None, *rows[4][1:])]
+    # extra columns that clash with those of the result, and a column named like a part of the plan
+    frame = spark.createDataFrame([(*r, "clash", 1.0, "h") for r in rows], "id long, text string, host string, m string, a string, language string, confidence double, h string").repartition(3)
+    judged = identify(frame, model, "text", host=F.col("host"), markup_lang=F.col("m"), address_lang=F.col("a"))
+    assert judged.columns == ["id", "host", "m", "a", "h", "language", "confidence", "text_language"]
+    got = sorted((-1 if r.id is None else r.id, r.language, r.confidence, r.text_language) for r in judged.collect())
+    expected = sorted((-1 if r[0] is None else r[0], *e) for r, e in zip(rows, brute_languages(rows, model)))
+    assert len(got) == len(expected)
+    for g, e in zip(got, expected):
+        assert (g[0], g[1], g[3]) == (e[0], e[1], e[3]) and math.isclose(g[2], e[2], rel_tol=1e-4), (g, e)
+
+
+def test_rows_without_an_id_or_a_label_teach_nothing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(None, "zzz zzz", "de"), (5, None, "de"), (6, "zzz", None)], docs.schema)
+    model, again = train(docs, sample=100), train(docs.union(odd), sample=100)
+    assert model[0] == again[0] and np.allclose(model[1], again[1])
+
+
 def test_host_priors_decide_short_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = train(docs, sample=300)

@@ -364,3 +364,31 @@ def test_lm_scores_of_empty_tables(spark):
     docs, labels = spark.createDataFrame([(1, None)], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.n_tokens for r in score(docs, labels).collect()] == [1]
     assert score(docs.limit(0), labels).collect() == []
+
+
+def test_scores_and_groups_of_rows_without_an_id(spark):
+    rows = [(1, "a b c d e f"), (None, "a b c d e f"), (None, None), (2, None), (2, None), (3, "a b c d e f g")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(r.id for r in score(frame, labels).collect()) == [1, 2, 2, 3]
+    groups = simhash_groups(frame).collect()
+    # a row without an id has a fingerprint, and the component of those it equals
+    assert len(groups) == len(rows) and {r.component for r in groups if r.print == 0} == {2} and {r.component for r in groups if r.id is None} == {1, 2}
+    kept = near_dedup(frame).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in kept) == [-1, -1, 1, 2, 3]
+
+
+def test_near_duplicates_of_null_empty_and_very_long_texts(spark):
+    rng = np.random.default_rng(15)
+    long = [f"w{i}" for i in rng.integers(0, 80_000, 300_000)]
+    rows = [(1, None), (2, ""), (3, " \n"), (4, " ".join(long)), (5, " ".join(long[:280_000])), (6, " ".join(long[:200_000])), (7, "One Two"), (8, "one two"), (9, "one two three")]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component string")
+    assert {(r.id, r.component) for r in near_duplicate_groups(frame).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 7), (8, 7), (9, 9)}
+    assert near_dedup(frame).columns == ["doc_id", "text", "component"]
+
+
+def test_lm_scores_of_a_very_long_text(spark):
+    rng = np.random.default_rng(16)
+    rows = [(1, " ".join(f"w{i}" for i in rng.integers(0, 5000, 300_000))), (2, "w1 w2"), (3, "")]
+    got = {r.id: r for r in score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int")).collect()}
+    assert got[1].n_tokens == 300_001 and got[2].n_tokens == 3 and got[2].score < got[1].score and got[2].target_loss < got[2].background_loss
