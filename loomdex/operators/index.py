@@ -12,14 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.functions.text import LOWER, UPPER, tokenize
+from loomdex.functions.text import LOWER, UPPER
 from loomdex.shared import written
 
 DIM = 64
+NO_WORD = r"[^\p{L}\p{N}]+"
 _WORD, _LOWER = regex.compile(r"[\p{L}\p{N}]+"), str.maketrans(UPPER, LOWER)
 
 
@@ -58,10 +60,14 @@ def hash_vectors(texts: list[str], dim: int = DIM) -> np.ndarray:
 def _counted_rows(dim: int):
     def rows(batches):
         for batch in batches:
-            tokens, n = batch.column("tokens"), len(batch)
-            coded = tokens.flatten().dictionary_encode()
+            n = len(batch)
+            tokens = pc.split_pattern_regex(pc.ascii_lower(batch.column("text").fill_null("")), pattern=NO_WORD)
+            flat = tokens.flatten()
+            filled = pc.not_equal(flat, "")
+            coded = flat.filter(filled).dictionary_encode()
             words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-            sizes = tokens.value_lengths().fill_null(0).to_numpy()
+            ends = np.append(0, np.cumsum(filled.to_numpy(zero_copy_only=False)))[np.append(0, np.cumsum(tokens.value_lengths().to_numpy()))]
+            sizes = np.diff(ends)
             pairs, times = np.unique(np.repeat(np.arange(n), sizes) * max(1, len(words)) + codes, return_counts=True)
             doc, code = np.divmod(pairs, max(1, len(words)))
             slots = _slots(words.to_pylist(), dim)[code]
@@ -69,26 +75,27 @@ def _counted_rows(dim: int):
             vectors = vectors.reshape(n, dim)
             length = np.linalg.norm(vectors, axis=1, keepdims=True)
             cuts = pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32())
-            flat = pa.array((vectors / np.where(length > 0, length, 1)).ravel())
+            unit = pa.array((vectors / np.where(length > 0, length, 1)).ravel())
             columns = [
                 batch.column("id"),
                 pa.array(sizes.astype(np.int64)),
                 pa.ListArray.from_arrays(cuts, words.take(pa.array(code))),
                 pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32))),
-                pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), flat, mask=pa.array(length.ravel() == 0)),
+                pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), unit, mask=pa.array(length.ravel() == 0)),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "words", "times", "vector"])
 
     return rows
 
 
-def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, dim: int = DIM) -> DataFrame:
+def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = DIM) -> DataFrame:
     """(id, n, words, times, vector): different words of each row and how often they stand, and its hashed vector.
 
-    The vector adds 1 in one slot and 0.5 in another for each word, and is normalised;
-    a row without words has none. `tokens` replaces the words of the text.
+    Words are those of functions.text.tokenize(), cut in Arrow. The vector adds 1 in
+    one slot and 0.5 in another for each word, and is normalised; a row without words
+    has none.
     """
-    source = docs.select(F.col(id_col).alias("id"), (tokenize(F.col(text_col)) if tokens is None else tokens).alias("tokens"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(_counted_rows(dim), f"id {source.schema['id'].dataType.simpleString()}, n long, words array<string>, times array<int>, vector array<double>")
 
 

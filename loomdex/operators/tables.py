@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.functions.text import snippet
+from loomdex.shared import cut
 
 
 def session_summaries(sessions: DataFrame, messages: DataFrame, session: str, turn: str, text: str, size: int = 80) -> DataFrame:
@@ -30,19 +31,27 @@ def with_totals(rows: DataFrame, key: str, sums: list[str], means: list[str], la
 def nearest_rank(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
     """Mean and exact percentiles at sorted place round((n - 1) p) of each group.
 
-    Equal values are counted before they meet, so a group is its distinct values.
+    Equal values are counted before they meet. Groups and values are sorted in ranges,
+    counted apart and moved up by what the group has in the ranges before, so a group
+    of any number of different values is no single task.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(group).orderBy(value))
-    counts = counts.withColumns({"upto": upto, "n": F.sum("c").over(Window.partitionBy(group))})
-    picks = [F.min(F.when(F.col("upto") > F.round((F.col("n") - 1) * p), F.col(value))).alias(name) for name, p in shares.items()]
+    ranges = cut(counts.repartitionByRange(group, value).withColumn("range", F.spark_partition_id()))
+    # a row for each group of a shuffle partition
+    parts = ranges.groupBy(group, "range").agg(F.sum("c").alias("own"))
+    order = Window.partitionBy(group).orderBy("range")
+    parts = parts.select(F.col(group).alias("__group"), F.col("range").alias("__range"), (F.sum("own").over(order) - F.col("own")).alias("before"), F.sum("own").over(Window.partitionBy(group)).alias("n"))
+    within = F.sum("c").over(Window.partitionBy(group, "range").orderBy(value))
+    counts = ranges.withColumn("within", within).join(parts, F.col(group).eqNullSafe(F.col("__group")) & (F.col("range") == F.col("__range")))
+    upto = F.col("within") + F.col("before")
+    picks = [F.min(F.when(upto > F.round((F.col("n") - 1) * p), F.col(value))).alias(name) for name, p in shares.items()]
     return counts.groupBy(group).agg(F.max("n").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.max("n")).alias("mean"), *picks)
 
 
 def budget_report(spent: DataFrame, budgets: DataFrame, phase: str, gate: float) -> DataFrame:
     """Phases with what they spent against their budget, and a row "total" against the gate."""
     total = spent.groupBy(phase).agg(F.sum("spent").alias("spent"))
-    rows = total.join(F.broadcast(budgets), phase, "left").select(phase, "spent", F.col("budget").cast("double").alias("budget"))
+    rows = total.join(budgets, phase, "left").select(phase, "spent", F.col("budget").cast("double").alias("budget"))
     everything = rows.agg(F.lit("total").alias(phase), F.sum("spent").alias("spent"), F.lit(float(gate)).alias("budget"))
     verdict = F.when(F.col("budget").isNull(), "NO BUDGET").when(F.col("spent") > F.col("budget"), "FAIL").otherwise("PASS")
     return rows.union(everything).withColumn("verdict", verdict)
