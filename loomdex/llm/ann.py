@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from loomdex.shared import cut
 
 K = 20
-PIVOTS, PREFIX, STEP = 256, 64, 16
+PIVOTS, PREFIX, STEP = 256, 128, 16
 FILE_ROWS, FILES = 256, 16_384
 POSTED = 2
-FRACTION = 0.25
+FRACTION = 0.35
 BLOCK_ROWS = 4096
 WIDER = 8
 FIT_QUERIES, RECALL = 128, 0.95
