@@ -223,7 +223,18 @@ def chunk_pages(spark, sf_dir):
     return C.chunk_texts(B.html_blocks(table(spark, sf_dir, "pages"), "page_id", "html"))
 
 
-@query()
+_HEADED = r"""WITH l AS (SELECT doc_id AS id, generate_subscripts(x, 1) AS o, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)), n AS (SELECT *, trim(line) AS c, trim(coalesce(lead(line) OVER (PARTITION BY id ORDER BY o), '')) AS nxt FROM l),
+    w AS (SELECT *, regexp_replace(c, '[^\p{L}]', '', 'g') AS letters, list_filter(string_split_regex(c, '\s+'), lambda w: w <> '') AS w, regexp_extract(c, '^(\d{1,3}(?:\.\d{1,3}){0,5})\.?\s+\p{Lu}', 1) AS num FROM n),
+    h AS (SELECT id, o, line, c, CASE WHEN c = '' THEN NULL WHEN num <> '' AND length(c) <= 120 AND NOT regexp_matches(c, '[.!?]$') THEN least(6, len(string_split(num, '.'))) WHEN length(c) <= 60 AND length(letters) >= 3 AND letters = upper(letters) AND letters <> lower(letters) THEN 1
+    WHEN len(w) <= 8 AND len(list_filter(w, lambda x: NOT (regexp_matches(x, '^\p{Lu}|^\d') OR length(x) <= 3))) = 0 AND regexp_matches(c, '^\p{Lu}') AND NOT regexp_matches(c, '[.!?,;:]$') AND nxt <> '' THEN 2 END AS level FROM w)"""
+
+
+@query(
+    _HEADED
+    + rf""", s AS (SELECT *, level IS NOT NULL OR coalesce(lag((length(c) < 60 AND regexp_matches(c, '[.!?][\"'')]?$')) OR level IS NOT NULL OR c = '') OVER (PARTITION BY id ORDER BY o), true) AS starts FROM h),
+    g AS (SELECT *, sum(starts::INT) OVER (PARTITION BY id ORDER BY o) AS grp FROM s), t AS (SELECT id, min(o) AS o, max(level) AS level, {S.collapse("regexp_replace(string_agg(line, chr(10) ORDER BY o), '(\p{L})-' || chr(10) || '\s*(\p{Ll})', '\1\2', 'g')")} AS text FROM g WHERE c <> '' GROUP BY id, grp)
+    SELECT id, row_number() OVER (PARTITION BY id ORDER BY o) - 1 AS pos, CASE WHEN level IS NULL THEN 'paragraph' ELSE 'heading' END AS kind, level::INT AS level, text FROM t WHERE text <> ''"""
+)
 def blocks_page_text(spark, sf_dir):
     return B.page_text_blocks(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -242,21 +253,44 @@ def heading_lines(spark, sf_dir):
 # ---- Markdown, code and tables, made of the tables' rows ----
 
 
+def _shaped(kinds: str) -> str:
+    """SQL of the blocks (kind, level, text) that documents of each shape have, by doc_id % 3."""
+    return f"SELECT doc_id AS id, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS pos, b[1] AS kind, CASE WHEN b[1] = 'heading' THEN b[2]::INT END AS level, b[3] AS text FROM (SELECT doc_id, generate_subscripts(x, 1) AS o, unnest(x) AS b FROM (SELECT doc_id, CASE doc_id % 3 {kinds} END AS x FROM documents))"
+
+
 @query(
-    f"""SELECT doc_id AS id, 0::BIGINT AS pos, 'heading' AS kind, 1 AS level, 'Document ' || doc_id AS text FROM documents
-    UNION ALL SELECT doc_id, 1, 'row', NULL, '| source | ' || source || ' |' FROM documents UNION ALL SELECT doc_id, 2, 'pre', NULL, '# lang' || chr(10) || lang FROM documents"""
+    _shaped(
+        """WHEN 0 THEN [['heading', '1', 'Document ' || doc_id], ['row', '', '| source | ' || source || ' |'], ['pre', '', '# lang' || chr(10) || lang]]
+    WHEN 1 THEN [['heading', '2', 'Part ' || doc_id], ['paragraph', '', 'first ' || source || ' second line'], ['heading', '6', 'Deep'], ['paragraph', '', '#no heading'], ['pre', '', 'open ' || lang || chr(10) || chr(10) || '| no | row |']]
+    ELSE [['paragraph', '', 'Before'], ['row', '', '| a | |'], ['row', '', '| ' || source || ' | x \\| y |'], ['paragraph', '', 'after ' || lang]]"""
+    )
 )
 def blocks_markdown(spark, sf_dir):
-    text = F.concat(F.lit("# Document "), "doc_id", F.lit("\n\n| source | "), "source", F.lit(" |\n|---|---|\n```\n# lang\n"), "lang", F.lit("\n```\n"))
+    """Three shapes: a table and closed code; paragraphs, headings and a fence that stays open; a table between texts, with an empty cell."""
+    i, source, lang = F.col("doc_id"), F.col("source"), F.col("lang")
+    text = (
+        F.when(i % 3 == 0, F.concat(F.lit("# Document "), i, F.lit("\n\n| source | "), source, F.lit(" |\n|---|---|\n```\n# lang\n"), lang, F.lit("\n```\n")))
+        .when(i % 3 == 1, F.concat(F.lit("## Part "), i, F.lit(" ##\nfirst "), source, F.lit("\nsecond   line\n###### Deep\n#no heading\n```py\nopen "), lang, F.lit("\n\n| no | row |")))
+        .otherwise(F.concat(F.lit("Before\n| a | |\n|:--|--:|\n  | "), source, F.lit(" | x \\| y |\nafter "), lang, F.lit("\n\n\n")))
+    )
     return B.markdown_blocks(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id", "text")
 
 
 @query(
-    """WITH d AS (SELECT doc_id AS id, 'def f' || doc_id || '():' AS title, chr(10) || '    return ' || n_chars AS body FROM documents)
-    SELECT id, 0::BIGINT AS pos, 'pre' AS kind, NULL::INT AS level, 'x = 1' AS text FROM d UNION ALL SELECT id, 1, 'heading', 2, title FROM d UNION ALL SELECT id, 2, 'pre', NULL, title || body FROM d"""
+    _shaped(
+        """WHEN 0 THEN [['pre', '', 'x = 1'], ['heading', '2', 'def f' || doc_id || '():'], ['pre', '', 'def f' || doc_id || '():' || chr(10) || '    return ' || n_chars]]
+    WHEN 1 THEN [['pre', '', 'y = ' || n_chars || chr(10) || chr(10) || 'z = "def"']]
+    ELSE [['heading', '2', 'class A' || doc_id || ':'], ['pre', '', 'class A' || doc_id || ':'], ['heading', '2', 'def g(self):'], ['pre', '', '    def g(self):' || chr(10) || '        pass']]"""
+    )
 )
 def blocks_code(spark, sf_dir):
-    text = F.concat(F.lit("x = 1\n\ndef f"), "doc_id", F.lit("():\n    return "), "n_chars", F.lit("\n\n"))
+    """Three shapes: code before a definition, none at all, and one inside another."""
+    i, n = F.col("doc_id"), F.col("n_chars")
+    text = (
+        F.when(i % 3 == 0, F.concat(F.lit("x = 1\n\ndef f"), i, F.lit("():\n    return "), n, F.lit("\n\n")))
+        .when(i % 3 == 1, F.concat(F.lit("y = "), n, F.lit('\n\nz = "def"\n')))
+        .otherwise(F.concat(F.lit("class A"), i, F.lit(":\n    def g(self):\n        pass")))
+    )
     return B.code_blocks(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id", "text")
 
 
