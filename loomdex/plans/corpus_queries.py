@@ -229,10 +229,13 @@ _HEADED = r"""WITH l AS (SELECT doc_id AS id, generate_subscripts(x, 1) AS o, un
     WHEN len(w) <= 8 AND len(list_filter(w, lambda x: NOT (regexp_matches(x, '^\p{Lu}|^\d') OR length(x) <= 3))) = 0 AND regexp_matches(c, '^\p{Lu}') AND NOT regexp_matches(c, '[.!?,;:]$') AND nxt <> '' THEN 2 END AS level FROM w)"""
 
 
+_REJOINED = S.collapse(r"regexp_replace(string_agg(line, chr(10) ORDER BY o), '(\p{L})-' || chr(10) || '\s*(\p{Ll})', '\1\2', 'g')")
+
+
 @query(
     _HEADED
     + rf""", s AS (SELECT *, level IS NOT NULL OR coalesce(lag((length(c) < 60 AND regexp_matches(c, '[.!?][\"'')]?$')) OR level IS NOT NULL OR c = '') OVER (PARTITION BY id ORDER BY o), true) AS starts FROM h),
-    g AS (SELECT *, sum(starts::INT) OVER (PARTITION BY id ORDER BY o) AS grp FROM s), t AS (SELECT id, min(o) AS o, max(level) AS level, {S.collapse("regexp_replace(string_agg(line, chr(10) ORDER BY o), '(\p{L})-' || chr(10) || '\s*(\p{Ll})', '\1\2', 'g')")} AS text FROM g WHERE c <> '' GROUP BY id, grp)
+    g AS (SELECT *, sum(starts::INT) OVER (PARTITION BY id ORDER BY o) AS grp FROM s), t AS (SELECT id, min(o) AS o, max(level) AS level, {_REJOINED} AS text FROM g WHERE c <> '' GROUP BY id, grp)
     SELECT id, row_number() OVER (PARTITION BY id ORDER BY o) - 1 AS pos, CASE WHEN level IS NULL THEN 'paragraph' ELSE 'heading' END AS kind, level::INT AS level, text FROM t WHERE text <> ''"""
 )
 def blocks_page_text(spark, sf_dir):
