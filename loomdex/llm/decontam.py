@@ -5,8 +5,9 @@ as no phrase can cross them; the remaining runs are numbered words and form the
 shard's index. Phrases are searched backwards, all at once, occurrences are
 located by sampled positions and merged into spans. Documents never move.
 
-Phrases come in blocks of a fixed size, each broadcast to one pass over the
-documents, so a benchmark of any size is searched with bounded memory.
+Phrases come in blocks of a fixed size, collected and broadcast one at a time. All are
+searched in one pass over the documents, so a task holds the benchmark's phrases
+(about 130 bytes each), and one shard's index for one block.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.shared import cut
+
 from .blobs import run_starts
 from .fm_index import FMIndex
 from .tokens import ALNUM, LOWER, owners, split_words, text_slices
@@ -102,55 +105,52 @@ def _runs(block: PhraseBlock, column):
     return cat(counts), cat(numbers), cat(texts), cat(places)
 
 
-def _search(broadcast, last: bool):
+def _found(block: PhraseBlock, column, spans: dict[int, list], items: dict[int, set]) -> np.ndarray:
+    """Adds the occurrences of a block's phrases in a shard to the spans and items of its texts; the number of words of each text."""
+    n_words, numbers, texts, places = _runs(block, column)
+    if not len(numbers):
+        return n_words
+    index = FMIndex(numbers, len(block.vocabulary))
+    for width, phrases, holders in block.groups:
+        low, high = index.search(phrases)
+        found = np.flatnonzero(low < high)
+        many = (high - low)[found]
+        which = np.repeat(found, many)
+        row = np.repeat(low[found], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        at = index.locate(row)
+        text, start = texts[at], places[at]
+        order = np.lexsort((start, text))
+        text, start, which = text[order], start[order], which[order]
+        heads = np.append(run_starts(text), len(text))
+        for a, b in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
+            spans.setdefault(int(text[a]), []).append(np.stack([start[a:b], start[a:b] + width], axis=1))
+            own = items.setdefault(int(text[a]), set())
+            for w in np.unique(which[a:b]).tolist():
+                own.update(holders[w])
+    return n_words
+
+
+def _search(blocks: list):
+    """Spans and items of each text; the blocks of phrases are searched one after the other in each shard."""
+
     def rows(batches):
-        block = broadcast.value
         for batch in batches:
-            n_words, numbers, texts, places = _runs(block, batch.column("__text"))
             spans: dict[int, list] = {}
             items: dict[int, set] = {}
-            if len(numbers):
-                index = FMIndex(numbers, len(block.vocabulary))
-                for width, phrases, holders in block.groups:
-                    low, high = index.search(phrases)
-                    found = np.flatnonzero(low < high)
-                    many = (high - low)[found]
-                    which = np.repeat(found, many)
-                    row = np.repeat(low[found], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    at = index.locate(row)
-                    text, start = texts[at], places[at]
-                    order = np.lexsort((start, text))
-                    text, start, which = text[order], start[order], which[order]
-                    heads = np.append(run_starts(text), len(text))
-                    for a, b in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
-                        spans.setdefault(int(text[a]), []).append(np.stack([start[a:b], start[a:b] + width], axis=1))
-                        own = items.setdefault(int(text[a]), set())
-                        for w in np.unique(which[a:b]).tolist():
-                            own.update(holders[w])
-            n = batch.num_rows
-            old_spans, old_items = batch.column("__spans").to_pylist(), batch.column("__items").to_pylist()
-            all_spans = [(old_spans[i] or []) + [s.astype(np.uint32).tobytes() for s in spans.get(i, [])] for i in range(n)]
-            all_items = [sorted(set(old_items[i] or []) | items.get(i, set())) for i in range(n)]
-            if not last:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("__row"), batch.column("__text"), pa.array(all_spans, pa.list_(pa.binary())), pa.array(all_items, pa.list_(pa.string()))], ["__row", "__text", "__spans", "__items"]
-                )
-                continue
-            merged = [_merge(s) for s in all_spans]
+            for block in blocks:
+                n_words = _found(block.value, batch.column("__text"), spans, items)
+            merged = [_merge(spans[i]) if i in spans else [] for i in range(len(batch))]
             n_hit = np.array([sum(b - a for a, b in m) for m in merged], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("__row"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in m] for m in merged], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(all_items, pa.list_(pa.string()))],
-                ["__row", "n_words", "n_hit", "spans", "items"],
-            )
+            cells = pa.array([[{"start": a, "stop": b} for a, b in m] for m in merged], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+            held = pa.array([sorted(items.get(i, ())) for i in range(len(batch))], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(n_words, pa.int64()), pa.array(n_hit), cells, held], ["__row", "n_words", "n_hit", "spans", "items"])
 
     return rows
 
 
-def _merge(cells: list[bytes]) -> list[tuple[int, int]]:
-    """Disjoint spans, in order, that cover what the packed ones cover."""
-    if not cells:
-        return []
-    pairs = np.frombuffer(b"".join(cells), np.uint32).reshape(-1, 2).astype(np.int64)
+def _merge(parts: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Disjoint spans, in order, that cover what the given ones cover."""
+    pairs = np.concatenate(parts).astype(np.int64)
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     stop = np.maximum.accumulate(pairs[:, 1])
     heads = np.flatnonzero(np.append(True, pairs[1:, 0] > stop[:-1]))
@@ -175,18 +175,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         .groupBy("phrase")
         .agg(F.sort_array(F.collect_set("item")).alias("items"))
     )
+    phrases = cut(phrases)
     blocks = max(1, -(-phrases.count() // BLOCK_PHRASES))
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in new]).alias("__row"),
-        F.col(text_col).alias("__text"),
-        F.array().cast("array<binary>").alias("__spans"),
-        F.array().cast("array<string>").alias("__items"),
-    )
-    row_type = rows.schema["__row"].dataType.simpleString()
-    for b in range(blocks):
-        block = phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == b).collect()
-        last = b == blocks - 1
-        shape = "n_words long, n_hit long, spans array<struct<start: long, stop: long>>, items array<string>" if last else "__text string, __spans array<binary>, __items array<string>"
-        rows = rows.mapInArrow(_search(spark.sparkContext.broadcast(PhraseBlock(block)), last), f"__row {row_type}, {shape}")
+    rows = docs.select(F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in docs.columns if c not in new]).alias("__row"), F.col(text_col).alias("__text"))
+    of = lambda b: spark.sparkContext.broadcast(PhraseBlock(phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == b).collect()))
+    shape = f"__row {rows.schema['__row'].dataType.simpleString()}, n_words long, n_hit long, spans array<struct<start: long, stop: long>>, items array<string>"
+    found = rows.mapInArrow(_search([of(b) for b in range(blocks)]), shape)
     contaminated = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return rows.select("__row.*", "n_words", "n_hit", "spans", "items", contaminated.alias("contaminated"))
+    return found.select(*[F.col(f"__row.`{c}`") for c in docs.columns if c not in new], "n_words", "n_hit", "spans", "items", contaminated.alias("contaminated"))
