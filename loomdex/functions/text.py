@@ -201,7 +201,7 @@ def route_message(persona: Column, text: Column) -> Column:
 
 
 def document_intent(text: Column) -> Column:
-    """Substrings, so that "profile" asks for a file."""
+    """Substrings of the text lower-cased by Unicode rules, so that "profile" asks for a file."""
     return contains_any(F.lower(text), DOCUMENT_WORDS)
 
 

@@ -26,7 +26,7 @@ OUTCOMES = {
 
 
 def triage(subject: Column, body: Column, sender: Column) -> Column:
-    """(category, priority, pattern, action_items, suspicious): the first rule that fits; `pattern` names the injection found."""
+    """(category, priority, pattern, action_items, suspicious): the first rule that fits in the fields, lower-cased by Unicode rules; `pattern` names the injection found."""
     fields = {"subject": F.lower(F.coalesce(subject, F.lit(""))), "body": F.lower(F.coalesce(body, F.lit(""))), "sender": F.lower(F.coalesce(sender, F.lit("")))}
     pattern = F.get(F.filter(lit_array(INJECTIONS), lambda p: fields["body"].contains(p) | fields["subject"].contains(p)), F.lit(0))
 
