@@ -58,4 +58,13 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
-SQL = {"op3_url_filter": OP3, "op5_chat_format": OP5, "op9_substring_dedup": OP9, "op10_decontamination": OP10}
+_KEY = r"translate(regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+k AS (SELECT doc_id, ls, list_transform(ls, lambda l: {_KEY}) AS ks FROM d),
+r AS (SELECT k FROM (SELECT doc_id, unnest(list_distinct(ks)) AS k FROM k) WHERE k <> '' GROUP BY k HAVING count(*) >= 10),
+x AS (SELECT doc_id, unnest(ls) AS l, unnest(ks) AS k, generate_subscripts(ls, 1) AS i FROM k),
+s AS (SELECT doc_id, count(*) AS n_kept, string_agg(l, chr(10) ORDER BY i) AS kept FROM x ANTI JOIN r USING (k) GROUP BY doc_id)
+SELECT d.doc_id, len(ls) AS n_lines, len(ls) - coalesce(n_kept, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)"""
+
+SQL = {"op3_url_filter": OP3, "op5_chat_format": OP5, "op9_substring_dedup": OP9, "op10_decontamination": OP10, "op11_line_dedup": OP11}

@@ -12,6 +12,7 @@ from .chat_format import format_conversations, read_back
 from .decontam import decontaminate
 from .html_template import extract_text
 from .langid import identify, train
+from .line_dedup import dedup_lines
 from .lm_score import score
 from .mixing import mix_sources
 from .simhash import simhash_groups
@@ -107,6 +108,12 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, dropped lines and a digest of what is kept, without the lines that ten documents or more hold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -125,6 +132,7 @@ def queries():
         "op8_nearest": op8_nearest,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_decontamination": op10_decontamination,
+        "op11_line_dedup": op11_line_dedup,
         "pipeline": pipeline,
     }
 
