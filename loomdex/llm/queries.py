@@ -17,6 +17,7 @@ from .lm_score import score
 from .mixing import mix_sources
 from .simhash import simhash_groups
 from .substring import dedup_substrings
+from .turn_repair import repair_conversations
 from .url_filter import filter_urls, host_of, path_of
 
 #: Hosts whose pages make up the list of the URL filter's query.
@@ -114,6 +115,27 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows (conv, turn, role, text) with one row in four dropped, emptied, cut, repeated or given to the user, by its place."""
+    place = F.concat(F.coalesce(F.col("conv").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    rows = rows.select("conv", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), (F.crc32(place) % 20).alias("n")).where("n <> 0")
+    text = F.when(F.col("n") == 1, "").when(F.col("n") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.select("conv", "turn", F.when(F.col("n") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), "n")
+    return rows.withColumn("copy", F.explode(F.when(F.col("n") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).select("conv", "turn", "role", "text")
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation, after damage: faults, and the cheapest repair as its cost, its audit and a digest."""
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), "turn", "role", "text")
+    fixed = repair_conversations(_damaged(rows))
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["text"])), "\n")
+    fixed = fixed.select("conv", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", said.alias("said"))
+    every = rows.select(F.col("conv").alias("conv_id")).distinct()
+    out = every.join(fixed, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce("said", F.lit("")), 256).alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -133,6 +155,7 @@ def queries():
         "op9_substring_dedup": op9_substring_dedup,
         "op10_decontamination": op10_decontamination,
         "op11_line_dedup": op11_line_dedup,
+        "op13_turn_repair": op13_turn_repair,
         "pipeline": pipeline,
     }
 
