@@ -17,6 +17,7 @@ from .lm_score import score
 from .mixing import mix_sources
 from .simhash import simhash_groups
 from .substring import dedup_substrings
+from .token_align import group_text, score_alignments, tokenizer_files
 from .turn_repair import repair_conversations
 from .url_filter import filter_urls, host_of, path_of
 
@@ -115,6 +116,15 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: tokens of two tokenizers, their groups and links, and how usual the links are."""
+    sources = tokenizer_files(spark)
+    scored = score_alignments(_table(spark, sf_dir, "documents").select("doc_id", "text"), sources, keep_text=False)
+    sizes = [F.size(c).cast("long").alias(n) for c, n in (("a_ids", "n_a"), ("b_ids", "n_b"), ("a_sizes", "n_groups"))]
+    found = group_text(scored.select("doc_id", *sizes, "n_links", "n_best", "count_sum", "a_ids", "b_ids", "a_sizes", "b_sizes"), sources)
+    return found.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).drop("groups")
+
+
 def _damaged(rows: DataFrame) -> DataFrame:
     """Conversation rows (conv, turn, role, text) with one row in four dropped, emptied, cut, repeated or given to the user, by its place."""
     place = F.concat(F.coalesce(F.col("conv").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
@@ -155,6 +165,7 @@ def queries():
         "op9_substring_dedup": op9_substring_dedup,
         "op10_decontamination": op10_decontamination,
         "op11_line_dedup": op11_line_dedup,
+        "op12_token_align": op12_token_align,
         "op13_turn_repair": op13_turn_repair,
         "pipeline": pipeline,
     }

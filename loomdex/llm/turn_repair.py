@@ -173,7 +173,7 @@ def faults(turns: list[dict]) -> tuple[str, dict[str, int]]:
     signature, count, said, before = [], dict.fromkeys(_COLUMNS, 0), set(), None
     for t in turns:
         role, text = t["role"], t["text"].strip(_SPACE)
-        initial = role[:1] if role[:1] in _NEXT else "o"
+        initial = role[:1] if role[:1] in ("u", "a", "s") else "o"
         fault = "blank" if not text else "duplicate" if (role, t["text"]) in said else "truncated" if not text.endswith(_ENDS) else None
         if fault:
             count[fault] += 1
