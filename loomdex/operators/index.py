@@ -1,8 +1,12 @@
-"""A corpus index: words with counts and a hashed vector for each document, and document frequencies.
-
-Built in one pass over the texts and written to the shared folder; queries read only
-the columns they need of it. Counting and hashing are row-local, so nothing but the
-totals of words is shuffled.
+"""A corpus index: postings of words in buckets, lengths and hashed vectors of documents, and totals of words.
+
+Documents are counted in one pass over the texts and written to the shared folder. They
+are then inverted in segments of at most `SEGMENT` documents: a posting block is what one
+segment has of one word, ids with counts and lengths, and carries its largest count and
+its shortest document, which bound the score of any of its documents under any setting of
+BM25. Blocks lie in folders by a hash of their word, ordered by word, so a query opens the
+buckets of its words and of these the columns it needs. They are dealt to tasks by ranges
+of bucket, word and segment: a word of most documents is many blocks, and no task's alone.
 """
 
 from __future__ import annotations
@@ -14,23 +18,34 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.functions.text import LOWER, UPPER
-from loomdex.shared import written
+from loomdex.shared import shared_path, written
 
 DIM = 64
+#: Documents of a segment (at most 32,767), and bytes of text that are cut into words at once.
+SEGMENT, SLICE_BYTES = 512, 16 << 20
+#: Buckets at least and at most, and postings for each of them in between.
+LEAST_BUCKETS, MOST_BUCKETS, BUCKET_POSTINGS = 16, 4096, 1 << 20
 NO_WORD = r"[^\p{L}\p{N}]+"
 _WORD, _LOWER = regex.compile(r"[\p{L}\p{N}]+"), str.maketrans(UPPER, LOWER)
 
 
 @dataclass(frozen=True)
 class Index:
-    """documents (id, n, words, times, vector) and words (token, df, total); `size` documents of `mean` words."""
+    """documents (id, n, words, times, vector), words (token, df, total) and posting blocks; `size` documents of `mean` words.
+
+    A block is (bucket, token, segment, size, total, max_tf, min_n, ids, places, tfs, lengths);
+    places tell the documents of a segment apart.
+    """
 
     documents: DataFrame
     words: DataFrame
+    blocks: DataFrame
+    buckets: int
     size: int
     mean: float
 
@@ -39,6 +54,19 @@ class Index:
         """(id, vector) of documents with words."""
         return self.documents.select("id", "vector").where("vector is not null")
 
+    def bucket_of(self, token: Column) -> Column:
+        return bucket_of(token, self.buckets)
+
+    def blocks_of(self, vocabulary: DataFrame, broadcast: int) -> DataFrame:
+        """The blocks of the words of a vocabulary (token, each once): a scan of their buckets alone."""
+        buckets = [r[0] for r in vocabulary.select(self.bucket_of(F.col("token"))).distinct().toLocalIterator()]
+        known = F.broadcast(vocabulary) if vocabulary.count() <= broadcast else vocabulary
+        return self.blocks.where(F.col("bucket").isin(buckets)).join(known, "token")
+
+
+def bucket_of(token: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
 
 def _slots(words: list[str], dim: int) -> np.ndarray:
     """Two slots of each word, from the first and the second 32 bits of its md5."""
@@ -57,15 +85,26 @@ def hash_vectors(texts: list[str], dim: int = DIM) -> np.ndarray:
     return out / np.where(length > 0, length, 1)
 
 
+def _pieces(batch: pa.RecordBatch, rows: int, size: int = SLICE_BYTES):
+    """The batch in pieces of at most so many rows, and of so many bytes of text or one text."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+        to = min(max(to, at + 1), at + rows, len(batch))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _counted_rows(dim: int):
     def rows(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole, len(whole))):
             n = len(batch)
-            tokens = pc.split_pattern_regex(pc.ascii_lower(batch.column("text").fill_null("")), pattern=NO_WORD)
+            tokens = pc.split_pattern_regex(pc.ascii_lower(batch.column("text").fill_null("").cast(pa.large_string())), pattern=NO_WORD)
             flat = tokens.flatten()
             filled = pc.not_equal(flat, "")
             coded = flat.filter(filled).dictionary_encode()
-            words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            words, codes = coded.dictionary.cast(pa.string()), coded.indices.to_numpy().astype(np.int64)
             ends = np.append(0, np.cumsum(filled.to_numpy(zero_copy_only=False)))[np.append(0, np.cumsum(tokens.value_lengths().to_numpy()))]
             sizes = np.diff(ends)
             pairs, times = np.unique(np.repeat(np.arange(n), sizes) * max(1, len(words)) + codes, return_counts=True)
@@ -113,15 +152,50 @@ def word_totals(counted: DataFrame) -> DataFrame:
     return sent.groupBy("token").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = DIM) -> Index:
-    """The index of documents (id, text), written to the shared folder. Null texts have no words; repeated ids are documents of their own."""
-    documents = written(count_words(docs, id_col, text_col, dim=dim), "index-documents")
-    size, mean = documents.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0))).first()
-    return Index(documents, written(word_totals(documents), "index-words"), size, mean)
+def _posting_blocks(segment: int):
+    """What each segment of counted documents has of each of its words."""
+
+    def rows(batches):
+        task, number = TaskContext.get().partitionId(), 0
+        for whole in batches:
+            for at in range(0, len(whole), segment):
+                batch = whole.slice(at, segment)
+                coded = batch.column("words").flatten().dictionary_encode()
+                code = coded.indices.to_numpy().astype(np.int64)
+                if not len(code):
+                    continue
+                doc = np.repeat(np.arange(len(batch)), batch.column("words").value_lengths().to_numpy())
+                order = np.argsort(code, kind="stable")
+                doc, tf = doc[order], batch.column("times").flatten().to_numpy()[order]
+                n = batch.column("n").to_numpy()[doc]
+                cuts = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
+                lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), x) for x in (batch.column("id").take(pa.array(doc)), pa.array(doc.astype(np.int16)), pa.array(tf), pa.array(n))]
+                heads = cuts[:-1]
+                plain = [np.diff(cuts).astype(np.int32), np.add.reduceat(tf.astype(np.int64), heads), np.maximum.reduceat(tf, heads), np.minimum.reduceat(n, heads)]
+                yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.full(len(heads), (task << 32) + number)), *map(pa.array, plain), *lists], ["token", "segment", "size", "total", "max_tf", "min_n", "ids", "places", "tfs", "lengths"])
+                number += 1
+
+    return rows
 
 
-def postings(index: Index, vocabulary: DataFrame, broadcast: int) -> DataFrame:
-    """(token, id, tf, n) of the words of a vocabulary (token), which is broadcast if it has at most `broadcast` words."""
-    vocabulary = vocabulary.select("token").distinct()
-    rows = index.documents.select("id", "n", F.explode(F.arrays_zip("words", "times")).alias("w")).select(F.col("w.words").alias("token"), "id", F.col("w.times").alias("tf"), "n")
-    return rows.join(F.broadcast(vocabulary) if vocabulary.count() <= broadcast else vocabulary, "token", "left_semi")
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = DIM, segment: int = SEGMENT) -> Index:
+    """The index of documents (id, text), written to the shared folder. Null texts have no words; repeated ids are documents of their own."""
+    documents = written(count_words(docs, id_col, text_col, dim=dim), "index-documents")
+    size, mean, n = documents.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, n // BUCKET_POSTINGS))
+    kind = documents.schema["id"].dataType.simpleString()
+    shape = f"token string, segment long, size int, total long, max_tf int, min_n long, ids array<{kind}>, places array<smallint>, tfs array<int>, lengths array<long>"
+    blocks = documents.select("id", "n", "words", "times").mapInArrow(_posting_blocks(segment), shape).withColumn("bucket", bucket_of(F.col("token"), buckets))
+    path = shared_path(docs.sparkSession, "index-postings")
+    # written in ranges of buckets, so a bucket is a few files
+    blocks.repartitionByRange("bucket", "token", "segment").sortWithinPartitions("bucket", "token", "segment").write.partitionBy("bucket").parquet(path)
+    blocks = docs.sparkSession.read.schema(blocks.schema).parquet(path)
+    words = written(blocks.groupBy("token").agg(F.sum("size").cast("long").alias("df"), F.sum("total").alias("total")), "index-words")
+    return Index(documents, words, blocks, buckets, size, mean)
+
+
+def postings(index: Index, vocabulary: DataFrame | None = None, broadcast: int = 0) -> DataFrame:
+    """(token, id, tf, n) of all words, or of those of a vocabulary (token), which is broadcast if it has at most `broadcast` words."""
+    blocks = index.blocks if vocabulary is None else index.blocks_of(vocabulary.select("token").distinct(), broadcast)
+    rows = blocks.select("token", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("p"))
+    return rows.select("token", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.lengths").alias("n"))

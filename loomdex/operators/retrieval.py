@@ -17,76 +17,138 @@ K1, B = 1.5, 0.75
 CANDIDATES = 40
 #: A query vocabulary of at most this many words is broadcast to the table of words.
 BROADCAST_WORDS = 200_000
-#: Products of a query's word and a document that a task holds at once, and cells of its table of scores.
-CHUNK_PRODUCTS, CHUNK_CELLS = 1 << 20, 1 << 22
-
-
-def _scored_rows(block, k: int, mean: float, k1: float, b: float):
-    """The k best queries' documents of each batch: a table of queries by documents, filled word by word."""
-
-    def rows(batches):
-        names, words, idf, starts, of, times = block.value
-        for batch in batches:
-            # by id, so that equal scores favour the smaller
-            batch = batch.take(pc.sort_indices(batch.column("id")))
-            sizes = batch.column("words").value_lengths().to_numpy()
-            word = pc.index_in(batch.column("words").flatten(), value_set=words)
-            known = word.is_valid().to_numpy(zero_copy_only=False)
-            word, doc = word.drop_null().to_numpy(), np.repeat(np.arange(len(batch)), sizes)[known]
-            tf, n = batch.column("times").flatten().to_numpy()[known], batch.column("n").to_numpy()[doc]
-            share = idf[word] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean))
-            fan = starts[word + 1] - starts[word]
-            # whole documents at a time
-            load = np.append(0, np.cumsum(np.bincount(doc, fan, len(batch))))
-            at = 0
-            while at < len(batch):
-                to = int(np.searchsorted(load, load[at] + CHUNK_PRODUCTS, side="right")) - 1
-                to = min(max(at + 1, to), at + max(1, CHUNK_CELLS // len(names)), len(batch))
-                x, y = np.searchsorted(doc, (at, to))
-                f = fan[x:y]
-                place = np.repeat(starts[word[x:y]] - np.append(0, np.cumsum(f)[:-1]), f) + np.arange(f.sum())
-                cell = of[place] * (to - at) + np.repeat(doc[x:y] - at, f)
-                scores = np.bincount(cell, times[place] * np.repeat(share[x:y], f), len(names) * (to - at))
-                yield best_cells(names, batch.column("id").slice(at, to - at), np.round(scores.reshape(len(names), -1), 9), k)
-                at = to
-
-    return rows
-
-
-def bm25_top_k(queries: DataFrame, index: Index, k: int, terms: Column | None = None, k1: float = K1, b: float = B) -> DataFrame:
+#: Segments whose documents are scored first for each query, to know what its others have to reach.
+FIRST_SEGMENTS = 2
+#: Products of a query's word and a document that a task holds at once.
+CHUNK_PRODUCTS = 1 << 20
+#: Scores are compared to nine digits.
+_SLACK = 1e-8
+
+
+def _share(tf, n, mean: float, k1: float, b: float):
+    """What a word adds to the score of a document, but for its weight: grows with tf and falls with n."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean))
+
+
+class _Terms:
+    """The words of a block of queries with their weights, by word."""
+
+    def __init__(self, rows: pa.Table, size: int):
+        words, names = rows["token"].combine_chunks().dictionary_encode(), rows["query_id"].combine_chunks().dictionary_encode()
+        word = words.indices.to_numpy()
+        order = np.argsort(word, kind="stable")
+        df = rows["df"].to_numpy()
+        self.words, self.names = words.dictionary, names.dictionary
+        self.starts = np.searchsorted(word[order], np.arange(len(words.dictionary) + 1))
+        self.query = names.indices.to_numpy()[order].astype(np.int64)
+        self.weight = (rows["times"].to_numpy() * np.log((size - df + 0.5) / (df + 0.5) + 1))[order]
+
+    def table(self) -> pa.Table:
+        """(query_id, token, weight), a row for each word of a query."""
+        word = np.repeat(np.arange(len(self.words)), np.diff(self.starts))
+        return pa.table({"query_id": self.names.take(pa.array(self.query)), "token": self.words.take(pa.array(word)), "weight": pa.array(self.weight)})
+
+
+def _scored_segments(terms, k: int, mean: float, k1: float, b: float):
+    """The k best documents of a segment for each query that asks it."""
+
+    def score(blocks: pa.Table, asking: pa.Table) -> pa.Table:
+        all_terms = terms.value
+        empty = pa.table({"query_id": all_terms.names.slice(0, 0), "id": blocks["ids"].combine_chunks().flatten().slice(0, 0), "score": pa.array([], pa.float64())})
+        if not len(blocks) or not len(asking):
+            return empty
+        row_of = np.full(len(all_terms.names), -1)
+        asked = np.unique(pc.index_in(asking["query_id"].combine_chunks(), value_set=all_terms.names).to_numpy())
+        row_of[asked] = np.arange(len(asked))
+        word = pc.index_in(blocks["token"].combine_chunks(), value_set=all_terms.words).to_numpy()
+        lists = [blocks[c].combine_chunks() for c in ("ids", "places", "tfs", "lengths")]
+        sizes = lists[0].value_lengths().to_numpy().astype(np.int64)
+        places, first = np.unique(lists[1].flatten().to_numpy(), return_index=True)
+        ids, (doc, tf, n) = lists[0].flatten().take(pa.array(first)), (x.flatten().to_numpy() for x in lists[1:])
+        # by id, so that equal scores favour the smaller
+        by_id = pc.sort_indices(ids).to_numpy()
+        column = np.empty(len(by_id), np.int64)
+        column[by_id] = np.arange(len(by_id))
+        doc, ordered = column[np.searchsorted(places, doc)], ids.take(pa.array(by_id))
+        share = _share(tf, n, mean, k1, b)
+        first = np.append(0, np.cumsum(sizes))
+        scores = np.zeros((len(asked), len(ordered)))
+        for w, x, y in zip(word.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+            rows = row_of[all_terms.query[all_terms.starts[w] : all_terms.starts[w + 1]]]
+            weight = all_terms.weight[all_terms.starts[w] : all_terms.starts[w + 1]][rows >= 0]
+            rows = rows[rows >= 0]
+            for at in range(0, len(rows), max(1, CHUNK_PRODUCTS // (y - x))):
+                to = at + max(1, CHUNK_PRODUCTS // (y - x))
+                scores[rows[at:to, None], doc[None, x:y]] += weight[at:to, None] * share[None, x:y]
+        best = best_cells(all_terms.names.take(pa.array(asked)).to_numpy(zero_copy_only=False), ordered, np.round(scores, 9), k)
+        return pa.Table.from_batches([best]).cast(empty.schema)
+
+    return score
+
+
+def segment_bounds(index: Index, asked: DataFrame, buckets: list[int], mean: float, k1: float, b: float) -> DataFrame:
+    """(query_id, segment, bound): what no document of the segment can pass for the query, from the blocks' bounds alone.
+
+    Of queries' weighted words (query_id, token, weight), and read from the words' buckets.
+    """
+    heads = index.blocks.where(F.col("bucket").isin(buckets)).select("token", "segment", "max_tf", "min_n")
+    bound = F.col("weight") * _share(F.col("max_tf"), F.col("min_n"), mean, k1, b)
+    return heads.join(F.broadcast(asked), "token").groupBy("query_id", "segment").agg(F.sum(bound).alias("bound"))
+
+
+def bm25_top_k(queries: DataFrame, index: Index, k: int, terms: Column | None = None, k1: float = K1, b: float = B, first: int = FIRST_SEGMENTS) -> DataFrame:
     """(query_id, id, score, rank) of queries (query_id, text): the best `k` by BM25, ties by smaller id.
 
     Query words count as often as they stand. `terms` replaces the words of a query.
-    Queries come in blocks of bounded size, each broadcast to one pass over the index;
-    a task keeps k rows a query, so only those are shuffled.
+
+    Queries come in blocks of bounded size, whose words and weights are broadcast. Of the
+    postings only the buckets of these words are read. The blocks' bounds tell how much a
+    query can score in a segment; its `first` segments by that are scored, and of the others
+    only those that may still reach the k-th score found (block-max). The result is the one
+    of scoring all. Segments are scored apart, each by the blocks that its queries ask for.
     """
     terms = T.tokenize(F.col("text")) if terms is None else terms
     asked = queries.select("query_id", F.explode(terms).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
     vocabulary = asked.select("token").distinct()
     known = index.words.join(F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_WORDS else vocabulary, "token", "left_semi").select("token", "df")
-    asked = asked.join(known, "token")
+    asked = asked.join(known, "token").withColumn("bucket", index.bucket_of(F.col("token")))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
+    spark, mean, found = queries.sparkSession, max(index.mean, 1.0), None
     for number in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toArrow()
         if not rows.num_rows:
             continue
-        words, names = rows["token"].combine_chunks().dictionary_encode(), rows["query_id"].combine_chunks().dictionary_encode()
-        word = words.indices.to_numpy()
-        order = np.argsort(word, kind="stable")
-        starts = np.searchsorted(word[order], np.arange(len(words.dictionary) + 1))
-        df = rows["df"].to_numpy()[order][starts[:-1]]
-        idf = np.log((index.size - df + 0.5) / (df + 0.5) + 1)
-        block = queries.sparkSession.sparkContext.broadcast((names.dictionary.to_numpy(zero_copy_only=False), words.dictionary, idf, starts, names.indices.to_numpy()[order].astype(np.int64), rows["times"].to_numpy()[order]))
-        source = index.documents.select("id", "n", "words", "times")
-        kinds = [x.schema[c].dataType.simpleString() for x, c in ((queries, "query_id"), (source, "id"))]
-        part = source.mapInArrow(_scored_rows(block, k, max(index.mean, 1.0), k1, b), f"query_id {kinds[0]}, id {kinds[1]}, score double")
+        block = _Terms(rows, index.size)
+        part = _pruned_top_k(spark, index, spark.sparkContext.broadcast(block), block.table(), sorted(set(rows["bucket"].to_pylist())), k, mean, k1, b, first)
         found = part if found is None else found.union(part)
     if found is None:
         found = queries.select("query_id").limit(0).crossJoin(index.documents.select("id").limit(0)).withColumn("score", F.lit(0.0))
     return top_k(found, "query_id", "score", "id", k)
 
 
+def _pruned_top_k(spark, index: Index, terms, weighted: pa.Table, buckets: list[int], k: int, mean: float, k1: float, b: float, first: int) -> DataFrame:
+    """(query_id, id, score) with the k best documents of each query of a block, from the segments that can hold them."""
+    asked = spark.createDataFrame(weighted)
+    kinds = [asked.schema["query_id"].dataType.simpleString(), index.blocks.schema["ids"].dataType.elementType.simpleString()]
+    postings = index.blocks.where(F.col("bucket").isin(buckets)).select("token", "segment", "ids", "places", "tfs", "lengths")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        # the blocks of words that a query asks a segment for
+        needed = pairs.join(F.broadcast(asked.select("query_id", "token")), "query_id").select("token", "segment").distinct()
+        chosen = postings.join(needed, ["token", "segment"], "left_semi")
+        return chosen.groupBy("segment").cogroup(pairs.groupBy("segment")).applyInArrow(_scored_segments(terms, k, mean, k1, b), f"query_id {kinds[0]}, id {kinds[1]}, score double")
+
+    bounds = cut(segment_bounds(index, asked, buckets, mean, k1, b))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment"))
+    head = cut(bounds.withColumn("place", place).where(F.col("place") <= first).select("query_id", "segment"))
+    best = cut(top_k(scored(head), "query_id", "score", "id", k))
+    # one row a query of the block
+    reached = best.where(F.col("rank") == k - 1).select("query_id", F.col("score").alias("reached"))
+    left = bounds.join(head, ["query_id", "segment"], "left_anti").join(F.broadcast(reached), "query_id", "left")
+    left = left.where(F.col("bound") >= F.coalesce("reached", F.lit(0.0)) - _SLACK).select("query_id", "segment")
+    return best.select("query_id", "id", "score").union(scored(left))
+
+
 def any_term_top_k(queries: DataFrame, index: Index, k: int = CANDIDATES) -> DataFrame:
     """BM25 over the terms that a cleaned query keeps; a query without terms has no rows."""
     terms = F.flatten(F.transform(T.query_terms(F.col("text")), lambda t: T.tokenize(t)))

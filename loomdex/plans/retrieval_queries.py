@@ -13,7 +13,7 @@ from loomdex.plans import sql as S
 from loomdex.plans.register import register
 from loomdex.plans.text_queries import _ANSWERS, _NEUTRAL, answers
 from loomdex.shared import cut
-from loomdex.sources.tables import table
+from loomdex.sources.tables import table, version
 
 QUERIES, SQL, query = register()
 
@@ -26,11 +26,10 @@ _INDEXES: dict[tuple, X.Index] = {}
 
 
 def index(spark, sf_dir):
-    """The index of the documents of a folder: built and written by the first query of a session that asks for it."""
-    docs = table(spark, sf_dir, "documents")
-    key = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()))
+    """The index of the documents of a folder: built and written by the first query of a session that asks for it, and again once its files have changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, version(spark, sf_dir, "documents"))
     if key not in _INDEXES:
-        _INDEXES[key] = X.build_index(docs)
+        _INDEXES[key] = X.build_index(table(spark, sf_dir, "documents"))
     return _INDEXES[key]
 
 
@@ -145,11 +144,32 @@ def pool_vectors(spark, sf_dir):
 # ---- ranking ----
 
 
-@query(f"SELECT token, count(*) AS df, sum(tf)::BIGINT AS total FROM (SELECT token, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({S.tokens('text')}) AS token FROM documents) GROUP BY ALL) GROUP BY token")
+_POSTINGS = f"SELECT token, id, n, count(*) AS tf FROM (SELECT doc_id AS id, len(t) AS n, unnest(t) AS token FROM (SELECT doc_id, {S.tokens('text')} AS t FROM documents)) GROUP BY ALL"
+
+
+@query(f"SELECT token, id, tf::INT AS tf, n, count(*) OVER (PARTITION BY token) AS df FROM ({_POSTINGS})")
 def inverted_index(spark, sf_dir):
+    """All postings of the written index, with their words' document frequencies."""
+    built = index(spark, sf_dir)
+    return X.postings(built).join(built.words.select("token", "df"), "token")
+
+
+@query(f"SELECT token, count(*) AS df, sum(tf)::BIGINT AS total FROM ({_POSTINGS}) GROUP BY token")
+def word_totals(spark, sf_dir):
     return X.word_totals(X.count_words(table(spark, sf_dir, "documents")))
 
 
+@query(
+    f"""WITH p AS ({_POSTINGS}), a AS (SELECT DISTINCT unnest({S.tokens('text')}) AS token FROM benchmark)
+    SELECT token, count(*) AS df, sum(tf)::BIGINT AS total, max(tf)::INT AS max_tf, min(n) AS min_n FROM p SEMI JOIN a USING (token) GROUP BY token"""
+)
+def posting_bounds(spark, sf_dir):
+    """Of the words that the questions ask for, read from their buckets: the blocks' sizes and bounds, by word."""
+    asked = questions(spark, sf_dir).select(F.explode(T.tokenize(F.col("text"))).alias("token")).distinct()
+    blocks = index(spark, sf_dir).blocks_of(asked, R.BROADCAST_WORDS)
+    return blocks.groupBy("token").agg(F.sum("size").cast("long").alias("df"), F.sum("total").alias("total"), F.max("max_tf").alias("max_tf"), F.min("min_n").alias("min_n"))
+
+
 @query(f"SELECT count(*) AS documents, sum(len(t))::BIGINT AS words, (SELECT count(DISTINCT token) FROM (SELECT unnest({S.tokens('text')}) AS token FROM documents)) AS vocabulary, round(avg(len(t)), 6) AS mean FROM (SELECT {S.tokens('text')} AS t FROM documents)")
 def build_index(spark, sf_dir):
     """A new index, whatever the session has, and what it holds."""

@@ -25,8 +25,13 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The frame as Parquet in the shared folder, for many later reads of some of its columns."""
-    path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.parquet(path)
