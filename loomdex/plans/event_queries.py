@@ -160,13 +160,43 @@ def activity_segments(spark, sf_dir):
     return _plain(J.segments(events, "6 hours", 1800), "start", "stop")
 
 
-@query(
-    f"""{_RUNS}, f AS (SELECT *, floor((epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY key, run))) / 1e6 / 28800) AS part FROM r)
-    SELECT key, {_text('min(ts)')} AS start, {_text('max(ts)')} AS stop, count(*) AS n FROM f GROUP BY key, run, part HAVING max(ts) - min(ts) >= INTERVAL 30 MINUTE"""
-)
+#: Event after event: one opens a segment if the last is 6 hours back, or its segment's start 8 hours.
+_SPLIT = f"""WITH RECURSIVE e AS (SELECT user_id AS key, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    s AS (SELECT key, i, ts, ts AS start FROM e WHERE i = 1
+      UNION ALL SELECT e.key, e.i, e.ts, CASE WHEN e.ts - s.ts >= INTERVAL 6 HOUR OR e.ts - s.start >= INTERVAL 8 HOUR THEN e.ts ELSE s.start END FROM s JOIN e ON e.key = s.key AND e.i = s.i + 1)
+    SELECT key, {_text('start')} AS start, {_text('max(ts)')} AS stop, count(*) AS n FROM s GROUP BY key, start HAVING max(ts) - start >= INTERVAL 30 MINUTE"""
+
+
+@query(_SPLIT)
 def activity_segments_split(spark, sf_dir):
-    events = timed(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "at")
-    return _plain(J.segments_by_windows(events, 6 * 3600, 8 * 3600, 1800), "start", "stop")
+    events = timed(spark, sf_dir).select(F.col("user_id").alias("key"), "at")
+    return _plain(J.split_segments(events, 6 * 3600, 8 * 3600, 1800), "start", "stop")
+
+
+def arriving(spark, sf_dir, name):
+    """The events as a stream of files, and behind them one of another user that moves the watermark beyond all others."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    rows = timed(spark, sf_dir).select("event_id", "user_id", "event_type", "at")
+    last = rows.agg((F.coalesce(F.max("at"), F.timestamp_seconds(F.lit(0))) + F.expr("INTERVAL 30 DAYS")).alias("at"))
+    last = last.select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), "at")
+    rows.unionByName(last).write.parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), folder
+
+
+@query(SQL["ticket_confirmations"])
+def stream_tickets(spark, sf_dir):
+    """Tickets and confirmations as one stream, held by user until each ticket is confirmed or has expired."""
+    events, folder = arriving(spark, sf_dir, "tickets")
+    both = events.where("event_type in ('purchase', 'click', 'end')").select(F.col("user_id").alias("key"), "at", F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("ticket_id"))
+    return _plain(J.drained(J.stream_confirmations(both, 6 * 3600), folder, "append"), "confirmed").select("ticket_id", "key", "confirmed")
+
+
+@query(_SPLIT)
+def stream_segments(spark, sf_dir):
+    """The segments of activity_segments_split, of the events as a stream."""
+    events, folder = arriving(spark, sf_dir, "segments")
+    found = J.drained(J.stream_segments(events.select(F.col("user_id").alias("key"), "at"), 6 * 3600, 8 * 3600, 1800), folder, "append")
+    return _plain(found, "start", "stop")
 
 
 @query(f"SELECT {_text('time_bucket(INTERVAL 1 DAY, ts)')} AS start, tier, count(*) AS n FROM ({_DECIDED}) GROUP BY ALL")

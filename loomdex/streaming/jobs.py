@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomdex.streaming.state import STORE, Segments, Tickets, keyed
 
-def confirmations(tickets: DataFrame, confirms: DataFrame, seconds: int, delay: str = "10 minutes") -> DataFrame:
-    """(ticket_id, key, issued, confirmed) of tickets (ticket_id, key, issued) and confirms (key, at): the first confirmation in time, else null.
 
-    On streams both sides have watermarks, and a ticket expires when they have passed it.
-    """
-    if tickets.isStreaming:
-        tickets, confirms = tickets.withWatermark("issued", delay), confirms.withWatermark("at", delay)
+def confirmations(tickets: DataFrame, confirms: DataFrame, seconds: int) -> DataFrame:
+    """(ticket_id, key, issued, confirmed) of tickets (ticket_id, key, issued) and confirms (key, at): the first confirmation in time, else null."""
     other = confirms.withColumnRenamed("key", "c_key")
     in_time = (F.col("key") == F.col("c_key")) & (F.col("at") > F.col("issued")) & (F.col("at") <= F.col("issued") + F.expr(f"INTERVAL {seconds} SECONDS"))
-    joined = tickets.join(other, in_time, "left")
-    if tickets.isStreaming:
-        return joined.select("ticket_id", "key", "issued", F.col("at").alias("confirmed"))
-    return joined.groupBy("ticket_id", "key", "issued").agg(F.min("at").alias("confirmed"))
+    return tickets.join(other, in_time, "left").groupBy("ticket_id", "key", "issued").agg(F.min("at").alias("confirmed"))
+
+
+def stream_confirmations(events: DataFrame, seconds: int, delay: str = "0 seconds") -> DataFrame:
+    """confirmations() of one stream of both: events (key long, at, ticket_id long), where a null ticket_id is a confirmation.
+
+    One row a ticket: its first confirmation as soon as no earlier one can come, or null
+    once its time has passed. Events come in any order within `delay`. To be started by drained().
+    """
+    rows = events.select("key", "at", F.coalesce("ticket_id", F.lit(0)).alias("ticket_id"), F.col("ticket_id").isNotNull().alias("is_ticket"))
+    settled = keyed(rows.withWatermark("at", delay), "key", Tickets(seconds * 1_000_000))
+    return settled.select("ticket_id", "key", "issued", "confirmed")
 
 
 def segments(events: DataFrame, gap: str, least_seconds: float) -> DataFrame:
@@ -30,42 +34,39 @@ def segments(events: DataFrame, gap: str, least_seconds: float) -> DataFrame:
     return grouped.where(F.col("stop").cast("double") - F.col("start").cast("double") >= least_seconds).select("key", "start", "stop", "n")
 
 
-def segments_by_windows(events: DataFrame, gap_seconds: int, longest_seconds: int, least_seconds: float) -> DataFrame:
-    """segments() on a table, with runs also cut every `longest_seconds` after their start."""
-    order = Window.partitionBy("key").orderBy("at", "id")
-    seconds = F.col("at").cast("double")
-    rows = events.withColumn("opens", F.coalesce(seconds - F.lag(seconds).over(order) >= gap_seconds, F.lit(True)).cast("int"))
+def split_segments(events: DataFrame, gap_seconds: float, longest_seconds: float, least_seconds: float) -> DataFrame:
+    """segments() on a table (key, at), where an event `longest_seconds` or more behind the start of its segment also ends it and opens the next.
+
+    Where a segment ends depends on where it began, so the events between two gaps are
+    folded in order; gaps are found before, and each run is folded apart.
+    """
+    order = Window.partitionBy("key").orderBy("at")
+    rows = events.select("key", F.unix_micros("at").alias("at"))
+    opens = F.coalesce(F.col("at") - F.lag("at").over(order) >= round(gap_seconds * 1e6), F.lit(True)).cast("int")
+    rows = rows.withColumn("opens", opens)
     rows = rows.withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    first = F.min(seconds).over(Window.partitionBy("key", "run"))
-    rows = rows.withColumn("part", F.floor((seconds - first) / longest_seconds))
-    grouped = rows.groupBy("key", "run", "part").agg(F.min("at").alias("start"), F.max("at").alias("stop"), F.count("*").alias("n"))
-    return grouped.where(F.col("stop").cast("double") - F.col("start").cast("double") >= least_seconds).select("key", "start", "stop", "n")
+    runs = rows.groupBy("key", "run").agg(F.sort_array(F.collect_list("at")).alias("times"))
+    one = lambda start, stop, n: F.struct(start.alias("start"), stop.alias("stop"), n.alias("n"))
+    first = F.col("times")[0]
+    nothing = F.lit(0).cast("long")
+    state = F.struct(first.alias("start"), first.alias("stop"), nothing.alias("n"), F.slice(F.array(one(first, first, nothing)), 1, 0).alias("done"))
+
+    def step(held, at):
+        breaks = at - held["start"] >= round(longest_seconds * 1e6)
+        closed = F.concat(held["done"], F.array(one(held["start"], held["stop"], held["n"])))
+        cut = F.struct(at.alias("start"), at.alias("stop"), F.lit(1).cast("long").alias("n"), closed.alias("done"))
+        on = F.struct(held["start"].alias("start"), at.alias("stop"), (held["n"] + 1).alias("n"), held["done"].alias("done"))
+        return F.when(breaks, cut).otherwise(on)
+
+    folded = F.aggregate("times", state, step, lambda held: F.concat(held["done"], F.array(one(held["start"], held["stop"], held["n"]))))
+    found = runs.select("key", F.inline(folded)).where(F.col("stop") - F.col("start") >= round(least_seconds * 1e6))
+    return found.select("key", F.timestamp_micros("start").alias("start"), F.timestamp_micros("stop").alias("stop"), "n")
 
 
-def split_stream_segments(events: DataFrame, gap_seconds: int, longest_seconds: int, least_seconds: float) -> DataFrame:
-    """Segments of a stream (key long, at timestamp) that also end `longest_seconds` after their start: state is one open segment a key."""
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            start, stop, n = state.get
-            state.remove()
-            done = [(start, stop, n)]
-        else:
-            times = sorted(t.timestamp() for f in frames for t in f["at"])
-            start, stop, n = state.get if state.exists else (times[0], times[0], 0)
-            done = []
-            for t in times:
-                if n and (t - stop >= gap_seconds or t - start >= longest_seconds):
-                    done.append((start, stop, n))
-                    start, n = t, 0
-                stop, n = max(stop, t) if n else t, n + 1
-            state.update((start, stop, n))
-            state.setTimeoutTimestamp(int((stop + gap_seconds) * 1000) + 1)
-        rows = [(key[0], pd.Timestamp(round(a * 1e6), unit="us"), pd.Timestamp(round(b * 1e6), unit="us"), c) for a, b, c in done if b - a >= least_seconds]
-        yield pd.DataFrame(rows, columns=["key", "start", "stop", "n"]).astype({"key": "int64", "start": "datetime64[us]", "stop": "datetime64[us]", "n": "int64"})
-
-    watched = events.withWatermark("at", "0 seconds").groupBy("key")
-    return watched.applyInPandasWithState(advance, "key long, start timestamp, stop timestamp, n long", "start double, stop double, n long", "append", "EventTimeTimeout")
+def stream_segments(events: DataFrame, gap_seconds: float, longest_seconds: float, least_seconds: float, delay: str = "0 seconds") -> DataFrame:
+    """split_segments() of a stream (key long, at timestamp), whose events come in any order within `delay`. To be started by drained()."""
+    sizes = [round(s * 1e6) for s in (gap_seconds, longest_seconds, least_seconds)]
+    return keyed(events.select("key", "at").withWatermark("at", delay), "key", Segments(*sizes))
 
 
 def rates(decisions: DataFrame, length: str, slide: str | None = None, late: str | None = None) -> DataFrame:
@@ -104,11 +105,18 @@ def mail_stream(files: DataFrame, parse: Callable[[DataFrame], DataFrame], triag
 
 def drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:
     """What a stream has given when all that is there has arrived; its rows and state are in the folder, not on the driver."""
-    out = f"{folder}/rows"
+    out, conf = f"{folder}/rows", stream.sparkSession.conf
 
     def write(batch: DataFrame, number: int) -> None:
         # each batch has its own folder, and a batch that runs again overwrites it; a complete result replaces all before it
         batch.write.mode("overwrite").parquet(f"{out}/last" if mode == "complete" else f"{out}/batch={number}")
 
-    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    before = conf.get(STORE[0], None)
+    conf.set(*STORE)
+    try:
+        # a stream keeps the store that it was started with
+        query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    finally:
+        conf.unset(STORE[0]) if before is None else conf.set(STORE[0], before)
+    query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/last" if mode == "complete" else out).select(*stream.columns)

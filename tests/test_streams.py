@@ -1,5 +1,8 @@
 """Streams give what the same job gives on the whole table."""
 
+import datetime
+import math
+
 import pytest
 from loomdex.operators import chunking as C
 from loomdex.operators import mail as M
@@ -41,11 +44,43 @@ def test_segments(spark, parts, tmp_path):
     assert got == batch
 
 
-def test_split_segments(spark, parts, tmp_path):
+def segments_one_by_one(events, gap, longest, least):
+    """(key, start, stop, n) by walking the events of each key, times in seconds."""
+    out = []
+    for key in {k for k, _ in events}:
+        times, held = sorted(t for k, t in events if k == key), None
+        for t in [*times, math.inf]:
+            if held and (t - held[1] >= gap or t - held[0] >= longest):
+                out.append((key, *held))
+                held = None
+            held = (held[0], t, held[2] + 1) if held else (t, t, 1)
+    return sorted(o for o in out if o[2] - o[1] >= least)
+
+
+def keyed_seconds(rows):
+    return sorted((r.key, r.start.timestamp(), r.stop.timestamp(), r.n) for r in rows.collect())
+
+
+@pytest.mark.parametrize("longest", [3 * 3600, 8 * 3600, 10**9])
+def test_split_segments_in_batch(spark, parts, longest):
+    events = parts[0].select(F.col("user_id").alias("key"), "at")
+    expected = segments_one_by_one([(r.key, r["at"].timestamp()) for r in events.collect()], 6 * 3600, longest, 1800)
+    assert keyed_seconds(J.split_segments(events, 6 * 3600, longest, 1800)) == expected
+
+
+def test_a_segment_restarts_at_the_event_that_breaks_it(spark):
+    """At a limit of 30, the times 0, 29, 45, 62 are two segments: 45 opens one that lasts until 75."""
+    frame = spark.createDataFrame([(1, float(t)) for t in (0, 29, 45, 62)], "key long, s double").select("key", F.timestamp_seconds("s").alias("at"))
+    assert keyed_seconds(J.split_segments(frame, 100, 30, 0)) == [(1, 0, 29, 2), (1, 45, 62, 2)]
+    assert J.split_segments(frame.limit(0), 100, 30, 0).collect() == []
+
+
+def test_split_segments_on_a_stream(spark, parts, tmp_path):
     events, folder = parts
-    batch = J.segments_by_windows(events.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "at"), 6 * 3600, 10**9, 1800)
-    got = run(spark, J.split_stream_segments(stream(spark, folder).select(F.col("user_id").alias("key"), "at"), 6 * 3600, 10**9, 1800), tmp_path, "split_out")
-    assert [(k, n) for k, _, _, n in got] == sorted((r.key, r.n) for r in batch.orderBy("key", "start").collect()) or len(got) == batch.count()
+    own = lambda rows: rows.select(F.col("user_id").alias("key"), "at")
+    batch = keyed_seconds(J.split_segments(own(events), 6 * 3600, 8 * 3600, 1800))
+    got = J.drained(J.stream_segments(own(stream(spark, folder)), 6 * 3600, 8 * 3600, 1800), str(tmp_path / "split"), "append")
+    assert keyed_seconds(got) == batch and len(batch) != J.split_segments(own(events), 6 * 3600, 10**9, 1800).count()
 
 
 def test_rates(spark, parts, tmp_path):
@@ -58,18 +93,24 @@ def test_rates(spark, parts, tmp_path):
 
 def test_confirmations(spark, parts, tmp_path):
     events, folder = parts
-    def sides(rows):
-        tickets = rows.where("event_type = 'purchase'").select(F.col("event_id").alias("ticket_id"), F.col("user_id").alias("key"), F.col("at").alias("issued"))
-        return tickets, rows.where("event_type = 'click'").select(F.col("user_id").alias("key"), "at")
-
-    batch = {tuple(r) for r in J.confirmations(*sides(events), 6 * 3600).collect()}
-    tickets, _ = sides(stream(spark, folder))
-    _, confirms = sides(stream(spark, folder))
-    last = run(spark, J.confirmations(tickets, confirms, 6 * 3600), tmp_path, "tickets_out")
-    first = {}
-    for ticket, key, issued, at in last:
-        first[ticket] = (ticket, key, issued, min(at, first[ticket][3]) if ticket in first and at and first[ticket][3] else at)
-    assert set(first.values()) <= batch and len(first) >= 0.9 * len(batch)
+    tickets = events.where("event_type = 'purchase'").select(F.col("event_id").alias("ticket_id"), F.col("user_id").alias("key"), F.col("at").alias("issued"))
+    confirms = events.where("event_type = 'click'").select(F.col("user_id").alias("key"), "at")
+    batch = sorted(map(tuple, J.confirmations(tickets, confirms, 6 * 3600).collect()), key=repr)
+    both = stream(spark, folder).where("event_type in ('purchase', 'click')").select(F.col("user_id").alias("key"), "at", F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("ticket_id"))
+    got = sorted(map(tuple, J.drained(J.stream_confirmations(both, 6 * 3600), str(tmp_path / "tickets"), "append").collect()), key=repr)
+    assert got == batch and len({r[0] for r in got}) == len(got) and any(r[3] for r in got) and not all(r[3] for r in got)
+
+
+def test_confirmations_in_any_order_within_the_delay(spark, tmp_path):
+    """Confirmations that arrive before their ticket, or after a later one, still count as the first."""
+    second = lambda s: datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(seconds=s)
+    batches = [[(1, 50, None), (1, 100, None)], [(1, 10, 7), (1, 40, None), (2, 0, 8)], [(1, 90, 9)], [(1, 10_000, None), (2, 10_000, None), (1, 9_990, 10)], [(3, 10**6, None)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame([(k, second(t), n) for k, t, n in rows], "key long, at timestamp, ticket_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema("key long, at timestamp, ticket_id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = J.drained(J.stream_confirmations(arriving, 120, "200 seconds"), str(tmp_path / "out"), "append").collect()
+    since = lambda t: t and t.timestamp() - second(0).timestamp()
+    assert sorted((r.ticket_id, r.key, since(r.issued), since(r.confirmed)) for r in got) == [(7, 1, 10, 40), (8, 2, 0, None), (9, 1, 90, 100), (10, 1, 9990, 10000)]
 
 
 def test_ingest_counts_each_document_once(spark, tiny, tmp_path):
