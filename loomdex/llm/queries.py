@@ -17,7 +17,7 @@ from .lm_score import score
 from .mixing import mix_sources
 from .simhash import simhash_groups
 from .substring import dedup_substrings
-from .token_align import group_text, score_alignments, tokenizer_files
+from .token_align import align_tokens, tokenizer_files
 from .turn_repair import repair_conversations
 from .url_filter import filter_urls, host_of, path_of
 
@@ -118,11 +118,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: tokens of two tokenizers, their groups and links, and how usual the links are."""
-    sources = tokenizer_files(spark)
-    scored = score_alignments(_table(spark, sf_dir, "documents").select("doc_id", "text"), sources, keep_text=False)
-    sizes = [F.size(c).cast("long").alias(n) for c, n in (("a_ids", "n_a"), ("b_ids", "n_b"), ("a_sizes", "n_groups"))]
-    found = group_text(scored.select("doc_id", *sizes, "n_links", "n_best", "count_sum", "a_ids", "b_ids", "a_sizes", "b_sizes"), sources)
-    return found.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).drop("groups")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = align_tokens(docs, tokenizer_files(spark), keep_text=False, lists=False, texts=True)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
 
 
 def _damaged(rows: DataFrame) -> DataFrame:

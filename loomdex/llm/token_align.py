@@ -17,25 +17,28 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdex.shared import written
 
-from .blobs import run_starts
+from .blobs import binary_cells, joined, run_starts
 from .tokens import text_slices
 
 #: Where the public tokenizers' files are.
 TOKENIZERS = "/opt/tokenizers"
-#: Bytes of text that ask for counts at once.
-SLICE_BYTES = 8 << 20
+#: Bytes of text that ask for counts at once, and that are cut into tokens at once.
+SLICE_BYTES, PIECE_BYTES = 2 << 20, 1 << 19
 #: Linked pairs that a task lists at once.
-PAIRS = 1 << 21
+PAIRS = 1 << 19
 
 #: Fixed value: the pattern by which byte-level BPE splits text before its merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -100,26 +103,29 @@ def _runs(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(lo - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum()), of
 
 
-def _middle_cuts(a: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Of A's ends lo..hi-1 of each interval, the one nearest to the middle that B shares (the left of two); -1 if it shares none."""
-    found = np.full(len(lo), -1)
-    middle = (lo + hi - 1) // 2
-    pending, near, far = np.flatnonzero(hi > lo), 0, 1
+def _middle_cuts(a: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of A's ends lo..hi-1 of each interval, the one nearest to the middle that B shares (the left of two), and its place in B; -1 if it shares none."""
+    middle = np.maximum((lo + hi - 1) // 2, lo)
+    at = np.minimum(np.searchsorted(b, a[middle]), len(b) - 1)
+    hit = (b[at] == a[middle]) & (hi > lo)
+    found, place = np.where(hit, middle, -1), np.where(hit, at, -1)
+    # most middles are shared; around the others the search widens
+    pending, near, far = np.flatnonzero(~hit & (hi - lo > 1)), 1, 2
     while len(pending):
         l, h, m = lo[pending], hi[pending], middle[pending]
         left, of_left = _runs(np.maximum(l, m - far + 1), m - near + 1)
-        right, of_right = _runs(m + max(near, 1), np.minimum(h, m + far))
-        place, of = np.concatenate([left, right]), np.concatenate([of_left, of_right])
-        at = np.searchsorted(b, a[place])
-        shared = b[np.minimum(at, len(b) - 1)] == a[place]
-        place, of = place[shared], of[shared]
+        right, of_right = _runs(m + near, np.minimum(h, m + far))
+        end, of = np.concatenate([left, right]), np.concatenate([of_left, of_right])
+        at = np.minimum(np.searchsorted(b, a[end]), len(b) - 1)
+        shared = b[at] == a[end]
+        end, of, at = end[shared], of[shared], at[shared]
         # the nearest of each interval, the left one first
-        order = np.lexsort((place > m[of], np.abs(place - m[of]), of))
+        order = np.lexsort((end > m[of], np.abs(end - m[of]), of))
         heads = order[run_starts(of[order])]
-        found[pending[of[heads]]] = place[heads]
-        open_ = (found[pending] < 0) & ((m - far >= l) | (m + far < h))
-        pending, near, far = pending[open_], far, 2 * far
-    return found
+        found[pending[of[heads]]], place[pending[of[heads]]] = end[heads], at[heads]
+        pending = pending[(found[pending] < 0) & ((m - far >= l) | (m + far < h))]
+        near, far = far, 2 * far
+    return found, place
 
 
 def shared_groups(a: np.ndarray, b: np.ndarray, a_first: np.ndarray, b_first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,13 +139,17 @@ def shared_groups(a: np.ndarray, b: np.ndarray, a_first: np.ndarray, b_first: np
     ends_a, ends_b = [], []
     while len(lo):
         # the last end of an interval is shared anyway; only those before it split it
-        cut = np.where(b_hi - b_lo > 1, _middle_cuts(a, b, lo, np.where(b_hi - b_lo > 1, hi - 1, lo)), -1)
+        split = (hi - lo > 1) & (b_hi - b_lo > 1)
+        ends_a.append(hi[~split])
+        ends_b.append(b_hi[~split])
+        lo, hi, b_lo, b_hi = lo[split], hi[split], b_lo[split], b_hi[split]
+        cut, other = _middle_cuts(a, b, lo, hi - 1)
         leaf = cut < 0
         ends_a.append(hi[leaf])
         ends_b.append(b_hi[leaf])
-        lo, hi, b_lo, b_hi, cut = (x[~leaf] for x in (lo, hi, b_lo, b_hi, cut))
-        other = np.searchsorted(b, a[cut]) + 1
-        lo, hi, b_lo, b_hi = np.concatenate([lo, cut + 1]), np.concatenate([cut + 1, hi]), np.concatenate([b_lo, other]), np.concatenate([other, b_hi])
+        lo, hi, b_lo, b_hi, cut, other = (x[~leaf] for x in (lo, hi, b_lo, b_hi, cut + 1, other + 1))
+        # halves side by side, so that all intervals stay in order
+        lo, hi, b_lo, b_hi = (np.stack(x, axis=1).ravel() for x in ((lo, cut), (cut, hi), (b_lo, other), (other, b_hi)))
     if not ends_a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.sort(np.concatenate(ends_a)), np.sort(np.concatenate(ends_b))
@@ -147,23 +157,73 @@ def shared_groups(a: np.ndarray, b: np.ndarray, a_first: np.ndarray, b_first: np
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     first = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int64, first[-1]), first
+    return np.fromiter(chain.from_iterable(lists), np.int64, first[-1]), first
 
 
-def _list_column(values: np.ndarray, first: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, pa.int32()))
+ARRAYS = ("a_ids", "b_ids", "a_sizes", "b_sizes")
 
 
-ARRAYS = ("a_ids", "b_ids", "a_sizes", "b_sizes")
+def _sizes_to_bytes(sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes as bytes: 255 as often as it fits, then the rest; and where each row begins."""
+    count = sizes // 255 + 1
+    ends = np.append(0, np.cumsum(count))
+    out = np.full(ends[-1], 255, np.uint8)
+    out[ends[1:] - 1] = sizes % 255
+    return out, ends[first]
+
+
+def _packed(a, b, a_first, b_first, a_end, b_end) -> list[pa.Array]:
+    """Ids and group sizes of each text in binary cells, about as many bytes as the text."""
+    g_first = np.append(0, np.searchsorted(a_end, a_first[1:], side="right"))
+    sizes = [_sizes_to_bytes(np.diff(np.append(0, e)), g_first) for e in (a_end, b_end)]
+    return [binary_cells(a.astype(np.uint16), a_first), binary_cells(b.astype(np.uint16), b_first), *[binary_cells(*s) for s in sizes]]
+
+
+@dataclass
+class Aligned:
+    """Tokens and group sizes of texts, and where those of each text begin."""
+
+    a: np.ndarray
+    b: np.ndarray
+    a_sizes: np.ndarray
+    b_sizes: np.ndarray
+    a_first: np.ndarray
+    b_first: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, table) -> Aligned:
+        """From the packed cells of a table or batch."""
+        parts = []
+        for name, kind in zip(ARRAYS, (np.uint16, np.uint16, np.uint8, np.uint8), strict=True):
+            column = table.column(name)
+            column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+            ends = np.append(0, np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))).astype(np.int64)
+            values = joined(column, kind).astype(np.int64)
+            if kind is np.uint8:
+                heads = np.append(0, np.flatnonzero(values < 255) + 1)
+                ends = np.searchsorted(heads, ends)
+                values = np.add.reduceat(values, heads[:-1]) if len(values) else values
+            else:
+                ends //= 2
+            parts.append((values, ends))
+        (a, a_first), (b, b_first), (a_sizes, first), (b_sizes, _) = parts
+        return cls(a, b, a_sizes, b_sizes, a_first, b_first, first)
+
+    def lists(self) -> list[pa.Array]:
+        """The four as list columns."""
+        columns = ((self.a, self.a_first), (self.b, self.b_first), (self.a_sizes, self.first), (self.b_sizes, self.first))
+        return [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, pa.int32())) for values, first in columns]
 
 
 def _aligned_rows(sources):
     def rows(batches):
         one, two = (_tokenizer(k, s) for k, s in zip((ByteBPE, PieceBPE), sources.value, strict=True))
         sizes = [np.array([len(p) for p in t.pieces]) for t in (one, two)]
-        task, number = TaskContext.get().partitionId(), 0
+        # slices of a task, each of so many bytes
+        read, task = 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            for at, n, data, offsets in text_slices(batch.column("__text"), SLICE_BYTES):
+            for at, n, data, offsets in text_slices(batch.column("__text"), PIECE_BYTES):
                 whole = data.tobytes()
                 raw = [whole[offsets[i] : offsets[i + 1]] for i in range(n)]
                 texts = [r.decode() for r in raw]
@@ -174,49 +234,34 @@ def _aligned_rows(sources):
                 same = [bool(x and y) for x, y in zip(*coded, strict=True)]
                 (a, a_first), (b, b_first) = (_flat([x if s else [] for x, s in zip(c, same, strict=True)]) for c in coded)
                 a_end, b_end = shared_groups(np.cumsum(sizes[0][a]), np.cumsum(sizes[1][b]), a_first, b_first)
-                g_first = np.append(0, np.searchsorted(a_end, a_first[1:], side="right"))
-                columns = [_list_column(a, a_first), _list_column(b, b_first), _list_column(np.diff(np.append(0, a_end)), g_first), _list_column(np.diff(np.append(0, b_end)), g_first)]
-                yield pa.RecordBatch.from_arrays([batch.column("__row").slice(at, n), pa.array(np.full(n, (task << 32) + number)), *columns], ["__row", "slice", *ARRAYS])
-                number += 1
+                yield pa.RecordBatch.from_arrays([batch.column("__row").slice(at, n), pa.array(np.full(n, task + read // SLICE_BYTES)), *_packed(a, b, a_first, b_first, a_end, b_end)], ["__row", "slice", *ARRAYS])
+                read += len(data)
 
     return rows
 
 
-def align_tokens(docs: DataFrame, sources, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """(__row, slice, a_ids, b_ids, a_sizes, b_sizes) of documents: tokens of both kinds in order, and how many of each every group has.
-
-    `sources` are tokenizer_files(). `__row` holds all columns of `docs`, the text only with
-    `keep_text`. Texts that are null or empty, or whose tokens of either kind do not spell a
-    space and the text, have no tokens.
-    """
+def _align(docs: DataFrame, sources, text_col: str, keep_text: bool) -> DataFrame:
+    """(__row, slice, packed tokens and sizes) of documents; `__row` holds all other columns, the text only with `keep_text`."""
     kept = [F.col(f"`{c}`") for c in docs.columns if keep_text or c != text_col]
     rows = docs.select(F.struct(F.lit(0).alias("__none"), *kept).alias("__row"), F.col(f"`{text_col}`").alias("__text"))
     shape = rows.schema["__row"].dataType.simpleString()
-    return rows.mapInArrow(_aligned_rows(sources), f"__row {shape}, slice long, {', '.join(f'{c} array<int>' for c in ARRAYS)}")
-
-
-def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Flat values of a list column, and the place of each row's first."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy().astype(np.int64), np.append(0, np.cumsum(column.value_lengths().to_numpy())).astype(np.int64)
+    return rows.mapInArrow(_aligned_rows(sources), f"__row {shape}, slice long, {', '.join(f'{c} binary' for c in ARRAYS)}")
 
 
-def _links(table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _links(t: Aligned) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs (A id << 32 | B id), their rows and how many links each stands for, `PAIRS` or so at a time.
 
     Equal ids of a group are taken together; the same pair may come again from another group of a row.
     """
-    (a, _), (b, _), (a_sizes, first), (b_sizes, _) = (_values(table.column(c)) for c in ARRAYS)
-    groups = len(a_sizes)
+    groups = len(t.a_sizes)
     if not groups:
         return
     sides = []
-    for ids, sizes in ((a, a_sizes), (b, b_sizes)):
+    for ids, sizes in ((t.a, t.a_sizes), (t.b, t.b_sizes)):
         keys, times = np.unique((np.repeat(np.arange(groups), sizes) << 32) | ids, return_counts=True)
         sides.append((keys & 0xFFFFFFFF, times, np.searchsorted(keys >> 32, np.arange(groups + 1))))
     (a, a_times, a_at), (b, b_times, b_at) = sides
-    row = np.searchsorted(first, np.arange(groups), side="right") - 1
+    row = np.searchsorted(t.first, np.arange(groups), side="right") - 1
     # each different A token of a group meets the B tokens of the group
     group = np.repeat(np.arange(groups), np.diff(a_at))
     load = np.append(0, np.cumsum(np.diff(b_at)[group]))
@@ -237,7 +282,7 @@ def _pair_rows(batches):
         edges = np.append(run_starts(slices), len(slices))
         for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             pairs, rows = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for p, r, _ in _links(batch.slice(x, y - x)):
+            for p, r, _ in _links(Aligned.of(batch.slice(x, y - x))):
                 pairs, rows = np.append(pairs, p), np.append(rows, r)
                 order = np.lexsort((rows, pairs))
                 order = order[run_starts(pairs[order], rows[order])]
@@ -256,74 +301,74 @@ def pair_counts(asked: DataFrame) -> DataFrame:
     return counts.withColumn("best", F.col("count") == highest)
 
 
-def _score(left: pa.Table, right: pa.Table) -> pa.Table:
-    pairs = right.column("pair").to_numpy()
-    order = np.argsort(pairs, kind="stable")
-    pairs, count, best = pairs[order], right.column("count").to_numpy()[order], right.column("best").to_numpy()[order]
-    n_links, n_best, count_sum = (np.zeros(len(left), np.int64) for _ in range(3))
-    for p, row, times in _links(left):
-        at = np.searchsorted(pairs, p)
-        for out, weight in ((n_links, times), (n_best, times * best[at]), (count_sum, times * count[at])):
-            np.add.at(out, row, weight)
-    out = left.drop_columns(["slice"])
-    for name, values in (("n_links", n_links), ("n_best", n_best), ("count_sum", count_sum)):
-        out = out.append_column(name, pa.array(values))
-    return out
+@lru_cache(1)
+def _decimals(a: int, b: int) -> list[str]:
+    """Ids of A, then of B, in decimal, each with what may follow it: comma, bar, semicolon, nothing."""
+    return [f"{i}{s}" for size in (a, b) for i in range(size) for s in (",", "|", ";", "")]
 
 
-def score_alignments(docs: DataFrame, sources, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def group_texts(t: Aligned, a_size: int, b_size: int) -> list[str]:
+    """The groups of each text as `a1,a2|b1;a3|b2,b3`, ids in decimal; empty without tokens."""
+    words = _decimals(a_size, b_size)
+    # A's tokens of a group, then B's: a comma behind each, but a bar behind A's last and a semicolon behind B's
+    place_a = np.arange(len(t.a)) + np.repeat(np.cumsum(t.b_sizes) - t.b_sizes, t.a_sizes)
+    place_b = np.arange(len(t.b)) + np.repeat(np.cumsum(t.a_sizes), t.b_sizes)
+    code = np.empty(len(t.a) + len(t.b), np.int64)
+    code[place_a], code[place_b] = 4 * t.a, 4 * (t.b + a_size)
+    ends = np.cumsum(t.a_sizes + t.b_sizes)
+    code[ends - t.b_sizes - 1] += 1
+    code[ends - 1] += 2
+    edges = np.append(0, ends)[t.first]
+    code[edges[1:][np.diff(edges) > 0] - 1] += 1
+    code = code.tolist()
+    return ["".join(map(words.__getitem__, code[x:y])) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+def _score(sources, lists: bool, texts: bool):
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        pairs = right.column("pair").to_numpy()
+        order = np.argsort(pairs, kind="stable")
+        pairs, count, best = pairs[order], right.column("count").to_numpy()[order], right.column("best").to_numpy()[order]
+        tokens = Aligned.of(left)
+        n_links, n_best, count_sum = (np.zeros(len(left), np.int64) for _ in range(3))
+        for p, row, times in _links(tokens):
+            at = np.searchsorted(pairs, p)
+            for out, weight in ((n_links, times), (n_best, times * best[at]), (count_sum, times * count[at])):
+                # whole numbers below 2^53
+                out += np.bincount(row, weight, len(left)).astype(np.int64)
+        out = {"__row": left.column("__row")}
+        out |= {name: pa.array(np.diff(first)) for name, first in (("n_a", tokens.a_first), ("n_b", tokens.b_first), ("n_groups", tokens.first))}
+        out |= {name: pa.array(values) for name, values in (("n_links", n_links), ("n_best", n_best), ("count_sum", count_sum))}
+        if lists:
+            out |= dict(zip(ARRAYS, tokens.lists(), strict=True))
+        if texts:
+            width = [len(_tokenizer(k, s).pieces) for k, s in zip((ByteBPE, PieceBPE), sources.value, strict=True)]
+            out["groups"] = pa.array(group_texts(tokens, *width), pa.string())
+        return pa.table(out)
+
+    return score
+
+
+def align_tokens(docs: DataFrame, sources, text_col: str = "text", keep_text: bool = True, lists: bool = True, texts: bool = False) -> DataFrame:
     """Documents with their aligned tokens and how usual their links are.
 
-    Every column of `docs` (the text only with `keep_text`), then a_ids, b_ids, a_sizes, b_sizes (see align_tokens()), n_links
-    (pairs of an A and a B token of one group), n_best (those whose ids are linked in as many
-    documents as the A id with any B id) and count_sum (over all links, the documents that
-    link their ids). Each row is a document. Texts without tokens have none of it: empty
-    lists and zeros. Input columns of these names are replaced.
+    `sources` are tokenizer_files(). Every column of `docs` (the text only with `keep_text`),
+    then n_a, n_b and n_groups; n_links (pairs of an A and a B token of one group), n_best
+    (those whose ids are linked in as many documents as the A id with any B id) and count_sum
+    (over all links, the documents that link their ids). With `lists` also a_ids and b_ids,
+    the tokens in order, and a_sizes and b_sizes, how many of them each group has; with
+    `texts` the groups as one text, see group_texts(). Each row is a document. Texts that are
+    null or empty, or whose tokens of either kind do not spell a space and the text, have no
+    tokens: zeros, empty lists and an empty text. Input columns of these names are replaced.
+    Vocabularies have at most 65,536 ids.
     """
-    new = (*ARRAYS, "n_links", "n_best", "count_sum")
-    aligned = written(align_tokens(docs, sources, text_col, keep_text), "aligned-tokens")
+    new = {c: "long" for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")}
+    new |= {c: "array<int>" for c in ARRAYS if lists} | ({"groups": "string"} if texts else {})
+    aligned = written(_align(docs, sources, text_col, keep_text), "aligned-tokens")
     asked = written(aligned.select("slice", *ARRAYS).mapInArrow(_pair_rows, "slice long, pair long, n long"), "linked-pairs")
     # a slice that is read in two parts asks twice, and gets the same answer
     answers = asked.select("slice", "pair").join(pair_counts(asked), "pair")
-    row_type = aligned.schema["__row"].dataType.simpleString()
-    shape = f"__row {row_type}, {', '.join(f'{c} array<int>' for c in ARRAYS)}, n_links long, n_best long, count_sum long"
-    scored = aligned.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_score, shape)
+    shape = f"__row {aligned.schema['__row'].dataType.simpleString()}, {', '.join(f'{c} {t}' for c, t in new.items())}"
+    scored = aligned.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_score(sources, lists, texts), shape)
     kept = [c for c in docs.columns if c not in new and (keep_text or c != text_col)]
     return scored.select(*[F.col(f"__row.`{c}`") for c in kept], *new)
-
-
-@lru_cache(1)
-def _decimals(a: int, b: int) -> list[str]:
-    """Ids of A, then of B, in decimal, each with the separators that may follow it: comma, bar, semicolon, none."""
-    return [f"{i}{s}" for size in (a, b) for i in range(size) for s in (",", "|", ";", "")]
-
-
-def _group_rows(sources):
-    def rows(batches):
-        width = [len(_tokenizer(k, s).pieces) for k, s in zip((ByteBPE, PieceBPE), sources.value, strict=True)]
-        words = _decimals(*width)
-        for batch in batches:
-            (a, _), (b, _), (a_sizes, first), (b_sizes, _) = (_values(batch.column(c)) for c in ARRAYS)
-            # A's tokens of a group, then B's; what follows is a comma, at the end of A's a bar, at the end of B's a semicolon
-            place_a = np.arange(len(a)) + np.repeat(np.cumsum(b_sizes) - b_sizes, a_sizes)
-            place_b = np.arange(len(b)) + np.repeat(np.cumsum(a_sizes), b_sizes)
-            code = np.empty(len(a) + len(b), np.int64)
-            code[place_a], code[place_b] = 4 * a, 4 * (b + width[0])
-            ends = np.cumsum(a_sizes + b_sizes)
-            code[ends - b_sizes - 1] += 1
-            code[ends - 1] += 2
-            edges = np.append(0, ends)[first]
-            last = edges[1:][np.diff(edges) > 0] - 1
-            code[last] += 1
-            code = code.tolist()
-            groups = ["".join(map(words.__getitem__, code[x:y])) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-            rest = [c for c in batch.schema.names if c not in ARRAYS]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(groups, pa.string())], [*rest, "groups"])
-
-    return rows
-
-
-def group_text(aligned: DataFrame, sources) -> DataFrame:
-    """The rows without the four lists, and with `groups`: all groups as `a1,a2|b1;a3|b2,b3`, ids in decimal; empty without tokens."""
-    rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in aligned.schema if f.name not in ARRAYS]
-    return aligned.mapInArrow(_group_rows(sources), ", ".join([*rest, "groups string"]))
