@@ -12,8 +12,10 @@ from loomdex.operators import chunking as C
 from loomdex.plans import sql as S
 from loomdex.plans.register import register
 from loomdex.sources import blocks as B
-from loomdex.shared import shared_folder
+from loomdex.shared import shared_folder, shared_path
 from loomdex.sources import files as X
+from loomdex.sources.extract import extract_blocks
+from loomdex.sources.sink import KeyedTable
 from loomdex.sources.tables import table
 
 QUERIES, SQL, query = register()
@@ -125,11 +127,19 @@ def serp_links(spark, sf_dir):
     return X.result_links(table(spark, sf_dir, "pages"), "url", "html", 5, ["search.example"], relative=True)
 
 
-@query("SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'v2', n_chars + 1 FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'v2' ELSE source END AS source, n_chars + (doc_id % 3 = 0)::INT AS n_chars, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS version, CASE WHEN doc_id % 3 = 0 THEN 6.0 ELSE 3.0 END::DOUBLE AS total FROM documents WHERE doc_id % 5 <> 2")
 def upsert_documents(spark, sf_dir):
-    old = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    new = old.where("doc_id % 3 = 0").select("doc_id", F.lit("v2").alias("source"), (F.col("n_chars") + 1).alias("n_chars"))
-    return X.upsert(old, new, ["doc_id"])
+    """A keyed table in buckets: all documents, then a third in a newer version and some in a stale one, then a fifth deleted; vectors are checked."""
+    vector = lambda x: F.array(*[F.lit(x)] * 3)
+    old = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.lit(1).cast("long").alias("version"), vector(1.0).alias("vector"))
+    new = old.where("doc_id % 3 = 0").withColumns({"source": F.lit("v2"), "n_chars": F.col("n_chars") + 1, "version": F.lit(2).cast("long"), "vector": vector(2.0)})
+    stale = old.where("doc_id % 4 = 0").withColumns({"source": F.lit("v0"), "version": F.lit(0).cast("long")})
+    stored = KeyedTable(spark, shared_path(spark, "documents"), old.schema, "doc_id", "version")
+    for rows in (old, new.unionByName(stale), stale):
+        stored.upsert(rows, checks={"vector": 3})
+    stored.delete(old.where("doc_id % 5 = 2").select("doc_id", F.lit(3).cast("long").alias("version")))
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
+    return stored.read().select("doc_id", "source", "n_chars", "version", total.alias("total"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE source NOT IN ('src1', 'src7')")
@@ -156,6 +166,35 @@ def blocks_text(spark, sf_dir):
     return B.text_blocks(table(spark, sf_dir, "documents"), "doc_id", "text", "\n").select("id", "pos", "kind", "text")
 
 
+#: Documents as files: text, delimited and mail by their id, some of a format that no extractor knows, some that are no UTF-8.
+MIXED = """SELECT doc_id AS id, CASE WHEN doc_id % 7 = 5 THEN 'PDF' WHEN doc_id % 3 = 0 THEN 'Text' WHEN doc_id % 3 = 1 THEN 'CSV' ELSE 'Mail' END AS format, doc_id % 11 = 4 AS broken, * EXCLUDE (doc_id) FROM documents"""
+
+
+def mixed_files(spark, sf_dir):
+    i, apart = F.col("doc_id"), F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    kind = F.when(i % 7 == 5, "PDF").when(i % 3 == 0, "Text").when(i % 3 == 1, "CSV").otherwise("Mail")
+    cell = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    rows = F.concat(F.lit("source,lang,text\n"), "source", F.lit(","), "lang", F.lit(","), cell, F.lit("\n,,\n"))
+    mail = F.concat(F.lit("Subject: From "), "source", F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), apart)
+    content = F.encode(F.when(kind == "CSV", rows).when(kind == "Mail", mail).otherwise(apart), "UTF-8")
+    # a byte that begins no character
+    content = F.when((i % 11 == 4) & (kind != "Mail"), F.concat(F.unhex(F.lit("FF")), content)).otherwise(content)
+    return table(spark, sf_dir, "documents").select(i.alias("id"), kind.alias("format"), content.alias("content"))
+
+
+_FILES = f"SELECT *, format <> 'Mail' AND broken AS bad, list_filter(list_transform(string_split(text, chr(10)), lambda l: {S.collapse('l')}), lambda l: l <> '') AS lines FROM ({MIXED})"
+_BLOCKS = f"""SELECT id, CASE WHEN format = 'Mail' THEN ['From ' || source] || lines WHEN format = 'Text' THEN lines ELSE ['source: ' || source || ' · lang: ' || lang || coalesce(' · text: ' || nullif({S.collapse('text')}, ''), '')] END AS bs, format, bad,
+    CASE WHEN format = 'PDF' THEN 'LookupError: no extractor for PDF' WHEN bad THEN 'UnicodeDecodeError: ' || chr(39) || 'utf-8' || chr(39) || ' codec can' || chr(39) || 't decode byte 0xff in position 0: invalid start byte' END AS error FROM ({_FILES})"""
+EXTRACTED = f"""SELECT id, CASE WHEN error IS NULL AND len(bs) > 0 THEN o - 1 END AS pos, CASE WHEN error IS NULL AND len(bs) > 0 THEN CASE WHEN format = 'CSV' THEN 'row' WHEN format = 'Mail' AND o = 1 THEN 'heading' ELSE 'paragraph' END END AS kind,
+    CASE WHEN error IS NULL AND len(bs) > 0 THEN bs[o] END AS text, CASE WHEN error IS NOT NULL THEN error WHEN len(bs) = 0 THEN 'ValueError: no text' END AS error FROM (SELECT *, unnest(CASE WHEN error IS NULL AND len(bs) > 0 THEN range(1, len(bs) + 1) ELSE [1] END) AS o FROM ({_BLOCKS}))"""
+
+
+@query(EXTRACTED)
+def mixed_blocks(spark, sf_dir):
+    """Files of several formats through the table function that finds each its extractor."""
+    return extract_blocks(mixed_files(spark, sf_dir)).select("id", "pos", "kind", "text", "error")
+
+
 def html_sql() -> str:
     """(id, pos, kind, level, text) of the blocks of pages."""
     html = S.gsub("html", B.SKIPPED)

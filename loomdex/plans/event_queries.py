@@ -5,6 +5,7 @@ from __future__ import annotations
 from uuid import uuid4
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomdex.operators import mail as M
 from loomdex.operators import policy as P
@@ -13,7 +14,9 @@ from loomdex.plans import corpus_queries as C
 from loomdex.plans.register import register
 from loomdex.shared import shared_folder
 from loomdex.sources import blocks as B
+from loomdex.sources.extract import extract_blocks
 from loomdex.sources.files import append_log, mail_rows
+from loomdex.sources.sink import KeyedTable
 from loomdex.sources.tables import table
 from loomdex.streaming import jobs as J
 
@@ -229,16 +232,41 @@ def audit_append(spark, sf_dir):
     return spark.read.parquet(log).groupBy("tier", "decision").agg(F.count("*").alias("n"))
 
 
+def _blocks_sink(spark, folder):
+    return KeyedTable(spark, f"{folder}/table", StructType.fromDDL("id long, version long, pos long, kind string, text string"), "id", "version")
+
+
 @query(C.SQL["blocks_text"])
 def stream_ingest(spark, sf_dir):
     """The documents arrive as files, are cut into blocks and stored once each: what the batch query gives."""
     folder = f"{shared_folder(spark)}/ingest-{uuid4().hex}"
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(1).cast("long").alias("version"), "text")
     docs.repartition(4).write.parquet(f"{folder}/in")
     arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    prepare = lambda rows: B.text_blocks(rows, "doc_id", "text", "\n").select("id", "pos", "kind", "text")
-    J.ingest(arriving, lambda rows: prepare(rows), f"{folder}/out", f"{folder}/state", "doc_id").awaitTermination()
-    return J.latest(spark.read.parquet(f"{folder}/out"), "id").select("id", "pos", "kind", "text")
+    extract = lambda rows: B.text_blocks(rows, "id", "text", "\n").join(rows.select("id", "version"), "id")
+    sink = _blocks_sink(spark, folder)
+    J.ingest(arriving, extract, sink, f"{folder}/quarantine", f"{folder}/state").awaitTermination()
+    return sink.read().select("id", "pos", "kind", "text")
+
+
+@query(
+    f"""WITH f AS ({C.MIXED}), b AS (SELECT id, count(*) AS n FROM ({C.EXTRACTED}) WHERE error IS NULL GROUP BY id), e AS (SELECT id, error FROM ({C.EXTRACTED}) WHERE error IS NOT NULL)
+    SELECT f.id, CASE WHEN f.id % 10 = 3 AND error IS NULL THEN 2 ELSE 1 END::BIGINT AS version, coalesce(n, 0) AS blocks, error FROM f LEFT JOIN b USING (id) LEFT JOIN e USING (id)"""
+)
+def stream_quarantine(spark, sf_dir):
+    """Files of several formats arrive, some of them again in a newer and an older version: blocks stored by document, and why the others failed."""
+    folder = f"{shared_folder(spark)}/quarantine-{uuid4().hex}"
+    files = C.mixed_files(spark, sf_dir).withColumn("version", F.lit(1).cast("long"))
+    again = files.where("id % 10 = 3")
+    stale = again.withColumns({"version": F.lit(0).cast("long"), "content": F.encode(F.lit("stale"), "UTF-8")})
+    for part in (files, again.withColumn("version", F.lit(2).cast("long")).union(stale.select(*files.columns)), stale.select(*files.columns)):
+        part.write.mode("append").parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(files.schema).parquet(f"{folder}/in")
+    sink = _blocks_sink(spark, folder)
+    J.ingest(arriving, extract_blocks, sink, f"{folder}/quarantine", f"{folder}/state").awaitTermination()
+    stored = sink.read().groupBy("id", "version").agg(F.count("*").alias("blocks"), F.lit(None).cast("string").alias("error"))
+    failed = spark.read.parquet(f"{folder}/quarantine").select("id", F.lit(1).cast("long").alias("version"), F.lit(0).cast("long").alias("blocks"), "error")
+    return stored.unionByName(failed)
 
 
 @query(f"SELECT doc_id, category, pattern FROM ({_TRIAGED})")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomdex.shared import cut
+from loomdex.sources.sink import KeyedTable
 from loomdex.streaming.state import STORE, Segments, Tickets, keyed
 
 
@@ -77,26 +79,31 @@ def rates(decisions: DataFrame, length: str, slide: str | None = None, late: str
     return grouped.select(F.col("window.start").alias("start"), F.col("window.end").alias("stop"), "tier", "n")
 
 
-def ingest(stream: DataFrame, prepare: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key: str):
-    """Starts a query that prepares arriving documents and replaces their rows, each batch under its own folder of the sink.
+def ingest(stream: DataFrame, extract: Callable[[DataFrame], DataFrame], sink: KeyedTable, quarantine: str, checkpoint: str):
+    """Starts a query that extracts arriving documents into a keyed table; what fails goes to the quarantine folder, the rest goes on.
 
-    A batch that runs again overwrites its folder, so every document counts once; latest()
-    reads the newest rows of each key.
+    Of a key's documents in a batch the one of the highest version counts, and the table
+    keeps the highest of all. `extract` gives rows for the table and, where it has a column
+    `error`, the reason why a document failed: none of its rows is stored, and an older
+    version stays. Quarantined are (key, version, error, batch). A batch that runs again
+    gives the same table and overwrites its own folder of the quarantine.
     """
+    key, version = sink.key, sink.version
 
     def write(batch: DataFrame, number: int) -> None:
-        newest = batch.dropDuplicates([key])
-        prepare(newest).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        # documents equal in key and version are told apart by all they have
+        order = Window.partitionBy(key).orderBy(F.desc(version), F.xxhash64(*batch.columns))
+        newest = batch.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place")
+        rows = extract(newest)
+        rows = cut(rows if "error" in rows.columns else rows.withColumn("error", F.lit(None).cast("string")))
+        failed = rows.where("error is not null").groupBy(key, version).agg(F.min("error").alias("error"))
+        failed.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{quarantine}/part={number}")
+        good = rows.join(failed.select(F.col(key).alias("__key")), F.col(key).eqNullSafe(F.col("__key")), "left_anti")
+        sink.upsert(good)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(rows: DataFrame, key: str) -> DataFrame:
-    """The rows of each key's newest batch."""
-    newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
-    return rows.join(newest, [key, "batch"], "left_semi")
-
-
 def mail_stream(files: DataFrame, parse: Callable[[DataFrame], DataFrame], triage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Arriving mail files (path, content, modificationTime), parsed and triaged once for each message id."""
     seen = parse(files).withColumn("arrived", F.current_timestamp()).withWatermark("arrived", "1 hour")

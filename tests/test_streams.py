@@ -4,13 +4,15 @@ import datetime
 import math
 
 import pytest
-from loomdex.operators import chunking as C
 from loomdex.operators import mail as M
 from loomdex.plans import event_queries as Q
 from loomdex.sources import blocks as B
 from loomdex.sources import files as X
+from loomdex.sources.extract import extract_blocks
+from loomdex.sources.sink import KeyedTable
 from loomdex.streaming import jobs as J
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 @pytest.fixture(scope="module")
@@ -113,22 +115,40 @@ def test_confirmations_in_any_order_within_the_delay(spark, tmp_path):
     assert sorted((r.ticket_id, r.key, since(r.issued), since(r.confirmed)) for r in got) == [(7, 1, 10, 40), (8, 2, 0, None), (9, 1, 90, 100), (10, 1, 9990, 10000)]
 
 
-def test_ingest_counts_each_document_once(spark, tiny, tmp_path):
-    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").limit(40).cache()
-    source = str(tmp_path / "in")
-    docs.where("doc_id % 2 = 0").write.mode("append").parquet(source)
-    docs.where("doc_id % 2 = 1").union(docs.where("doc_id = 0").select("doc_id", F.lit("Another text of the first.").alias("text"))).write.mode("append").parquet(source)
+def blocks_sink(spark, tmp_path):
+    return KeyedTable(spark, str(tmp_path / "table"), StructType.fromDDL("id long, version long, pos long, kind string, text string"), "id", "version", buckets=8)
 
-    def prepare(rows):
-        return C.chunk_texts(B.text_blocks(rows, "doc_id", "text", "\n"))
 
-    arriving = spark.readStream.schema(docs.schema).parquet(source)
+def test_ingest_keeps_the_newest_version_and_quarantines_failures(spark, tmp_path):
+    shape, source = "id long, version long, format string, content binary", str(tmp_path / "in")
+    feeds = [
+        [(1, 1, "Text", b"one\n\ntwo"), (2, 1, "Text", b"\xff"), (3, 1, "PDF", b"x"), (4, 1, "CSV", b"a,b\n1,2\n"), (4, 3, "CSV", b"a,b\n5,6\n7,\n"), (4, 2, "CSV", b"a\n9\n")],
+        [(1, 2, "Text", b"  "), (2, 2, "Text", b"now right"), (4, 2, "Text", b"late and old"), (5, 1, "Mail", b"Subject: Hi\n\nbody")],
+    ]
+    sink = blocks_sink(spark, tmp_path)
+    for rows in feeds:
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(source)
+    arriving = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(source)
+    for _ in range(2):
+        J.ingest(arriving, extract_blocks, sink, str(tmp_path / "quarantine"), str(tmp_path / "state")).awaitTermination(240)
+    assert sorted((r.id, r.version, r.pos, r.text) for r in sink.read().collect()) == [(1, 1, 0, "one"), (1, 1, 1, "two"), (2, 2, 0, "now right"), (4, 3, 0, "a: 5 · b: 6"), (4, 3, 1, "a: 7"), (5, 1, 0, "Hi"), (5, 1, 1, "body")]
+    bad = sorted((r.id, r.version, r.error.partition(":")[0], r.batch) for r in spark.read.parquet(str(tmp_path / "quarantine")).collect())
+    assert bad == [(1, 2, "ValueError", 1), (2, 1, "UnicodeDecodeError", 0), (3, 1, "LookupError", 0)]
+
+
+def test_ingest_counts_each_document_once(spark, tiny, tmp_path):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select(F.col("doc_id").alias("id"), F.lit(1).cast("long").alias("version"), "text").limit(40).cache()
+    source = str(tmp_path / "in")
+    docs.where("id % 2 = 0").write.mode("append").parquet(source)
+    docs.where("id % 2 = 1").union(docs.where("id = 0").select("id", F.lit(2).cast("long"), F.lit("Another text of the first."))).write.mode("append").parquet(source)
+    prepare = lambda rows: B.text_blocks(rows, "id", "text", "\n").join(rows.select("id", "version"), "id")
+    arriving, sink = spark.readStream.schema(docs.schema).parquet(source), blocks_sink(spark, tmp_path)
     for _ in range(2):
-        J.ingest(arriving, prepare, str(tmp_path / "out"), str(tmp_path / "state"), "doc_id").awaitTermination(240)
-    got = J.latest(spark.read.parquet(str(tmp_path / "out")), "id")
-    assert got.groupBy("id", "index").count().where("count > 1").count() == 0
-    expected = prepare(docs.where("doc_id <> 0"))
-    assert got.where("id <> 0").count() == expected.count()
+        J.ingest(arriving, prepare, sink, str(tmp_path / "quarantine"), str(tmp_path / "state")).awaitTermination(240)
+    got = sink.read()
+    assert got.groupBy("id", "pos").count().where("count > 1").count() == 0 and got.where("id = 0").collect()[0].text == "Another text of the first."
+    assert got.where("id <> 0").count() == prepare(docs.where("id <> 0")).count()
+    assert spark.read.parquet(str(tmp_path / "quarantine")).count() == 0
 
 
 def test_mail_stream(spark, tmp_path):
