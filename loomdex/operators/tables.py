@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from loomdex.functions.text import snippet
 from loomdex.shared import cut
 
+#: Groups whose percentiles are broadcast to their values at most.
+BROADCAST_GROUPS = 100_000
+
 
 def session_summaries(sessions: DataFrame, messages: DataFrame, session: str, turn: str, text: str, size: int = 80) -> DataFrame:
     """Every session with its number of messages (0 if none) and a snippet of the last."""
@@ -48,6 +51,28 @@ def nearest_rank(rows: DataFrame, group: str, value: str, shares: dict[str, floa
     return counts.groupBy(group).agg(F.max("n").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.max("n")).alias("mean"), *picks)
 
 
+def value_sketches(rows: DataFrame, keys: list[str], value: str, size: int = 400) -> DataFrame:
+    """(keys, n, sketch) with a KLL sketch of each group's values, of bounded size; groups of coarser keys are merged from it. Null values are left out."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(size)).alias("sketch"))
+
+
+def sketched_percentiles(sketches: DataFrame, group: str, shares: dict[str, float]) -> DataFrame:
+    """(group, n, sketches, percentiles) from sketches of finer groups: about nearest_rank(), without reading the values again."""
+    merged = sketches.groupBy(group).agg(F.sum("n").alias("n"), F.count("*").alias("sketches"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    return merged.select(group, "n", "sketches", *[F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(name) for name, p in shares.items()])
+
+
+def rank_errors(rows: DataFrame, group: str, value: str, found: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(group, errors by name): how far from its share of the group's values each found percentile lies, 0 if the share is among the ranks of its equals."""
+    f = found.select(F.col(group).alias("__group"), *shares)
+    # one row a group
+    counted = rows.where(F.col(value).isNotNull()).join(F.broadcast(f) if f.count() <= BROADCAST_GROUPS else f, F.col(group).eqNullSafe(F.col("__group")))
+    below = [F.avg((F.col(value) < F.col(name)).cast("double")).alias(f"__below_{name}") for name in shares]
+    upto = [F.avg((F.col(value) <= F.col(name)).cast("double")).alias(f"__upto_{name}") for name in shares]
+    ranks = counted.groupBy(group).agg(*below, *upto)
+    return ranks.select(group, *[F.greatest(F.lit(0.0), F.col(f"__below_{n}") - p, p - F.col(f"__upto_{n}")).alias(n) for n, p in shares.items()])
+
+
 def budget_report(spent: DataFrame, budgets: DataFrame, phase: str, gate: float) -> DataFrame:
     """Phases with what they spent against their budget, and a row "total" against the gate."""
     total = spent.groupBy(phase).agg(F.sum("spent").alias("spent"))

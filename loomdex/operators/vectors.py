@@ -64,50 +64,71 @@ def pool(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return means.select(key, l2_normalize(F.col("p.x")).alias("vector"))
 
 
-def embed_batches(rows: DataFrame, id_col: str, text_col: str, model: Callable[[list[str]], np.ndarray], dim: int, batch: int = 16, budget: int = 1000, prefix: str = "") -> DataFrame:
-    """(id, vector, embedded) by a user's function from texts to a matrix.
+def text_pieces(text: Column, budget: int) -> Column:
+    """A text in pieces of at most `budget` characters: lines packed in order, and lines that are longer cut; white space at a cut goes, and blank pieces."""
+    cut = lambda line: F.when(F.length(line) > budget, F.regexp_extract_all(line, F.lit(rf"(?s)\s*(.{{{budget}}}|.+)"), F.lit(1))).otherwise(F.array(line))
+    blank = lambda t: F.trim(F.regexp_replace(t, r"\s", " ")) == ""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
 
-    Texts over `budget` characters are embedded by lines packed into pieces, whose
-    vectors are averaged and normalised. A batch that fails is tried row by row; a
-    row that fails gets a zero vector and embedded = false.
-    """
+    def pack(state: Column, line: Column) -> Column:
+        full = (F.length(state["held"]) + F.length(line) + 1 > budget) & ~blank(state["held"])
+        on = F.when(state["held"] == "", line).otherwise(F.concat(state["held"], F.lit("\n"), line))
+        return F.struct(F.when(full, F.concat(state["done"], F.array(state["held"]))).otherwise(state["done"]).alias("done"), F.when(full, line).otherwise(on).alias("held"))
+
+    packed = F.aggregate(F.flatten(F.transform(F.split(text, "\n"), cut)), start, pack, lambda s: F.filter(F.concat(s["done"], F.array(s["held"])), lambda p: ~blank(p)))
+    whole = F.array(F.coalesce(text, F.lit("")))
+    return F.when(F.length(text) > budget, F.when(F.size(packed) > 0, packed).otherwise(F.array(F.lit("")))).otherwise(whole)
 
-    def pieces(text: str) -> list[str]:
-        if len(text) <= budget:
-            return [prefix + text]
-        out, held = [], ""
-        for line in (line[i : i + budget] for line in text.split("\n") for i in range(0, max(1, len(line)), budget)):
-            if held and len(held) + len(line) + 1 > budget:
-                out.append(prefix + held)
-                held = ""
-            held = f"{held}\n{line}" if held else line
-        return [*out, prefix + held]
-
-    def embedded(texts: list[str]) -> list[np.ndarray | None]:
+
+def _embedded_pieces(model: Callable[[list[str]], np.ndarray], dim: int, batch: int):
+    def vectors(texts: list[str]) -> list[np.ndarray | None]:
         try:
             return list(np.asarray(model(texts), float).reshape(len(texts), dim))
         except Exception:
-            if len(texts) == 1:
-                return [None]
-            return [v for t in texts for v in embedded([t])]
+            # a batch that fails is tried text by text
+            return [None] if len(texts) == 1 else [v for t in texts for v in vectors([t])]
 
-    def map_batches(batches):
+    def rows(batches):
         for b in batches:
-            texts = [pieces(t or "") for t in b.column("text").to_pylist()]
-            flat = [p for t in texts for p in t]
-            vectors = [v for i in range(0, len(flat), batch) for v in embedded(flat[i : i + batch])]
-            out, good, at = [], [], 0
-            for t in texts:
-                own = vectors[at : at + len(t)]
-                at += len(t)
-                good.append(all(v is not None for v in own))
-                mean = np.mean(own, axis=0) if good[-1] else np.zeros(dim)
-                size = np.linalg.norm(mean)
-                out.append((mean / size if size else mean).tolist())
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.list_(pa.float64())), pa.array(good)], ["id", "vector", "embedded"])
-
-    source = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(map_batches, f"id {source.schema['id'].dataType.simpleString()}, vector array<double>, embedded boolean")
+            texts = b.column("piece").to_pylist()
+            found = [v for i in range(0, len(texts), batch) for v in vectors(texts[i : i + batch])]
+            good = np.array([v is not None for v in found], bool)
+            matrix = np.array([np.zeros(dim) if v is None else v for v in found]).reshape(len(found), dim)
+            # the pieces of a text stand together; what a batch has of it is one row
+            at, key = b.column("at").to_numpy(), b.column("print").to_numpy()
+            new = np.ones(len(b), bool)
+            new[1:] = (at[1:] != at[:-1] + 1) | (key[1:] != key[:-1])
+            heads = np.flatnonzero(new)
+            total = np.add.reduceat(matrix, heads, axis=0) if len(heads) else matrix
+            cuts = pa.array(np.arange(len(heads) + 1) * dim, pa.int32())
+            sizes = np.diff(np.append(heads, len(b)))
+            failed = np.add.reduceat((~good).astype(np.int64), heads) if len(heads) else np.zeros(0, np.int64)
+            columns = [b.column("id").take(pa.array(heads)), pa.array(key[heads]), pa.ListArray.from_arrays(cuts, pa.array(total.ravel())), *map(pa.array, (sizes, failed, (at[heads] == 0).astype(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "print", "total", "n", "failed", "copies"])
+
+    return rows
+
+
+def embed_batches(rows: DataFrame, id_col: str, text_col: str, model: Callable[[list[str]], np.ndarray], dim: int, batch: int = 16, budget: int = 1000, prefix: str = "", spread: int | None = None) -> DataFrame:
+    """(id, vector, embedded) by a user's function from texts to a matrix.
+
+    Texts over `budget` characters are embedded in pieces, whose vectors are averaged and
+    normalised. Pieces of all texts fill the batches together; a task adds up what it has of
+    a text, and sums of a text that several tasks have meet by its id. With `spread` the
+    pieces are dealt over so many tasks first, so that no text is one task's. A batch that
+    fails is tried text by text; a text of which a piece fails gets a zero vector and
+    embedded = false. Null texts are empty; rows of one id and text have one vector each.
+    """
+    source = rows.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("print"), F.posexplode(text_pieces(F.col(text_col), budget)).alias("at", "piece"))
+    source = source.select("id", "print", "at", F.concat(F.lit(prefix), "piece").alias("piece"))
+    source = source.repartition(spread) if spread else source
+    shape = f"id {source.schema['id'].dataType.simpleString()}, print long, total array<double>, n long, failed long, copies long"
+    parts = source.mapInArrow(_embedded_pieces(model, dim, batch), shape)
+    added = F.aggregate(F.collect_list("total"), F.array_repeat(F.lit(0.0), F.lit(dim)), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+    pooled = parts.groupBy("id", "print").agg(added.alias("total"), F.sum("n").alias("n"), F.sum("failed").alias("failed"), F.sum("copies").cast("int").alias("copies"))
+    good = F.col("failed") == 0
+    vector = F.when(good, l2_normalize(F.transform("total", lambda x: x / F.col("n")))).otherwise(F.array_repeat(F.lit(0.0), F.lit(dim)))
+    return pooled.select("id", vector.alias("vector"), good.alias("embedded"), F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("col")
 
 
 def top_k(rows: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:
@@ -127,12 +148,13 @@ def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     found = None
     for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        if not rows:
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", as_double(F.col("vector")).alias("vector")).toArrow().combine_chunks()
+        if not rows.num_rows:
             continue
-        dim = len(rows[0]["vector"])
-        rows = [r for r in rows if len(r["vector"]) == dim]
-        block = queries.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in rows]), np.array([r["vector"] for r in rows], float)))
+        dim = len(rows["vector"][0])
+        rows = rows.filter(pc.equal(pc.list_value_length(rows["vector"]), dim)).combine_chunks()
+        matrix = rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        block = queries.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(), matrix))
         part = corpus.where(F.size("vector") == dim).select("id", as_double(F.col("vector")).alias("vector")).mapInArrow(_best(block, dim, k), "query_id long, id long, score double")
         found = part if found is None else found.union(part)
     if found is None:

@@ -124,12 +124,25 @@ def hash_embed(spark, sf_dir):
     return rows.select("id", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(top, 6).alias("top"), F.array_position("vector", top).cast("long").alias("slot"))
 
 
-@query(f"WITH {_embed_sql('e', 'SELECT doc_id AS id, text FROM documents')} SELECT id, true AS embedded, round(list_sum(v), 6) AS total, round(list_max(v), 6) AS top FROM e")
+#: Pieces of a text: its lines, longer ones cut, packed in order; a mark stands between pieces.
+_PIECES = r"""SELECT id, unnest(list_filter(string_split(CASE WHEN length(text) <= 1000 THEN text ELSE list_reduce(flatten(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN length(l) > 1000 THEN regexp_extract_all(l, '(?s)\s*(.{1000}|.+)', 1) ELSE [l] END)),
+    lambda acc, l: CASE WHEN length(string_split(acc, chr(30))[-1]) + length(l) + 1 > 1000 AND trim(regexp_replace(string_split(acc, chr(30))[-1], '\s', ' ', 'g')) <> '' THEN acc || chr(30) || l WHEN string_split(acc, chr(30))[-1] = '' THEN acc || l ELSE acc || chr(10) || l END, '') END, chr(30)), lambda p: trim(regexp_replace(p, '\s', ' ', 'g')) <> '')) AS text
+    FROM (SELECT doc_id AS id, text FROM documents)"""
+
+
+@query(
+    f"""WITH n AS (SELECT row_number() OVER () AS piece, id, text FROM ({_PIECES})), {_embed_sql('e', 'SELECT piece AS id, text FROM n')},
+    k AS (SELECT n.id, n.piece, e.v FROM n LEFT JOIN e ON e.id = n.piece), s AS (SELECT id, slot, sum(x) AS x FROM (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS slot FROM k WHERE v IS NOT NULL) GROUP BY ALL),
+    l AS (SELECT id, list(x ORDER BY slot) AS v, sqrt(sum(x * x)) AS size FROM s GROUP BY id)
+    SELECT l.id, true AS embedded, pieces, round(list_sum(v) / size, 6) AS total, round(list_max(v) / size, 6) AS top FROM l JOIN (SELECT id, count(*) AS pieces FROM n GROUP BY id) USING (id)"""
+)
 def embed_batches(spark, sf_dir):
-    """The hashed embedding as the user's model, on whole texts; texts without words have zero vectors and drop out."""
-    rows = V.embed_batches(table(spark, sf_dir, "documents"), "doc_id", "text", X.hash_vectors, 64, budget=1 << 30)
+    """The hashed embedding as the user's model on pieces of the default budget, pooled by document; texts without words have zero vectors and drop out."""
+    docs = table(spark, sf_dir, "documents")
+    rows = V.embed_batches(docs, "doc_id", "text", X.hash_vectors, 64)
     total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
-    return rows.where(F.array_max("vector") > 0).select("id", "embedded", F.round(total, 6).alias("total"), F.round(F.array_max("vector"), 6).alias("top"))
+    pieces = docs.select(F.col("doc_id").alias("id"), F.size(V.text_pieces(F.col("text"), 1000)).cast("long").alias("pieces"))
+    return rows.where(F.array_max("vector") > 0).join(pieces, "id").select("id", "embedded", "pieces", F.round(total, 6).alias("total"), F.round(F.array_max("vector"), 6).alias("top"))
 
 
 @query(

@@ -13,7 +13,7 @@ from loomdex.plans import retrieval_queries as Q
 from loomdex.plans import sql as S
 from loomdex.plans.register import register
 from loomdex.sources import blocks as B
-from loomdex.shared import cut
+from loomdex.shared import cut, written
 from loomdex.sources.tables import table
 
 QUERIES, SQL, query = register()
@@ -111,6 +111,17 @@ def sign_test(spark, sf_dir):
     return counts.select("c_nationkey", "wins", "losses", F.round(E.sign_test(F.col("wins"), F.col("losses")), 6).alias("p"))
 
 
+@query(
+    """WITH c AS (SELECT l_returnflag, l_linestatus, l_shipmode, count_if(l_quantity > 25)::BIGINT AS wins, count_if(l_quantity < 25.5 + (l_linestatus = 'O')::INT)::BIGINT AS losses FROM (SELECT *, l_linenumber AS l_shipmode FROM lineitem) GROUP BY ALL)
+    SELECT l_returnflag, l_linestatus, l_shipmode AS l_linenumber, wins, losses, round(least(1.0, list_sum(list_transform(range(least(wins, losses) + 1), lambda i: exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses - 1) * ln(2))))), 6)::DOUBLE AS p FROM c"""
+)
+def sign_test_large(spark, sf_dir):
+    """The sign test of counts in the thousands."""
+    wins, losses = F.count_if(F.col("l_quantity") > 25), F.count_if(F.col("l_quantity") < 25.5 + (F.col("l_linestatus") == "O").cast("int"))
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(wins.alias("wins"), losses.alias("losses"))
+    return counts.select("l_returnflag", "l_linestatus", "l_linenumber", "wins", "losses", F.round(E.sign_test(F.col("wins"), F.col("losses")), 6).alias("p"))
+
+
 @query(
     f"""WITH {_PAIRED}, v AS (SELECT d, row_number() OVER (ORDER BY query_id) - 1 AS i FROM d WHERE metric = 'rr'), n AS (SELECT count(*) AS n FROM v),
     r AS (SELECT rep, ('0x' || substr(md5(rep || ':' || draw), 1, 8))::BIGINT % n AS i FROM (SELECT unnest(range(2000)) AS rep), n, LATERAL (SELECT unnest(range(n)) AS draw)),
@@ -198,6 +209,17 @@ def latency_summary(spark, sf_dir):
     return rows.select("event_type", "n", F.round("mean", 6).alias("mean"), "p50", "p95")
 
 
+@query("SELECT event_type, count(*) AS n, count(DISTINCT ts::DATE) AS sketches, true AS p50_within, true AS p95_within FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def latency_sketches(spark, sf_dir):
+    """Percentiles from sketches kept by type and day and merged by type: whether they lie within a hundredth of their rank."""
+    events, shares = table(spark, sf_dir, "events"), {"p50": 0.5, "p95": 0.95}
+    daily = written(A.value_sketches(events.withColumn("day", F.to_date("ts")), ["event_type", "day"], "value"), "sketches")
+    found = cut(A.sketched_percentiles(daily, "event_type", shares))
+    errors = A.rank_errors(events, "event_type", "value", found, shares)
+    within = errors.select("event_type", *[(F.col(name) <= 0.01).alias(f"{name}_within") for name in shares])
+    return found.select("event_type", "n", "sketches").join(within, "event_type")
+
+
 @query(
     """WITH b(event_type, budget) AS (VALUES ('click', 1000.0), ('view', 1e12), ('error', 500.0)), s AS (SELECT event_type, sum(value) AS spent, max(budget)::DOUBLE AS budget FROM events LEFT JOIN b USING (event_type) GROUP BY event_type),
     a AS (FROM s UNION ALL SELECT 'total', sum(spent), 1e6::DOUBLE FROM s) SELECT event_type, round(spent, 4) AS spent, budget, CASE WHEN budget IS NULL THEN 'NO BUDGET' WHEN spent > budget THEN 'FAIL' ELSE 'PASS' END AS verdict FROM a"""

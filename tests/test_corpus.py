@@ -140,6 +140,47 @@ def test_embed_batches(spark):
     assert got[0].embedded and not got[1].embedded and got[1].vector == [0.0, 0.0] and abs(np.linalg.norm(got[3].vector) - 1) < 1e-9
 
 
+def test_pieces_follow_lines_and_cut_long_ones(spark):
+    def brute(text, budget):
+        if text is None or len(text) <= budget:
+            return [text or ""]
+        out, held = [], ""
+        for line in text.split("\n"):
+            parts = [line]
+            if len(line) > budget:
+                parts = []
+                while len(line) > budget:
+                    parts.append(line[:budget])
+                    line = line[budget:].lstrip(" ")
+                parts += [line] * bool(line)
+            for part in parts:
+                if held.strip() and len(held) + len(part) + 1 > budget:
+                    out.append(held)
+                    held = ""
+                held = f"{held}\n{part}" if held else part
+        return [p for p in [*out, held] if p.strip()] or [""]
+
+    rng = np.random.default_rng(6)
+    texts = [None, "", "short", " " * 50, "\n" * 40, "x" * 95, "ab " * 40, "é" * 31 + "\n" + "y" * 9]
+    texts += ["\n".join("w" * int(rng.integers(0, 45)) + " z" * int(rng.integers(0, 3)) for _ in range(int(rng.integers(1, 12)))) for _ in range(60)]
+    got = {r.id: r.p for r in docs(spark, *texts).select("id", V.text_pieces(F.col("text"), 20).alias("p")).collect()}
+    assert [got[i] for i in range(len(texts))] == [brute(t, 20) for t in texts]
+
+
+@pytest.mark.parametrize("spread", [None, 5])
+def test_pieces_of_a_text_are_pooled_over_tasks(spark, spread):
+    from loomdex.operators.index import hash_vectors
+
+    texts = ["word number %d and more\n" % i * 40 for i in range(6)] + [None, "...", "one", "one"]
+    frame = spark.createDataFrame([*enumerate(texts), (2, texts[2]), (None, "null id")], "id long, text string").repartition(3)
+    rows = V.embed_batches(frame, "id", "text", lambda t: hash_vectors(t, 16), 16, batch=3, budget=100, spread=spread).collect()
+    pieces = {r.id: r.p for r in frame.select("id", V.text_pieces(F.col("text"), 100).alias("p")).collect()}
+    assert len(rows) == len(texts) + 2 and sum(r.id == 2 for r in rows) == 2
+    for r in rows:
+        mean = hash_vectors(pieces[r.id], 16).mean(axis=0)
+        assert r.embedded and np.allclose(r.vector, mean / (np.linalg.norm(mean) or 1))
+
+
 def test_dense_top_k_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(V, "QUERY_BLOCK", 3)
     rng = np.random.default_rng(3)
@@ -273,3 +314,42 @@ def test_intake(spark):
         "d/innocent.pdf": "symbolic link", "d/.gone": "missing", "d/.linked": "symbolic link", "d/gone.pdf": "missing", "d/a.md": None, "d/image.png": "file type", "d/link": "symbolic link", "d/empty.txt": "empty", "d/large.txt": "too large",
         "1/2/3/4/5/6/7/8/a.md": None, "1/2/3/4/5/6/7/8/9": "too deep", "1/2/3/4/5/6/7/8/.git": "too deep", "top.RS": None,
     }
+
+
+def test_sign_test_against_whole_numbers(spark):
+    """p of counts up to a million, exactly: the tail in whole numbers, term by term from the largest."""
+    from fractions import Fraction
+    from math import comb
+
+    def exact(wins, losses):
+        n, m = wins + losses, min(wins, losses)
+        if not n:
+            return 1.0
+        term = tail = comb(n, m)
+        for i in range(m, 0, -1):
+            term = term * i // (n - i + 1)
+            tail += term
+            # the rest is smaller than its place times this
+            if term * m < tail >> 120:
+                break
+        return float(min(Fraction(1), Fraction(2 * tail, 1 << n)))
+
+    cases = [(0, 0), (0, 1), (5, 0), (3, 3), (7, 2), (16, 15), (600, 500), (1100, 1000), (1000, 1100), (512, 512), (1023, 0), (2000, 1), (40_000, 39_000), (500_500, 499_500), (501_500, 498_500), (500_000, 500_000)]
+    frame = spark.createDataFrame(cases, "wins long, losses long")
+    for r in frame.select("wins", "losses", E.sign_test(F.col("wins"), F.col("losses")).alias("p")).collect():
+        assert abs(r.p - exact(r.wins, r.losses)) < 1e-9, r
+        assert exact(r.wins, r.losses) < 1e-200 or abs(r.p / exact(r.wins, r.losses) - 1) < 1e-8, r
+
+
+def test_sketches_of_days_merge_within_their_rank_error(spark):
+    from loomdex.operators import tables as A
+
+    rng = np.random.default_rng(2)
+    values = [float(x) for x in rng.lognormal(size=4000)] + [5.0] * 3000 + [None] * 10
+    frame = spark.createDataFrame([("a" if i % 3 else "b", i % 7, v) for i, v in enumerate(values)], "g string, day int, v double").union(spark.createDataFrame([(None, 1, 2.0)], "g string, day int, v double"))
+    shares = {"low": 0.05, "mid": 0.5, "top": 1.0}
+    found = A.sketched_percentiles(A.value_sketches(frame, ["g", "day"], "v"), "g", shares)
+    rows = {r.g: r for r in found.collect()}
+    assert set(rows) == {"a", "b", None} and rows["a"].sketches == 7 and rows["a"].n + rows["b"].n + rows[None].n == 7001
+    for r in A.rank_errors(frame, "g", "v", found, shares).collect():
+        assert max(r.low, r.mid, r.top) <= 0.01
