@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from loomdex.shared import written
 
-from .blobs import binary_cells, joined, run_starts
+from .blobs import run_starts
 from .tokens import text_slices
 
 #: Where the public tokenizers' files are.
@@ -163,6 +163,11 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 ARRAYS = ("a_ids", "b_ids", "a_sizes", "b_sizes")
 
 
+def _bytes_to_sizes(values: np.ndarray) -> np.ndarray:
+    heads = np.append(0, np.flatnonzero(values < 255) + 1)[:-1]
+    return np.add.reduceat(values, heads) if len(heads) else values
+
+
 def _sizes_to_bytes(sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sizes as bytes: 255 as often as it fits, then the rest; and where each row begins."""
     count = sizes // 255 + 1
@@ -172,13 +177,6 @@ def _sizes_to_bytes(sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, n
     return out, ends[first]
 
 
-def _packed(a, b, a_first, b_first, a_end, b_end) -> list[pa.Array]:
-    """Ids and group sizes of each text in binary cells, about as many bytes as the text."""
-    g_first = np.append(0, np.searchsorted(a_end, a_first[1:], side="right"))
-    sizes = [_sizes_to_bytes(np.diff(np.append(0, e)), g_first) for e in (a_end, b_end)]
-    return [binary_cells(a.astype(np.uint16), a_first), binary_cells(b.astype(np.uint16), b_first), *[binary_cells(*s) for s in sizes]]
-
-
 @dataclass
 class Aligned:
     """Tokens and group sizes of texts, and where those of each text begin."""
@@ -191,24 +189,31 @@ class Aligned:
     b_first: np.ndarray
     first: np.ndarray
 
+    def packed(self) -> tuple[bytes, int]:
+        """All of it in compressed bytes, and how many there were."""
+        sizes = [_sizes_to_bytes(x, self.first)[0] for x in (self.a_sizes, self.b_sizes)]
+        counts = [np.diff(x).astype(np.uint32) for x in (self.a_first, self.b_first, self.first)]
+        parts = [np.array([len(counts[0]), *map(len, sizes)], np.int64), *counts, self.a.astype(np.uint16), self.b.astype(np.uint16), *sizes]
+        whole = b"".join(x.tobytes() for x in parts)
+        return pa.compress(whole, "zstd", asbytes=True), len(whole)
+
     @classmethod
-    def of(cls, table) -> Aligned:
-        """From the packed cells of a table or batch."""
-        parts = []
-        for name, kind in zip(ARRAYS, (np.uint16, np.uint16, np.uint8, np.uint8), strict=True):
-            column = table.column(name)
-            column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-            ends = np.append(0, np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))).astype(np.int64)
-            values = joined(column, kind).astype(np.int64)
-            if kind is np.uint8:
-                heads = np.append(0, np.flatnonzero(values < 255) + 1)
-                ends = np.searchsorted(heads, ends)
-                values = np.add.reduceat(values, heads[:-1]) if len(values) else values
-            else:
-                ends //= 2
-            parts.append((values, ends))
-        (a, a_first), (b, b_first), (a_sizes, first), (b_sizes, _) = parts
-        return cls(a, b, a_sizes, b_sizes, a_first, b_first, first)
+    def of(cls, cells: list[bytes], raw: list[int]) -> Aligned:
+        """All texts of packed cells, one cell after the other."""
+        columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+        for cell, size in zip(cells, raw, strict=True):
+            data, at = pa.decompress(cell, size, "zstd", asbytes=True), 24
+            n, *sizes = np.frombuffer(data, np.int64, 3).tolist()
+            counts = np.frombuffer(data, np.uint32, 3 * n, at).astype(np.int64).reshape(3, n)
+            at += 12 * n
+            for out, kind, count in zip(columns, (np.uint16, np.uint16, np.uint8, np.uint8), (*counts[:2].sum(axis=1).tolist(), *sizes), strict=False):
+                values = np.frombuffer(data, kind, count, at).astype(np.int64)
+                at += count * np.dtype(kind).itemsize
+                out.append(values if kind is np.uint16 else _bytes_to_sizes(values))
+            for out, own in zip(columns[4:], counts, strict=True):
+                out.append(own)
+        whole = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in columns]
+        return cls(*whole[:4], *(np.append(0, np.cumsum(x)) for x in whole[4:]))
 
     def lists(self) -> list[pa.Array]:
         """The four as list columns."""
@@ -217,11 +222,13 @@ class Aligned:
 
 
 def _aligned_rows(sources):
+    """A row for each document; the first of a piece of text has the tokens of them all."""
+
     def rows(batches):
         one, two = (_tokenizer(k, s) for k, s in zip((ByteBPE, PieceBPE), sources.value, strict=True))
         sizes = [np.array([len(p) for p in t.pieces]) for t in (one, two)]
         # slices of a task, each of so many bytes
-        read, task = 0, TaskContext.get().partitionId() << 32
+        read, piece, task = 0, 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for at, n, data, offsets in text_slices(batch.column("__text"), PIECE_BYTES):
                 whole = data.tobytes()
@@ -234,18 +241,21 @@ def _aligned_rows(sources):
                 same = [bool(x and y) for x, y in zip(*coded, strict=True)]
                 (a, a_first), (b, b_first) = (_flat([x if s else [] for x, s in zip(c, same, strict=True)]) for c in coded)
                 a_end, b_end = shared_groups(np.cumsum(sizes[0][a]), np.cumsum(sizes[1][b]), a_first, b_first)
-                yield pa.RecordBatch.from_arrays([batch.column("__row").slice(at, n), pa.array(np.full(n, task + read // SLICE_BYTES)), *_packed(a, b, a_first, b_first, a_end, b_end)], ["__row", "slice", *ARRAYS])
-                read += len(data)
+                first = np.append(0, np.searchsorted(a_end, a_first[1:], side="right"))
+                cell, size = Aligned(a, b, np.diff(np.append(0, a_end)), np.diff(np.append(0, b_end)), a_first, b_first, first).packed()
+                columns = [np.full(n, task + read // SLICE_BYTES), np.full(n, piece), np.arange(n), np.where(np.arange(n) > 0, 0, size)]
+                yield pa.RecordBatch.from_arrays([batch.column("__row").slice(at, n), *map(pa.array, columns), pa.array([cell] + [None] * (n - 1), pa.binary())], ["__row", "slice", "piece", "place", "size", "tokens"])
+                read, piece = read + len(data), piece + 1
 
     return rows
 
 
 def _align(docs: DataFrame, sources, text_col: str, keep_text: bool) -> DataFrame:
-    """(__row, slice, packed tokens and sizes) of documents; `__row` holds all other columns, the text only with `keep_text`."""
+    """(__row, slice, piece, place, size, tokens) of documents; `__row` holds all other columns, the text only with `keep_text`."""
     kept = [F.col(f"`{c}`") for c in docs.columns if keep_text or c != text_col]
     rows = docs.select(F.struct(F.lit(0).alias("__none"), *kept).alias("__row"), F.col(f"`{text_col}`").alias("__text"))
     shape = rows.schema["__row"].dataType.simpleString()
-    return rows.mapInArrow(_aligned_rows(sources), f"__row {shape}, slice long, {', '.join(f'{c} binary' for c in ARRAYS)}")
+    return rows.mapInArrow(_aligned_rows(sources), f"__row {shape}, slice long, piece long, place long, size long, tokens binary")
 
 
 def _links(t: Aligned) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -278,11 +288,11 @@ def _links(t: Aligned) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 def _pair_rows(batches):
     """A row for each pair of ids that a slice's documents link, with the number of these documents."""
     for batch in batches:
-        slices = batch.column("slice").to_numpy()
+        slices, cells, raw = batch.column("slice").to_numpy(), batch.column("tokens"), batch.column("size").to_pylist()
         edges = np.append(run_starts(slices), len(slices))
         for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             pairs, rows = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for p, r, _ in _links(Aligned.of(batch.slice(x, y - x))):
+            for p, r, _ in _links(Aligned.of(cells.slice(x, y - x).to_pylist(), raw[x:y])):
                 pairs, rows = np.append(pairs, p), np.append(rows, r)
                 order = np.lexsort((rows, pairs))
                 order = order[run_starts(pairs[order], rows[order])]
@@ -329,7 +339,9 @@ def _score(sources, lists: bool, texts: bool):
         pairs = right.column("pair").to_numpy()
         order = np.argsort(pairs, kind="stable")
         pairs, count, best = pairs[order], right.column("count").to_numpy()[order], right.column("best").to_numpy()[order]
-        tokens = Aligned.of(left)
+        left = left.take(pa.array(np.lexsort((left.column("place").to_numpy(), left.column("piece").to_numpy()))))
+        packed = left.filter(pc.is_valid(left.column("tokens")))
+        tokens = Aligned.of(packed.column("tokens").to_pylist(), packed.column("size").to_pylist())
         n_links, n_best, count_sum = (np.zeros(len(left), np.int64) for _ in range(3))
         for p, row, times in _links(tokens):
             at = np.searchsorted(pairs, p)
@@ -365,7 +377,7 @@ def align_tokens(docs: DataFrame, sources, text_col: str = "text", keep_text: bo
     new = {c: "long" for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")}
     new |= {c: "array<int>" for c in ARRAYS if lists} | ({"groups": "string"} if texts else {})
     aligned = written(_align(docs, sources, text_col, keep_text), "aligned-tokens")
-    asked = written(aligned.select("slice", *ARRAYS).mapInArrow(_pair_rows, "slice long, pair long, n long"), "linked-pairs")
+    asked = written(aligned.where("tokens is not null").select("slice", "size", "tokens").mapInArrow(_pair_rows, "slice long, pair long, n long"), "linked-pairs")
     # a slice that is read in two parts asks twice, and gets the same answer
     answers = asked.select("slice", "pair").join(pair_counts(asked), "pair")
     shape = f"__row {aligned.schema['__row'].dataType.simpleString()}, {', '.join(f'{c} {t}' for c, t in new.items())}"

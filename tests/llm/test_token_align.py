@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from loomdex.llm import token_align
 from loomdex.llm.queries import queries
-from loomdex.llm.token_align import TOKENIZERS, group_text, score_alignments, shared_groups, tokenizer_files
+from loomdex.llm.token_align import TOKENIZERS, Aligned, align_tokens, shared_groups, tokenizer_files
 
 
 def brute(rows):
@@ -65,8 +65,7 @@ ODD = [
 ]
 
 
-@pytest.mark.parametrize("size", [200, 8 << 20])
-def test_odd_texts_equal_brute_force(spark, monkeypatch, tmp_path, size):
+def test_odd_texts_equal_brute_force(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "null id"), (3, "again 3"), (3, "again 3")]
     frame = spark.createDataFrame([(*r, "clash", 2.0) for r in rows], "doc_id long, text string, n_best string, pair double").repartition(3)
     frame.write.parquet(str(tmp_path / "documents.parquet"))
@@ -84,7 +83,7 @@ def test_groups_spell_the_text(spark):
     rows = [(i, t) for i, t in enumerate(ODD) if t]
     sources = tokenizer_files(spark)
     one, two = token_align.ByteBPE(sources.value[0]), token_align.PieceBPE(sources.value[1])
-    scored = score_alignments(spark.createDataFrame(rows, "doc_id long, text string"), sources)
+    scored = align_tokens(spark.createDataFrame(rows, "doc_id long, text string"), sources)
     assert scored.columns[:2] == ["doc_id", "text"]
     for r in scored.collect():
         a = b = 0
@@ -116,7 +115,8 @@ def test_groups_are_all_shared_cuts():
 def test_links_are_listed_in_parts(monkeypatch, spark):
     frame = spark.createDataFrame([(1, "日本語" * 200), (2, "plain words")], "doc_id long, text string")
     sources = tokenizer_files(spark)
-    whole = score_alignments(frame, sources).toArrow()
+    rows = token_align._align(frame, sources, "text", False).where("tokens is not null").collect()
+    whole = Aligned.of([bytes(r.tokens) for r in rows], [r["size"] for r in rows])
     parts = list(token_align._links(whole))
     monkeypatch.setattr(token_align, "PAIRS", 3)
     small = list(token_align._links(whole))
@@ -126,5 +126,13 @@ def test_links_are_listed_in_parts(monkeypatch, spark):
 
 def test_empty_table(spark):
     sources = tokenizer_files(spark)
-    empty = score_alignments(spark.createDataFrame([], "doc_id long, text string"), sources)
-    assert empty.collect() == [] and group_text(empty, sources).collect() == []
+    assert align_tokens(spark.createDataFrame([], "doc_id long, text string"), sources, texts=True).collect() == []
+
+
+def test_packed_tokens_come_back():
+    sizes, first = np.array([1, 254, 255, 256, 3, 600, 510]), np.array([0, 2, 2, 5, 7])
+    one = Aligned(np.array([5, 50256]), np.array([31999]), sizes, sizes[::-1], np.array([0, 0, 1, 1, 2]), np.array([0, 1, 1, 1, 1]), first)
+    none = Aligned(*(np.zeros(0, np.int64) for _ in range(4)), *(np.zeros(2, np.int64) for _ in range(3)))
+    back = Aligned.of(*zip(*(x.packed() for x in (none, one, none))))
+    assert back.a.tolist() == [5, 50256] and back.b.tolist() == [31999] and back.a_sizes.tolist() == sizes.tolist() and back.b_sizes.tolist() == sizes[::-1].tolist()
+    assert back.first.tolist() == [0, *first.tolist(), 7] and back.a_first.tolist() == [0, 0, 0, 1, 1, 2, 2]
