@@ -54,11 +54,13 @@ def mail_scan(spark, sf_dir):
     return rows.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "message_id", "subject", "sender_name", F.md5("body").alias("body_md5"))
 
 
-@query("SELECT doc_id AS id, doc_id // 20 AS document, doc_id % 37 = 0 AS asks, 64 AS dim, 10 AS words FROM documents")
+@query("SELECT doc_id AS id, doc_id // 20 AS document, 'Section ' || (doc_id // 20 + 1) || ' › Clause ' || (doc_id % 20 + 1) AS heading, doc_id % 37 = 0 AS asks, 384 AS dim, 1.0::DOUBLE AS size, true AS drawn, 4 AS asked FROM documents")
 def bench_corpus(spark, sf_dir):
     """The synthetic corpus of a chunk for each document: what of it follows from the id alone."""
     made = X.bench_corpus(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")))
-    return made.select("id", "document", "asks", F.size("vector").alias("dim"), (F.size(F.split("body", " ")) - 2).alias("words"))
+    size = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+    drawn = F.exists(F.array(*map(F.lit, X.BENCH_SENTENCES)), lambda t: F.col("body").startswith(t) & (F.size(F.split(F.substring("body", F.length(t) + 2, F.length("body")), " ")) == 6))
+    return made.select("id", "document", "heading", "asks", F.size("vector").alias("dim"), F.round(size, 9).alias("size"), drawn.alias("drawn"), F.size(F.split("question", " ")).alias("asked"))
 
 
 _LISTING = """SELECT CASE doc_id % 12 WHEN 0 THEN 'library/' || source || '/' || doc_id || '.md' WHEN 1 THEN 'library/.hidden' || doc_id WHEN 2 THEN 'library/node_modules/' || doc_id || '.js'
@@ -118,13 +120,20 @@ def rows_to_facts(spark, sf_dir):
 
 @query(
     r"""WITH a AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=["'']([^"'']*)["''][^>]*>(.*?)</a>', 2)) AS label,
-    generate_subscripts(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=["'']([^"'']*)["''][^>]*>(.*?)</a>', 1), 1) AS o FROM pages),
+    generate_subscripts(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=["'']([^"'']*)["''][^>]*>(.*?)</a>', 1), 1) AS o FROM pages WHERE page_id % 3 <> 0),
     l AS (SELECT url, o, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || replace(href, '&amp;', '&') ELSE replace(href, '&amp;', '&') END AS link, """
     + S.collapse(S.replace_all(S.gsub("label", "<[^>]*>"), T.PAGE_ENTITIES))
-    + r""" AS title FROM a) SELECT url, title, link, row_number() OVER (PARTITION BY url ORDER BY o) AS rank FROM l WHERE regexp_matches(link, '^https?://[^/?#]+') AND length(title) >= 4 QUALIFY rank <= 5"""
+    + r""" AS title FROM a), plain AS (SELECT url, title, link, title AS snippet, row_number() OVER (PARTITION BY url ORDER BY o) AS rank FROM l WHERE regexp_matches(link, '^https?://[^/?#]+') AND strlen(title) > 10 QUALIFY rank <= 5),
+    marked AS (SELECT url, unnest(['Page ' || page_id || ' & more', 'Two']) AS title, unnest(['https://example.org/p?id=' || page_id || '&x=1', 'http://two.example/' || page_id]) AS link, unnest(['About page ' || page_id, '']) AS snippet, unnest([1, 2]) AS o FROM pages WHERE page_id % 3 = 0)
+    SELECT url, title, link, snippet, rank FROM plain UNION ALL SELECT url, title, link, snippet, row_number() OVER (PARTITION BY url ORDER BY o) FROM marked WHERE strlen(title) > 3"""
 )
 def serp_links(spark, sf_dir):
-    return X.result_links(table(spark, sf_dir, "pages"), "url", "html", 5, ["search.example"], relative=True)
+    """Links of pages; every third is a result page with marked titles, redirects, an own link and a title that is too short."""
+    pages, i = table(spark, sf_dir, "pages"), F.col("page_id")
+    first = F.concat(F.lit('<h2 class="result__title"><A class="x" href="//duck.example/l/?uddg=https%3A%2F%2Fexample.org%2Fp%3Fid%3D'), i, F.lit('%26x%3D1&amp;rut=9">Page <b>'), i, F.lit('</b> &amp; more</a></h2><a class="result__snippet" href="#">About  page '), i, F.lit("</a>"))
+    second = F.concat(F.lit('<h2 class="result__title"><a href="http://two.example/'), i, F.lit('">Two</a></h2><h2 class="result__title"><a href="https://search.example/own">An own link of the engine</a></h2>'))
+    html = F.when(i % 3 == 0, F.concat(first, second, F.lit('<a href="http://elsewhere.example/">A plain link that is passed over</a>'))).otherwise(F.col("html"))
+    return X.result_links(pages.select("url", html.alias("html")), "url", "html", 5, ["search.example"], relative=True)
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'v2' ELSE source END AS source, n_chars + (doc_id % 3 = 0)::INT AS n_chars, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS version, CASE WHEN doc_id % 3 = 0 THEN 6.0 ELSE 3.0 END::DOUBLE AS total FROM documents WHERE doc_id % 5 <> 2")

@@ -269,14 +269,37 @@ def stream_quarantine(spark, sf_dir):
     return stored.unionByName(failed)
 
 
+def _sent_header():
+    """A Date header for each document: minutes of some seventy days, in an order of their own."""
+    sent = F.timestamp_seconds(F.lit(1_704_067_200) + 60 * (F.col("doc_id") * 7919 % 100_000))
+    return F.concat(F.lit("Mon, "), F.date_format(sent, "d MMM yyyy HH:mm:ss Z"))
+
+
 @query(f"SELECT doc_id, category, pattern FROM ({_TRIAGED})")
 def stream_mail(spark, sf_dir):
     """The mails arrive as files, each twice, are parsed, and triaged once each."""
     folder = f"{shared_folder(spark)}/mail-{uuid4().hex}"
-    head = F.concat(F.lit("Message-ID: "), "doc_id", F.lit("\nFrom: "), "sender", F.lit("\nSubject: "), "subject", F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), "body")
+    head = F.concat(F.lit("Message-ID: "), "doc_id", F.lit("\nDate: "), _sent_header(), F.lit("\nFrom: "), "sender", F.lit("\nSubject: "), "subject", F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), "body")
     files = mails(spark, sf_dir).select(F.concat(F.lit("mail/"), "doc_id").alias("path"), F.encode(head, "UTF-8").alias("content"))
     for _ in range(2):
         files.write.mode("append").parquet(f"{folder}/in")
     arriving = spark.readStream.schema(files.schema).parquet(f"{folder}/in")
     triage = lambda rows: rows.select(F.col("message_id").cast("long").alias("doc_id"), M.triage(F.col("subject"), F.col("body"), F.col("sender")).alias("t")).select("doc_id", "t.category", "t.pattern")
     return J.drained(J.mail_stream(arriving, mail_rows, triage), f"{folder}/out", "append")
+
+
+@query(
+    f"""SELECT key, message_id, {_text('sent')} AS sent FROM (SELECT 'box' || doc_id % 13 AS key, doc_id::VARCHAR AS message_id, TIMESTAMP '2024-01-01' + to_minutes(doc_id * 7919 % 100000) AS sent FROM documents)
+    QUALIFY row_number() OVER (PARTITION BY key ORDER BY sent DESC, message_id DESC) <= 5"""
+)
+def stream_mailbox(spark, sf_dir):
+    """The mails arrive as files, each twice; every mailbox keeps its five newest."""
+    folder = f"{shared_folder(spark)}/mailbox-{uuid4().hex}"
+    head = F.concat(F.lit("Message-ID: "), "doc_id", F.lit("\nDate: "), _sent_header(), F.lit("\nTo: box"), F.col("doc_id") % 13, F.lit("\nSubject: Hello\n\nbody"))
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("mail/"), "doc_id").alias("path"), F.encode(head, "UTF-8").alias("content"))
+    for _ in range(2):
+        files.write.mode("append").parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(files.schema).parquet(f"{folder}/in")
+    mails = J.mail_stream(arriving, mail_rows, lambda rows: rows.select("message_id", "recipient", "sent"))
+    found = J.standing(J.drained(J.latest_mails(mails, "recipient", 5), f"{folder}/out", "append"))
+    return _plain(found, "sent").select("key", "message_id", "sent")

@@ -106,25 +106,45 @@ def mail_rows(files: DataFrame) -> DataFrame:
     return rows.withColumn("sender_name", F.when(name != "", name).otherwise(F.col("sender")))
 
 
-def result_links(pages: DataFrame, url_col: str, html_col: str, limit: int, own_hosts: list[str], min_title: int = 4, relative: bool = False) -> DataFrame:
-    """(url, rank, title, link) of the links of result pages: redirects unwrapped, http(s) only, other hosts, titles long enough.
+def _links(html: Column, pattern: str, groups: int, page: Column, own_hosts: list[str], more_than: int, relative: bool) -> Column:
+    """The links (link, title, snippet) that a pattern finds in a page, in order: redirects unwrapped, http(s) only, other hosts, titles long enough."""
+    parts = [F.regexp_extract_all(html, F.lit(pattern), F.lit(g)) for g in range(1, groups + 1)]
+    found = F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("href", "label", "after"), strict=False)])
 
-    With `relative`, links without a host are resolved against the page's.
+    def clean(a: Column) -> Column:
+        target = F.regexp_extract(a["href"], r"uddg=([^&]*)", 1)
+        link = F.when(target != "", F.try_url_decode(target)).otherwise(F.replace(a["href"], F.lit("&amp;"), F.lit("&")))
+        link = F.when(link.startswith("//"), F.concat(F.lit("https:"), link)).otherwise(link)
+        if relative:
+            link = F.when(link.startswith("/"), F.concat(F.regexp_extract(page, r"^([a-z]+://[^/?#]+)", 1), link)).otherwise(link)
+        text = lambda t: T.collapse(T.replace_all(F.regexp_replace(t, r"<[^>]*>", ""), T.PAGE_ENTITIES))
+        return F.struct(link.alias("link"), text(a["label"]).alias("title"), text(a["after"] if groups > 2 else a["label"]).alias("snippet"))
+
+    def kept(a: Column) -> Column:
+        host = F.regexp_extract(a["link"], r"^https?://([^/?#]+)", 1)
+        return (host != "") & ~host.isin(own_hosts) & (F.octet_length(a["title"]) > more_than)
+
+    return F.filter(F.transform(found, clean), kept)
+
+
+#: A result's anchor behind its title's mark, and its snippet, if one comes before the next title.
+_RESULT = r"""(?is)result__title(?:(?!result__title).)*?<a\b[^>]*?\bhref=["']([^"']*)["'][^>]*>(.*?)</a>(?:(?:(?!result__title).)*?result__snippet[^>]*>(.*?)</a>)?"""
+_ANCHOR = r"""(?is)<a\b[^>]*\bhref=["']([^"']*)["'][^>]*>(.*?)</a>"""
+
+
+def result_links(pages: DataFrame, url_col: str, html_col: str, limit: int, own_hosts: list[str], more_than: int = 3, plain_more_than: int = 10, relative: bool = False) -> DataFrame:
+    """(url, rank, title, link, snippet) of the first `limit` results of each page, row by row.
+
+    Results stand behind a mark of their titles, which have more than `more_than` bytes. A
+    page without any gives all its links of more than `plain_more_than` bytes instead, whose
+    title is their snippet. With `relative`, links without a host are resolved against the page's.
     """
-    anchor = r"""(?is)<a\b[^>]*\bhref=["']([^"']*)["'][^>]*>(.*?)</a>"""
-    found = F.arrays_zip(F.regexp_extract_all(html_col, F.lit(anchor), 1).alias("href"), F.regexp_extract_all(html_col, F.lit(anchor), 2).alias("label"))
-    rows = pages.select(F.col(url_col).alias("url"), F.posexplode(found).alias("at", "a")).select("url", "at", "a.href", "a.label")
-    target = F.regexp_extract("href", r"[?&]uddg=([^&]*)", 1)
-    link = F.when(target != "", F.try_url_decode(target)).otherwise(F.replace("href", F.lit("&amp;"), F.lit("&")))
-    link = F.when(link.startswith("//"), F.concat(F.lit("https:"), link)).otherwise(link)
-    if relative:
-        link = F.when(link.startswith("/"), F.concat(F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1), link)).otherwise(link)
-    title = T.collapse(T.replace_all(F.regexp_replace("label", r"<[^>]*>", ""), T.PAGE_ENTITIES))
-    rows = rows.select("url", "at", link.alias("link"), title.alias("title"))
-    host = F.regexp_extract("link", r"^https?://([^/?#]+)", 1)
-    rows = rows.where((host != "") & ~host.isin(own_hosts) & (F.length("title") >= min_title))
-    rank = F.row_number().over(Window.partitionBy("url").orderBy("at"))
-    return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= limit).select("url", "rank", "title", "link")
+    html, page = F.col(html_col), F.col(url_col)
+    marked = _links(html, _RESULT, 3, page, own_hosts, more_than, relative)
+    plain = _links(html, _ANCHOR, 2, page, own_hosts, plain_more_than, relative)
+    rows = pages.select(page.alias("url"), html.alias("html"), marked.alias("marked"), plain.alias("plain"))
+    chosen = F.slice(F.when(F.size("marked") > 0, F.col("marked")).otherwise(F.col("plain")), 1, limit)
+    return rows.select("url", F.posexplode(chosen).alias("at", "a")).select("url", (F.col("at") + 1).cast("long").alias("rank"), "a.title", "a.link", "a.snippet")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -154,11 +174,30 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def bench_corpus(ids: DataFrame, dim: int = 64, topics: int = 50) -> DataFrame:
-    """A corpus of a chunk for each row (id), the same each time: 20 chunks a document, a topic vector with a fifth of noise, a sentence and six words."""
-    draw = lambda *parts: (F.pmod(F.xxhash64(*parts), F.lit(1_000_003)) / 1_000_003.0) - 0.5
-    rows = ids.select("id", (F.col("id") / 20).cast("long").alias("document"), F.pmod(F.xxhash64("id"), F.lit(topics)).alias("topic"))
-    vector = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: 0.8 * draw(F.col("topic"), i) + 0.2 * draw(F.col("id"), i, F.lit("noise")))
-    words = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(5000))))
-    body = F.concat(F.lit("Notes on topic "), "topic", F.lit(" continue here. "), F.array_join(words, " "))
-    return rows.select("id", "document", F.concat(F.lit("Topic "), "topic").alias("heading"), body.alias("body"), vector.alias("vector"), (F.col("id") % 37 == 0).alias("asks"))
+#: Sentences and words of the synthetic corpus.
+BENCH_SENTENCES = ["The contract may be ended in writing by either side.", "Invoices are paid within thirty days.", "The index is rebuilt every night.", "Measured values are kept for a year.", "Each clause applies on its own.", "Repairs are logged before they begin.", "The committee meets in spring and autumn.", "Storage grows with the number of pages."]
+BENCH_WORDS = ["ledger", "harbour", "valve", "orchard", "signal", "clause", "tariff", "meadow", "engine", "archive", "lantern", "permit", "quarry", "voltage", "anchor", "textile", "glacier", "warrant", "beacon", "furnace"]
+
+
+def bench_corpus(ids: DataFrame, dim: int = 384) -> DataFrame:
+    """A corpus of a chunk for each row (id), the same each time: (id, document, heading, body, vector, asks, question).
+
+    A document has 20 chunks and a topic vector of its own; a chunk's vector is four fifths
+    of the topic and one fifth noise, of length 1. Its body is a drawn sentence and six
+    drawn words. Every 37th chunk asks with the first four words of its body.
+    """
+    draw = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(1_000_003)) / 1_000_003.0
+    chosen = lambda items, *parts: F.element_at(F.array(*map(F.lit, items)), (F.pmod(F.xxhash64(*parts), F.lit(len(items))) + 1).cast("int"))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    places = F.sequence(F.lit(1), F.lit(dim))
+    rows = ids.select("id", F.floor(F.col("id") / 20).alias("document"))
+    topic = F.transform(places, lambda i: draw(F.col("document"), i))
+    # one topic a document, computed once for its chunks
+    topics = rows.select("document").distinct().select("document", topic.alias("topic")).select("document", "topic", norm(F.col("topic")).alias("size"))
+    rows = rows.join(topics, "document")
+    mixed = F.zip_with("topic", places, lambda t, i: 0.8 * t / F.col("size") + 0.2 * (draw(F.col("id"), i, F.lit("noise")) - 0.5))
+    rows = rows.select("id", "document", mixed.alias("mixed")).select("id", "document", "mixed", norm(F.col("mixed")).alias("size"))
+    words = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: chosen(BENCH_WORDS, F.col("id"), i))
+    rows = rows.select("id", "document", F.concat(chosen(BENCH_SENTENCES, F.col("id"), F.lit("sentence")), F.lit(" "), F.array_join(words, " ")).alias("body"), F.transform("mixed", lambda x: x / F.col("size")).alias("vector"))
+    heading = F.concat(F.lit("Section "), F.col("document") + 1, F.lit(" › Clause "), F.col("id") % 20 + 1)
+    return rows.select("id", "document", heading.alias("heading"), "body", "vector", (F.col("id") % 37 == 0).alias("asks"), F.array_join(F.slice(F.split("body", " "), 1, 4), " ").alias("question"))

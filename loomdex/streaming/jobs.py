@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.shared import cut
 from loomdex.sources.sink import KeyedTable
-from loomdex.streaming.state import STORE, Segments, Tickets, keyed
+from loomdex.streaming.state import STORE, Latest, Segments, Tickets, keyed
 
 
 def confirmations(tickets: DataFrame, confirms: DataFrame, seconds: int) -> DataFrame:
@@ -104,10 +104,37 @@ def ingest(stream: DataFrame, extract: Callable[[DataFrame], DataFrame], sink: K
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def mail_stream(files: DataFrame, parse: Callable[[DataFrame], DataFrame], triage: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Arriving mail files (path, content, modificationTime), parsed and triaged once for each message id."""
-    seen = parse(files).withColumn("arrived", F.current_timestamp()).withWatermark("arrived", "1 hour")
-    return triage(seen.dropDuplicatesWithinWatermark(["message_id"]))
+def mail_time(date: Column) -> Column:
+    """The time of a mail's Date header; null if it is none."""
+    plain = F.regexp_replace(F.regexp_replace(F.trim(date), r"^[A-Za-z]+,\s*", ""), r"\s*\([^)]*\)$", "")
+    zoned = F.regexp_replace(plain, r"\s(?:GMT|UTC|UT|Z)$", " +0000")
+    return F.coalesce(*[F.try_to_timestamp(zoned, F.lit(form)) for form in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z")])
+
+
+def mail_stream(files: DataFrame, parse: Callable[[DataFrame], DataFrame], triage: Callable[[DataFrame], DataFrame], delay: str = "7 days") -> DataFrame:
+    """Arriving mail files (path, content), parsed and triaged once for each message id, by the time at which they were sent (column sent).
+
+    A mail may arrive up to `delay` after others that were sent later. One that arrives again
+    meanwhile is known and dropped; one that arrives again afterwards is too late, and is
+    dropped as such. So no mail counts twice, however late its copy comes. Mails without a
+    readable date have no place in time and are left out.
+    """
+    rows = parse(files).withColumn("sent", mail_time(F.col("date"))).where("sent is not null")
+    return triage(rows.withWatermark("sent", delay).dropDuplicatesWithinWatermark(["message_id"]))
+
+
+def latest_mails(mails: DataFrame, mailbox: str, n: int) -> DataFrame:
+    """(key, message_id, sent, place, displaced) of a stream of mails with a watermark: each that enters the `n` newest of its mailbox. To be started by drained().
+
+    State is `n` messages a mailbox. Of equal times the larger message id is newer.
+    """
+    return keyed(mails.select(F.col(mailbox).alias("key"), "message_id", "sent"), "key", Latest(n))
+
+
+def standing(entries: DataFrame) -> DataFrame:
+    """Of the rows of latest_mails() those that no other has displaced: what the mailboxes hold."""
+    gone = entries.select(F.col("key").alias("__key"), F.col("displaced").alias("__gone")).where("__gone is not null")
+    return entries.join(gone, F.col("key").eqNullSafe(F.col("__key")) & (F.col("message_id") == F.col("__gone")), "left_anti").drop("place", "displaced")
 
 
 def drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:

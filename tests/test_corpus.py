@@ -75,9 +75,14 @@ def test_scan_and_mail(spark, tmp_path):
 
 
 def test_result_links(spark):
-    html = '<a href="//r.example/l/?uddg=https%3A%2F%2Fa.org%2Fx&amp;k=1">First <b>title</b></a><a href="https://own.org/y">Own host</a><a href="ftp://z">Wrong scheme</a><a href="https://b.org/">ab</a>'
-    frame = spark.createDataFrame([("http://s/", html)], "url string, html string")
-    assert [(r.rank, r.title, r.link) for r in X.result_links(frame, "url", "html", 5, ["own.org"]).collect()] == [(1, "First title", "https://a.org/x")]
+    marked = '<div class="result__title"><a href="//r.example/?uddg=https%3A%2F%2Fa.org%2Fx&amp;k=1">First <b>title</b></a></div><a class="result__snippet">about it</a>'
+    marked += '<div class="result__title"><a href="http://own.org/">Own one</a></div><div class="RESULT__TITLE"><a href="http://b.org/">abc</a></div><div class="result__title"><a href=\'http://c.org/?a=1&amp;b=2\'>éé</a></div><a href="http://d.org/">A plain link, not a result</a>'
+    plain = '<a href="http://e.org/">ten bytes.</a><a href="http://f.org/">eleven here</a><a href="/rel">not resolved here</a><a href="mailto:x@y">mail address text</a>'
+    rows = [(1, "u1", marked), (2, "u2", plain), (3, "u3", None), (4, "u1", plain), (5, "u5", '<p class="result__title">no link')]
+    frame = spark.createDataFrame(rows, "id long, url string, html string")
+    got = sorted((r.url, r["rank"], r.title, r.link, r.snippet) for r in X.result_links(frame, "url", "html", 5, ["own.org"]).collect())
+    assert got == [("u1", 1, "First title", "https://a.org/x", "about it"), ("u1", 1, "eleven here", "http://f.org/", "eleven here"), ("u1", 2, "éé", "http://c.org/?a=1&b=2", ""), ("u2", 1, "eleven here", "http://f.org/", "eleven here")]
+    assert X.result_links(frame, "url", "html", 1, ["own.org"]).count() == 3
 
 
 def test_sinks(spark, tmp_path):
@@ -299,8 +304,13 @@ def test_paths(spark):
 
 
 def test_bench_corpus_is_the_same_each_time(spark):
-    a, b = X.bench_corpus(spark.range(100)), X.bench_corpus(spark.range(100)).repartition(3)
-    assert a.count() == 100 and sorted(a.drop("vector").collect()) == sorted(b.drop("vector").collect()) and a.where("asks").count() == 3
+    a, b = X.bench_corpus(spark.range(100), 16), X.bench_corpus(spark.range(100).repartition(3), 16)
+    rows, again = sorted(a.collect()), sorted(b.collect())
+    assert rows == again and len(rows) == 100 and sum(r.asks for r in rows) == 3
+    vectors = np.array([r.vector for r in rows])
+    own = vectors @ vectors.T
+    assert np.allclose(np.linalg.norm(vectors, axis=1), 1) and own[:20, :20].min() > own[:20, 20:].max()
+    assert len({r.body.split(".")[0] for r in rows}) > 3 and all(r.body.startswith(r.question) and len(r.question.split()) == 4 for r in rows)
 
 
 def test_intake(spark):

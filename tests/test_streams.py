@@ -151,11 +151,38 @@ def test_ingest_counts_each_document_once(spark, tiny, tmp_path):
     assert spark.read.parquet(str(tmp_path / "quarantine")).count() == 0
 
 
+def mail_files(spark, folder, *feeds):
+    for rows in feeds:
+        data = [(f"{i}.eml", f"Message-ID: <{m}>\nDate: {date}\nFrom: a@x\nTo: {to}\nSubject: {subject}\n\nbody\n".encode()) for i, (m, date, to, subject) in enumerate(rows)]
+        spark.createDataFrame(data, "path string, content binary").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema("path string, content binary").option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_mail_times(spark):
+    dates = ["Mon, 1 Jan 2024 10:00:00 +0000", "1 Jan 2024 12:00:00 +0200", "Mon, 01 Jan 2024 10:00 GMT", "Mon, 1 Jan 2024 05:00:00 -0500 (EST)", "yesterday", "", None]
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(dates)], "i int, d string").select("i", J.mail_time(F.col("d")).alias("t")).orderBy("i").collect()
+    assert len({r.t for r in rows[:4]}) == 1 and rows[0].t is not None and all(r.t is None for r in rows[4:])
+
+
 def test_mail_stream(spark, tmp_path):
-    (tmp_path / "mail").mkdir()
-    for i, subject in enumerate(("Outage now", "Hello", "Hello")):
-        (tmp_path / "mail" / f"{i}.eml").write_text(f"Message-ID: <{min(i, 1)}>\nFrom: a@x\nSubject: {subject}\n\nbody\n")
-    schema = spark.read.format("binaryFile").load(str(tmp_path / "mail")).schema
-    files = spark.readStream.format("binaryFile").schema(schema).load(str(tmp_path / "mail"))
+    """Copies in time are dropped as known, copies behind the watermark as late, and so is a new mail that comes too late."""
+    day = lambda d: f"{d} Mar 2024 08:00:00 +0000"
+    feeds = [
+        [("0", day(1), "x", "Outage now"), ("1", day(2), "x", "Hello"), ("1", day(2), "x", "Hello"), ("u", "no date", "x", "Hello")],
+        [("1", day(2), "x", "Hello"), ("2", day(20), "x", "Hello")],
+        [("2", day(20), "x", "Hello"), ("3", day(15), "x", "Weekly update")],
+        [("0", day(1), "x", "Outage now"), ("late", day(3), "x", "Hello")],
+    ]
+    files = mail_files(spark, str(tmp_path / "mail"), *feeds)
     triage = lambda rows: rows.select("message_id", M.triage(F.col("subject"), F.col("body"), F.col("sender"))["category"].alias("category"))
-    assert run(spark, J.mail_stream(files, X.mail_rows, triage), tmp_path, "mail_out") == [("<0>", "Urgent"), ("<1>", "Informational")]
+    got = run(spark, J.mail_stream(files, X.mail_rows, triage, "7 days"), tmp_path, "mail_out")
+    assert got == [("<0>", "Urgent"), ("<1>", "Informational"), ("<2>", "Informational"), ("<3>", "Newsletter")]
+
+
+def test_mailboxes_keep_their_newest(spark, tmp_path):
+    minute = lambda m: f"1 Mar 2024 08:{m:02d}:00 +0000"
+    feeds = [[("a", minute(5), "x", ""), ("b", minute(9), "x", ""), ("c", minute(1), "y", "")], [("d", minute(7), "x", ""), ("a", minute(5), "x", "")], [("e", minute(2), "x", ""), ("f", minute(9), "x", ""), ("g", minute(1), "y", "")]]
+    files = mail_files(spark, str(tmp_path / "mail"), *feeds)
+    mails = J.mail_stream(files, X.mail_rows, lambda rows: rows.select("message_id", "recipient", "sent"), "1 day")
+    found = J.standing(J.drained(J.latest_mails(mails, "recipient", 2), str(tmp_path / "out"), "append"))
+    assert sorted((r.key, r.message_id) for r in found.collect()) == [("x", "<b>"), ("x", "<f>"), ("y", "<c>"), ("y", "<g>")]
