@@ -109,9 +109,10 @@ def _counted_rows(dim: int):
             sizes = np.diff(ends)
             pairs, times = np.unique(np.repeat(np.arange(n), sizes) * max(1, len(words)) + codes, return_counts=True)
             doc, code = np.divmod(pairs, max(1, len(words)))
-            slots = _slots(words.to_pylist(), dim)[code]
-            vectors = np.bincount(doc * dim + slots[:, 0], times, n * dim) + np.bincount(doc * dim + slots[:, 1], 0.5 * times, n * dim)
-            vectors = vectors.reshape(n, dim)
+            vectors = np.zeros((n, dim))
+            if dim:
+                slots = _slots(words.to_pylist(), dim)[code]
+                vectors += (np.bincount(doc * dim + slots[:, 0], times, n * dim) + np.bincount(doc * dim + slots[:, 1], 0.5 * times, n * dim)).reshape(n, dim)
             length = np.linalg.norm(vectors, axis=1, keepdims=True)
             cuts = pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32())
             unit = pa.array((vectors / np.where(length > 0, length, 1)).ravel())
@@ -179,7 +180,7 @@ def _posting_blocks(segment: int):
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = DIM, segment: int = SEGMENT) -> Index:
-    """The index of documents (id, text), written to the shared folder. Null texts have no words; repeated ids are documents of their own."""
+    """The index of documents (id, text), written to the shared folder. Null texts have no words; repeated ids are documents of their own. With `dim` 0 it has no vectors."""
     documents = written(count_words(docs, id_col, text_col, dim=dim), "index-documents")
     size, mean, n = documents.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, n // BUCKET_POSTINGS))

@@ -353,8 +353,47 @@ def markdown_table(spark, sf_dir):
     return found.select("id", F.array_join("header", ",").alias("header"), F.col("rows")[0][0]["text"].alias("name"), F.col("rows")[0][1]["number"].alias("balance"))
 
 
-@query("SELECT p_partkey AS id, n AS section, CASE n WHEN 1 THEN p_name ELSE 'Facts' END AS heading, n::INT AS level, CASE n WHEN 1 THEN p_type ELSE '' END AS paragraphs, CASE n WHEN 1 THEN '' ELSE 'size ' || p_size || ',brand ' || p_brand END AS bullets FROM part, (SELECT unnest([1, 2])::BIGINT AS n)")
+#: Parts as Markdown of four shapes: a title with facts, an overview with a table, strong headings with a subheading, and no heading at all.
+_SHAPES = """WITH s(shape, section, heading, level, subheading, paragraphs, bullets, callout, headers, cells) AS (VALUES
+    (0, 1, '{name}', 1, NULL, '{type}', '', 'of {brand}', '', ''), (0, 2, 'Facts', 2, NULL, '', 'size {size}|brand {brand}', NULL, '', ''),
+    (1, 0, 'Overview', NULL, NULL, 'About {name}', '', NULL, 'name|size', '{name}|{size};{type}|1'), (1, 1, 'End', 2, NULL, '#### deep', '', 'later', '', ''),
+    (2, 1, '1. {name}', 2, '{type}', 'text', 'one|two', NULL, '', ''), (2, 2, 'Summary', 2, NULL, '', '', NULL, 'b', 'y'),
+    (3, 0, 'Overview', NULL, 'Only {type}', '{name}|last', '', NULL, '', '')),
+    t AS (SELECT p_partkey AS id, s.* FROM part JOIN s ON shape = p_partkey % 4), f AS (SELECT t.*, p_name, p_type, p_brand, p_size::VARCHAR AS p_size FROM t JOIN part ON p_partkey = id)"""
+
+
+def _filled(column: str) -> str:
+    for mark, value in (("{name}", "p_name"), ("{type}", "p_type"), ("{brand}", "p_brand"), ("{size}", "p_size")):
+        column = f"replace({column}, '{mark}', {value})"
+    return column
+
+
+def _shaped_parts(spark, sf_dir):
+    n, t, b, size = "p_name", "p_type", "p_brand", F.col("p_size").cast("string")
+    text = lambda *parts: F.concat(*[F.col(p) if p in (n, t, b) else F.lit(p) if isinstance(p, str) else p for p in parts])
+    shapes = [
+        text("\n# ", n, "\n> of ", b, "\n\n", t, "\n```\n# not this\n```\n## Facts\n- size ", size, "\n* brand ", b),
+        text("| lost | table |\n|---|---|\n| 1 | 2 |\n\nAbout ", n, "\n| old |\n|--|\n| x |\n\n| name | size |\n|:---|---:|\n| ", n, " | ", size, " |\n| ", t, " | 1 |\n## End\n#### deep\n> sooner\n> later"),
+        text("**1. ", n, "**\n### first\ntext\n1. one\n- two\n### ", t, "\n**Summary:**\n| a |\n| b |\n|---|\n| y |"),
+        text(n, "\n### Only ", t, "\n| no | rule |\n\nlast\n"),
+    ]
+    chosen = F.element_at(F.array(*shapes), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", chosen.alias("text"))
+
+
+@query(f"{_SHAPES} SELECT id, section::BIGINT AS section, {_filled('heading')} AS heading, level::INT AS level, {_filled('subheading')} AS subheading, {_filled('paragraphs')} AS paragraphs, {_filled('bullets')} AS bullets, {_filled('callout')} AS callout, headers, {_filled('cells')} AS cells FROM f")
 def markdown_sections(spark, sf_dir):
-    text = F.concat(F.lit("# "), "p_name", F.lit("\n"), "p_type", F.lit("\n## Facts\n- size "), "p_size", F.lit("\n- brand "), "p_brand", F.lit("\n"))
-    found = B.markdown_sections(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
-    return found.select("id", F.col("section").cast("long").alias("section"), "heading", "level", F.array_join("paragraphs", ",").alias("paragraphs"), F.array_join("bullets", ",").alias("bullets"))
+    found = B.markdown_sections(_shaped_parts(spark, sf_dir), "p_partkey", "text")
+    joined = lambda c: F.array_join(c, "|")
+    cells = F.array_join(F.transform("table.rows", lambda r: F.array_join(r, "|")), ";")
+    return found.select("id", "section", "heading", "level", "subheading", joined("paragraphs").alias("paragraphs"), joined("bullets").alias("bullets"), "callout", F.coalesce(joined("table.headers"), F.lit("")).alias("headers"), F.coalesce(cells, F.lit("")).alias("cells"))
+
+
+@query(
+    """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 2 THEN '1. ' || p_name ELSE 'Overview' END AS title, CASE p_partkey % 4 WHEN 0 THEN 'of ' || p_brand END AS subtitle,
+    CASE p_partkey % 4 WHEN 0 THEN 'Facts' WHEN 1 THEN 'Overview|End' WHEN 2 THEN '1. ' || p_name || '|Summary' ELSE 'Overview' END AS headings FROM part"""
+)
+def markdown_documents(spark, sf_dir):
+    """Titles, subtitles and what remains as sections of the same texts."""
+    found = B.markdown_documents(_shaped_parts(spark, sf_dir), "p_partkey", "text")
+    return found.select("id", "title", "subtitle", F.array_join(F.transform("sections", lambda s: s["heading"]), "|").alias("headings"))

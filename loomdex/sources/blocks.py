@@ -139,15 +139,76 @@ def markdown_tables(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return table.select("id", F.col("t")[0]["cells"].alias("header"), typed.alias("rows"))
 
 
+def _section_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, at, line, ...) of texts without fenced code, with what each line is and the section that it stands in."""
+    bare = F.trim(F.regexp_replace(text_col, r"(?s)```.*?```", ""))
+    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(bare, r"\r?\n")).alias("at", "raw")).select("id", "at", T.strip(F.col("raw")).alias("line"))
+    line = F.col("line")
+    cells = F.transform(F.split(F.substring(line, F.lit(2), F.length("line") - 2), r"\|"), lambda c: T.strip(c))
+    row = line.startswith("|") & line.endswith("|") & (F.length("line") > 1)
+    rule = row & F.forall(cells, lambda c: c.rlike(r"^:?-+:?$"))
+    hashes, strong = F.regexp_extract(line, r"^(#{1,3})\s+\S", 1), F.regexp_extract(line, r"^\*\*(\d+\.?[^*]+|[A-Z][^*]{2,50}?):?\*\*$", 1)
+    kind = (
+        F.when(line == "", "blank").when(rule, "rule").when(row, "row").when(hashes.isin("#", "##") | ((hashes == "") & (strong != "")), "heading").when(hashes == "###", "subheading")
+        .when(line.rlike(r"^[-*•]\s+") | line.rlike(r"^\d+\.\s+"), "bullet").when(line.startswith(">"), "callout").otherwise("paragraph")
+    )
+    text = (
+        F.when(kind.isin("heading", "subheading"), F.when(hashes != "", T.strip(F.regexp_replace(line, r"^#{1,3}\s+", ""))).otherwise(T.strip(strong)))
+        .when(kind == "bullet", F.regexp_replace(line, r"^[-*•0-9.]+\s*", "")).when(kind == "callout", F.regexp_replace(line, r"^>\s*", "")).otherwise(line)
+    )
+    rows = rows.withColumns({"kind": kind, "level": F.when(kind == "heading", F.when(hashes != "", F.length(hashes)).otherwise(2)), "text": text, "cells": F.when(row, cells)})
+    # a section begins at each heading; what stands before the first is one of its own, unless it is only tables
+    rows = rows.withColumn("section", _running(F.col("kind") == "heading").cast("long"))
+    # rows of pipes in one piece are a table
+    return rows.withColumn("block", _running(~F.col("kind").isin("row", "rule")))
+
+
 def markdown_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, section, heading, level, paragraphs, bullets, callouts) of texts cut at their headings."""
-    heading = F.regexp_extract("line", r"^\s*(#{1,6})\s+(.*?)\s*#*\s*$", 2)
-    rows = _lines(docs, id_col, text_col).withColumn("heading", F.when(heading != "", heading))
-    rows = rows.withColumn("level", F.when(F.col("heading").isNotNull(), F.length(F.regexp_extract("line", r"^\s*(#+)", 1))))
-    rows = rows.withColumn("section", _running(F.col("heading").isNotNull())).where("trim(line) <> ''")
-    bullet, callout = F.regexp_extract("line", r"^\s*(?:[-*+]|\d+[.)])\s+(.*)$", 1), F.regexp_extract("line", r"^\s*>\s?(.*)$", 1)
-    plain = F.col("heading").isNull() & (bullet == "") & (callout == "") & ~F.trim("line").startswith("|")
-    part = lambda keep, text: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct(F.col("at"), text.alias("text"))))), lambda s: s["text"])
-    return rows.groupBy("id", "section").agg(
-        F.max("heading").alias("heading"), F.max("level").alias("level"), part(plain, F.trim("line")).alias("paragraphs"), part(bullet != "", F.trim(bullet)).alias("bullets"), part(callout != "", F.trim(callout)).alias("callouts")
-    )
+    """(id, section, heading, level, subheading, paragraphs, bullets, callout, table) of texts cut at headings.
+
+    Sections open at `#`, `##` and lines that are strong altogether; `###` is a subheading
+    within one. What stands before the first heading is section 0, "Overview"; tables alone
+    make none. Of several subheadings, callouts and tables of a section the last counts. A
+    table has its last row before a rule as its header, and rows behind it; without either
+    it is none. Fenced code is left out.
+    """
+    rows = _section_lines(docs, id_col, text_col)
+    pipes = rows.where("kind in ('row', 'rule')")
+    at_rule = F.min(F.when(F.col("kind") == "rule", F.col("at"))).over(Window.partitionBy("id", "block"))
+    pipes = pipes.withColumn("at_rule", at_rule).where("kind = 'row' and at_rule is not null")
+    before = F.col("at") < F.col("at_rule")
+    ordered = lambda keep, value: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct(F.col("at"), value.alias("value"))))), lambda s: s["value"])
+    tables = pipes.groupBy("id", "section", "block").agg(F.max_by(F.when(before, F.col("cells")), F.when(before, F.col("at"))).alias("headers"), ordered(~before, F.col("cells")).alias("rows"), F.min("at").alias("begins"))
+    tables = tables.where("headers is not null and size(rows) > 0")
+    last = lambda kind: F.max_by(F.when(F.col("kind") == kind, F.col("text")), F.when(F.col("kind") == kind, F.col("at")))
+    parts = rows.where("kind not in ('blank', 'row', 'rule')").groupBy("id", "section").agg(
+        F.coalesce(last("heading"), F.lit("Overview")).alias("heading"), F.max("level").alias("level"), last("subheading").alias("subheading"),
+        ordered(F.col("kind") == "paragraph", F.col("text")).alias("paragraphs"), ordered(F.col("kind") == "bullet", F.col("text")).alias("bullets"), last("callout").alias("callout"),
+        F.min(F.when(~F.col("kind").isin("heading"), F.col("at"))).alias("__first"),
+    )
+    # a table before anything else of the overview belongs to no section
+    tables = tables.join(parts.select("id", "section", "__first"), ["id", "section"]).where("section > 0 or __first < begins")
+    tables = tables.groupBy("id", "section").agg(F.max_by(F.struct("headers", "rows"), "block").alias("table"))
+    joined = parts.join(tables, ["id", "section"], "left")
+    return joined.drop("__first").select("id", "section", "heading", "level", "subheading", "paragraphs", "bullets", "callout", "table")
+
+
+def markdown_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, title, subtitle, sections) of texts: the sections in order, without the one that is only the title.
+
+    The title is the first `#` heading among the first ten lines, else the first section's
+    heading. The subtitle is the callout on the line behind the title, else the callout or
+    the first paragraph of the section that the title opens. A text without sections has none.
+    """
+    rows = _section_lines(docs, id_col, text_col)
+    top = rows.withColumn("next", F.lead(F.when(F.col("kind") == "callout", F.col("text"))).over(Window.partitionBy("id").orderBy("at"))).where("at < 10 and kind = 'heading' and level = 1")
+    named = top.groupBy("id").agg(F.min(F.struct("at", "text", "next")).alias("named")).select("id", F.col("named.text").alias("named"), F.col("named.next").alias("next"))
+    fields = ("section", "heading", "level", "subheading", "paragraphs", "bullets", "callout", "table")
+    whole = markdown_sections(docs, id_col, text_col).groupBy("id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("all"))
+    rows = docs.select(F.col(id_col).alias("id")).join(whole, "id", "left").join(named, "id", "left")
+    first = F.col("all")[0]
+    opened = first["heading"] == F.col("named")
+    own = F.coalesce(first["callout"], F.get(first["paragraphs"], F.lit(0)))
+    rest = F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(1)))
+    sections = F.when(opened & (F.size("all") > 1), rest).otherwise(F.coalesce("all", F.array().cast(whole.schema["all"].dataType)))
+    return rows.select("id", F.coalesce("named", first["heading"]).alias("title"), F.coalesce("next", F.when(opened, own)).alias("subtitle"), sections.alias("sections"))

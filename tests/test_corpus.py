@@ -51,8 +51,62 @@ def test_markdown_tables_and_sections(spark):
     text = "# Plan\nintro\n- one\n2. two\n> note\n| name | cost |\n|---|---|\n| a | $1,200 |\n| b | n/a |\nafter\n## Part\nend"
     table = B.markdown_tables(docs(spark, text), "id", "text").collect()[0]
     assert table.header == ["name", "cost"] and [[(c.text, c.number) for c in r] for r in table.rows] == [[("a", None), ("$1,200", 1200.0)], [("b", None), ("n/a", None)]]
-    got = [(r.heading, r.level, r.paragraphs, r.bullets, r.callouts) for r in B.markdown_sections(docs(spark, text), "id", "text").orderBy("section").collect()]
-    assert got == [("Plan", 1, ["intro", "after"], ["one", "two"], ["note"]), ("Part", 2, ["end"], [], [])]
+    got = [(r.section, r.heading, r.level, r.paragraphs, r.bullets, r.callout, r.table and (r.table.headers, r.table.rows)) for r in B.markdown_sections(docs(spark, text), "id", "text").orderBy("section").collect()]
+    assert got == [(1, "Plan", 1, ["intro", "after"], ["one", "two"], "note", (["name", "cost"], [["a", "$1,200"], ["b", "n/a"]])), (2, "Part", 2, ["end"], [], None, None)]
+
+
+def walked_sections(text):
+    """(heading, subheading, paragraphs, bullets, callout, table) of each section, line by line."""
+    sections, table, now = [], [], None
+
+    def close_table():
+        rules = [i for i, c in enumerate(table) if all(re.fullmatch(":?-+:?", x) for x in c)]
+        rows = [c for i, c in enumerate(table) if rules and i > rules[0] and i not in rules]
+        if rules and rules[0] > 0 and rows and now is not None:
+            now[5] = (table[rules[0] - 1], rows)
+        table.clear()
+
+    for line in [x.strip() for x in re.sub(r"(?s)```.*?```", "", text).strip().split("\n")] + [""]:
+        if len(line) > 1 and line[0] == line[-1] == "|":
+            table.append([c.strip() for c in line[1:-1].split("|")])
+            continue
+        close_table()
+        if not line:
+            continue
+        strong = re.fullmatch(r"\*\*([0-9]+\.?[^*]+|[A-Z][^*]{2,50}?):?\*\*", line)
+        opening = re.fullmatch(r"#{1,2}\s+(\S.*)", line) or strong
+        if opening or now is None:
+            now = [opening[1].strip() if opening else "Overview", None, [], [], None, None]
+            sections.append(now)
+        if opening:
+            continue
+        if m := re.fullmatch(r"###\s+(\S.*)", line):
+            now[1] = m[1]
+        elif re.match(r"[-*•]\s|[0-9]+\.\s", line):
+            now[3].append(re.sub(r"^[-*•0-9.]+\s*", "", line))
+        elif line[0] == ">":
+            now[4] = re.sub(r"^>\s*", "", line)
+        else:
+            now[2].append(line)
+    return [tuple(x) for x in sections]
+
+
+def test_sections_equal_a_walk_over_lines(spark):
+    rng = np.random.default_rng(21)
+    lines = ["# One", "## Two words", "**3. Third**", "**Strong:**", "**not strong** here", "### Sub", "#### deep", "#tag", "plain text", "- item", "* item", "• item", "12. twelfth", "1.5 no item", "> said", ">", "| a | b |", "|---|:-:|", "| 1 | 2 |", "| open", "|", "", "   ", "```", "x = 1", "  ## indented "]
+    texts = ["\n".join(lines[int(i)] for i in rng.integers(0, len(lines), int(rng.integers(0, 25)))) for _ in range(300)] + ["", "\n\n", "| a |\n|---|\n| 1 |"]
+    found = {}
+    for r in B.markdown_sections(docs(spark, *texts, None), "id", "text").orderBy("id", "section").collect():
+        found.setdefault(r.id, []).append((r.heading, r.subheading, r.paragraphs, r.bullets, r.callout, r.table and (r.table.headers, r.table.rows)))
+    for i, text in enumerate(texts):
+        assert found.get(i, []) == walked_sections(text), text
+    assert len(texts) not in found
+
+
+def test_titles_and_subtitles(spark):
+    texts = ["# T\n> sub\nrest\n## A\nx", "# T\n\npara\n## A", "intro\n# T\nmore", "no heading", "", "\n".join(["line"] * 12) + "\n# late", "# Only\ntext"]
+    got = [(r.title, r.subtitle, [s.heading for s in r.sections]) for r in B.markdown_documents(docs(spark, *texts, None), "id", "text").orderBy("id").collect()]
+    assert got == [("T", "sub", ["A"]), ("T", "para", ["A"]), ("T", None, ["Overview", "T"]), ("Overview", None, ["Overview"]), (None, None, []), ("Overview", None, ["Overview", "late"]), ("Only", "text", ["Only"]), (None, None, [])]
 
 
 def test_delimited_files(spark, tmp_path):
