@@ -370,7 +370,7 @@ def _filled(column: str) -> str:
 
 def _shaped_parts(spark, sf_dir):
     n, t, b, size = "p_name", "p_type", "p_brand", F.col("p_size").cast("string")
-    text = lambda *parts: F.concat(*[F.col(p) if p in (n, t, b) else F.lit(p) if isinstance(p, str) else p for p in parts])
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.col(p) if p in (n, t, b) else F.lit(p) for p in parts])
     shapes = [
         text("\n# ", n, "\n> of ", b, "\n\n", t, "\n```\n# not this\n```\n## Facts\n- size ", size, "\n* brand ", b),
         text("| lost | table |\n|---|---|\n| 1 | 2 |\n\nAbout ", n, "\n| old |\n|--|\n| x |\n\n| name | size |\n|:---|---:|\n| ", n, " | ", size, " |\n| ", t, " | 1 |\n## End\n#### deep\n> sooner\n> later"),
