@@ -38,7 +38,8 @@ TOKENIZERS = "/opt/tokenizers"
 #: Bytes of text that ask for counts at once, and that are cut into tokens at once.
 SLICE_BYTES, PIECE_BYTES = 2 << 20, 1 << 19
 #: Linked pairs that a task lists at once.
-PAIRS = 1 << 19
+PAIRS = 1 << 21
+_CODEC = pa.Codec("zstd", compression_level=3)
 
 #: Fixed value: the pattern by which byte-level BPE splits text before its merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -177,6 +178,15 @@ def _sizes_to_bytes(sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, n
     return out, ends[first]
 
 
+def _by_frequency(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different ids, the most frequent first, and the high and low bytes of each id's place among them."""
+    times = np.bincount(ids)
+    known = np.argsort(-times, kind="stable")[: np.count_nonzero(times)]
+    place = np.empty(len(times), np.int64)
+    place[known] = np.arange(len(known))
+    return known.astype(np.uint16), (place[ids] >> 8).astype(np.uint8), (place[ids] & 255).astype(np.uint8)
+
+
 @dataclass
 class Aligned:
     """Tokens and group sizes of texts, and where those of each text begin."""
@@ -193,25 +203,26 @@ class Aligned:
         """All of it in compressed bytes, and how many there were."""
         sizes = [_sizes_to_bytes(x, self.first)[0] for x in (self.a_sizes, self.b_sizes)]
         counts = [np.diff(x).astype(np.uint32) for x in (self.a_first, self.b_first, self.first)]
-        parts = [np.array([len(counts[0]), *map(len, sizes)], np.int64), *counts, self.a.astype(np.uint16), self.b.astype(np.uint16), *sizes]
+        ids = [x for side in (self.a, self.b) for x in _by_frequency(side)]
+        parts = [np.array([len(x) for x in (counts[0], *ids, *sizes)], np.int64), *counts, *ids, *sizes]
         whole = b"".join(x.tobytes() for x in parts)
-        return pa.compress(whole, "zstd", asbytes=True), len(whole)
+        return _CODEC.compress(whole, asbytes=True), len(whole)
 
     @classmethod
     def of(cls, cells: list[bytes], raw: list[int]) -> Aligned:
         """All texts of packed cells, one cell after the other."""
         columns: list[list[np.ndarray]] = [[] for _ in range(7)]
         for cell, size in zip(cells, raw, strict=True):
-            data, at = pa.decompress(cell, size, "zstd", asbytes=True), 24
-            n, *sizes = np.frombuffer(data, np.int64, 3).tolist()
+            data, at = _CODEC.decompress(cell, size, asbytes=True), 9 * 8
+            n, *lengths = np.frombuffer(data, np.int64, 9).tolist()
             counts = np.frombuffer(data, np.uint32, 3 * n, at).astype(np.int64).reshape(3, n)
-            at += 12 * n
-            for out, kind, count in zip(columns, (np.uint16, np.uint16, np.uint8, np.uint8), (*counts[:2].sum(axis=1).tolist(), *sizes), strict=False):
-                values = np.frombuffer(data, kind, count, at).astype(np.int64)
+            at, parts = at + 12 * n, []
+            for count, kind in zip(lengths, (np.uint16, np.uint8, np.uint8) * 2 + (np.uint8, np.uint8), strict=True):
+                parts.append(np.frombuffer(data, kind, count, at).astype(np.int64))
                 at += count * np.dtype(kind).itemsize
-                out.append(values if kind is np.uint16 else _bytes_to_sizes(values))
-            for out, own in zip(columns[4:], counts, strict=True):
-                out.append(own)
+            own = [known[(high << 8) | low] for known, high, low in (parts[:3], parts[3:6])]
+            for out, values in zip(columns, (*own, *map(_bytes_to_sizes, parts[6:]), *counts), strict=True):
+                out.append(values)
         whole = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in columns]
         return cls(*whole[:4], *(np.append(0, np.cumsum(x)) for x in whole[4:]))
 
@@ -234,11 +245,8 @@ def _aligned_rows(sources):
                 whole = data.tobytes()
                 raw = [whole[offsets[i] : offsets[i + 1]] for i in range(n)]
                 texts = [r.decode() for r in raw]
-                coded = []
-                for t in (one, two):
-                    ids = t.encode(texts)
-                    coded.append([x if r and b"".join(map(t.pieces.__getitem__, x)) == b" " + r else [] for x, r in zip(ids, raw, strict=True)])
-                same = [bool(x and y) for x, y in zip(*coded, strict=True)]
+                coded = [t.encode(texts) for t in (one, two)]
+                same = [bool(r) and all(b"".join(map(t.pieces.__getitem__, x[i])) == b" " + r for t, x in zip((one, two), coded, strict=True)) for i, r in enumerate(raw)]
                 (a, a_first), (b, b_first) = (_flat([x if s else [] for x, s in zip(c, same, strict=True)]) for c in coded)
                 a_end, b_end = shared_groups(np.cumsum(sizes[0][a]), np.cumsum(sizes[1][b]), a_first, b_first)
                 first = np.append(0, np.searchsorted(a_end, a_first[1:], side="right"))
@@ -259,19 +267,23 @@ def _align(docs: DataFrame, sources, text_col: str, keep_text: bool) -> DataFram
 
 
 def _links(t: Aligned) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs (A id << 32 | B id), their rows and how many links each stands for, `PAIRS` or so at a time.
+    """Pairs (A id << 16 | B id), their rows and how many links each stands for, `PAIRS` or so at a time.
 
     Equal ids of a group are taken together; the same pair may come again from another group of a row.
     """
     groups = len(t.a_sizes)
-    if not groups:
-        return
+    row = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
+    # most groups are one token of each
+    single = (t.a_sizes == 1) & (t.b_sizes == 1)
+    a_at, b_at = np.cumsum(t.a_sizes) - t.a_sizes, np.cumsum(t.b_sizes) - t.b_sizes
+    if single.any():
+        yield (t.a[a_at[single]] << 16) | t.b[b_at[single]], row[single], np.ones(np.count_nonzero(single), np.int64)
     sides = []
     for ids, sizes in ((t.a, t.a_sizes), (t.b, t.b_sizes)):
-        keys, times = np.unique((np.repeat(np.arange(groups), sizes) << 32) | ids, return_counts=True)
-        sides.append((keys & 0xFFFFFFFF, times, np.searchsorted(keys >> 32, np.arange(groups + 1))))
+        own = ~np.repeat(single, sizes)
+        keys, times = np.unique((np.repeat(np.arange(groups), sizes)[own] << 16) | ids[own], return_counts=True)
+        sides.append((keys & 0xFFFF, times, np.searchsorted(keys >> 16, np.arange(groups + 1))))
     (a, a_times, a_at), (b, b_times, b_at) = sides
-    row = np.searchsorted(t.first, np.arange(groups), side="right") - 1
     # each different A token of a group meets the B tokens of the group
     group = np.repeat(np.arange(groups), np.diff(a_at))
     load = np.append(0, np.cumsum(np.diff(b_at)[group]))
@@ -281,7 +293,7 @@ def _links(t: Aligned) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         g = group[at:to]
         place, of = _runs(b_at[g], b_at[g + 1])
         of += at
-        yield (a[of] << 32) | b[place], row[group[of]], a_times[of] * b_times[place]
+        yield (a[of] << 16) | b[place], row[group[of]], a_times[of] * b_times[place]
         at = to
 
 
@@ -291,23 +303,20 @@ def _pair_rows(batches):
         slices, cells, raw = batch.column("slice").to_numpy(), batch.column("tokens"), batch.column("size").to_pylist()
         edges = np.append(run_starts(slices), len(slices))
         for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            pairs, rows = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for p, r, _ in _links(Aligned.of(cells.slice(x, y - x).to_pylist(), raw[x:y])):
-                pairs, rows = np.append(pairs, p), np.append(rows, r)
-                order = np.lexsort((rows, pairs))
-                order = order[run_starts(pairs[order], rows[order])]
-                pairs, rows = pairs[order], rows[order]
-            heads = run_starts(pairs)
-            if len(heads):
-                times = np.diff(np.append(heads, len(pairs)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), slices[x])), pa.array(pairs[heads]), pa.array(times)], ["slice", "pair", "n"])
+            # a pair and a row of the slice are one number of 64 bits
+            held = np.zeros(0, np.uint64)
+            for pairs, rows, _ in _links(Aligned.of(cells.slice(x, y - x).to_pylist(), raw[x:y])):
+                held = np.unique(np.append(held, (pairs.astype(np.uint64) << np.uint64(32)) | rows.astype(np.uint64)))
+            pairs, times = np.unique((held >> np.uint64(32)).astype(np.int64), return_counts=True)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), slices[x])), pa.array(pairs), pa.array(times)], ["slice", "pair", "n"])
 
 
 def pair_counts(asked: DataFrame) -> DataFrame:
     """(pair, count, best) of asked pairs (pair, n): documents that link the two ids, and whether no other partner of the A id has more."""
     counts = asked.groupBy("pair").agg(F.sum("n").alias("count"))
     # an A id has no more partners than B's vocabulary
-    highest = F.max("count").over(Window.partitionBy(F.shiftright("pair", 32)))
+    highest = F.max("count").over(Window.partitionBy(F.shiftright("pair", 16)))
     return counts.withColumn("best", F.col("count") == highest)
 
 
