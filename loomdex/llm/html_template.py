@@ -279,13 +279,13 @@ def _residue(page):
 
 
 def template_tokens(pages: DataFrame) -> DataFrame:
-    """(site, token, is_text, size, share, linked, same, mark) of the tokens of valid classes, of pages (host, html).
+    """(site, token, is_text, size, share, linked, same, wide, mark) of the tokens of valid classes, of pages (host, html).
 
     `site` is the host, or null for the hosts of too few pages; `size` counts the
     tokens of the class; `share` is the token's part of the plain text of the pages
     that it stands in, `linked` the part of its own text that is inside links, `same`
-    whether it holds the same text on all of them though the site's pages differ. A
-    text is a token of the template if at least half of the site's pages have it.
+    whether it holds the same text on all of them though the site's pages differ, and
+    `wide` whether at least half of the site's pages have it. A text is a token of the template if at least half of the site's pages have it.
     """
     sites = _sites(pages)
     sites = F.broadcast(sites) if sites.count() <= BROADCAST_ROWS else sites
@@ -298,26 +298,31 @@ def template_tokens(pages: DataFrame) -> DataFrame:
     vectors = vectors.join(whole, F.col("site").eqNullSafe(F.col("s")))
     vectors = vectors.where(F.col("pages") >= F.when(F.col("is_text"), MOST).otherwise(SUPPORT) * F.col("all_pages"))
     tags = F.when(F.col("is_text"), 1).otherwise(2)
-    classes = vectors.groupBy("site", "pages", "n", "v0", "v1").agg(F.sum(tags).alias("size"), F.collect_list(F.struct("token", "is_text", "plain", "linked", "whole", "low", "high", "mark", "vary")).alias("members"))
+    classes = vectors.groupBy("site", "pages", "n", "v0", "v1").agg(F.sum(tags).alias("size"), F.collect_list(F.struct("token", "is_text", "plain", "linked", "whole", "low", "high", "mark", "vary", (F.col("pages") >= MOST * F.col("all_pages")).alias("wide"))).alias("members"))
     valid = classes.where(F.col("size") >= MIN_TOKENS).select("site", "size", F.explode("members").alias("m")).select("site", "size", "m.*")
     part = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     text = F.col("plain") + F.col("linked")
     same = F.col("vary") & (F.col("is_text") | ((F.col("low") == F.col("high")) & (text > 0)))
-    return valid.select("site", "token", "is_text", "size", part(F.col("plain"), F.col("whole")).alias("share"), part(F.col("linked"), text).alias("linked"), same.alias("same"), "mark")
+    return valid.select("site", "token", "is_text", "size", part(F.col("plain"), F.col("whole")).alias("share"), part(F.col("linked"), text).alias("linked"), same.alias("same"), "wide", "mark")
 
 
-ROLES = ("main", "minor", "content", "furniture")
+ROLES = ("main", "minor", "content", "furniture", "constant")
 
 
 def template_roles(tokens: DataFrame) -> DataFrame:
-    """(site, main, minor, content, furniture): the tokens of each site whose part the template decides; minor are articles that are not main."""
+    """(site, main, minor, content, furniture, constant): the tokens of each site whose part the template decides.
+
+    minor are articles that are not main; constant are slots of one and the same text on
+    half of the site's pages or more, which are no content even inside the main slot.
+    """
     article, most = F.col("mark") == 1, ~F.col("is_text") & (F.col("share") >= MOST)
     furniture = ~most & (F.col("same") | (F.col("linked") > MOST))
-    rules = (article & most, article & ~most, most, furniture)
+    constant = ~F.col("is_text") & ~most & ~article & F.col("same") & F.col("wide")
+    rules = (article & most, article & ~most, most, furniture, constant)
     return tokens.groupBy("site").agg(*[F.collect_list(F.when(rule, F.col("token"))).alias(name) for name, rule in zip(ROLES, rules, strict=True)])
 
 
-def main_blocks(page: Page, main: set[int], minor: set[int], content: set[int], furniture: set[int]) -> list[str]:
+def main_blocks(page: Page, main: set[int], minor: set[int], content: set[int], furniture: set[int], constant: set[int]) -> list[str]:
     """The texts of a page's main slots, by its site's template; what the template does not know has the part that its name says."""
     slots = main
     if not any(t in main for t in page.tokens):
@@ -328,7 +333,7 @@ def main_blocks(page: Page, main: set[int], minor: set[int], content: set[int],
         part = state[parent]
         if token in slots and (part >= 0 or token in main):
             part = 1
-        elif part >= 0 and ((mark < 0 and token not in content) or (part == 0 and token in furniture)):
+        elif part >= 0 and ((mark < 0 and token not in content) or (part == 0 and token in furniture) or token in constant):
             part = -1
         state.append(part)
     if 1 in state:

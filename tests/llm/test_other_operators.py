@@ -216,7 +216,8 @@ def brute_roles(pages):
             most = not is_text and plain >= 0.5 * sum(whole[i] for i in own) and plain > 0
             same = vary and (is_text or (len({tuple(s[3]) for s in own.values()}) == 1 and plain + linked > 0))
             article = max(s[4] for s in own.values()) == 1
-            for name, holds in zip(ROLES, (article and most, article and not most, most, not most and (same or linked > plain))):
+            constant = not is_text and not most and not article and same and len(own) >= 0.5 * len(pages)
+            for name, holds in zip(ROLES, (article and most, article and not most, most, not most and (same or linked > plain), constant)):
                 if holds:
                     roles[name].add(token)
     return roles
@@ -244,7 +245,7 @@ def test_templates_equal_brute_force(spark, monkeypatch):
 def test_the_template_decides_what_is_text(spark):
     rows = sites()
     texts = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    none = lambda html: " ".join(main_blocks(parse(html or ""), set(), set(), set(), set()))
+    none = lambda html: " ".join(main_blocks(parse(html or ""), *[set()] * 5))
     for i, url, html in rows[:14]:
         # a list of links and a constant text without telling names
         assert texts[i] == re.sub("<[^>]*>", " ", html.split('"x2">')[1].split("</div>")[0]).strip().replace("   ", " ").replace("  ", " ") and texts[i] != none(html)
@@ -260,6 +261,22 @@ def test_the_template_decides_what_is_text(spark):
     assert all(len(texts[i].split()) == 20 for i, url, html in rows if "few" in url and html)
 
 
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_a_constant_slot_inside_the_main_one_is_no_content(spark, tag):
+    """A notice without a telling name that every page repeats inside its article goes; headings and paragraphs that differ stay, and so does what only copies share."""
+    rng = np.random.default_rng(31)
+    rows, expected = [], {}
+    for i in range(30):
+        words = [" ".join(f"w{rng.integers(10_000)}" for _ in range(12)) for _ in range(3)]
+        copy = i >= 24
+        words = ["copied text one", "copied text two", "copied text three"] if copy else words
+        body = f"<h1>Title {i}</h1><p>{words[0]}</p>" + ("" if i == 5 else '<div class="q7"><p>Read our rules before <b>you</b> go on.</p><p>Thank you.</p></div>') + f"<p>{words[1]}</p><p>{words[2]}</p>"
+        rows.append((i, f"http://made.org/{i}", f'<html><body><div class="z1"><a href="/">Home</a></div><{tag}>{body}</{tag}><div class="z9">All rights</div></body></html>'))
+        expected[i] = " ".join([f"Title {i}", *words])
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == expected
+
+
 def test_repeated_pages_and_empty_tables(spark):
     rows = sites()
     frame = spark.createDataFrame(rows + rows, "page_id long, url string, html string")
@@ -272,7 +289,7 @@ def test_repeated_pages_and_empty_tables(spark):
 def test_very_long_and_hostile_pages():
     for html in ("<" * 50_000, '<a "' * 20_000, "<div>" * 5_000 + "x", "<p class='" + "a" * 200_000, "&" * 100_000, "<head>" * 20_000, "</b>" * 50_000, "<!-" * 50_000 + ">"):
         parse(html)
-    assert main_blocks(parse("<div>" * 300 + "deep" + "<nav>menu</nav>"), set(), set(), set(), set()) == ["deep"]
+    assert main_blocks(parse("<div>" * 300 + "deep" + "<nav>menu</nav>"), *[set()] * 5) == ["deep"]
 
 
 # ---- urls ----
