@@ -5,7 +5,9 @@ pivots, about one for `FILE_ROWS` vectors, own inverted files: a vector is poste
 the files of its `POSTED` nearest owners. A query is sent to the files of its nearest
 owners only. There the footrule distance between orders (places in steps of `STEP`,
 places beyond the prefix are the last) ranks the file, and the nearest `FRACTION` of
-it is reranked by exact inner products.
+it is reranked by exact inner products. Orders know directions only: where vectors differ
+in length, the cosines of a few rows tell what a distance means, and rows are ranked by
+the inner product that their distance and length let expect.
 
 How many files a query asks is fitted: for `FIT_QUERIES` sampled queries the true
 neighbours are found in one pass over the table, and the number is the smallest that
@@ -38,6 +40,8 @@ FRACTION = 0.35
 BLOCK_ROWS = 4096
 WIDER = 8
 FIT_QUERIES, RECALL = 128, 0.95
+#: Lengths of a block's vectors that differ by less than this are one; rows that tell what a distance means where they differ.
+EVEN, TRIED = 1.001, 64
 #: Pairs of a query and a vector whose footrule distances are in memory at once.
 CHUNK_PAIRS = 1 << 20
 
@@ -49,10 +53,14 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(finite).where(F.exists("vector", lambda x: x != 0))
 
 
-def _sample(rows: DataFrame, n: int) -> np.ndarray:
-    """Distinct vectors of the first n rows by hash of the id."""
-    taken = rows.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(n).collect()
-    return np.array(list({tuple(r["vector"]): None for r in taken}))
+def _sample(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and distinct vectors of the first n rows by hash of the id."""
+    taken = rows.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(n).select("id", "vector").toArrow()
+    if not taken.num_rows:
+        return np.zeros(0, np.int64), np.zeros((0, 0))
+    matrix = _matrix(taken["vector"])
+    first = np.sort(np.unique(matrix, axis=0, return_index=True)[1])
+    return taken["id"].to_numpy()[first], matrix[first]
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -99,6 +107,16 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def _estimates(distance: np.ndarray, norms: np.ndarray, cosines: np.ndarray, tried: np.ndarray) -> np.ndarray:
+    """What inner products are by footrule distance and length: a line through the cosines of tried rows, times the length."""
+    x = distance[:, tried]
+    middle = x.mean(axis=1, keepdims=True)
+    spread = ((x - middle) ** 2).sum(axis=1, keepdims=True)
+    slope = ((x - middle) * cosines).sum(axis=1, keepdims=True) / np.where(spread > 0, spread, 1)
+    # nearer rows are never taken for worse
+    return (cosines.mean(axis=1, keepdims=True) + np.minimum(slope, -1e-9) * (distance - middle)) * norms
+
+
 def _search(pivots: np.ndarray, k: int):
     """Each query's nearest of a block of a file, as far as they reach its floor."""
 
@@ -111,13 +129,20 @@ def _search(pivots: np.ndarray, k: int):
             queries, asked, floor = right["id"].to_numpy(), _matrix(right["vector"]), right["floor"].to_numpy()
             n = min(len(ids), max(4 * k, int(np.ceil(FRACTION * len(ids)))))
             step = max(1, CHUNK_PAIRS // len(ids))
+            norms = np.linalg.norm(matrix, axis=1)
+            # vectors of one length are ranked by distance alone
+            even = norms.max() <= EVEN * norms.min()
+            tried = np.linspace(0, len(ids) - 1, min(len(ids), TRIED)).astype(np.int64)
             for at in range(0, len(queries), step):
                 own = _codes(asked[at : at + step], pivots)
                 distance = np.zeros((len(own), len(ids)), np.int64)
                 for word in range(codes.shape[1]):
                     distance += np.bitwise_count(own[:, word, None] ^ codes[None, :, word])
-                distance = distance * len(ids) + np.arange(len(ids))
-                near = np.argpartition(distance, n - 1, axis=1)[:, :n]
+                if even:
+                    near = np.argpartition(distance * len(ids) + np.arange(len(ids)), n - 1, axis=1)[:, :n]
+                else:
+                    cosines = (_unit(asked[at : at + step]) @ matrix[tried].T) / norms[tried]
+                    near = np.argpartition(-_estimates(distance, norms, cosines, tried), n - 1, axis=1)[:, :n]
                 for q, row in enumerate(near):
                     scores = (matrix[row] * asked[at + q]).sum(axis=1)
                     row, scores = row[scores >= floor[at + q]], scores[scores >= floor[at + q]]
@@ -129,7 +154,7 @@ def _search(pivots: np.ndarray, k: int):
 
 
 def _true_rows(asked: np.ndarray, k: int):
-    """The k nearest of a batch for each fitting query: (query, score, vector)."""
+    """The k nearest of a batch for each fitting query: (query, id, score, vector)."""
 
     def rows(batches):
         for batch in batches:
@@ -138,19 +163,21 @@ def _true_rows(asked: np.ndarray, k: int):
                 scores = asked @ matrix.T
                 n = min(k, len(matrix))
                 near = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(asked)), n)), pa.array(np.take_along_axis(scores, near, 1).ravel()), batch.column("vector").take(pa.array(near.ravel()))], ["query", "score", "vector"])
+                row = pa.array(near.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(asked)), n)), batch.column("id").take(row), pa.array(np.take_along_axis(scores, near, 1).ravel()), batch.column("vector").take(row)], ["query", "id", "score", "vector"])
 
     return rows
 
 
 def _files_to_ask(rows: DataFrame, asked: DataFrame, owners: np.ndarray, k: int) -> int:
     """The smallest number of a query's nearest owners among which RECALL of the true neighbours are posted."""
-    queries = _sample(asked, FIT_QUERIES)
+    names, queries = _sample(asked, FIT_QUERIES)
     if not len(queries):
         return 1
-    order = Window.partitionBy("query").orderBy(F.desc("score"))
-    # the nearest row is the query itself, or equal to it, and in the same files
-    true = rows.mapInArrow(_true_rows(queries, k + 1), "query long, score double, vector array<double>").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).where("n > 1").toArrow()
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    own = F.element_at(F.array(*map(F.lit, names.tolist())), (F.col("query") + 1).cast("int"))
+    true = rows.mapInArrow(_true_rows(queries, k + 1), "query long, id long, score double, vector array<double>").where(F.col("id") != own)
+    true = true.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).toArrow()
     if not true.num_rows:
         return 1
     place = np.argsort(_order(queries, owners, len(owners)), axis=1)
@@ -181,7 +208,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     once = cut(asked.withColumn("among", first).where(F.col("among") == 1).select("id", "h", "h2", "vector"))
     total = rows.count()
     n_files = int(min(FILES, max(1, total // FILE_ROWS)))
-    sample = _unit(_sample(rows, 2 * max(PIVOTS, n_files)))
+    sample = _unit(_sample(rows, 2 * max(PIVOTS, n_files))[1])
     pivots, owners = sample[:PIVOTS], sample[:n_files]
     ask = _files_to_ask(rows, once, owners, k)
 

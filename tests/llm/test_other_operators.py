@@ -498,6 +498,27 @@ def test_recall(spark):
     assert recall_of(spark, "/root/testdata/sf0.1") >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["unit", "half", "wide", "groups"])
+def test_recall_at_any_spread_of_lengths(spark, kind):
+    """Vectors without structure of one length and of lognormal lengths (sigma 0.5 and 1), and groups with lengths of sigma 0.7."""
+    rng = np.random.default_rng(88)
+    v = rng.normal(size=(3000, 64))
+    if kind == "groups":
+        v = rng.normal(size=(40, 64))[rng.integers(40, size=len(v))] + 0.3 * v
+    v *= np.exp({"unit": 0, "half": 0.5, "wide": 1.0, "groups": 0.7}[kind] * rng.normal(size=(len(v), 1))) / np.linalg.norm(v, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    found = {}
+    for r in nearest(frame, frame.where("vec_id % 20 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+        assert math.isclose(r.score, float(v[r.query_id] @ v[r.vec_id]), rel_tol=1e-9, abs_tol=1e-12)
+    share = []
+    for q in range(0, len(v), 20):
+        scores = v @ v[q]
+        scores[q] = -np.inf
+        share.append(len(found[q] & set(np.argsort(-scores, kind="stable")[:20].tolist())) / 20)
+    assert len(found) == len(share) and np.mean(share) >= 0.9, np.mean(share)
+
+
 def test_recall_over_many_files_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "FILE_ROWS", 40)
     monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
