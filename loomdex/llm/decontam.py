@@ -26,6 +26,8 @@ from .tokens import ALNUM, LOWER, owners, split_words, text_slices
 WINDOW = 13
 #: Phrases in one broadcast block (104 bytes each, and the ids of their items).
 BLOCK_PHRASES = 250_000
+#: Blocks of phrases that a pass over the documents searches; a worker holds no more of the benchmark.
+BLOCKS_AT_ONCE = 4
 
 
 def _phrase_rows(window: int):
@@ -130,20 +132,29 @@ def _found(block: PhraseBlock, column, spans: dict[int, list], items: dict[int,
     return n_words
 
 
-def _search(blocks: list):
-    """Spans and items of each text; the blocks of phrases are searched one after the other in each shard."""
+_FOUND = "n_words long, n_hit long, spans array<struct<start: long, stop: long>>, items array<string>"
+
+
+def _search(blocks: list, more: bool):
+    """Spans and items of each text, and those found before; blocks of phrases are searched one after the other in each shard. Texts stay if there is `more`."""
 
     def rows(batches):
         for batch in batches:
             spans: dict[int, list] = {}
             items: dict[int, set] = {}
+            if "spans" in batch.schema.names:
+                for i, (known, held) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)):
+                    if known:
+                        spans[i], items[i] = [np.array([[s["start"], s["stop"]] for s in known])], set(held)
             for block in blocks:
                 n_words = _found(block.value, batch.column("__text"), spans, items)
             merged = [_merge(spans[i]) if i in spans else [] for i in range(len(batch))]
             n_hit = np.array([sum(b - a for a, b in m) for m in merged], np.int64)
             cells = pa.array([[{"start": a, "stop": b} for a, b in m] for m in merged], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
             held = pa.array([sorted(items.get(i, ())) for i in range(len(batch))], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(n_words, pa.int64()), pa.array(n_hit), cells, held], ["__row", "n_words", "n_hit", "spans", "items"])
+            out = {"__row": batch.column("__row")} | ({"__text": batch.column("__text")} if more else {})
+            out |= {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit), "spans": cells, "items": held}
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return rows
 
@@ -179,7 +190,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     blocks = max(1, -(-phrases.count() // BLOCK_PHRASES))
     rows = docs.select(F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in docs.columns if c not in new]).alias("__row"), F.col(text_col).alias("__text"))
     of = lambda b: spark.sparkContext.broadcast(PhraseBlock(phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == b).collect()))
-    shape = f"__row {rows.schema['__row'].dataType.simpleString()}, n_words long, n_hit long, spans array<struct<start: long, stop: long>>, items array<string>"
-    found = rows.mapInArrow(_search([of(b) for b in range(blocks)]), shape)
+    row_type = rows.schema["__row"].dataType.simpleString()
+    for first in range(0, blocks, BLOCKS_AT_ONCE):
+        own, more = [of(b) for b in range(first, min(blocks, first + BLOCKS_AT_ONCE))], first + BLOCKS_AT_ONCE < blocks
+        found = rows.mapInArrow(_search(own, more), f"__row {row_type}, {'__text string, ' if more else ''}{_FOUND}")
+        if more:
+            # written with what it found, so that the next pass holds its own phrases only
+            rows = cut(found)
+            for block in own:
+                block.unpersist()
     contaminated = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     return found.select(*[F.col(f"__row.`{c}`") for c in docs.columns if c not in new], "n_words", "n_hit", "spans", "items", contaminated.alias("contaminated"))
