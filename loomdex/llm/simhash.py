@@ -31,6 +31,8 @@ RADIUS = 2
 PIVOTS = 16
 #: Fingerprint rows that one comparison block holds on average.
 BLOCK_ROWS = 100_000
+#: Rows of one key that are compared with each other in one task at most.
+HOT_ROWS = 4096
 #: Pairs compared at once.
 CHUNK_PAIRS = 1 << 20
 
@@ -133,16 +135,52 @@ def _stars(radius: int):
 
 
 def _quarter_keys(column):
-    """Six keys: a pair of quarters and the bits in them."""
+    """Six keys, a pair of quarters and the bits in them, each with the 32 bits of the two other quarters."""
     quarter = [F.shiftrightunsigned(column, 16 * q).bitwiseAND(F.lit(0xFFFF)) for q in range(4)]
-    return F.array(*[F.lit(n << 32).cast("long") + F.shiftleft(quarter[i], 16) + quarter[j] for n, (i, j) in enumerate(combinations(range(4), 2))])
+    joined = lambda i, j: F.shiftleft(quarter[i], 16) + quarter[j]
+    pairs = list(combinations(range(4), 2))
+    rest = [tuple(q for q in range(4) if q not in pair) for pair in pairs]
+    return F.array(*[F.struct((F.lit(n << 32).cast("long") + joined(*pair)).alias("key"), joined(*other).alias("rest")) for n, (pair, other) in enumerate(zip(pairs, rest, strict=True))])
+
+
+def _large_keys(rows: DataFrame) -> DataFrame | None:
+    """(key, blocks) of the keys that more than HOT_ROWS rows have; None if there are none."""
+    large = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("key", F.ceil(F.col("n") / HOT_ROWS).alias("blocks")))
+    n = large.count()
+    return None if not n else F.broadcast(large) if n <= BROADCAST_IDS else large
+
+
+def _comparable(rows: DataFrame) -> DataFrame:
+    """(node, print, key) of rows (node, print, key, rest): rows that are two bits apart at most still share a key, and no key has very many rows.
+
+    Rows of a large key agree in half of the bits. Of three parts of the other half one
+    is equal in close rows, so the key becomes three finer ones. If one of these is still
+    large, its rows are dealt into blocks, and each block meets every other under a key of
+    the two.
+    """
+    large = _large_keys(rows)
+    if large is None:
+        return rows.select("node", "print", "key")
+    parts = F.array(*[F.shiftrightunsigned("rest", shift).bitwiseAND(F.lit((1 << width) - 1)) for shift, width in ((0, 11), (11, 11), (22, 10))])
+    marked = rows.join(large, "key", "left")
+    finer = F.transform(parts, lambda part, n: F.xxhash64("key", n, part))
+    fine = marked.where("blocks is not null").select("node", "print", F.explode(finer).alias("key"))
+    kept = marked.where("blocks is null").select("node", "print", "key")
+    still = _large_keys(fine)
+    if still is not None:
+        dealt = fine.join(still, "key", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0).cast("long")))
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1).cast("long")) - 1), lambda x: (x != F.col("block")) | F.col("blocks").isNull())
+        dealt = dealt.withColumn("other", F.explode(others))
+        pair = F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+        fine = dealt.select("node", "print", pair.alias("key"))
+    return kept.union(fine)
 
 
 def link(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(node, component) of rows (node, print) with distinct prints, for those that have a link; `radius` is at most 2."""
     if radius > 2:
         raise ValueError("two of four quarters agree only up to a radius of 2")
-    rows = prints.select("node", "print", F.explode(_quarter_keys(F.col("print"))).alias("key"))
+    rows = _comparable(prints.select("node", "print", F.inline(_quarter_keys(F.col("print")))))
     blocks = max(1, -(-6 * prints.count() // BLOCK_ROWS))
     stars = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks))).applyInArrow(_stars(radius), "a long, b long")
     return components(stars)

@@ -15,6 +15,7 @@ from loomdex.llm.graph import components
 from loomdex.llm.lm_score import score
 from loomdex.llm.simhash import near_dedup, near_duplicate_groups, simhash_groups
 from loomdex.llm.substring import dedup_substrings
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -145,6 +146,7 @@ def test_fm_index_finds_all_occurrences():
 @pytest.mark.parametrize("block", [250_000, 5])
 def test_decontamination_equals_brute_force(spark, corpus, monkeypatch, block):
     monkeypatch.setattr("loomdex.llm.decontam.BLOCK_PHRASES", block)
+    monkeypatch.setattr("loomdex.llm.decontam.BLOCKS_AT_ONCE", 2)
     rows, frame, passages = corpus
     items = [(1, " ".join(passages[0])), (2, " ".join(passages[1]).upper()), (10, "The"), (11, None), (12, "... !"), (13, " ".join(passages[0][:16])), (None, "w1 w2")]
     got = {}
@@ -230,6 +232,32 @@ def test_simhash_links_form_chains(spark):
     assert all(got.get(i, i) == sets.find(i) for i in range(len(prints)))
 
 
+@pytest.mark.parametrize("spread", [32, 8])
+def test_a_large_key_is_split_and_loses_no_link(spark, monkeypatch, spread):
+    """Prints that all agree in two quarters; of the rest they differ in many bits, or in so few that finer keys are large too."""
+    from loomdex.llm import simhash
+
+    monkeypatch.setattr(simhash, "HOT_ROWS", 40)
+    rng = np.random.default_rng(spread)
+    base = 0x1234_5678_0000_0000
+    prints = {base | (int(rng.integers(0, 2**32)) & (2**spread - 1 if spread < 32 else 2**32 - 1)) << (0 if spread == 32 else 3) for _ in range(600)}
+    prints |= {p ^ (1 << int(rng.integers(0, 32))) ^ (1 << int(rng.integers(0, 32))) for p in sorted(prints)[:200]}
+    prints |= {int(x) for x in rng.integers(0, 2**63, 100)}
+    prints = sorted(prints)
+    sets = Sets(range(len(prints)))
+    for i, a in enumerate(prints):
+        for j, b in enumerate(prints[:i]):
+            if (a ^ b).bit_count() <= 2:
+                sets.join(i, j)
+    frame = spark.createDataFrame(list(enumerate(prints)), "node long, print long").repartition(3)
+    got = {r.node: r.component for r in simhash.link(frame).collect()}
+    assert all(got.get(i, i) == sets.find(i) for i in range(len(prints)))
+    keyed = frame.select("node", "print", F.inline(simhash._quarter_keys(F.col("print"))))
+    assert keyed.groupBy("key").count().agg(F.max("count")).first()[0] > 40
+    # a block and another one at most
+    assert simhash._comparable(keyed).groupBy("key").count().agg(F.max("count")).first()[0] <= 4 * 40
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 140)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
