@@ -11,10 +11,12 @@ work is linear in the corpus.
    no repeated window and drop out (about four fifths of ordinary text).
 2. Phrases around shared anchors go to their reference block. The block indexes
    each reference position by its next `WINDOW` words and the earliest document
-   there; every phrase is then greedily factored: a factor starts at the first
-   position that an earlier document's text continues for `WINDOW` words and
-   grows while it goes on. Phrases overlap by `WINDOW` - 1 words, so windows that
-   cross a factor's or phrase's border are judged too.
+   there; every phrase is then greedily factored. A factor starts at the first
+   position whose next `WINDOW` words an earlier document has, and is as long as
+   the words go on alike there. The next one starts at the first position behind
+   whose words do not all lie in the last factor, so windows that cross a factor's
+   border are judged too, and as phrases overlap by `WINDOW` - 1 words, those that
+   cross a phrase's.
 3. Factors are merged into each document's duplicate spans, and the words
    outside are kept.
 
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import BUCKET_SCHEMA, binary_cells, by_bucket, by_document, documents_of, joined, run_starts
-from .tokens import mix, owners, rolling, split_words, text_slices
+from .tokens import _power_tables, mix, owners, rolling, split_words, text_slices
 
 WINDOW = 13
 GRAM = 4
@@ -41,6 +43,10 @@ BLOCK_BYTES = 4 << 20
 #: Anchors or phrases that a task remembers.
 RECENT = 1 << 20
 
+#: A factor: its first word and length in the document, and where the earlier document has it.
+SPAN = np.dtype([("start", "<u4"), ("size", "<u4")])
+FACTOR = np.dtype([*SPAN.descr, ("source", "<i8"), ("at", "<u4")])
+
 # the low half of a packed hash is a position
 _LOW = np.uint64((1 << 32) - 1)
 
@@ -73,7 +79,7 @@ class _Recent:
     """Keys that a task has sent, with an id and a mark, in a table of fixed size: what it tells is true, but it forgets."""
 
     def __init__(self):
-        self.keys, self.ids, self.marks = np.zeros(RECENT, np.uint64), np.zeros(RECENT, np.int64), np.zeros(RECENT, bool)
+        self.keys, self.ids, self.marks = np.zeros(RECENT, np.uint64), np.zeros(RECENT, np.int64), np.zeros(RECENT, np.uint32)
 
     def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether each key is known, its id and its mark."""
@@ -109,6 +115,7 @@ def _anchor_rows(blocks: int, window: int, gram: int):
                 known[order] = nth >= 2
                 # two documents have been sent of an anchor that is marked, so it is known to be shared
                 have, other, two = sent.look(h)
+                two = two > 0
                 known |= have & two
                 heads = order[new_hash]
                 several = np.maximum.reduceat(nth, np.flatnonzero(new_hash)) > 0
@@ -138,7 +145,7 @@ def _shared_anchors(blocks: int):
     return shared
 
 
-def _phrase_rows(blocks: int, window: int, gram: int):
+def _phrase_rows(blocks: int, window: int, gram: int, sources: bool):
     def rows(batches):
         sent_before = _Recent()
         for batch in batches:
@@ -163,16 +170,20 @@ def _phrase_rows(blocks: int, window: int, gram: int):
                 same = np.stack([full[first], full[last], (last - first).astype(np.uint64)])
                 order = np.lexsort((ids[doc], *same))
                 groups = run_starts(*(s[order] for s in same))
-                earliest = np.repeat(ids[doc[order]][groups], np.diff(np.append(groups, len(order))))
-                known = np.zeros(len(order), bool)
-                known[order] = ids[doc[order]] > earliest
+                # the earliest document of each phrase, and where it has it
+                source, source_at = np.empty(len(order), np.int64), np.empty(len(order), np.uint32)
+                member = np.diff(np.append(groups, len(order)))
+                source[order] = np.repeat(ids[doc[order]][groups], member)
+                source_at[order] = np.repeat((first - words.first[doc])[order][groups], member)
+                known = ids[doc] > source
                 # a phrase that a smaller document of the task has sent repeats it
                 name = mix(mix(same[0] + mix(same[1])) + same[2])
-                have, least, _ = sent_before.look(name)
-                known |= have & (least < ids[doc])
+                have, least, at = sent_before.look(name)
+                before = have & (least < source)
+                source, source_at = np.where(before, least, source), np.where(before, at, source_at)
+                known |= ids[doc] > source
                 heads_of = order[groups]
-                least = np.where(have[heads_of], np.minimum(least[heads_of], ids[doc[heads_of]]), ids[doc[heads_of]])
-                sent_before.put(name[heads_of], least, np.ones(len(heads_of), bool))
+                sent_before.put(name[heads_of], source[heads_of], source_at[heads_of])
                 bucket = ((grams[anchor[heads]] >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
                 bucket = np.where(known, blocks + (doc + first) % blocks, bucket)
                 length = last - first + window
@@ -180,7 +191,8 @@ def _phrase_rows(blocks: int, window: int, gram: int):
                 # word hashes of the phrases that are sent, phrase after phrase in bucket order
                 by = np.argsort(bucket, kind="stable")
                 at = np.repeat(first[by], sent[by]) + np.arange(sent.sum()) - np.repeat(np.cumsum(sent[by]) - sent[by], sent[by])
-                out = by_bucket(bucket, ids[doc], keys[doc], starts=(first - words.first[doc]).astype(np.uint32), sizes=length.astype(np.uint32))
+                told = {"sources": source, "source_starts": source_at} if sources else {}
+                out = by_bucket(bucket, ids[doc], keys[doc], starts=(first - words.first[doc]).astype(np.uint32), sizes=length.astype(np.uint32), **told)
                 edges = np.append(run_starts(bucket[by]), len(by))
                 ends = np.append(0, np.cumsum(sent[by]))[edges]
                 yield out.append_column("words", binary_cells(h[at].astype(np.uint32), ends))
@@ -188,14 +200,53 @@ def _phrase_rows(blocks: int, window: int, gram: int):
     return rows
 
 
-def _factor(blocks: int, window: int):
+def _common(words: np.ndarray, p: np.ndarray, r: np.ndarray, least: int, most: np.ndarray) -> np.ndarray:
+    """How many words go on alike at the places p and r: `least` are known to, and no more than `most` are there."""
+    power, inverse = _power_tables(len(words) + 1)
+    with np.errstate(over="ignore"):
+        total = np.append(np.zeros(1, np.uint64), np.cumsum(mix(words.astype(np.uint64) + np.uint64(1)) * power[: len(words)]))
+        low, high = np.full(len(p), least), most.copy()
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            alike = (total[p + middle] - total[p]) * inverse[p] == (total[r + middle] - total[r]) * inverse[r]
+            low, high = np.where(alike, middle, low), np.where(alike, high, middle - 1)
+    return low
+
+
+def _greedy(phrase: np.ndarray, p: np.ndarray, size: np.ndarray, window: int) -> np.ndarray:
+    """Which of the rising places p, each with the length of its match, greedy parsing takes as factors."""
+    if not len(p):
+        return np.zeros(0, np.int64)
+    behind = np.searchsorted(p, p + size - window + 1)
+    now, taken = run_starts(phrase), []
+    # the phrases are parsed side by side
+    while len(now):
+        taken.append(now)
+        then = behind[now]
+        go_on = then < len(p)
+        go_on[go_on] = phrase[then[go_on]] == phrase[now[go_on]]
+        now = then[go_on]
+    return np.sort(np.concatenate(taken))
+
+
+def _factor(blocks: int, window: int, sources: bool):
+    kind = FACTOR if sources else SPAN
+
+    def packed(start, size, source, at) -> np.ndarray:
+        out = np.empty(len(start), kind)
+        for name, values in zip(kind.names, (start, size, source, at), strict=False):
+            out[name] = values
+        return out
+
     def factors(table: pa.Table) -> pa.Table:
         ids, keys = documents_of(table)
         starts, sizes = joined(table["starts"], np.uint32).astype(np.int64), joined(table["sizes"], np.uint32).astype(np.int64)
         if table["bucket"][0].as_py() >= blocks:
-            spans = np.stack([starts, sizes], axis=1).astype(np.uint32)
-            return pa.Table.from_batches([by_document(ids, keys, "spans", spans.reshape(len(ids), 2).copy().view(np.uint64).ravel())])
+            # whole phrases that an earlier document of the task has
+            told = [joined(table["sources"], np.int64), joined(table["source_starts"], np.uint32)] if sources else [None, None]
+            return pa.Table.from_batches([by_document(ids, keys, "spans", packed(starts, sizes, *told))])
         words = joined(table["words"], np.uint32)
+        offset = np.cumsum(sizes) - sizes
         phrase = np.repeat(np.arange(len(sizes)), sizes)
         h = rolling(words.astype(np.uint64), window)
         at = np.flatnonzero(phrase[: len(h)] == phrase[window - 1 :])
@@ -204,50 +255,61 @@ def _factor(blocks: int, window: int):
         order = np.lexsort((own, h[at]))
         heads = run_starts(h[at][order])
         earliest = np.empty(len(at), np.int64)
-        earliest[order] = np.repeat(own[order][heads], np.diff(np.append(heads, len(at))))
-        at = at[earliest < own]
-        # greedy factors: runs of positions that go on in an earlier document
-        heads = run_starts(at - np.arange(len(at)), phrase[at])
-        last = at[np.append(heads[1:], len(at)) - 1] if len(at) else at
-        first = at[heads]
-        p = phrase[first]
-        offset = np.cumsum(sizes) - sizes
-        spans = np.stack([starts[p] + first - offset[p], last - first + window], axis=1).astype(np.uint32)
-        return pa.Table.from_batches([by_document(ids[p], keys[p], "spans", spans.copy().view(np.uint64).ravel())])
+        earliest[order] = np.repeat(at[order][heads], np.diff(np.append(heads, len(at))))
+        matched = ids[phrase[earliest]] < own
+        p, r = at[matched], earliest[matched]
+        ends = offset + sizes
+        size = _common(words, p, r, window, np.minimum(ends[phrase[p]] - p, ends[phrase[r]] - r))
+        taken = _greedy(phrase[p], p, size, window)
+        p, r, size = p[taken], r[taken], size[taken]
+        of, source = phrase[p], phrase[r]
+        return pa.Table.from_batches([by_document(ids[of], keys[of], "spans", packed(starts[of] + p - offset[of], size, ids[source], starts[source] + r - offset[source]))])
 
     return factors
 
 
-def _kept(batches):
-    for batch in batches:
-        texts, spans = batch.column("__text").to_pylist(), batch.column("__spans").to_pylist()
-        kept, n_words, n_removed = [], [], []
-        for text, cells in zip(texts, spans, strict=True):
-            words = (text or "").encode().split()
-            n_words.append(len(words))
-            if cells:
-                hit = np.zeros(len(words) + 1, np.int64)
-                pairs = np.frombuffer(b"".join(cells), np.uint32).reshape(-1, 2).astype(np.int64)
-                np.add.at(hit, pairs[:, 0], 1)
-                np.add.at(hit, pairs.sum(axis=1), -1)
-                stays = np.cumsum(hit[:-1]) == 0
-                words = [w for w, s in zip(words, stays.tolist(), strict=True) if s]
-            kept.append(b" ".join(words).decode())
-            n_removed.append(n_words[-1] - len(words))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("__row"), batch.column("__text"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["__row", "__text", "n_words", "n_removed", "kept_text"]
-        )
-
-
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+_LISTED = "array<struct<start:bigint,size:bigint,source:bigint,at:bigint>>"
+
+
+def _kept(sources: bool):
+    kind = FACTOR if sources else SPAN
+
+    def rows(batches):
+        for batch in batches:
+            texts, spans = batch.column("__text").to_pylist(), batch.column("__spans").to_pylist()
+            kept, n_words, n_removed, listed = [], [], [], []
+            for text, cells in zip(texts, spans, strict=True):
+                words = (text or "").encode().split()
+                n_words.append(len(words))
+                found = np.frombuffer(b"".join(cells or ()), kind)
+                if len(found):
+                    hit = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(hit, found["start"].astype(np.int64), 1)
+                    np.add.at(hit, found["start"].astype(np.int64) + found["size"], -1)
+                    stays = np.cumsum(hit[:-1]) == 0
+                    words = [w for w, s in zip(words, stays.tolist(), strict=True) if s]
+                kept.append(b" ".join(words).decode())
+                n_removed.append(n_words[-1] - len(words))
+                listed.append([dict(zip(kind.names, f, strict=True)) for f in np.unique(found).tolist()] if sources else None)
+            out = {"__row": batch.column("__row"), "__text": batch.column("__text"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string())}
+            if sources:
+                out["factors"] = pa.array(listed, pa.list_(pa.struct([(n, pa.int64()) for n in kind.names])))
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    return rows
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, factors: bool = False) -> DataFrame:
     """Documents with the words removed that repeat from documents of smaller ids.
 
     Every column of `docs`, then n_words, n_removed and kept_text (kept words, one
-    space between). A null text has no words; rows with a null id are judged
+    space between). With `factors` also the factors, an array of (start, size, source,
+    at): `size` words from word `start` on stand in document `source` from word `at` on;
+    they cover the removed words and no others. A null text has no words; rows with a null id are judged
     as copies of the smallest id (-2^63). Repeated rows of one id are judged alike
-    and never against each other. Input columns of the three names are replaced.
+    and never against each other. Input columns of these names are replaced.
     """
-    new = ("n_words", "n_removed", "kept_text")
+    new = ("n_words", "n_removed", "kept_text", *(("factors",) if factors else ()))
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("__id"),
         F.col(text_col).alias("__text"),
@@ -261,10 +323,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = anchors.groupBy("bucket").applyInArrow(_shared_anchors(blocks), "id long, key long, positions binary")
     shared = shared.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list("positions").alias("__positions"))
     # both joins read the same columns, so Spark deals the texts once for the two
-    phrases = rows.join(shared, ["__id", "__key"]).mapInArrow(_phrase_rows(blocks, window, gram), f"{BUCKET_SCHEMA}, starts binary, sizes binary, words binary")
-    spans = phrases.groupBy("bucket").applyInArrow(_factor(blocks, window), "id long, key long, spans binary")
+    phrases = rows.join(shared, ["__id", "__key"]).mapInArrow(_phrase_rows(blocks, window, gram, factors), f"{BUCKET_SCHEMA}, starts binary, sizes binary, {'sources binary, source_starts binary, ' if factors else ''}words binary")
+    spans = phrases.groupBy("bucket").applyInArrow(_factor(blocks, window, factors), "id long, key long, spans binary")
     spans = spans.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list("spans").alias("__spans"))
     out = rows.join(spans, ["__id", "__key"], "left").select("__row", "__text", "__spans")
     row_type = rows.schema["__row"].dataType.simpleString()
-    out = out.mapInArrow(_kept, f"__row {row_type}, __text string, n_words long, n_removed long, kept_text string")
+    out = out.mapInArrow(_kept(factors), f"__row {row_type}, __text string, n_words long, n_removed long, kept_text string" + (f", factors {_LISTED}" if factors else ""))
     return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in docs.columns if c not in new], *new)

@@ -97,6 +97,45 @@ def test_substrings_equal_brute_force(corpus):
     assert sum(r[2] for r in got) > 100
 
 
+@pytest.mark.parametrize("recent", [1 << 20, 1])
+def test_factors_rebuild_what_is_removed(spark, corpus, monkeypatch, recent):
+    """Each factor is a passage of an earlier document, as long as both go on alike in the block; together they cover the removed words."""
+    from loomdex.llm import substring
+
+    monkeypatch.setattr(substring, "RECENT", recent)
+    rng = np.random.default_rng(9)
+    source = [f"w{i}" for i in rng.integers(0, 300, 400)]
+    rows = [(i, " ".join([*(f"x{j}" for j in rng.integers(0, 5000, 6)), *source[int(a) : int(a) + int(n)], *source[int(b) : int(b) + 30], "end"]), "") for i, (a, b, n) in enumerate(rng.integers(0, 350, (60, 3)) % [350, 350, 60])]
+    rows += [(100 + i, f"{t} and more", x) for i, (_, t, x) in enumerate(rows[:10])] + [(3, rows[3][1], "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, x string").repartition(3)
+    found = dedup_substrings(frame, factors=True)
+    assert found.columns == ["doc_id", "text", "x", "n_words", "n_removed", "kept_text", "factors"]
+    got = found.collect()
+    words = {d: WORD.findall(t) for d, t, _ in rows}
+    seen = 0
+    for r in got:
+        own, covered = words[r.doc_id], set()
+        for f in r.factors:
+            assert f.source < r.doc_id and f["size"] >= 13
+            assert own[f.start : f.start + f["size"]] == words[f.source][f["at"] : f["at"] + f["size"]]
+            covered.update(range(f.start, f.start + f["size"]))
+            seen += f["size"] > 13
+        assert len(covered) == r.n_removed and r.kept_text == " ".join(w for i, w in enumerate(own) if i not in covered)
+    assert seen > 20 and sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == brute_substrings(rows)
+
+
+def test_factors_are_taken_greedily():
+    from loomdex.llm.substring import _common, _greedy
+
+    words = np.array([1, 2, 3, 4, 5, 9, 1, 2, 3, 4, 7, 1, 2, 3, 4, 5, 9], np.uint32)
+    p, r = np.array([6, 7, 11, 12, 13]), np.array([0, 1, 0, 1, 2])
+    assert _common(words, p, r, 2, np.array([5, 4, 6, 5, 4])).tolist() == [4, 3, 6, 5, 4]
+    # with windows of two words: one factor of each phrase, as the others lie inside
+    assert _greedy(np.array([0, 0, 1, 1, 1]), p, np.array([4, 3, 6, 5, 4]), 2).tolist() == [0, 2]
+    assert _greedy(np.array([0, 0, 0]), np.array([0, 3, 4]), np.array([4, 4, 4]), 2).tolist() == [0, 1]
+    assert _greedy(*(np.zeros(0, np.int64),) * 3, 2).tolist() == []
+
+
 def test_substrings_of_passages_in_every_slice(spark):
     # texts of half a slice in one task: what it remembers of other slices settles most of the copies
     rng = np.random.default_rng(12)
