@@ -13,7 +13,7 @@ from loomdex.operators.retrieval import BROADCAST_WORDS
 from loomdex.shared import cut
 
 METRICS = ["recall", "rr", "precision"]
-#: Strategies that one evaluation compares at most; every question meets each of them.
+#: Strategies that are broadcast to the questions at most; every question meets each of them.
 BROADCAST_STRATEGIES = 10_000
 #: Deltas that are broadcast to the draws of a bootstrap at most; more are joined by shuffle.
 BROADCAST_DELTAS = 1_000_000
@@ -23,8 +23,8 @@ def resolve_anchors(anchors: DataFrame, docs: DataFrame, index: Index, id_col: s
     """(query_id, id): documents that contain all anchors (query_id, anchor) of a question.
 
     An anchor's inner words stand whole in any text that contains it, so the rarest of
-    them names the few documents whose text is searched. Anchors without inner words
-    are searched in all texts.
+    them names the few documents whose text is searched. Anchors without inner words are
+    searched in documents with a word that holds their longest piece.
     """
     anchors = anchors.select("query_id", "anchor").distinct()
     words = tokenize(F.col("anchor"))
@@ -37,8 +37,17 @@ def resolve_anchors(anchors: DataFrame, docs: DataFrame, index: Index, id_col: s
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     candidates = chosen.join(holding, "token").select("query_id", "anchor", "id")
     found = candidates.join(texts, "id").where(F.col("text").contains(F.col("anchor"))).select("query_id", "anchor", "id")
-    short = inner.where("inner is null").select("query_id", "anchor")
-    found = found.union(texts.join(short, F.col("text").contains(F.col("anchor"))).select("query_id", "anchor", "id"))
+    # an anchor without inner words stands in texts of which a word holds its longest piece; one without any letter is searched in all
+    pieces = F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    short = cut(inner.where("inner is null").select("query_id", "anchor", F.array_max(pieces)["w"].alias("piece")))
+    if short.count():
+        fragments = short.where("piece is not null")
+        fitting = index.words.select("token").join(F.broadcast(fragments) if fragments.count() <= BROADCAST_WORDS else fragments, F.col("token").contains(F.col("piece")))
+        fitting = cut(fitting.select("query_id", "anchor", "token"))
+        near = fitting.join(postings(index, fitting, BROADCAST_WORDS).select("token", "id"), "token").select("query_id", "anchor", "id").distinct()
+        found = found.union(near.join(texts, "id").where(F.col("text").contains(F.col("anchor"))).select("query_id", "anchor", "id"))
+        bare = short.where("piece is null")
+        found = found.union(texts.join(bare, F.col("text").contains(F.col("anchor"))).select("query_id", "anchor", "id"))
     needed = anchors.groupBy("query_id").agg(F.count("*").alias("needed"))
     matched = found.distinct().groupBy("query_id", "id").agg(F.count("*").alias("matched"))
     return matched.join(needed, "query_id").where("matched = needed").select("query_id", "id")
@@ -56,13 +65,14 @@ def score_questions(retrieved: DataFrame, relevant: DataFrame, ks: list[int], ke
     """
     keys = list(keys)
     named = retrieved.select(*keys).distinct()
-    if keys and named.count() > BROADCAST_STRATEGIES:
-        raise ValueError(f"more than {BROADCAST_STRATEGIES} strategies")
+    if keys:
+        named = F.broadcast(named) if named.count() <= BROADCAST_STRATEGIES else named
     hits = retrieved.join(relevant.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
     hits = hits.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("rank") < F.col("k"))
     place = F.min(F.when(F.col("hit") == 1, F.col("rank")))
     scored = hits.groupBy(*keys, "k", "query_id").agg(place.alias("place"), F.count("hit").alias("hits"), F.count("*").alias("returned"))
-    asked = relevant.select("query_id").distinct().crossJoin(F.broadcast(named)) if keys else relevant.select("query_id").distinct()
+    # every question meets every strategy: that many rows are asked for
+    asked = relevant.select("query_id").distinct().crossJoin(named) if keys else relevant.select("query_id").distinct()
     asked = asked.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
     rows = asked.join(scored, [*keys, "k", "query_id"], "left")
     return rows.select(

@@ -36,7 +36,7 @@ _WORD, _LOWER = regex.compile(r"[\p{L}\p{N}]+"), str.maketrans(UPPER, LOWER)
 
 @dataclass(frozen=True)
 class Index:
-    """documents (id, n, words, times, vector), words (token, df, total) and posting blocks; `size` documents of `mean` words.
+    """documents (id, n, words, times, vector), words (token, df, total) and posting blocks at `path`; `size` documents of `mean` words.
 
     A block is (bucket, token, segment, size, total, max_tf, min_n, ids, places, tfs, lengths);
     places tell the documents of a segment apart.
@@ -45,6 +45,7 @@ class Index:
     documents: DataFrame
     words: DataFrame
     blocks: DataFrame
+    path: str
     buckets: int
     size: int
     mean: float
@@ -192,7 +193,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks.repartitionByRange("bucket", "token", "segment").sortWithinPartitions("bucket", "token", "segment").write.partitionBy("bucket").parquet(path)
     blocks = docs.sparkSession.read.schema(blocks.schema).parquet(path)
     words = written(blocks.groupBy("token").agg(F.sum("size").cast("long").alias("df"), F.sum("total").alias("total")), "index-words")
-    return Index(documents, words, blocks, buckets, size, mean)
+    return Index(documents, words, blocks, path, buckets, size, mean)
 
 
 def postings(index: Index, vocabulary: DataFrame | None = None, broadcast: int = 0) -> DataFrame:

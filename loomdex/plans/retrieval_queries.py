@@ -12,7 +12,7 @@ from loomdex.operators import vectors as V
 from loomdex.plans import sql as S
 from loomdex.plans.register import register
 from loomdex.plans.text_queries import _ANSWERS, _NEUTRAL, answers
-from loomdex.shared import cut
+from loomdex.shared import cut, exists
 from loomdex.sources.tables import table, version
 
 QUERIES, SQL, query = register()
@@ -28,7 +28,7 @@ _INDEXES: dict[tuple, X.Index] = {}
 def index(spark, sf_dir):
     """The index of the documents of a folder: built and written by the first query of a session that asks for it, and again once its files have changed."""
     key = (spark.sparkContext.applicationId, sf_dir, version(spark, sf_dir, "documents"))
-    if key not in _INDEXES:
+    if key not in _INDEXES or not exists(spark, _INDEXES[key].path):
         _INDEXES[key] = X.build_index(table(spark, sf_dir, "documents"))
     return _INDEXES[key]
 

@@ -25,9 +25,33 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def exists(spark: SparkSession, name: str) -> bool:
+    """Whether there is anything at a path of any store that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+#: Paths that each application has asked for.
+_PATHS: dict[str, list[str]] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what this application has written under shared_path() so far, indexes too, and counts it; frames read from there are lost.
+
+    Checkpoints of cut() go with their frames where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    paths = _PATHS.pop(spark.sparkContext.applicationId, [])
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructType
 
-from loomdex.shared import cut
+from loomdex.shared import cut, exists
 
 BUCKETS = 64
 _OWN = ("__bucket", "__gone")
@@ -37,8 +37,7 @@ class KeyedTable:
         return self.spark.read.schema(self._whole_schema()).parquet(self.path)
 
     def _exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return exists(self.spark, self.path)
 
     def bucket_of(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")

@@ -8,6 +8,7 @@ import pytest
 from loomdex.operators import retrieval as R
 from loomdex.operators.index import build_index, postings
 from loomdex.plans import retrieval_queries as Q
+from loomdex.shared import exists, release
 from loomdex.sources.tables import version
 from pyspark.sql import functions as F
 
@@ -71,20 +72,25 @@ def test_pruned_top_k_is_that_of_all(spark, corpus, first):
 def test_segments_out_of_reach_are_not_scored(spark, corpus, monkeypatch):
     """A rare word decides: few segments hold it, and those without it cannot reach its documents' scores."""
     rows, index = corpus
-    scored = []
+    queries, sent = spark.createDataFrame([(0, "w39 w0")], "query_id long, text string"), []
     plain = R._scored_segments
-    monkeypatch.setattr(R, "_scored_segments", lambda *a: scored.append(1) or plain(*a))
-    queries = spark.createDataFrame([(0, "w39 w0")], "query_id long, text string")
-    asked = spark.createDataFrame([(0, "w39", 1.0), (0, "w0", 1.0)], "query_id long, token string, weight double")
-    every = R.segment_bounds(index, asked, list(range(index.buckets)), index.mean, R.K1, R.B).count()
-    frame = R.bm25_top_k(queries, index, 2, first=2)
-    plan = frame._jdf.queryExecution().toString()
-    # what is left to score beside the first segments, from the plan's own inputs
-    terms = R._Terms(spark.createDataFrame([(0, "w39", 1, 3), (0, "w0", 1, 150)], "query_id long, token string, times long, df long").toArrow(), index.size)
-    bounds = R.segment_bounds(index, spark.createDataFrame(terms.table()), list(range(index.buckets)), index.mean, R.K1, R.B)
-    top = frame.agg(F.min("score")).first()[0]
-    reach = bounds.where(F.col("bound") >= top).count()
-    assert 0 < reach < every and "PartitionFilters" in plan and frame.count() == 2
+    counted = spark.sparkContext.accumulator(0)
+
+    def watched(*args):
+        score = plain(*args)
+
+        def segment(blocks, asking):
+            counted.add(1)
+            return score(blocks, asking)
+
+        return segment
+
+    monkeypatch.setattr(R, "_scored_segments", watched)
+    got = [(r.id, r["rank"]) for r in R.bm25_top_k(queries, index, 2, first=2).orderBy("rank").collect()]
+    pruned = counted.value
+    sent += [(r.id, r["rank"]) for r in R.bm25_top_k(queries, index, 2, first=10_000).orderBy("rank").collect()]
+    every = index.blocks.where("token in ('w39', 'w0')").select("segment").distinct().count()
+    assert got == sent == brute(rows, "w39 w0", 2) and pruned < every == counted.value - pruned
 
 
 def test_only_buckets_of_query_words_are_read(spark, corpus):
@@ -94,10 +100,7 @@ def test_only_buckets_of_query_words_are_read(spark, corpus):
     plan = scan._jdf.queryExecution().executedPlan().toString()
     wanted = {r[0] for r in words.select(index.bucket_of(F.col("token"))).collect()}
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
-    read = scan.select("*", "_metadata.file_path").select("file_path").distinct().collect() if "_metadata" in scan.columns else None
-    assert read is None or read
     assert set(r[0] for r in scan.select("bucket").distinct().collect()) <= wanted
-    assert scan.inputFiles() and all(int(re.search(r"bucket=(\d+)", f)[1]) in range(index.buckets) for f in scan.inputFiles())
 
 
 def test_long_texts_are_counted_in_pieces(spark, monkeypatch):
@@ -122,3 +125,11 @@ def test_a_rewritten_table_gets_a_new_index(spark, tmp_path):
     spark.createDataFrame([(1, "plum"), (2, "pear")], "doc_id long, text string").write.mode("overwrite").parquet(path)
     assert version(spark, str(tmp_path), "documents") != before and Q.index(spark, str(tmp_path)).size == 2
     assert Path(path).exists()
+
+
+def test_what_a_session_wrote_can_be_released(spark, tmp_path):
+    spark.createDataFrame([(1, "apple tree")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    held = Q.index(spark, str(tmp_path))
+    assert exists(spark, held.path) and release(spark) > 0 and not exists(spark, held.path)
+    again = Q.index(spark, str(tmp_path))
+    assert again is not held and again.words.count() == 2
