@@ -88,6 +88,20 @@ def _tokenizer(kind: type, source: bytes):
     return kind(source)
 
 
+@lru_cache(4)
+def _piece_table(kind: type, source: bytes) -> pa.Array:
+    return pa.array(_tokenizer(kind, source).pieces, pa.large_binary())
+
+
+def _joined(table: pa.Array, places: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The chosen entries of a table of strings as one, and where each begins and the last ends."""
+    if not len(places):
+        return b"", np.zeros(1, np.int64)
+    _, offsets, data = table.take(pa.array(places)).buffers()
+    offsets = np.frombuffer(offsets, np.int64)[: len(places) + 1]
+    return data.to_pybytes()[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def tokenizer_files(spark: SparkSession, folder: str = TOKENIZERS):
     """The two tokenizers' files, a few MB, for all tasks; the folder is one of the driver's."""
     sources = []
@@ -236,8 +250,8 @@ def _aligned_rows(sources):
     """A row for each document; the first of a piece of text has the tokens of them all."""
 
     def rows(batches):
-        one, two = (_tokenizer(k, s) for k, s in zip((ByteBPE, PieceBPE), sources.value, strict=True))
-        sizes = [np.array([len(p) for p in t.pieces]) for t in (one, two)]
+        tokenizers = [_tokenizer(k, s) for k, s in zip((ByteBPE, PieceBPE), sources.value, strict=True)]
+        tables = [_piece_table(k, s) for k, s in zip((ByteBPE, PieceBPE), sources.value, strict=True)]
         # slices of a task, each of so many bytes
         read, piece, task = 0, 0, TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -245,10 +259,20 @@ def _aligned_rows(sources):
                 whole = data.tobytes()
                 raw = [whole[offsets[i] : offsets[i + 1]] for i in range(n)]
                 texts = [r.decode() for r in raw]
-                coded = [t.encode(texts) for t in (one, two)]
-                same = [bool(r) and all(b"".join(map(t.pieces.__getitem__, x[i])) == b" " + r for t, x in zip((one, two), coded, strict=True)) for i, r in enumerate(raw)]
-                (a, a_first), (b, b_first) = (_flat([x if s else [] for x, s in zip(c, same, strict=True)]) for c in coded)
-                a_end, b_end = shared_groups(np.cumsum(sizes[0][a]), np.cumsum(sizes[1][b]), a_first, b_first)
+                coded, same = [], [bool(r) for r in raw]
+                for t, table in zip(tokenizers, tables, strict=True):
+                    ids, first = _flat(t.encode(texts))
+                    spelled, at_byte = _joined(table, ids)
+                    cuts = at_byte[first].tolist()
+                    same = [s and spelled[x:y] == b" " + r for s, x, y, r in zip(same, cuts[:-1], cuts[1:], raw, strict=True)]
+                    coded.append((ids, first, np.diff(at_byte)))
+                sides = []
+                for ids, first, sizes in coded:
+                    counts = np.where(same, np.diff(first), 0)
+                    stays = np.repeat(same, np.diff(first))
+                    sides.append((ids[stays], np.append(0, np.cumsum(counts)), np.cumsum(sizes[stays])))
+                (a, a_first, a_ends), (b, b_first, b_ends) = sides
+                a_end, b_end = shared_groups(a_ends, b_ends, a_first, b_first)
                 first = np.append(0, np.searchsorted(a_end, a_first[1:], side="right"))
                 cell, size = Aligned(a, b, np.diff(np.append(0, a_end)), np.diff(np.append(0, b_end)), a_first, b_first, first).packed()
                 columns = [np.full(n, task + read // SLICE_BYTES), np.full(n, piece), np.arange(n), np.where(np.arange(n) > 0, 0, size)]
@@ -321,14 +345,13 @@ def pair_counts(asked: DataFrame) -> DataFrame:
 
 
 @lru_cache(1)
-def _decimals(a: int, b: int) -> list[str]:
+def _decimals(a: int, b: int) -> pa.Array:
     """Ids of A, then of B, in decimal, each with what may follow it: comma, bar, semicolon, nothing."""
-    return [f"{i}{s}" for size in (a, b) for i in range(size) for s in (",", "|", ";", "")]
+    return pa.array([f"{i}{s}" for size in (a, b) for i in range(size) for s in (",", "|", ";", "")], pa.large_string())
 
 
-def group_texts(t: Aligned, a_size: int, b_size: int) -> list[str]:
+def group_texts(t: Aligned, a_size: int, b_size: int) -> pa.Array:
     """The groups of each text as `a1,a2|b1;a3|b2,b3`, ids in decimal; empty without tokens."""
-    words = _decimals(a_size, b_size)
     # A's tokens of a group, then B's: a comma behind each, but a bar behind A's last and a semicolon behind B's
     place_a = np.arange(len(t.a)) + np.repeat(np.cumsum(t.b_sizes) - t.b_sizes, t.a_sizes)
     place_b = np.arange(len(t.b)) + np.repeat(np.cumsum(t.a_sizes), t.b_sizes)
@@ -339,8 +362,8 @@ def group_texts(t: Aligned, a_size: int, b_size: int) -> list[str]:
     code[ends - 1] += 2
     edges = np.append(0, ends)[t.first]
     code[edges[1:][np.diff(edges) > 0] - 1] += 1
-    code = code.tolist()
-    return ["".join(map(words.__getitem__, code[x:y])) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    whole, at = _joined(_decimals(a_size, b_size), code)
+    return pa.Array.from_buffers(pa.large_string(), len(edges) - 1, [None, pa.py_buffer(np.ascontiguousarray(at[edges])), pa.py_buffer(whole)]).cast(pa.string())
 
 
 def _score(sources, lists: bool, texts: bool):
@@ -364,7 +387,7 @@ def _score(sources, lists: bool, texts: bool):
             out |= dict(zip(ARRAYS, tokens.lists(), strict=True))
         if texts:
             width = [len(_tokenizer(k, s).pieces) for k, s in zip((ByteBPE, PieceBPE), sources.value, strict=True)]
-            out["groups"] = pa.array(group_texts(tokens, *width), pa.string())
+            out["groups"] = group_texts(tokens, *width)
         return pa.table(out)
 
     return score

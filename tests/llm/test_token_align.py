@@ -5,7 +5,6 @@ import os
 from collections import Counter, defaultdict
 
 import numpy as np
-import pytest
 from loomdex.llm import token_align
 from loomdex.llm.queries import queries
 from loomdex.llm.token_align import TOKENIZERS, Aligned, align_tokens, shared_groups, tokenizer_files
