@@ -86,20 +86,20 @@ def hash_vectors(texts: list[str], dim: int = DIM) -> np.ndarray:
     return out / np.where(length > 0, length, 1)
 
 
-def _pieces(batch: pa.RecordBatch, rows: int, size: int = SLICE_BYTES):
-    """The batch in pieces of at most so many rows, and of so many bytes of text or one text."""
+def _pieces(batch: pa.RecordBatch, size: int):
+    """The batch in pieces of at most so many bytes of text, or one text; copied, as string kernels of Arrow misread offsets of slices."""
     ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(batch):
         to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
-        to = min(max(to, at + 1), at + rows, len(batch))
-        yield batch.slice(at, to - at)
+        to = max(to, at + 1)
+        yield batch.take(pa.array(np.arange(at, to)))
         at = to
 
 
 def _counted_rows(dim: int):
     def rows(batches):
-        for batch in (piece for whole in batches for piece in _pieces(whole, len(whole))):
+        for batch in (piece for whole in batches for piece in _pieces(whole, SLICE_BYTES)):
             n = len(batch)
             tokens = pc.split_pattern_regex(pc.ascii_lower(batch.column("text").fill_null("").cast(pa.large_string())), pattern=NO_WORD)
             flat = tokens.flatten()

@@ -104,17 +104,18 @@ def test_only_buckets_of_query_words_are_read(spark, corpus):
 
 
 def test_long_texts_are_counted_in_pieces(spark, monkeypatch):
-    from loomdex.operators import index as X
-
-    monkeypatch.setattr(X, "SLICE_BYTES", 10)
     import pyarrow as pa
+    from loomdex.operators import index as X
 
-    texts = ["one two", None, "three " * 20, "", "four", "five five"]
-    batch = pa.RecordBatch.from_pydict({"id": list(range(6)), "text": texts})
-    pieces = list(X._pieces(batch, 100, 10))
-    assert [i for p in pieces for i in p["id"].to_pylist()] == list(range(6)) and len(pieces) > 2
-    whole, parts = (pa.Table.from_batches(list(X._counted_rows(8)([batch]))) for _ in range(2))
-    assert whole.equals(parts)
+    texts = ["één twee", None, "drie " * 20, "", "日本 Über.ÄB", "vijf vijf", "naïve É", "ten " * 9]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(8)), "text": texts})
+    pieces = list(X._pieces(batch, 12))
+    assert [i for p in pieces for i in p["id"].to_pylist()] == list(range(8)) and len(pieces) > 3
+    count = lambda b: [r for out in X._counted_rows(8)([b]) for r in out.to_pylist()]
+    whole = count(batch)
+    monkeypatch.setattr(X, "SLICE_BYTES", 12)
+    assert count(batch) == whole and count(batch.slice(3)) == whole[3:]
+    assert [dict(zip(r["words"], r["times"])) for r in whole[:1] + whole[4:7]] == [{"één": 1, "twee": 1}, {"日本": 1, "Über": 1, "Äb": 1}, {"vijf": 2}, {"naïve": 1, "É": 1}]
 
 
 def test_a_rewritten_table_gets_a_new_index(spark, tmp_path):
