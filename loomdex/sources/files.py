@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from email import message_from_bytes, policy
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -179,6 +180,20 @@ BENCH_SENTENCES = ["The contract may be ended in writing by either side.", "Invo
 BENCH_WORDS = ["ledger", "harbour", "valve", "orchard", "signal", "clause", "tariff", "meadow", "engine", "archive", "lantern", "permit", "quarry", "voltage", "anchor", "textile", "glacier", "warrant", "beacon", "furnace"]
 
 
+def _bench_vectors(dim: int):
+    def rows(batches):
+        for batch in batches:
+            out = np.empty((len(batch), dim))
+            for row, name, document in zip(out, batch.column("id").to_pylist(), batch.column("document").to_pylist(), strict=True):
+                topic, noise = (np.random.default_rng([kind, seed % 2**63]).random(dim) for kind, seed in ((1, document), (2, name)))
+                row[:] = 0.8 * topic / np.linalg.norm(topic) + 0.2 * (noise - 0.5)
+            out /= np.linalg.norm(out, axis=1, keepdims=True)
+            cuts = pa.array(np.arange(len(batch) + 1) * dim, pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(cuts, pa.array(out.ravel()))], ["id", "document", "vector"])
+
+    return rows
+
+
 def bench_corpus(ids: DataFrame, dim: int = 384) -> DataFrame:
     """A corpus of a chunk for each row (id), the same each time: (id, document, heading, body, vector, asks, question).
 
@@ -186,18 +201,9 @@ def bench_corpus(ids: DataFrame, dim: int = 384) -> DataFrame:
     of the topic and one fifth noise, of length 1. Its body is a drawn sentence and six
     drawn words. Every 37th chunk asks with the first four words of its body.
     """
-    draw = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(1_000_003)) / 1_000_003.0
     chosen = lambda items, *parts: F.element_at(F.array(*map(F.lit, items)), (F.pmod(F.xxhash64(*parts), F.lit(len(items))) + 1).cast("int"))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    places = F.sequence(F.lit(1), F.lit(dim))
-    rows = ids.select("id", F.floor(F.col("id") / 20).alias("document"))
-    topic = F.transform(places, lambda i: draw(F.col("document"), i))
-    # one topic a document, computed once for its chunks
-    topics = rows.select("document").distinct().select("document", topic.alias("topic")).select("document", "topic", norm(F.col("topic")).alias("size"))
-    rows = rows.join(topics, "document")
-    mixed = F.zip_with("topic", places, lambda t, i: 0.8 * t / F.col("size") + 0.2 * (draw(F.col("id"), i, F.lit("noise")) - 0.5))
-    rows = rows.select("id", "document", mixed.alias("mixed")).select("id", "document", "mixed", norm(F.col("mixed")).alias("size"))
+    rows = ids.select(F.col("id").cast("long").alias("id"), F.floor(F.col("id") / 20).alias("document")).mapInArrow(_bench_vectors(dim), "id long, document long, vector array<double>")
     words = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: chosen(BENCH_WORDS, F.col("id"), i))
-    rows = rows.select("id", "document", F.concat(chosen(BENCH_SENTENCES, F.col("id"), F.lit("sentence")), F.lit(" "), F.array_join(words, " ")).alias("body"), F.transform("mixed", lambda x: x / F.col("size")).alias("vector"))
+    rows = rows.select("id", "document", F.concat(chosen(BENCH_SENTENCES, F.col("id"), F.lit("sentence")), F.lit(" "), F.array_join(words, " ")).alias("body"), "vector")
     heading = F.concat(F.lit("Section "), F.col("document") + 1, F.lit(" › Clause "), F.col("id") % 20 + 1)
     return rows.select("id", "document", heading.alias("heading"), "body", "vector", (F.col("id") % 37 == 0).alias("asks"), F.array_join(F.slice(F.split("body", " "), 1, 4), " ").alias("question"))
