@@ -81,6 +81,10 @@ def code_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _numbered(parts.select("id", (F.col("group") * 2 + F.col("n")).alias("at"), "b.kind", "b.level", F.when(F.col("b.kind") == "pre", F.regexp_replace("b.text", r"\s+\z", "")).otherwise(F.col("b.text")).alias("text"))).select("id", "pos", "kind", "level", "text")
 
 
+#: A section number before a capital.
+SECTION_NUMBER = r"^(\d{1,3}(?:\.\d{1,3}){0,5})\.?\s+\p{Lu}"
+
+
 def heading_level(line: Column, following: Column) -> Column:
     """Level of a line of extracted page text that looks like a heading, else null.
 
@@ -88,13 +92,13 @@ def heading_level(line: Column, following: Column) -> Column:
     case with text after them.
     """
     clean = F.trim(line)
-    number = F.regexp_extract(clean, r"^(\d{1,3}(?:\.\d{1,3}){0,5})\.?\s+\p{Lu}", 1)
+    number = F.regexp_extract(clean, SECTION_NUMBER, 1)
     letters = F.regexp_replace(clean, r"[^\p{L}]", "")
     capitals = (F.length(clean) <= 60) & (F.length(letters) >= 3) & (letters == F.upper(letters)) & (letters != F.lower(letters))
     words = F.filter(F.split(clean, r"\s+"), lambda w: w != "")
-    titled = (F.size(words) <= 8) & F.forall(words, lambda w: w.rlike(r"^\p{Lu}|^\d") | (F.length(w) <= 3)) & clean.rlike(r"^\p{Lu}") & ~clean.rlike(r"[.!?,;:]$") & (F.coalesce(F.trim(following), F.lit("")) != "")
+    titled = (F.size(words) <= 8) & F.forall(words, lambda w: w.rlike(r"^\p{Lu}|^\d") | (F.length(w) <= 3)) & clean.rlike(r"^\p{Lu}") & ~clean.rlike(r"[.!?,;:]\z") & (F.coalesce(F.trim(following), F.lit("")) != "")
     depth = F.least(F.lit(6), F.size(F.split(number, r"\.")))
-    return F.when(clean == "", None).when((number != "") & (F.length(clean) <= 120) & ~clean.rlike(r"[.!?]$"), depth).when(capitals, F.lit(1)).when(titled, F.lit(2))
+    return F.when(clean == "", None).when((number != "") & (F.length(clean) <= 120) & ~clean.rlike(r"[.!?]\z"), depth).when(capitals, F.lit(1)).when(titled, F.lit(2))
 
 
 def page_text_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
