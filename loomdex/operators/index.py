@@ -5,8 +5,8 @@ are then inverted in segments of at most `SEGMENT` documents: a posting block is
 segment has of one word, ids with counts and lengths, and carries its largest count and
 its shortest document, which bound the score of any of its documents under any setting of
 BM25. Blocks lie in folders by a hash of their word, ordered by word, so a query opens the
-buckets of its words and of these the columns it needs. They are dealt to tasks by ranges
-of bucket, word and segment: a word of most documents is many blocks, and no task's alone.
+buckets of its words and of these the columns it needs. They are dealt to tasks by bucket
+and share of the segments: a word of most documents is many blocks, and no task's alone.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ from loomdex.functions.text import LOWER, UPPER
 from loomdex.shared import shared_path, written
 
 DIM = 64
-#: Documents of a segment (at most 32,767), and bytes of text that are cut into words at once.
-SEGMENT, SLICE_BYTES = 512, 16 << 20
+#: Documents of a segment (at most 32,767), and bytes of text that are cut into words at once: a worker's memory is some fifteen times that.
+SEGMENT, SLICE_BYTES = 512, 2 << 20
 #: Buckets at least and at most, and postings for each of them in between.
 LEAST_BUCKETS, MOST_BUCKETS, BUCKET_POSTINGS = 16, 4096, 1 << 20
+#: Shares of the segments in a bucket at least, and documents for each of them: what a task can get of one word.
+LEAST_SHARES, SHARE_DOCS = 2, 1 << 20
 NO_WORD = r"[^\p{L}\p{N}]+"
 _WORD, _LOWER = regex.compile(r"[\p{L}\p{N}]+"), str.maketrans(UPPER, LOWER)
 
@@ -71,8 +73,8 @@ def bucket_of(token: Column, buckets: int) -> Column:
 
 def _slots(words: list[str], dim: int) -> np.ndarray:
     """Two slots of each word, from the first and the second 32 bits of its md5."""
-    hashed = [hashlib.md5(w.encode(), usedforsecurity=False).hexdigest() for w in words]
-    return np.array([[int(h[:8], 16) % dim, int(h[8:16], 16) % dim] for h in hashed], np.int64).reshape(-1, 2)
+    hashed = b"".join([hashlib.md5(w.encode(), usedforsecurity=False).digest()[:8] for w in words])
+    return (np.frombuffer(hashed, ">u4").astype(np.int64) % dim).reshape(-1, 2)
 
 
 def hash_vectors(texts: list[str], dim: int = DIM) -> np.ndarray:
@@ -189,8 +191,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shape = f"token string, segment long, size int, total long, max_tf int, min_n long, ids array<{kind}>, places array<smallint>, tfs array<int>, lengths array<long>"
     blocks = documents.select("id", "n", "words", "times").mapInArrow(_posting_blocks(segment), shape).withColumn("bucket", bucket_of(F.col("token"), buckets))
     path = shared_path(docs.sparkSession, "index-postings")
-    # written in ranges of buckets, so a bucket is a few files
-    blocks.repartitionByRange("bucket", "token", "segment").sortWithinPartitions("bucket", "token", "segment").write.partitionBy("bucket").parquet(path)
+    # dealt by bucket and share of the segments, which is a file; ranges would invert the documents once more, to be sampled
+    share = F.pmod(F.xxhash64("segment"), F.lit(max(LEAST_SHARES, size // SHARE_DOCS)))
+    blocks.repartition("bucket", share).sortWithinPartitions("bucket", "token", "segment").write.partitionBy("bucket").parquet(path)
     blocks = docs.sparkSession.read.schema(blocks.schema).parquet(path)
     words = written(blocks.groupBy("token").agg(F.sum("size").cast("long").alias("df"), F.sum("total").alias("total")), "index-words")
     return Index(documents, words, blocks, path, buckets, size, mean)

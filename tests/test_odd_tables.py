@@ -37,3 +37,43 @@ def test_links_of_pages_of_one_url(against_sql):
     assert sorted(r[:2] for r in got) == sorted(r[:2] for r in expected)
     assert [r[2][-2:] for r in got if r[0] == "http://a.org/" and "label" in r[2]] == ["p1", "p2", "p3", "q1", "p4"]
     assert sorted(r[1] for r in got if "Page" in r[2]) == [1, 2]
+
+
+def test_words_are_cut_in_small_slices(monkeypatch):
+    """A slice of text at a time, whatever the batch; the same words, lengths and vectors as in one."""
+    import numpy as np
+    import pyarrow as pa
+    from loomdex.operators import index as X
+
+    assert X.SLICE_BYTES <= 4 << 20
+    texts = ["b a a", None, "", "Über x " * 50, "c " * 30, "a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["id", "text"])
+    whole = pa.Table.from_batches(X._counted_rows(8)([batch])).to_pylist()
+    monkeypatch.setattr(X, "SLICE_BYTES", 20)
+    cut = list(X._counted_rows(8)([batch]))
+    assert len(cut) > 3
+    by_word = lambda r: (r["id"], r["n"], sorted(zip(r["words"], r["times"], strict=True)))
+    parts = pa.Table.from_batches(cut).to_pylist()
+    assert list(map(by_word, parts)) == list(map(by_word, whole))
+    assert all(a["vector"] == b["vector"] or np.allclose(a["vector"], b["vector"]) for a, b in zip(parts, whole, strict=True))
+
+
+def test_documents_are_inverted_once(spark, monkeypatch):
+    """Building an index inverts the documents once: nothing samples the blocks before they are dealt."""
+    from loomdex.operators import index as X
+
+    runs, plain = spark.sparkContext.accumulator(0), X._posting_blocks
+
+    def watched(segment):
+        rows = plain(segment)
+
+        def counted(batches):
+            for b in rows(batches):
+                runs.add(b.num_rows)
+                yield b
+
+        return counted
+
+    monkeypatch.setattr(X, "_posting_blocks", watched)
+    frame = spark.createDataFrame([(i, f"w{i % 7} all") for i in range(40)], "doc_id long, text string")
+    assert X.build_index(frame, segment=8).blocks.count() == runs.value
