@@ -169,7 +169,7 @@ def inverted_index(spark, sf_dir):
 
 @query(f"SELECT token, count(*) AS df, sum(tf)::BIGINT AS total FROM ({_POSTINGS}) GROUP BY token")
 def word_totals(spark, sf_dir):
-    return X.word_totals(X.count_words(table(spark, sf_dir, "documents")))
+    return X.word_totals(X.count_words(table(spark, sf_dir, "documents"), dim=0))
 
 
 @query(
