@@ -19,8 +19,7 @@ and the slice's texts meet by slice, where documents are scored. A word or pair
 all documents share is one entry a slice, in one of the buckets, so it is no hot key.
 Slices are named by their content: a task that is run again makes the same ones.
 
-Target documents are a bounded sample of labelled rows (`TARGETS`, the first by hash
-of the id).
+Every document labelled good is a target. Few labels are broadcast, more joined by shuffle.
 """
 
 from __future__ import annotations
@@ -36,7 +35,8 @@ from loomdex.shared import cut
 from .blobs import run_starts
 from .tokens import LOWER, mix, split_words, text_slices
 
-TARGETS = 50_000
+#: Labelled ids that are broadcast to the documents at most; with more, labels and documents meet by shuffle and are written once.
+BROADCAST_LABELS = 1_000_000
 PRIOR = 5.0
 #: Bytes of text in a slice, and bytes of text for which there is one bucket of counts.
 SLICE_BYTES, BUCKET_BYTES = 20_000_000, 24_000_000
@@ -105,12 +105,12 @@ def _slices(batches, limit: int):
         yield name.intdigest() - 2**63, pa.Table.from_batches(held)
 
 
-def _request_rows(targets, buckets: int, limit: int):
+def _request_rows(buckets: int, limit: int):
     """What each slice asks of each bucket: its different keys there and their numbers in all and in target documents."""
 
     def rows(batches):
         for name, table in _slices(batches, limit):
-            good = np.isin(table["id"].to_numpy(), targets.value)
+            good = table["good"].to_numpy()
             keys, counts = [], []
             for at, n, data, offsets in text_slices(table["text"]):
                 to, pairs, first = _token_keys(data, offsets)
@@ -193,7 +193,7 @@ def _score_rows(words: int, tokens: int, target_tokens: int):
     return rows
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good_col: str = "quality", targets: int = TARGETS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good_col: str = "quality") -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, score) of every row with an id; rows without one take no part.
 
     Tokens are lower-cased words and the text's end, so null and empty texts have
@@ -201,17 +201,19 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     they stand. Without labelled rows the target model is the uniform one. `docs` is
     read three times and has to be a table, or a plan that always gives the same rows.
     """
-    context = docs.sparkSession.sparkContext
-    good = labels.where((F.col(good_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col)).alias("h")).distinct().orderBy("h", "id").limit(targets)
-    chosen = context.broadcast(np.unique(np.array([r["id"] for r in good.collect()], np.int64)))
+    good = labels.where((F.col(good_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.lit(True).alias("good")).distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    few = good.count() <= BROADCAST_LABELS
+    rows = rows.join(F.broadcast(good) if few else good, "id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
+    # a shuffle may deal rows in another order when it is read again, and slices with it
+    rows = rows if few else cut(rows)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-size // BUCKET_BYTES))
-    asked = rows.mapInArrow(_request_rows(chosen, buckets, SLICE_BYTES), "bucket long, slice long, keys binary, all binary, target binary")
+    asked = rows.mapInArrow(_request_rows(buckets, SLICE_BYTES), "bucket long, slice long, keys binary, all binary, target binary")
     shape = "slice long, bucket long, size long, all binary, target binary, words long, tokens long, target_tokens long"
     answers = cut(asked.groupBy("bucket").applyInArrow(_answers, shape))
     totals = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "tokens", "target_tokens")]).first()
-    texts = rows.mapInArrow(_text_rows(SLICE_BYTES), "slice long, id long, text string")
+    texts = rows.drop("good").mapInArrow(_text_rows(SLICE_BYTES), "slice long, id long, text string")
     answers = answers.select("slice", "bucket", "size", "all", "target")
     scored = texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_score_rows(*totals), "id long, n_tokens long, target_loss double, background_loss double")
     return scored.select("*", (F.col("target_loss") - F.col("background_loss")).alias("score"))

@@ -459,3 +459,15 @@ def test_lm_scores_of_a_very_long_text(spark):
     rows = [(1, " ".join(f"w{i}" for i in rng.integers(0, 5000, 300_000))), (2, "w1 w2"), (3, "")]
     got = {r.id: r for r in score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int")).collect()}
     assert got[1].n_tokens == 300_001 and got[2].n_tokens == 3 and got[2].score < got[1].score and got[2].target_loss < got[2].background_loss
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_every_good_label_is_a_target(spark, monkeypatch, broadcast):
+    """With all documents good both models are one, however many there are and however labels meet them."""
+    from loomdex.llm import lm_score
+
+    monkeypatch.setattr(lm_score, "BROADCAST_LABELS", broadcast)
+    docs = spark.range(52_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word w"), F.col("id") % 97, F.lit(" v"), F.col("id")).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    rows = score(docs, labels)
+    assert rows.where("abs(score) > 1e-12").count() == 0 and rows.count() == 52_000
