@@ -360,17 +360,20 @@ def _links(texts: DataFrame, met: DataFrame, shingle: int, similarity: float) ->
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = DEDUP_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, component) of every row with an id, by equal words or shingle sets of at least `similarity` (Jaccard).
 
-    64-bit fingerprints at radius 2 miss most pairs of similarity 0.8, so candidates
-    come from bands of minimal shingle hashes; whole shingle sets of all documents of
-    a band are compared, in blocks, without a limit to their number. Fingerprints take
-    no part: repeated lines move them by any number of bits, but not the sets.
-    Texts without words are copies of each other.
+    Candidates are the documents of a fingerprint group, as simhash_groups() finds them,
+    and, since 64-bit fingerprints at radius 2 miss most pairs of similarity 0.8, those of
+    a band of minimal shingle hashes. Whole shingle sets of all documents of a group or a
+    band are compared, in blocks, without a limit to their number. Texts without words are
+    copies of each other.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     shape = "id long, c0 long, c1 long, size long, bands array<long>, empty boolean"
     sketches = cut(texts.mapInArrow(_sketch_rows(shingle), shape))
     classes = cut(sketches.groupBy("c0", "c1", "empty").agg(F.min(F.struct("id", "size", "bands")).alias("s")).select("c0", "c1", "empty", F.col("s.id").alias("node"), "s.size", "s.bands"))
-    rows = classes.where("not empty").select("node", "size", F.posexplode("bands")).select("node", "size", F.xxhash64("pos", "col").alias("key"))
+    filled = classes.where("not empty")
+    rows = filled.select("node", "size", F.posexplode("bands")).select("node", "size", F.xxhash64("pos", "col").alias("key"))
+    prints = simhash_groups(texts, "id", "text").select(F.col("id").alias("node"), F.xxhash64(F.lit("fingerprint"), "component").alias("key")).distinct()
+    rows = rows.union(filled.select("node", "size").join(prints, "node"))
     linked = components(_links(texts, _comparisons(rows), shingle, similarity))
     named = classes.join(linked, "node", "left").select("c0", "c1", "empty", F.coalesce("component", "node").alias("component"))
     return sketches.select("id", "c0", "c1", "empty").join(named, ["c0", "c1", "empty"]).select("id", "component")

@@ -81,3 +81,18 @@ def test_mixture(stages):
         taken[r.source] = taken.get(r.source, 0) + r.taken
     target = brute_targets(sizes)
     assert len(after) == len(before) and all(abs(taken[s] - target[s]) <= 1 for s in sizes)
+
+
+def test_fingerprint_groups_are_candidates(spark):
+    """Texts of one fingerprint that no band holds both of are compared too: one passage repeated decides the fingerprint, different ends the sets."""
+    import random
+
+    from loomdex.llm.simhash import near_duplicate_groups, simhash_groups
+
+    draw = random.Random(5)
+    rows = [(i, "x y z " * 400 + " ".join(f"w{draw.randrange(10**9)}" for _ in range(12))) for i in range(4)]
+    frame = spark.createDataFrame([*rows, (9, "quite another text of its own words")], "doc_id long, text string")
+    assert len({r.component for r in simhash_groups(frame).where("id < 9").collect()}) == 1
+    groups = {r.id: r.component for r in near_duplicate_groups(frame, similarity=0.05).collect()}
+    assert groups == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
+    assert {r.id: r.component for r in near_duplicate_groups(frame).collect()} == {i: i for i in (0, 1, 2, 3, 9)}
