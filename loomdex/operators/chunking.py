@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from loomdex.functions.text import split_sentences
 
 TRAIL = " › "
+#: Documents that a task packs at once.
+PACK_ROWS = 32
 
 
 @dataclass(frozen=True)
@@ -142,7 +144,8 @@ def _without_runts(chunks: list[dict], sizes: Sizes) -> list[dict]:
 
 def _packed_rows(sizes: Sizes):
     def rows(batches):
-        for batch in batches:
+        # a few documents at a time are Python objects, however many a batch has
+        for batch in (whole.slice(at, PACK_ROWS) for whole in batches for at in range(0, len(whole), PACK_ROWS)):
             out: list[list] = [[], [], [], [], [], []]
             for name, units in zip(batch.column("id").to_pylist(), batch.column("units").to_pylist(), strict=True):
                 for i, c in enumerate(pack_document([u | {"trail": u["trail"] or ""} for u in units], sizes)):
