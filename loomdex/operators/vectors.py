@@ -110,7 +110,7 @@ def _embedded_pieces(model: Callable[[list[str]], np.ndarray], dim: int, batch:
 
 
 def embed_batches(rows: DataFrame, id_col: str, text_col: str, model: Callable[[list[str]], np.ndarray], dim: int, batch: int = 16, budget: int = 1000, prefix: str = "", spread: int | None = None) -> DataFrame:
-    """(id, vector, embedded) by a user's function from texts to a matrix.
+    """(id, vector, embedded, pieces) by a user's function from texts to a matrix; `pieces` is their number in the text.
 
     Texts over `budget` characters are embedded in pieces, whose vectors are averaged and
     normalised. Pieces of all texts fill the batches together; a task adds up what it has of
@@ -128,7 +128,7 @@ def embed_batches(rows: DataFrame, id_col: str, text_col: str, model: Callable[[
     pooled = parts.groupBy("id", "print").agg(added.alias("total"), F.sum("n").alias("n"), F.sum("failed").alias("failed"), F.sum("copies").cast("int").alias("copies"))
     good = F.col("failed") == 0
     vector = F.when(good, l2_normalize(F.transform("total", lambda x: x / F.col("n")))).otherwise(F.array_repeat(F.lit(0.0), F.lit(dim)))
-    return pooled.select("id", vector.alias("vector"), good.alias("embedded"), F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("col")
+    return pooled.select("id", vector.alias("vector"), good.alias("embedded"), (F.col("n") / F.col("copies")).cast("long").alias("pieces"), F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("col")
 
 
 def top_k(rows: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:

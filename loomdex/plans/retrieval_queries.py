@@ -138,11 +138,9 @@ _PIECES = r"""SELECT id, unnest(list_filter(string_split(CASE WHEN length(text)
 )
 def embed_batches(spark, sf_dir):
     """The hashed embedding as the user's model on pieces of the default budget, pooled by document; texts without words have zero vectors and drop out."""
-    docs = table(spark, sf_dir, "documents")
-    rows = V.embed_batches(docs, "doc_id", "text", X.hash_vectors, 64)
+    rows = V.embed_batches(table(spark, sf_dir, "documents"), "doc_id", "text", X.hash_vectors, 64)
     total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
-    pieces = docs.select(F.col("doc_id").alias("id"), F.size(V.text_pieces(F.col("text"), 1000)).cast("long").alias("pieces"))
-    return rows.where(F.array_max("vector") > 0).join(pieces, "id").select("id", "embedded", "pieces", F.round(total, 6).alias("total"), F.round(F.array_max("vector"), 6).alias("top"))
+    return rows.where(F.array_max("vector") > 0).select("id", "embedded", "pieces", F.round(total, 6).alias("total"), F.round(F.array_max("vector"), 6).alias("top"))
 
 
 @query(

@@ -77,3 +77,30 @@ def test_documents_are_inverted_once(spark, monkeypatch):
     monkeypatch.setattr(X, "_posting_blocks", watched)
     frame = spark.createDataFrame([(i, f"w{i % 7} all") for i in range(40)], "doc_id long, text string")
     assert X.build_index(frame, segment=8).blocks.count() == runs.value
+
+
+def test_documents_are_packed_a_few_at_a_time():
+    """However many documents a batch has, a few are Python objects at once; chunks are those of each document alone."""
+    import pyarrow as pa
+    from loomdex.operators import chunking as C
+
+    unit = {"pos": 0, "trail": None, "page": None, "text": "Some words of a block. " * 40, "sentences": ["Some words of a block. "] * 40}
+    kind = pa.list_(pa.struct([("pos", pa.int64()), ("trail", pa.string()), ("page", pa.int64()), ("text", pa.string()), ("sentences", pa.list_(pa.string()))]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([[unit]] * 100, kind)], ["id", "units"])
+    parts = list(C._packed_rows(C.Sizes())([batch]))
+    assert len(parts) > 2 and all(len(p.column("id").unique()) <= C.PACK_ROWS for p in parts)
+    rows = pa.Table.from_batches(parts).to_pylist()
+    alone = C.pack_document([unit | {"trail": ""}], C.Sizes())
+    assert [(r["id"], r["index"], r["body"]) for r in rows] == [(i, n, c["body"]) for i in range(100) for n, c in enumerate(alone)]
+
+
+def test_embedding_tells_the_pieces_of_a_text(spark):
+    """Their number comes with the vector, also of texts that stand twice: nobody has to cut the texts again."""
+    import numpy as np
+    from loomdex.operators import vectors as V
+
+    rows = [(1, "short"), (2, "line of text\n" * 30), (2, "line of text\n" * 30), (3, None)]
+    frame = spark.createDataFrame(rows, "id long, text string")
+    got = V.embed_batches(frame, "id", "text", lambda t: np.ones((len(t), 2)), 2, budget=100).collect()
+    cut = {r.id: r.n for r in frame.select("id", V.F.size(V.text_pieces(V.F.col("text"), 100)).alias("n")).collect()}
+    assert sorted((r.id, r.pieces) for r in got) == sorted((i, cut[i]) for i, _ in rows)
