@@ -241,8 +241,10 @@ def stream_ingest(spark, sf_dir):
     """The documents arrive as files, are cut into blocks and stored once each: what the batch query gives."""
     folder = f"{shared_folder(spark)}/ingest-{uuid4().hex}"
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(1).cast("long").alias("version"), "text")
-    docs.repartition(4).write.parquet(f"{folder}/in")
-    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    # a file for each part of the input, which arrive in two batches
+    files = max(4, docs.rdd.getNumPartitions())
+    docs.repartition(files).write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(f"{folder}/in")
     extract = lambda rows: B.text_blocks(rows, "id", "text", "\n").join(rows.select("id", "version"), "id")
     sink = _blocks_sink(spark, folder)
     J.ingest(arriving, extract, sink, f"{folder}/quarantine", f"{folder}/state").awaitTermination()

@@ -204,3 +204,19 @@ def test_equal_headers_are_parsed_once(monkeypatch):
     for r, content in zip(rows, odd + same, strict=True):
         message = message_from_bytes(content, policy=policy.default)
         assert (r["subject"], r["sender"], r["body"]) == (X._header(message, "Subject", "(No Subject)"), X._header(message, "From", "Unknown Sender"), X._body(message))
+
+
+def test_ingest_deals_its_files_by_the_input(spark, tiny, monkeypatch):
+    """The arriving files of stream_ingest grow with the table's parts: no task gets a fixed share of all."""
+    import re
+    from pathlib import Path
+    from loomdex.plans import event_queries as E
+    from loomdex.shared import shared_folder
+    from loomdex.sources.tables import table as plain
+
+    monkeypatch.setattr(E, "table", lambda *args: plain(*args).repartition(12))
+    root = Path(re.sub("^file:/*", "/", shared_folder(spark)))
+    before = set(root.glob("ingest-*"))
+    got = E.stream_ingest(spark, tiny).count()
+    folder = (set(root.glob("ingest-*")) - before).pop()
+    assert len(list(folder.glob("in/*.parquet"))) >= 12 and got > 0
