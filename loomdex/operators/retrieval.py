@@ -105,7 +105,7 @@ def bm25_top_k(queries: DataFrame, index: Index, k: int, terms: Column | None =
     postings only the buckets of these words are read. The blocks' bounds tell how much a
     query can score in a segment; its `first` segments by that are scored, and of the others
     only those that may still reach the k-th score found (block-max). The result is the one
-    of scoring all. Segments are scored apart, each by the blocks that its queries ask for.
+    of scoring all. Segments are scored apart, each by its blocks of the words asked for.
     """
     terms = T.tokenize(F.col("text")) if terms is None else terms
     asked = queries.select("query_id", F.explode(terms).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
@@ -130,12 +130,12 @@ def _pruned_top_k(spark, index: Index, terms, weighted: pa.Table, buckets: list[
     """(query_id, id, score) with the k best documents of each query of a block, from the segments that can hold them."""
     asked = spark.createDataFrame(weighted)
     kinds = [asked.schema["query_id"].dataType.simpleString(), index.blocks.schema["ids"].dataType.elementType.simpleString()]
-    postings = index.blocks.where(F.col("bucket").isin(buckets)).select("token", "segment", "ids", "places", "tfs", "lengths")
+    # blocks of words that no query asks for stay where they are read
+    postings = index.blocks.where(F.col("bucket").isin(buckets)).select("token", "segment", "ids", "places", "tfs", "lengths").join(F.broadcast(asked.select("token").distinct()), "token", "left_semi")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        # the blocks of words that a query asks a segment for
-        needed = pairs.join(F.broadcast(asked.select("query_id", "token")), "query_id").select("token", "segment").distinct()
-        chosen = postings.join(needed, ["token", "segment"], "left_semi")
+        # joined by segment alone, as they are scored: blocks move at most once
+        chosen = postings.join(pairs.select("segment").distinct(), "segment", "left_semi")
         return chosen.groupBy("segment").cogroup(pairs.groupBy("segment")).applyInArrow(_scored_segments(terms, k, mean, k1, b), f"query_id {kinds[0]}, id {kinds[1]}, score double")
 
     bounds = cut(segment_bounds(index, asked, buckets, mean, k1, b))

@@ -103,6 +103,25 @@ def test_only_buckets_of_query_words_are_read(spark, corpus):
     assert set(r[0] for r in scan.select("bucket").distinct().collect()) <= wanted
 
 
+def shuffled_rows(spark, run):
+    """Rows that the stages of a run wrote to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (lambda all: [all.apply(i) for i in range(all.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))}
+    before = stages()
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return out, sum(n for key, n in stages().items() if key not in before)
+
+
+def test_blocks_of_other_words_are_not_shuffled(spark):
+    """20,000 blocks of words that nobody asks for lie in the buckets that are read; only those of the two words asked for move."""
+    texts = [(i, " ".join(f"own{i}x{j}" for j in range(100)) + (" apple" if i % 2 else " pear")) for i in range(200)]
+    index = build_index(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), segment=8)
+    queries = spark.createDataFrame([(0, "apple pear")], "query_id long, text string")
+    found, moved = shuffled_rows(spark, lambda: R.bm25_top_k(queries, index, 300).count())
+    assert found == 200 and moved < 2_000
+
+
 def test_long_texts_are_counted_in_pieces(spark, monkeypatch):
     import pyarrow as pa
     from loomdex.operators import index as X
