@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomdex.functions import text as T
 from loomdex.operators.index import Index
-from loomdex.operators.vectors import QUERY_BLOCK, best_cells, top_k
+from loomdex.operators.vectors import best_cells, top_k
 from loomdex.shared import cut
 
 K1, B = 1.5, 0.75
@@ -19,8 +19,10 @@ CANDIDATES = 40
 BROADCAST_WORDS = 200_000
 #: Segments whose documents are scored first for each query, to know what its others have to reach.
 FIRST_SEGMENTS = 2
-#: Products of a query's word and a document that a task holds at once.
-CHUNK_PRODUCTS = 1 << 20
+#: Products of a query's word and a document that a task holds at once, and queries whose scores it holds.
+CHUNK_PRODUCTS, SCORED_QUERIES = 1 << 20, 2048
+#: Queries, and different words of queries, of a block: each block reads the buckets of its words again.
+QUERY_BLOCK, WORD_BLOCK = 1 << 14, 1 << 20
 #: Scores are compared to nine digits.
 _SLACK = 1e-8
 
@@ -30,6 +32,12 @@ def _share(tf, n, mean: float, k1: float, b: float):
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean))
 
 
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... of each of several runs."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
 class _Terms:
     """The words of a block of queries with their weights, by word."""
 
@@ -72,16 +80,21 @@ def _scored_segments(terms, k: int, mean: float, k1: float, b: float):
         doc, ordered = column[np.searchsorted(places, doc)], ids.take(pa.array(by_id))
         share = _share(tf, n, mean, k1, b)
         first = np.append(0, np.cumsum(sizes))
-        scores = np.zeros((len(asked), len(ordered)))
-        for w, x, y in zip(word.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
-            rows = row_of[all_terms.query[all_terms.starts[w] : all_terms.starts[w + 1]]]
-            weight = all_terms.weight[all_terms.starts[w] : all_terms.starts[w + 1]][rows >= 0]
-            rows = rows[rows >= 0]
-            for at in range(0, len(rows), max(1, CHUNK_PRODUCTS // (y - x))):
-                to = at + max(1, CHUNK_PRODUCTS // (y - x))
-                scores[rows[at:to, None], doc[None, x:y]] += weight[at:to, None] * share[None, x:y]
-        best = best_cells(all_terms.names.take(pa.array(asked)).to_numpy(zero_copy_only=False), ordered, np.round(scores, 9), k)
-        return pa.Table.from_batches([best]).cast(empty.schema)
+        # the queries' words that are here: a row of scores, a weight, and the word's postings
+        times = np.diff(all_terms.starts)[word]
+        term = np.repeat(all_terms.starts[word], times) + _within(times)
+        row, weight, start, size = row_of[all_terms.query[term]], all_terms.weight[term], np.repeat(first[:-1], times), np.repeat(sizes, times)
+        found = []
+        for low in range(0, len(asked), SCORED_QUERIES):
+            names = all_terms.names.take(pa.array(asked[low : low + SCORED_QUERIES]))
+            own = np.flatnonzero((row >= low) & (row < low + len(names)))
+            scores = np.zeros((len(names), len(ordered)))
+            for terms_here in np.split(own, np.searchsorted(np.cumsum(size[own]), np.arange(CHUNK_PRODUCTS, size[own].sum(), CHUNK_PRODUCTS))):
+                n_each = size[terms_here]
+                at = np.repeat(start[terms_here], n_each) + _within(n_each)
+                np.add.at(scores.ravel(), np.repeat(row[terms_here] - low, n_each) * len(ordered) + doc[at], np.repeat(weight[terms_here], n_each) * share[at])
+            found.append(best_cells(names.to_numpy(zero_copy_only=False), ordered, np.round(scores, 9), k))
+        return pa.Table.from_batches(found).cast(empty.schema)
 
     return score
 
@@ -112,7 +125,8 @@ def bm25_top_k(queries: DataFrame, index: Index, k: int, terms: Column | None =
     vocabulary = asked.select("token").distinct()
     known = index.words.join(F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_WORDS else vocabulary, "token", "left_semi").select("token", "df")
     asked = asked.join(known, "token").withColumn("bucket", index.bucket_of(F.col("token")))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    n_words, n_queries = asked.agg(F.count("*"), F.count_distinct("query_id")).first()
+    blocks = max(1, -(-n_queries // QUERY_BLOCK), -(-n_words // WORD_BLOCK))
     spark, mean, found = queries.sparkSession, max(index.mean, 1.0), None
     for number in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toArrow()

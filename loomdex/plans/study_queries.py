@@ -154,16 +154,17 @@ _ASKED = f"SELECT id AS query_id, unnest({S.tokens('heading')}) AS token FROM pg
     {_outcome_sql('o', "SELECT 'with trail' AS strategy, query_id, id, rank FROM trail UNION ALL SELECT 'without trail', query_id, id, rank FROM plain", [8])} SELECT strategy, {', '.join(f'round(avg({m}), 6) AS {m}' for m in E.METRICS)} FROM o GROUP BY strategy"""
 )
 def ablation(spark, sf_dir):
-    """Pages as documents with and without their heading, asked for by the heading's words."""
+    """Pages as documents with and without their heading, asked for by the heading's words; pages of one heading ask once, and each is scored by the answer."""
     blocks = B.html_blocks(table(spark, sf_dir, "pages"), "page_id", "html")
     heading = blocks.where("kind = 'heading'").groupBy("id").agg(F.min_by("text", "pos").alias("heading"))
     body = blocks.where("kind <> 'heading'").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "\n").alias("body"))
     pages = cut(body.join(heading, "id").select(F.col("id").alias("doc_id"), "heading", "body"))
-    asked = pages.select(F.col("doc_id").alias("query_id"), F.col("heading").alias("text"))
+    asked = cut(pages.groupBy(F.col("heading").alias("text")).agg(F.min("doc_id").alias("query_id"), F.collect_list("doc_id").alias("asking")))
     truth = pages.select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("id"))
     runs = None
     for name, text in (("with trail", F.concat_ws("\n", "heading", "body")), ("without trail", F.col("body"))):
-        own = R.bm25_top_k(asked, build_index(pages.select("doc_id", text.alias("text"))), 8).select(F.lit(name).alias("strategy"), "query_id", "id", "rank")
+        ranked = R.bm25_top_k(asked.select("query_id", "text"), build_index(pages.select("doc_id", text.alias("text"))), 8)
+        own = ranked.join(asked, "query_id").select(F.lit(name).alias("strategy"), F.explode("asking").alias("query_id"), "id", "rank")
         runs = own if runs is None else runs.union(own)
     rows = E.score_questions(runs, truth, [8], ("strategy",)).groupBy("strategy").agg(*[F.avg(m).alias(m) for m in E.METRICS])
     return _rounded(rows, "strategy")

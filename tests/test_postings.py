@@ -122,6 +122,21 @@ def test_blocks_of_other_words_are_not_shuffled(spark):
     assert found == 200 and moved < 2_000
 
 
+def test_a_large_batch_of_queries_is_one_pass(spark, corpus, monkeypatch):
+    """3,000 queries read the postings once for their best segments and once for the others; scores are held for some of them at a time."""
+    rows, index = corpus
+    asked = [f"w{i % 40} w{i % 7} none{i}" for i in range(3000)]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    passes, plain = [], R._pruned_top_k
+    monkeypatch.setattr(R, "_pruned_top_k", lambda *args: passes.append(1) or plain(*args))
+    got = {q: [] for q in range(len(asked))}
+    for r in R.bm25_top_k(queries, index, 3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.id, r["rank"]))
+    assert len(passes) == 1
+    best = {text: brute(rows, text, 3) for text in {" ".join(t.split()[:2]) for t in asked}}
+    assert got == {q: best[" ".join(t.split()[:2])] for q, t in enumerate(asked)}
+
+
 def test_long_texts_are_counted_in_pieces(spark, monkeypatch):
     import pyarrow as pa
     from loomdex.operators import index as X
