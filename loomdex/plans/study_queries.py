@@ -164,7 +164,8 @@ def ablation(spark, sf_dir):
     runs = None
     for name, text in (("with trail", F.concat_ws("\n", "heading", "body")), ("without trail", F.col("body"))):
         ranked = R.bm25_top_k(asked.select("query_id", "text"), build_index(pages.select("doc_id", text.alias("text"))), 8)
-        own = ranked.join(asked, "query_id").select(F.lit(name).alias("strategy"), F.explode("asking").alias("query_id"), "id", "rank")
+        # read several times below
+        own = cut(ranked.join(asked, "query_id").select(F.lit(name).alias("strategy"), F.explode("asking").alias("query_id"), "id", "rank"))
         runs = own if runs is None else runs.union(own)
     rows = E.score_questions(runs, truth, [8], ("strategy",)).groupBy("strategy").agg(*[F.avg(m).alias(m) for m in E.METRICS])
     return _rounded(rows, "strategy")

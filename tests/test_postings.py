@@ -137,6 +137,23 @@ def test_a_large_batch_of_queries_is_one_pass(spark, corpus, monkeypatch):
     assert got == {q: best[" ".join(t.split()[:2])] for q, t in enumerate(asked)}
 
 
+def test_ablation_scores_its_segments_once(spark, tiny, monkeypatch):
+    """A segment is scored at most twice: for the queries that have it among their best, and for others that it may still serve."""
+    from loomdex.plans import study_queries as P
+
+    built, plain, counted = [], R._scored_segments, spark.sparkContext.accumulator(0)
+
+    def watched(*args):
+        score = plain(*args)
+        return lambda blocks, asking: counted.add(1) or score(blocks, asking)
+
+    monkeypatch.setattr(R, "_scored_segments", watched)
+    monkeypatch.setattr(P, "build_index", lambda docs: built.append(build_index(docs, segment=8)) or built[-1])
+    assert P.ablation(spark, tiny).count() == 2
+    segments = sum(x.blocks.select("segment").distinct().count() for x in built)
+    assert len(built) == 2 and 0 < counted.value <= 2 * segments
+
+
 def test_long_texts_are_counted_in_pieces(spark, monkeypatch):
     import pyarrow as pa
     from loomdex.operators import index as X
