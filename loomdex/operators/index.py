@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.functions.text import LOWER, UPPER
-from loomdex.shared import shared_path, written
+from loomdex.shared import arrow_rows, shared_path, written
 
 DIM = 64
 #: Documents of a segment (at most 32,767), and bytes of text that are cut into words at once: a worker's memory is some fifteen times that.
@@ -183,18 +183,24 @@ def _posting_blocks(segment: int):
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = DIM, segment: int = SEGMENT) -> Index:
-    """The index of documents (id, text), written to the shared folder. Null texts have no words; repeated ids are documents of their own. With `dim` 0 it has no vectors."""
-    documents = written(count_words(docs, id_col, text_col, dim=dim), "index-documents")
+    """The index of documents (id, text), written to the shared folder. Null texts have no words; repeated ids are documents of their own. With `dim` 0 it has no vectors.
+
+    Python workers get a segment at a time, so their memory does not grow with the files.
+    """
+    spark = docs.sparkSession
+    with arrow_rows(spark, segment):
+        documents = written(count_words(docs, id_col, text_col, dim=dim), "index-documents")
     size, mean, n = documents.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, n // BUCKET_POSTINGS))
     kind = documents.schema["id"].dataType.simpleString()
     shape = f"token string, segment long, size int, total long, max_tf int, min_n long, ids array<{kind}>, places array<smallint>, tfs array<int>, lengths array<long>"
     blocks = documents.select("id", "n", "words", "times").mapInArrow(_posting_blocks(segment), shape).withColumn("bucket", bucket_of(F.col("token"), buckets))
-    path = shared_path(docs.sparkSession, "index-postings")
+    path = shared_path(spark, "index-postings")
     # dealt by bucket and share of the segments, which is a file; ranges would invert the documents once more, to be sampled
     share = F.pmod(F.xxhash64("segment"), F.lit(max(LEAST_SHARES, size // SHARE_DOCS)))
-    blocks.repartition("bucket", share).sortWithinPartitions("bucket", "token", "segment").write.partitionBy("bucket").parquet(path)
-    blocks = docs.sparkSession.read.schema(blocks.schema).parquet(path)
+    with arrow_rows(spark, segment):
+        blocks.repartition("bucket", share).sortWithinPartitions("bucket", "token", "segment").write.partitionBy("bucket").parquet(path)
+    blocks = spark.read.schema(blocks.schema).parquet(path)
     words = written(blocks.groupBy("token").agg(F.sum("size").cast("long").alias("df"), F.sum("total").alias("total")), "index-words")
     return Index(documents, words, blocks, path, buckets, size, mean)
 

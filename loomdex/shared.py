@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +61,16 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     path = shared_path(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.parquet(path)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Meanwhile Python workers get batches of at most so many rows: they hold two, which else grow with the files up to 10,000 rows or 64 MB each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    # 0 and less mean no limit
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

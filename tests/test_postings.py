@@ -169,6 +169,49 @@ def test_long_texts_are_counted_in_pieces(spark, monkeypatch):
     assert [dict(zip(r["words"], r["times"])) for r in whole[:1] + whole[4:7]] == [{"één": 1, "twee": 1}, {"日本": 1, "Über": 1, "Äb": 1}, {"vijf": 2}, {"naïve": 1, "É": 1}]
 
 
+def test_workers_get_a_segment_at_a_time(spark, tmp_path, monkeypatch):
+    """Neither texts nor counted documents come in the batches of the session, which grow with the files; its setting is back afterwards."""
+    from loomdex.operators import index as X
+
+    def watched(plain, name):
+        def outer(*args):
+            rows = plain(*args)
+
+            def noted(batches):
+                for b in batches:
+                    with open(f"{tmp_path}/{name}", "a") as f:
+                        f.write(f"{len(b)}\n")
+                    yield b
+
+            return lambda batches: rows(noted(batches))
+
+        return outer
+
+    for name in ("_counted_rows", "_posting_blocks"):
+        monkeypatch.setattr(X, name, watched(getattr(X, name), name))
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    texts = [(i, f"w{i % 7} own{i}") for i in range(100)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    before = spark.conf.get(setting)
+    index = X.build_index(frame, segment=16)
+    for name in ("_counted_rows", "_posting_blocks"):
+        sizes = [int(n) for n in Path(f"{tmp_path}/{name}").read_text().split()]
+        assert sum(sizes) == 100 and max(sizes) <= 16, name
+    assert spark.conf.get(setting) == before
+    assert index.blocks.select("segment").distinct().count() == 7
+    assert sorted(map(tuple, postings(index).collect())) == sorted((w, i, 1, 2) for i, t in texts for w in t.split())
+    # a smaller batch that the session asks for stays, no limit is not one, and an error puts the setting back
+    for own, seen in (("4", "4"), ("0", "16")):
+        spark.conf.set(setting, own)
+        try:
+            with pytest.raises(ZeroDivisionError), X.arrow_rows(spark, 16):
+                assert spark.conf.get(setting) == seen
+                1 / 0
+            assert spark.conf.get(setting) == own
+        finally:
+            spark.conf.set(setting, before)
+
+
 def test_a_rewritten_table_gets_a_new_index(spark, tmp_path):
     path = str(tmp_path / "documents.parquet")
     spark.createDataFrame([(1, "apple tree")], "doc_id long, text string").write.parquet(path)
