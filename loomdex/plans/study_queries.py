@@ -124,14 +124,14 @@ def sign_test_large(spark, sf_dir):
 
 @query(
     f"""WITH {_PAIRED}, v AS (SELECT d, row_number() OVER (ORDER BY query_id) - 1 AS i FROM d WHERE metric = 'rr'), n AS (SELECT count(*) AS n FROM v),
-    r AS (SELECT rep, ('0x' || substr(md5(rep || ':' || draw), 1, 8))::BIGINT % n AS i FROM (SELECT unnest(range(2000)) AS rep), n, LATERAL (SELECT unnest(range(n)) AS draw)),
+    r AS (SELECT rep, ('0x' || substr(md5(rep || ':' || draw), 1, 8))::BIGINT % n AS i FROM (SELECT unnest(range(10000)) AS rep), n, LATERAL (SELECT unnest(range(n)) AS draw)),
     means AS (SELECT rep, round(avg(d), 9) AS mean FROM r JOIN v USING (i) GROUP BY rep), o AS (SELECT mean, row_number() OVER (ORDER BY mean) - 1 AS place FROM means)
-    SELECT round(max(CASE WHEN place = 50 THEN mean END), 6) AS low, round(max(CASE WHEN place = 1950 THEN mean END), 6) AS high FROM o"""
+    SELECT round(max(CASE WHEN place = 250 THEN mean END), 6) AS low, round(max(CASE WHEN place = 9750 THEN mean END), 6) AS high FROM o"""
 )
 def bootstrap_ci(spark, sf_dir):
     a, b = _pair(spark, sf_dir)
     deltas = a.select("query_id", F.col("rr").alias("x")).join(b.select("query_id", F.col("rr").alias("y")), "query_id").select("query_id", (F.col("x") - F.col("y")).alias("delta"))
-    return E.bootstrap_ci(deltas, 2000).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return E.bootstrap_ci(deltas).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query(
