@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.functions.text import LOWER, UPPER
-from loomdex.shared import arrow_rows, shared_path, written
+from loomdex.shared import arrow_rows, exists, shared_path, written
 
 DIM = 64
 #: Documents of a segment (at most 32,767), and bytes of text that are cut into words at once: a worker's memory is some fifteen times that.
 SEGMENT, SLICE_BYTES = 512, 2 << 20
+#: Segments that totals of words are taken of at once.
+WORD_ROWS = 4
 #: Buckets at least and at most, and postings for each of them in between.
 LEAST_BUCKETS, MOST_BUCKETS, BUCKET_POSTINGS = 16, 4096, 1 << 20
 #: Shares of the segments in a bucket at least, and documents for each of them: what a task can get of one word.
@@ -45,13 +48,33 @@ class Index:
     """
 
     documents: DataFrame
-    words: DataFrame
-    blocks: DataFrame
     path: str
     buckets: int
+    segment: int
     size: int
     mean: float
 
+    @cached_property
+    def blocks(self) -> DataFrame:
+        """The posting blocks; documents are inverted when these are asked for first."""
+        spark, kind = self.documents.sparkSession, self.documents.schema["id"].dataType.simpleString()
+        shape = f"token string, segment long, size int, total long, max_tf int, min_n long, ids array<{kind}>, places array<smallint>, tfs array<int>, lengths array<long>"
+        blocks = self.documents.select("id", "n", "words", "times").mapInArrow(_posting_blocks(self.segment), shape).withColumn("bucket", self.bucket_of(F.col("token")))
+        if not exists(spark, self.path):
+            # dealt by bucket and share of the segments, which is a file; ranges would invert the documents once more, to be sampled
+            share = F.pmod(F.xxhash64("segment"), F.lit(max(LEAST_SHARES, self.size // SHARE_DOCS)))
+            with arrow_rows(spark, self.segment):
+                blocks.repartition("bucket", share).sortWithinPartitions("bucket", "token", "segment").write.partitionBy("bucket").parquet(self.path)
+        return spark.read.schema(blocks.schema).parquet(self.path)
+
+    @cached_property
+    def words(self) -> DataFrame:
+        """Totals of words, from the blocks if there are any."""
+        if exists(self.documents.sparkSession, self.path):
+            return written(self.blocks.groupBy("token").agg(F.sum("size").cast("long").alias("df"), F.sum("total").alias("total")), "index-words")
+        with arrow_rows(self.documents.sparkSession, WORD_ROWS * self.segment):
+            return written(word_totals(self.documents), "index-words")
+
     @property
     def vectors(self) -> DataFrame:
         """(id, vector) of documents with words."""
@@ -182,27 +205,21 @@ def _posting_blocks(segment: int):
     return rows
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = DIM, segment: int = SEGMENT) -> Index:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = DIM, segment: int = SEGMENT, inverted: bool = True) -> Index:
     """The index of documents (id, text), written to the shared folder. Null texts have no words; repeated ids are documents of their own. With `dim` 0 it has no vectors.
 
     Python workers get a segment at a time, so their memory does not grow with the files.
+    If it is not `inverted`, documents are inverted once posting blocks are asked for.
     """
     spark = docs.sparkSession
     with arrow_rows(spark, segment):
         documents = written(count_words(docs, id_col, text_col, dim=dim), "index-documents")
     size, mean, n = documents.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, n // BUCKET_POSTINGS))
-    kind = documents.schema["id"].dataType.simpleString()
-    shape = f"token string, segment long, size int, total long, max_tf int, min_n long, ids array<{kind}>, places array<smallint>, tfs array<int>, lengths array<long>"
-    blocks = documents.select("id", "n", "words", "times").mapInArrow(_posting_blocks(segment), shape).withColumn("bucket", bucket_of(F.col("token"), buckets))
-    path = shared_path(spark, "index-postings")
-    # dealt by bucket and share of the segments, which is a file; ranges would invert the documents once more, to be sampled
-    share = F.pmod(F.xxhash64("segment"), F.lit(max(LEAST_SHARES, size // SHARE_DOCS)))
-    with arrow_rows(spark, segment):
-        blocks.repartition("bucket", share).sortWithinPartitions("bucket", "token", "segment").write.partitionBy("bucket").parquet(path)
-    blocks = spark.read.schema(blocks.schema).parquet(path)
-    words = written(blocks.groupBy("token").agg(F.sum("size").cast("long").alias("df"), F.sum("total").alias("total")), "index-words")
-    return Index(documents, words, blocks, path, buckets, size, mean)
+    index = Index(documents, shared_path(spark, "index-postings"), buckets, segment, size, mean)
+    if inverted:
+        index.blocks, index.words  # noqa: B018
+    return index
 
 
 def postings(index: Index, vocabulary: DataFrame | None = None, broadcast: int = 0) -> DataFrame:

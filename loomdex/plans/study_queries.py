@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from loomdex.operators import evaluation as E
+from loomdex.operators import index as X
 from loomdex.operators import retrieval as R
 from loomdex.operators import tables as A
-from loomdex.operators.index import build_index
 from loomdex.plans import corpus_queries as C
 from loomdex.plans import retrieval_queries as Q
 from loomdex.plans import sql as S
@@ -18,6 +20,8 @@ from loomdex.sources.tables import table
 
 QUERIES, SQL, query = register()
 KS = [4, 8]
+#: The index of texts that are asked for by their words alone, by many queries at once.
+build_index = partial(X.build_index, dim=0, inverted=False)
 
 
 # ---- evaluation: an item's text is its anchor ----
@@ -156,9 +160,9 @@ _ASKED = f"SELECT id AS query_id, unnest({S.tokens('heading')}) AS token FROM pg
 def ablation(spark, sf_dir):
     """Pages as documents with and without their heading, asked for by the heading's words; pages of one heading ask once, and each is scored by the answer."""
     blocks = B.html_blocks(table(spark, sf_dir, "pages"), "page_id", "html")
-    heading = blocks.where("kind = 'heading'").groupBy("id").agg(F.min_by("text", "pos").alias("heading"))
-    body = blocks.where("kind <> 'heading'").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "\n").alias("body"))
-    pages = cut(body.join(heading, "id").select(F.col("id").alias("doc_id"), "heading", "body"))
+    parts = F.collect_list(F.when(F.col("kind") != "heading", F.struct("pos", "text"))).alias("parts")
+    both = blocks.groupBy(F.col("id").alias("doc_id")).agg(F.expr("min_by(text, pos) FILTER (WHERE kind = 'heading')").alias("heading"), parts).where("heading is not null and size(parts) > 0")
+    pages = cut(both.select("doc_id", "heading", F.array_join(F.transform(F.array_sort("parts"), lambda s: s["text"]), "\n").alias("body")))
     asked = cut(pages.groupBy(F.col("heading").alias("text")).agg(F.min("doc_id").alias("query_id"), F.collect_list("doc_id").alias("asking")))
     truth = pages.select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("id"))
     runs = None
